@@ -9,6 +9,7 @@ from rillwork.catalog.base import DAY, micros, query, records, records_sql, tabl
 from rillwork.functions import load as L
 from rillwork.operators import ordered as O
 from rillwork.operators import runs as R
+from rillwork.session import cut
 
 DURATION, WARMUP = 86_400.0, 3_600.0
 
@@ -95,12 +96,12 @@ def _dense_sql(width: int) -> str:
     sp AS (SELECT run_id, unnest(range(0, {86400 // width} + 1)) AS b FROM (SELECT DISTINCT run_id FROM rec)),
     ser AS (SELECT sp.run_id, CAST(sp.b*{width} AS BIGINT) AS t, coalesce(requests,0) AS requests, coalesce(ok,0) AS ok,
       coalesce(errors,0) AS errors, coalesce(dups,0) AS dups, coalesce(active,0) AS active,
-      round(coalesce(mean,0),1) AS mean, round(coalesce(p50,0),1) AS p50, round(coalesce(p95,0),1) AS p95
+      round(coalesce(mean,0),6) AS mean, round(coalesce(p50,0),6) AS p50, round(coalesce(p95,0),6) AS p95
       FROM sp LEFT JOIN fx ON fx.run_id=sp.run_id AND fx.b=sp.b LEFT JOIN pc ON pc.run_id=sp.run_id AND pc.b=sp.b)"""
 
 
 def series(spark, d, width=60.0):
-    return R.dense_buckets(records(spark, d), DURATION, width)
+    return R.dense_buckets(records(spark, d), DURATION, width, digits=6)
 
 
 @query("dense_time_buckets", f"WITH {_dense_sql(60)} SELECT * FROM ser")
@@ -157,7 +158,7 @@ _MED_SQL = f"""{summary_sql()}, {_cfg_sql()},
 
 
 def _medians(spark, d):
-    runs = R.classify(run_summary(spark, d))
+    runs = cut(R.classify(run_summary(spark, d)))  # one row per run: small, and read many times
     return R.median_over_reps(runs, _MED, ("retried", "dups"))
 
 
@@ -424,21 +425,21 @@ def latency_histogram(spark, d):
     return R.latency_histogram(records(spark, d), ["kind", "status"], _BOUNDS)
 
 
-_SWEEP = f"""{summary_sql("sweep", 0.0, 43200.0)}, {_cfg_sql()},
+_SWEEP = f"""{summary_sql("sweep", 0.0, 432.0)}, {_cfg_sql()},
     bz AS (SELECT run_id, round(100.0::DOUBLE*max(n)/sum(n),1) AS busiest FROM (SELECT run_id,backend,count(*) AS n FROM rec GROUP BY 1,2) GROUP BY 1),
     sw AS (SELECT config, param, quantile_cont(p50,0.5) AS p50, quantile_cont(p95,0.5) AS p95, quantile_cont(p99,0.5) AS p99,
       quantile_cont(rps,0.5) AS rps, quantile_cont(error_pct,0.5) AS error_pct, quantile_cont(busiest,0.5) AS busiest, count(*) AS reps,
       min(p95) AS p95_lo, max(p95) AS p95_hi, min(rps) AS rps_lo, max(rps) AS rps_hi FROM cfg JOIN bz USING (run_id) GROUP BY 1,2),
     bst AS (SELECT config, max(rps) AS tp, min(p95) AS lat FROM sw GROUP BY 1),
     cost AS (SELECT sw.*, round(p95/lat + 0.6::DOUBLE*(tp-rps)/tp + error_pct, 4) AS cost FROM sw JOIN bst USING (config)),
-    comb AS (SELECT a.* REPLACE (CASE WHEN b.cost IS NOT NULL THEN round((a.cost+b.cost)/2,4) ELSE a.cost END AS cost)
+    comb AS (SELECT a.* REPLACE (CASE WHEN b.cost IS NOT NULL THEN round((a.cost+b.cost)/2,6) ELSE a.cost END AS cost)
       FROM cost a LEFT JOIN cost b ON b.config='THRLOW' AND b.param=a.param WHERE a.config='THR')"""
 
 
 def _sweep(spark, d):
     r = records(spark, d, "sweep")
-    runs = R.run_summary(r, 43_200.0).join(R.busiest_share(R.backend_distribution(r), ["run_id"]), "run_id")
-    return R.sweep_cost(R.sweep_table(R.classify(runs)))
+    runs = R.run_summary(r, 432.0).join(R.busiest_share(R.backend_distribution(r), ["run_id"]), "run_id")
+    return R.sweep_cost(R.sweep_table(cut(R.classify(runs))))
 
 
 def _r6(df):
@@ -460,12 +461,12 @@ def threshold_sweep(spark, d):
 
 @query("threshold_sweep_combined", f"WITH {_SWEEP} SELECT {_SW_COLS} FROM comb")
 def threshold_sweep_combined(spark, d):
-    return _r6(R.combine_levels(_sweep(spark, d), "THR", "THRLOW"))
+    return _r6(R.combine_levels(_sweep(spark, d), "THR", "THRLOW", digits=6))
 
 
 @query("threshold_choice", f"WITH {_SWEEP} SELECT param, cost FROM comb ORDER BY cost, param::DOUBLE LIMIT 1")
 def threshold_choice(spark, d):
-    return R.cheapest(R.combine_levels(_sweep(spark, d), "THR", "THRLOW"))
+    return R.cheapest(R.combine_levels(_sweep(spark, d), "THR", "THRLOW", digits=6))
 
 
 @query(

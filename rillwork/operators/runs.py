@@ -99,7 +99,9 @@ def time_buckets(records: DataFrame, width: float) -> DataFrame:
     )
 
 
-def dense_buckets(records: DataFrame, duration: float, width: float = 1.0) -> DataFrame:
+def dense_buckets(
+    records: DataFrame, duration: float, width: float = 1.0, digits: int = 1
+) -> DataFrame:
     """Every bucket of every run from 0 to ``duration``, empty ones included."""
     b = F.floor(F.col("t") / width).cast("long")
     r = records.withColumn("b", b)
@@ -134,7 +136,7 @@ def dense_buckets(records: DataFrame, duration: float, width: float = 1.0) -> Da
             "run_id",
             (F.col("b") * F.lit(width)).cast("long").alias("t"),
             *[F.coalesce(c, F.lit(0)).alias(c) for c in zero],
-            *[F.round(F.coalesce(c, F.lit(0.0)), 1).alias(c) for c in real],
+            *[F.round(F.coalesce(c, F.lit(0.0)), digits).alias(c) for c in real],
             F.coalesce("by_backend", F.expr("cast(map() as map<string,bigint>)")).alias("by_backend"),
         )
     )
@@ -417,10 +419,10 @@ def sweep_cost(table: DataFrame, cost=default_cost) -> DataFrame:
     return table.join(best, "config").withColumn("cost", F.round(c, 4)).drop("_tp", "_lat")
 
 
-def combine_levels(costed: DataFrame, first: str, second: str) -> DataFrame:
+def combine_levels(costed: DataFrame, first: str, second: str, digits: int = 4) -> DataFrame:
     """The first level's rows; cost averaged where the second level has the same value."""
     other = costed.filter(F.col("config") == second).select("param", F.col("cost").alias("_c2"))
-    c = F.when(F.col("_c2").isNotNull(), F.round((F.col("cost") + F.col("_c2")) / 2, 4)).otherwise(F.col("cost"))
+    c = F.when(F.col("_c2").isNotNull(), F.round((F.col("cost") + F.col("_c2")) / 2, digits)).otherwise(F.col("cost"))
     rows = costed.filter(F.col("config") == first).join(other, "param", "left")
     return rows.withColumn("cost", c).drop("_c2")
 

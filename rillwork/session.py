@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "rillwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,3 +51,8 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcastable(df: DataFrame, limit: int = 100_000) -> bool:
     """Whether ``df`` holds at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
+
+
+def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join one row per key onto ``df``: broadcast when the facts are few, else a skew-split join."""
+    return df.join(F.broadcast(facts) if broadcastable(facts) else facts, list(keys), how)
