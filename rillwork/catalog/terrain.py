@@ -286,7 +286,7 @@ def channel(spark, d):
 
 
 _STR = f"""{WALK}, ac AS (SELECT dst AS cell, count(*) AS acc FROM wk GROUP BY 1),
-    st AS (SELECT ac.cell, acc, CASE WHEN r.acc>={MIN_CHANNEL} THEN fl.recv END AS recv FROM ac JOIN fl ON fl.cell=ac.cell LEFT JOIN ac r ON r.cell=fl.recv WHERE ac.acc>={MIN_CHANNEL}),
+    st AS (SELECT ac.cell, ac.acc, CASE WHEN r.acc>={MIN_CHANNEL} THEN fl.recv END AS recv FROM ac JOIN fl ON fl.cell=ac.cell LEFT JOIN ac r ON r.cell=fl.recv WHERE ac.acc>={MIN_CHANNEL}),
     dn AS (SELECT st.*, (SELECT count(*) FROM st o WHERE o.recv=st.cell) AS donors FROM st),
     lk AS (SELECT cell AS link, 0 AS pos, cell, recv, acc, FALSE AS fin FROM dn WHERE donors<>1 UNION ALL
       SELECT lk.link, lk.pos+1, dn.cell, dn.recv, dn.acc, dn.donors<>1 FROM lk JOIN dn ON dn.cell=lk.recv WHERE NOT lk.fin),
@@ -306,7 +306,7 @@ def links(spark, d):
 
 
 _ORD = f"""{_STR}, sd AS (SELECT 0 AS k, link, 1 AS ord FROM ll UNION ALL
-      SELECT k+1, link, CASE WHEN len(o)=0 THEN 1 WHEN len(list_filter(o, lambda x: x=list_max(o)))>=2 THEN list_max(o)+1 ELSE list_max(o) END FROM (
+      SELECT k+1, link, CASE WHEN o IS NULL OR len(o)=0 THEN 1 WHEN len(list_filter(o, lambda x: x=list_max(o)))>=2 THEN list_max(o)+1 ELSE list_max(o) END FROM (
         SELECT max(sd.k) AS k, a.link, list(f.ord) FILTER (f.ord IS NOT NULL) AS o FROM ll a JOIN sd ON sd.link=a.link
         LEFT JOIN (SELECT ll.mouth, ll.link AS src, sd.ord FROM sd JOIN ll ON ll.link=sd.link) f ON f.mouth=a.link AND f.src<>a.link GROUP BY a.link) WHERE k<60),
     so AS (SELECT link, coalesce(ord,1) AS ord FROM sd WHERE k=60)"""
@@ -314,14 +314,13 @@ _ORD = f"""{_STR}, sd AS (SELECT 0 AS k, link, 1 AS ord FROM ll UNION ALL
 
 @query(
     "stream_links_with_order",
-    f"""WITH RECURSIVE {G}, {_STR}, od AS (SELECT link, 1 AS o FROM ll)
-    SELECT ll.link, mouth, cells, round(length_m,6) AS length_m, acc_head, acc_mouth FROM ll JOIN ln USING (link)""",
+    f"""WITH RECURSIVE {G}, {_STR} SELECT ll.link, mouth, cells, round(length_m,6) AS length_m, acc_head, acc_mouth FROM ll JOIN ln USING (link)""",
 )
 def stream_links_with_order(spark, d):
     return rnd(links(spark, d).drop("raster", "ord"), 6)
 
 
-@query("strahler_order")
+@query("strahler_order", f"WITH RECURSIVE {G}, {_ORD} SELECT link, mouth, acc_head, ord FROM so JOIN ll USING (link)")
 def strahler_order(spark, d):
     return links(spark, d).select("link", "mouth", "acc_head", "ord")
 

@@ -362,19 +362,19 @@ def within_area(boxes: DataFrame, lo_km2: float, hi_km2: float) -> DataFrame:
     return boxes.filter(F.col("area_km2").between(lo_km2, hi_km2))
 
 
-def score_text(
-    texts: DataFrame, id: str, text: str, name: str, datasets: Sequence[tuple[str, str, float]]
-) -> DataFrame:
-    """Best data source per text: mentions plus five per mention in the file name.
+def score_text(texts: DataFrame, id: str, text: str, datasets: Sequence[tuple[str, str, float]]) -> DataFrame:
+    """Best data source per text: mentions plus five per mention inside a raster file name.
 
     ``datasets`` are ``(name, pattern, resolution)``; finer resolution wins ties, and a text that
-    mentions none gets ``assumed``. One projection over the texts, no join.
+    mentions none gets ``assumed``. One projection over the whole texts, no join.
     """
-    t, n = F.lower(F.col(text)), F.lower(F.col(name))
+    t = F.lower(F.col(text))
     scored = F.array(
         *[
             F.struct(
-                (F.regexp_count(t, F.lit(p)) + 5 * F.regexp_count(n, F.lit(p))).cast("long").alias("score"),
+                (
+                    F.regexp_count(t, F.lit(p)) + 5 * F.regexp_count(t, F.lit(rf"[\w/.-]*({p})[\w/.-]*\.tiff?\b"))
+                ).cast("long").alias("score"),
                 F.lit(-float(res)).alias("fine"),
                 F.lit(ds).alias("dataset"),
             )
