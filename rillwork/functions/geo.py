@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rillwork.functions.bind import let
+
 # WGS 84 and the UTM grid
 _A, _FLAT, _K0, _FALSE_E, _FALSE_N = 6_378_137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
 _N = _FLAT / (2 - _FLAT)
@@ -52,19 +54,23 @@ def _central(epsg: Column) -> Column:
 
 def to_utm(lon: Column, lat: Column, epsg: Column) -> Column:
     """``struct<x,y>`` in metres."""
-    phi, lam = F.radians(lat), F.radians(lon) - _central(epsg)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(_E) * F.atanh(F.lit(_E) * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        x = x + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     south = F.when(epsg >= 32700, _FALSE_N).otherwise(0.0)
-    return F.struct(
-        (F.lit(_K0 * _RECT) * x + _FALSE_E).alias("x"), (F.lit(_K0 * _RECT) * y + south).alias("y")
-    )
+    phi, lam = F.radians(lat), F.radians(lon) - _central(epsg)
+
+    def series(q: Column) -> Column:
+        x, y = q["eta"], q["xi"]
+        for j, a in enumerate(_ALPHA, 1):
+            x = x + F.lit(a) * F.cos(2 * j * q["xi"]) * F.sinh(2 * j * q["eta"])
+            y = y + F.lit(a) * F.sin(2 * j * q["xi"]) * F.cosh(2 * j * q["eta"])
+        k = F.lit(_K0 * _RECT)
+        return F.struct((k * x + _FALSE_E).alias("x"), (k * y + south).alias("y"))
+
+    def sphere(t: Column) -> Column:
+        xi = F.atan2(t, F.cos(lam))
+        eta = F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+        return let(F.struct(xi.alias("xi"), eta.alias("eta")), series)
+
+    return let(F.sinh(F.atanh(F.sin(phi)) - F.lit(_E) * F.atanh(F.lit(_E) * F.sin(phi))), sphere)
 
 
 def from_utm(x: Column, y: Column, epsg: Column) -> Column:
@@ -121,21 +127,24 @@ def centroid(ring: Column) -> Column:
 
 def box_facts(west: Column, south: Column, east: Column, north: Column, cell: float) -> Column:
     """``struct<epsg,x_min,y_max,rows,cols,area_km2>`` of a lon/lat box in its own zone."""
+    def measure(q: Column) -> Column:
+        xs, ys = [q[i]["x"] for i in range(4)], [q[i]["y"] for i in range(4)]
+        area = F.lit(0.0)
+        for i in range(4):
+            j = (i + 1) % 4
+            area = area + (xs[i] * ys[j] - xs[j] * ys[i])
+        return F.struct(
+            epsg.alias("epsg"),
+            F.least(*xs).alias("x_min"),
+            F.greatest(*ys).alias("y_max"),
+            F.ceil((F.greatest(*ys) - F.least(*ys)) / cell).cast("long").alias("rows"),
+            F.ceil((F.greatest(*xs) - F.least(*xs)) / cell).cast("long").alias("cols"),
+            (F.abs(area) / 2 / 1e6).alias("area_km2"),
+        )
+
     epsg = utm_epsg((west + east) / 2, (south + north) / 2)
-    ring = [to_utm(a, b, epsg) for a, b in ((west, south), (east, south), (east, north), (west, north))]
-    xs, ys = [p["x"] for p in ring], [p["y"] for p in ring]
-    area = F.lit(0.0)
-    for i in range(4):
-        j = (i + 1) % 4
-        area = area + (xs[i] * ys[j] - xs[j] * ys[i])
-    return F.struct(
-        epsg.alias("epsg"),
-        F.least(*xs).alias("x_min"),
-        F.greatest(*ys).alias("y_max"),
-        F.ceil((F.greatest(*ys) - F.least(*ys)) / cell).cast("long").alias("rows"),
-        F.ceil((F.greatest(*xs) - F.least(*xs)) / cell).cast("long").alias("cols"),
-        (F.abs(area) / 2 / 1e6).alias("area_km2"),
-    )
+    corners = ((west, south), (east, south), (east, north), (west, north))
+    return let(F.array(*[to_utm(a, b, epsg) for a, b in corners]), measure)
 
 
 def cell_of(x: Column, y: Column, x_min: Column, y_max: Column, cell: Column) -> Column:

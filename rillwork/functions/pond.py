@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rillwork.functions.bind import let
+
 MIN_BOTTOM_M = 5.0
 #: Unit rates per m3 and storage limits of a village pond.
 EXCAVATION_RATE, EMBANKMENT_RATE = 160.0, 220.0
@@ -14,11 +14,6 @@ MIN_STORAGE_M3, MAX_STORAGE_M3 = 2_000.0, 50_000.0
 HARVEST_EFFICIENCY, DEAD_STORAGE = 0.6, 0.15
 
 
-def let(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once inside an expression."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def bottom(side: Column, depth: Column, slope: float) -> Column:
     """Bottom dimension: the top inset by the side slopes."""
     return side - 2 * slope * depth

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from rillwork.functions import hydro as H
 from rillwork.functions import pond as P
+from rillwork.functions.bind import let
 
 
 def complete_years(rain: DataFrame, min_days: int = 350) -> DataFrame:
@@ -315,10 +316,10 @@ def balance_years(days: DataFrame, ponds: DataFrame, seepage_mm: float = 2.0, sl
                 evap.alias("e"),
                 seep.alias("p"),
             )
-            return P.let(raw, with_raw)
+            return let(raw, with_raw)
 
         level = F.when(cap > 0, D * F.sqrt(acc["s"] / cap)).otherwise(0.0)
-        return P.let(F.when(acc["s"] > 0, P.area_at(L, Wd, D, slope, level)).otherwise(0.0), with_surface)
+        return let(F.when(acc["s"] > 0, P.area_at(L, Wd, D, slope, level)).otherwise(0.0), with_surface)
 
     end = F.aggregate(F.col("days"), acc0, step, lambda a: F.concat(a["done"], F.array(a["y"])))
     return r.select("site", "cap", F.inline(end)).select(

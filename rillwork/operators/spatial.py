@@ -171,12 +171,12 @@ def polygon_cells(cells: DataFrame, edges: DataFrame, id: str) -> DataFrame:
     # crossings of the horizontal line through a row's centre, half-open so a vertex counts once
     first = F.ceil(lo_y - 0.5).cast("long")
     last = (F.ceil(hi_y - 0.5) - 1).cast("long")
-    cy = F.col("row") + 0.5
+    cy = F.col("_row") + 0.5
     cross = (
         edges.filter(~flat & (first <= last))
-        .withColumn("row", F.explode(F.sequence(first, last)))
+        .withColumn("_row", F.explode(F.sequence(first, last)))
         .withColumn("x", F.col("x0") + (cy - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))
-        .select(id, "row", "x")
+        .select(id, F.col("_row").alias("row"), "x")
     )
     # pair crossings of a line in order: inside runs between odd and even ones. A line's crossings
     # are bounded by the polygon's edges over that row.
@@ -199,11 +199,11 @@ def polygon_cells(cells: DataFrame, edges: DataFrame, id: str) -> DataFrame:
     touch = e.withColumn(
         "col", F.explode(F.sequence(F.floor(F.least(xa, xb)).cast("long"), F.floor(F.greatest(xa, xb)).cast("long")))
     ).select(id, "row", "col")
+    # bounded by the polygons' area, not the raster; the equi-join keeps the cells that exist
     hit = filled.unionByName(touch).distinct()
-    # bounded by the polygons' area, not the raster; the equi-join picks the cells that exist
-    return cells.join(hit, [F.col("row").cast("long") == hit["row"], F.col("col").cast("long") == hit["col"]]).select(
-        cells["*"], hit[id]
-    )
+    hit = hit.select(id, F.col("row").alias("_r"), F.col("col").alias("_c"))
+    spot = (F.col("row").cast("long") == F.col("_r")) & (F.col("col").cast("long") == F.col("_c"))
+    return cells.join(hit, spot).drop("_r", "_c")
 
 
 def mask_perimeter(mask: DataFrame, keys: Sequence[str], cell_size: float) -> DataFrame:
