@@ -76,14 +76,14 @@ def in_radius(queries: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def hop_distances(
     sources: DataFrame, edges: DataFrame, max_hops: int | None = None, both_ways: bool = True,
-    wanted: DataFrame | None = None, per_cut: int = 6, parents: bool = False,
+    wanted: DataFrame | None = None, check_every: int = 4, parents: bool = False,
 ) -> DataFrame:
     """Hops from every query's source to the nodes it reaches: ``query, node, hops[, parent]``.
 
-    One frontier for all queries, ``per_cut`` levels per materialised block. On two-way roads a
-    new level can only touch the last two, so what was visited before need not be looked at.
-    ``wanted(query, node, need)`` stops a query once ``need`` of its nodes are reached; the block
-    is finished first, so the level of the last one is always complete. The smallest node id
+    One frontier for all queries, one materialised level per round. On two-way roads a new level
+    can only touch the last two, so what was visited before need not be looked at.
+    ``wanted(query, node, need)`` stops a query once ``need`` of its nodes are reached; looking
+    every few levels only means a level too many, never one too few. The smallest node id
     becomes the parent.
     """
     cols = ["query", "node", *(["parent"] if parents else [])]
@@ -93,40 +93,37 @@ def hop_distances(
     first = sources.select("query", F.col("node").cast("long").alias("node")).distinct()
     levels = [cut(first.select(*spot, *([none] if parents else []), F.lit(0).alias("hops")))]
     front, last = levels[0].select(*cols), levels[0].filter("false").select(*spot)
-    need = have = hits = None
+    visited = levels[0].select(*spot)
+    have = need = hits = fresh = None
     if wanted is not None:
         hits = wanted.select(*spot)
         need = wanted.groupBy("query").agg(F.first("need").alias("need"))
-        have = levels[0].join(hits, spot, "left_semi").groupBy("query").agg(F.count(F.lit(1)).alias("have"))
+        fresh = levels[0].select(*spot)
     hop = 0
     while max_hops is None or hop < max_hops:
-        block = None
-        before = levels[0].select(*spot)
-        for lv in levels[1:]:
-            before = before.unionByName(lv.select(*spot))
-        todo = per_cut if max_hops is None else min(per_cut, max_hops - hop)
-        for _ in range(todo):
-            hop += 1
-            step = front.select("query", F.col("node").alias("_from")).join(e, "_from")
-            step = step.groupBy(*spot).agg(*([F.min("_from").alias("parent")] if parents else [F.lit(1).alias("_one")]))
-            here = front.select(*spot)
-            seen = last.unionByName(here) if both_ways else before
-            nxt = step.join(seen, spot, "left_anti").select(*cols)
-            if not both_ways:
-                before = before.unionByName(nxt.select(*spot))
-            last, front = here, nxt
-            level = nxt.withColumn("hops", F.lit(hop))
-            block = level if block is None else block.unionByName(level)
-        block = cut(block)
-        levels.append(block)
-        front = block.filter(F.col("hops") == hop).select(*cols)
-        both = block.unionByName(levels[-2]) if todo < 2 else block
-        last = both.filter(F.col("hops") == hop - 1).select(*spot)
+        hop += 1
+        step = front.select("query", F.col("node").alias("_from")).join(e, "_from")
+        step = step.groupBy(*spot).agg(*([F.min("_from").alias("parent")] if parents else [F.lit(1).alias("_one")]))
+        here = front.select(*spot)
+        seen = last.unionByName(here) if both_ways else visited
+        nxt = cut(step.join(seen, spot, "left_anti").select(*cols, F.lit(hop).alias("hops")))
+        levels.append(nxt)
+        last, front = here, nxt.select(*cols)
+        visited = visited.unionByName(nxt.select(*spot))
+        if hop % check_every:
+            if wanted is not None:
+                fresh = fresh.unionByName(nxt.select(*spot))
+            continue
+        if not both_ways:
+            visited = cut(visited)
         if wanted is not None:
-            found = block.join(hits, spot, "left_semi").groupBy("query").agg(F.count(F.lit(1)).alias("have"))
-            have = cut(have.unionByName(found).groupBy("query").agg(F.sum("have").alias("have")))
+            found = fresh.unionByName(nxt.select(*spot)).join(hits, spot, "left_semi")
+            found = found.groupBy("query").agg(F.count(F.lit(1)).alias("have"))
+            have = found if have is None else have.unionByName(found)
+            have = cut(have.groupBy("query").agg(F.sum("have").alias("have")))
+            fresh = nxt.filter("false").select(*spot)
             done = have.join(need, "query").filter(F.col("have") >= F.col("need")).select("query")
-            front = cut(front.join(done, "query", "left_anti"))
+            front = front.join(done, "query", "left_anti")
         if not front.limit(1).count():
             break
     out = levels[0]

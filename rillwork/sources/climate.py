@@ -35,8 +35,8 @@ PLACEMARK = (
     "SchemaData:struct<SimpleData:array<struct<_name:string,_VALUE:string>>>>"
 )
 #: Field names that carry an elevation, and what counts as a number.
-ELEVATION_FIELD = r"(?i)^(elev(ation)?|height|contour|alt(itude)?|z|level|value)$"
-NUMBER = r"^\s*[-+]?\d+(\.\d+)?\s*$"
+ELEVATION_FIELD = r"(?i)(elev|contour|level|height|altitude|^z$)"
+NUMBER = r"^\s*-?\d+(\.\d+)?\s*$"
 
 
 def _vertices(text: Column) -> Column:
