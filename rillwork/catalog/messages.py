@@ -51,10 +51,9 @@ def rejected_copies(spark, d):
 def append_onto_store(spark, d):
     """A second batch after the first: the same sequence as one append of everything."""
     every = incoming(spark, d)
-    mid = table(spark, d, "conversations").agg((F.max("conv_id") / 2).cast("long").alias("_mid"))
-    tagged = every.join(F.broadcast(mid), F.lit(True)).withColumn("_late", F.col("ts") >= F.col("_mid") * 60_000)
-    one = cut(M.append(None, tagged.filter("not _late").drop("_mid", "_late"))[0])
-    two, _ = M.append(one, tagged.drop("_mid", "_late"))
+    mid = table(spark, d, "conversations").agg(F.max("conv_id")).first()[0] // 2
+    one = cut(M.append(None, every.filter(F.col("ts") < mid * 60_000))[0])
+    two, _ = M.append(one, every)
     return one.unionByName(two).filter("sender <> 'user'")
 
 

@@ -60,7 +60,10 @@ def accumulate(
         far = state.filter(F.col("_p").isNotNull()).select(
             *keys, F.col("_v").alias("_p"), F.col("_p").alias("_pp"), *([F.col("_d").alias("_dd")] if step is not None else [])
         )
-        moved = state.join(given, at, "left").join(far, [*keys, "_p"], "left")
+        # finished rows have no pointer; a key of their own keeps them from piling up as nulls
+        spread = F.coalesce(F.col("_p"), -1 - F.col("_v"))
+        far = far.withColumnRenamed("_p", "_k")
+        moved = state.join(given, at, "left").withColumn("_k", spread).join(far, [*keys, "_k"], "left")
         new = [(F.col(n) + F.coalesce(f"_g_{n}", F.lit(0))).alias(n) for n in sums]
         new += [F.greatest(n, f"_g_{n}").alias(n) for n in maxima]
         new += [F.least(n, f"_g_{n}").alias(n) for n in minima]

@@ -49,23 +49,30 @@ def append(store: DataFrame | None, incoming: DataFrame, bucket_ms: int = BUCKET
     return numbered, rejected
 
 
-def newest(messages: DataFrame, cursors: DataFrame) -> DataFrame:
+#: Most rows one read returns, whatever limit is asked for.
+LIST_MAX, PAGE_MAX = 500, 5000
+
+
+def newest(messages: DataFrame, cursors: DataFrame, most: int = LIST_MAX) -> DataFrame:
     """Per cursor ``(room, since, limit)``: the newest ``limit`` messages after ``since``, ascending ``pos``."""
     m = messages.join(cursors, "room").filter(F.col("seq") > F.col("since"))
     back = W.partitionBy("cursor").orderBy(F.col("seq").desc())
-    top = m.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= F.col("limit"))
+    # the constant bound lets Spark drop rows before the shuffle, so a busy room stays cheap
+    top = m.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= most)
+    top = top.filter(F.col("_r") <= F.col("limit"))
     return top.withColumn("pos", F.row_number().over(W.partitionBy("cursor").orderBy("seq"))).drop("_r", "limit", "since")
 
 
-def page(messages: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def page(messages: DataFrame, cursors: DataFrame, most: int = PAGE_MAX) -> tuple[DataFrame, DataFrame]:
     """Forward pages after ``since`` and, per cursor, ``next_since`` (null once a page is short)."""
     m = messages.join(cursors, "room").filter(F.col("seq") > F.col("since"))
     w = W.partitionBy("cursor").orderBy("seq")
-    rows = m.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.col("limit"))
+    rows = m.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most)
+    rows = rows.filter(F.col("pos") <= F.col("limit"))
     full = rows.groupBy("cursor").agg(F.count(F.lit(1)).alias("count"), F.max("seq").alias("_last"))
     heads = cursors.join(full, "cursor", "left").select(
         "cursor", "room", F.coalesce("count", F.lit(0)).alias("count"),
-        F.when(F.col("count") == F.col("limit"), F.col("_last")).alias("next_since"),
+        F.when(F.col("count") == F.least(F.col("limit"), F.lit(most)), F.col("_last")).alias("next_since"),
     )
     return rows.drop("limit", "since"), heads
 

@@ -162,7 +162,13 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, cols: Column,
     hit = places.join(dist.select("query", "node", "hops"), ["query", "node"])
     w = W.partitionBy("query").orderBy("hops", "euclid", "id")
     ranked = hit.join(queries.select("query", "k"), "query").withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= F.col("k")).drop("k"), dist, sources
+    return _top_k(ranked, queries).drop("k"), dist, sources
+
+
+def _top_k(ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows up to each query's ``k``; the largest ``k`` as a constant prunes before the shuffle."""
+    most = queries.agg(F.max("k")).first()[0] or 0
+    return ranked.filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("k"))
 
 
 def rank_by(queries: DataFrame, nodes: DataFrame, key, columns: Sequence[str] = ()) -> DataFrame:
@@ -176,7 +182,7 @@ def rank_by(queries: DataFrame, nodes: DataFrame, key, columns: Sequence[str] =
     names = ["lat", "lon", "place_lat", "place_lon", "euclid", *columns]
     j = j.withColumn("key", key({n: F.col(n) for n in names}))
     w = W.partitionBy("query").orderBy("key", "euclid", "id")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k")).select(
+    return _top_k(j.withColumn("rank", F.row_number().over(w)), queries).select(
         "query", "rank", "node", "id", "key", "euclid"
     )
 

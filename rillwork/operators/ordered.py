@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rillwork.session import broadcastable, cut
+
 #: Buckets per factor of two used to narrow an order statistic: coarse, then fine.
 BUCKET_LEVELS = (64, 1 << 20)
 _SHIFT = 1100
+#: Rows below which a whole table may be ranked without narrowing.
+SMALL = 50_000
 
 
 def value_bucket(value: Column, steps: int) -> Column:
@@ -104,13 +108,15 @@ def order_statistics(
     part: Sequence[str],
     value: str,
     picks: Mapping[str, Callable[[Column], Column]],
+    levels: Sequence[int] = BUCKET_LEVELS,
 ) -> DataFrame:
     """Exact order statistics per key.
 
     ``picks`` maps an output name to a function of the group size giving a 0-based index into
     the ascending values. One row per key with ``n`` and the picked values; nulls are skipped.
     Equal values are counted before the shuffle, and each narrowing level keeps only the
-    buckets that hold a wanted index.
+    buckets that hold a wanted index. Pass ``levels=()`` only for an input known to be small: it
+    ranks each key directly.
     """
     part = list(part)
     rows = (
@@ -118,9 +124,20 @@ def order_statistics(
         .groupBy(*part, F.col(value).alias("_os_x"))
         .agg(F.count(F.lit(1)).alias("_os_c"))
     )
+    if not levels:
+        w = W.partitionBy(*part)
+        ranked = rows.withColumn("n", F.sum("_os_c").over(w)).withColumn(
+            "_os_hi", F.sum("_os_c").over(w.orderBy("_os_x"))
+        )
+        lo, hi = F.col("_os_hi") - F.col("_os_c"), F.col("_os_hi")
+        hits = {name: fn(F.col("n")).cast("long") for name, fn in picks.items()}
+        return ranked.groupBy(*part).agg(
+            F.first("n").alias("n"),
+            *[F.max(F.when((lo <= at) & (at < hi), F.col("_os_x"))).alias(name) for name, at in hits.items()],
+        )
     keys: list[str] = []
     sized = rows
-    for level, steps in enumerate(BUCKET_LEVELS):
+    for level, steps in enumerate(levels):
         col = f"_os_b{level}"
         sized = sized.withColumn(col, value_bucket(F.col("_os_x"), steps))
         counts = sized.groupBy(*part, *keys, col).agg(F.sum("_os_c").alias("_os_m"))
@@ -182,14 +199,14 @@ def percentiles_floor_n1(
 
 
 def percentiles_linear(
-    df: DataFrame, part: Sequence[str], value: str, points: Mapping[str, float]
+    df: DataFrame, part: Sequence[str], value: str, points: Mapping[str, float], levels: Sequence[int] = BUCKET_LEVELS
 ) -> DataFrame:
     """Percentile with linear interpolation between the two neighbouring ranks."""
     picks: dict[str, Callable[[Column], Column]] = {}
     for name, q in points.items():
         picks[f"_{name}_lo"] = lambda n, q=q: F.floor(F.lit(q) * (n - 1))
         picks[f"_{name}_hi"] = lambda n, q=q: F.ceil(F.lit(q) * (n - 1))
-    got = order_statistics(df, part, value, picks)
+    got = order_statistics(df, part, value, picks, levels)
     for name, q in points.items():
         at = F.lit(q) * (F.col("n") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
@@ -198,15 +215,21 @@ def percentiles_linear(
 
 
 def medians(df: DataFrame, part: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Null-skipping median of several columns per key, in one pass over a long table."""
+    """Null-skipping median of several columns per key, in one pass over a long table.
+
+    The input is mostly a table of summaries. It is materialised once; while it stays under
+    ``SMALL`` rows no key can be larger than that, and keys are ranked directly.
+    """
     part = list(part)
+    df = cut(df.select(*part, *values))
+    levels = () if broadcastable(df, SMALL) else BUCKET_LEVELS
     pairs = F.explode(
         F.array(
             *[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("x")) for v in values]
         )
     )
     long = df.select(*part, pairs.alias("_p")).select(*part, F.col("_p.m").alias("_m"), F.col("_p.x").alias("_v"))
-    got = percentiles_linear(long, [*part, "_m"], "_v", {"_med": 0.5})
+    got = percentiles_linear(long, [*part, "_m"], "_v", {"_med": 0.5}, levels)
     return got.groupBy(*part).agg(
         *[F.max(F.when(F.col("_m") == v, F.col("_med"))).alias(v) for v in values]
     )

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from rillwork.functions import load as L
 from rillwork.operators import ordered as O
+from rillwork.session import attach
 
 LATENCY_POINTS = {"p50": 50.0, "p90": 90.0, "p95": 95.0, "p99": 99.0}
 
@@ -177,10 +178,8 @@ def phase_table(series: DataFrame, phases: DataFrame) -> DataFrame:
     ``series`` holds one row per run and second; ``phases(run_id, phase, t0, t1)`` one row per
     window, so the range condition runs inside an equi-join on the run.
     """
-    seg = series.alias("s").join(
-        phases.alias("p"),
-        (F.col("s.run_id") == F.col("p.run_id")) & (F.col("s.t") >= F.col("p.t0")) & (F.col("s.t") < F.col("p.t1")),
-    ).select("s.*", "p.phase")
+    inside = (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1"))
+    seg = attach(series, phases.select("run_id", "phase", "t0", "t1"), ["run_id"]).filter(inside).drop("t0", "t1")
     seg = seg.withColumn("_p50", F.when(F.col("ok") > 0, F.col("p50"))).withColumn(
         "_p95", F.when(F.col("ok") > 0, F.col("p95"))
     ).withColumn("_act", F.when(F.col("active") > 0, F.col("active")))
@@ -209,11 +208,9 @@ def phase_table(series: DataFrame, phases: DataFrame) -> DataFrame:
 
 def phase_shares(records: DataFrame, phases: DataFrame) -> DataFrame:
     """Each backend's share of the requests inside a phase, in per cent."""
-    hit = records.alias("r").join(
-        phases.alias("p"),
-        (F.col("r.run_id") == F.col("p.run_id")) & (F.col("r.t") >= F.col("p.t0")) & (F.col("r.t") < F.col("p.t1")),
-    )
-    counts = hit.groupBy(F.col("r.run_id").alias("run_id"), "phase", "backend").agg(F.count(F.lit(1)).alias("n"))
+    inside = (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1"))
+    hit = attach(records, phases.select("run_id", "phase", "t0", "t1"), ["run_id"]).filter(inside)
+    counts = hit.groupBy("run_id", "phase", "backend").agg(F.count(F.lit(1)).alias("n"))
     return merge_distributions(counts, ["run_id", "phase"])
 
 
@@ -323,7 +320,7 @@ def busy_window(samples: DataFrame, over: float = 20.0, pad: float = 5.0) -> Dat
         .groupBy("run_id")
         .agg((F.min("t") - pad).alias("_lo"), (F.max("t") + pad).alias("_hi"))
     )
-    inside = samples.join(win, "run_id").filter(F.col("t").between(F.col("_lo"), F.col("_hi")))
+    inside = attach(samples, win, ["run_id"]).filter(F.col("t").between(F.col("_lo"), F.col("_hi")))
     is_busy = F.when(F.col("cpu_pct") > over, F.col("cpu_pct"))
     return inside.groupBy("run_id", "system").agg(
         F.coalesce(F.avg(is_busy), F.lit(0.0)).alias("busy_mean"),

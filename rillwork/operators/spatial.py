@@ -312,7 +312,7 @@ def hull_area(points: DataFrame, keys: Sequence[str], pieces: int = 64) -> DataF
     picks = {f"_q{i}": (lambda n, i=i: F.floor(n * i / pieces)) for i in range(1, pieces)}
     cuts = order_statistics(points, keys, "x", picks)
     edges = F.array(*[F.col(c) for c in picks])
-    strips = points.join(cuts.select(*keys, edges.alias("_e")), keys).withColumn(
+    strips = attach(points, cuts.select(*keys, edges.alias("_e")), keys).withColumn(
         "_s", F.aggregate("_e", F.lit(0), lambda acc, e: acc + (F.col("x") >= e).cast("int"))
     )
     # equal x values share a strip: keep only their lowest and highest point first
@@ -369,11 +369,17 @@ def score_text(texts: DataFrame, id: str, text: str, datasets: Sequence[tuple[st
     mentions none gets ``assumed``. One projection over the whole texts, no join.
     """
     t = F.lower(F.col(text))
+
+    def in_files(p: str) -> Column:
+        # the file pattern backtracks, so it only runs on texts that name a raster file at all
+        hits = F.regexp_count(t, F.lit(rf"[\w/.-]*({p})[\w/.-]*\.tiff?\b"))
+        return F.when(t.contains(".tif"), hits).otherwise(0)
+
     scored = F.array(
         *[
             F.struct(
                 (
-                    F.regexp_count(t, F.lit(p)) + 5 * F.regexp_count(t, F.lit(rf"[\w/.-]*({p})[\w/.-]*\.tiff?\b"))
+                    F.regexp_count(t, F.lit(p)) + 5 * in_files(p)
                 ).cast("long").alias("score"),
                 F.lit(-float(res)).alias("fine"),
                 F.lit(ds).alias("dataset"),

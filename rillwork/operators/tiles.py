@@ -30,21 +30,27 @@ def _frame(pdf: pd.DataFrame, extra: pd.DataFrame | None = None):
 
 
 def _flood(z: np.ndarray, seeds: np.ndarray, level: np.ndarray, eps: float) -> np.ndarray:
-    """Lowest spill surface over ``z`` given already known ``level`` at ``seeds``."""
-    out = np.where(seeds, level, np.inf)
-    closed = seeds | np.isnan(z)
-    heap = [(float(out[r, c]), int(r), int(c)) for r, c in zip(*np.nonzero(seeds))]
+    """Lowest spill surface over ``z`` given already known ``level`` at ``seeds``.
+
+    Works on flat lists: the array carries a margin, so neighbours are plain index offsets.
+    """
+    width = z.shape[1]
+    heights = z.ravel().tolist()
+    out = np.where(seeds, level, np.inf).ravel().tolist()
+    closed = (seeds | np.isnan(z)).ravel().tolist()
+    steps = [dr * width + dc for _, dr, dc, _ in STEPS]
+    heap = [(out[i], i) for i in np.flatnonzero(seeds).tolist()]
     heapq.heapify(heap)
-    steps = [(dr, dc) for _, dr, dc, _ in STEPS]
+    last = len(heights)
     while heap:
-        m, r, c = heapq.heappop(heap)
-        for dr, dc in steps:
-            a, b = r + dr, c + dc
-            if not closed[a, b]:
-                closed[a, b] = True
-                out[a, b] = z[a, b] if z[a, b] > m else m + eps
-                heapq.heappush(heap, (float(out[a, b]), a, b))
-    return out
+        m, i = heapq.heappop(heap)
+        for d in steps:
+            j = i + d
+            if 0 <= j < last and not closed[j]:
+                closed[j] = True
+                out[j] = heights[j] if heights[j] > m else m + eps
+                heapq.heappush(heap, (out[j], j))
+    return np.array(out).reshape(z.shape)
 
 
 def fill_depressions(
@@ -196,8 +202,8 @@ def label_components(mask: DataFrame, keys: Sequence[str], diagonal: bool = True
 def connect(edges: DataFrame, keys: Sequence[str], max_rounds: int = 200) -> DataFrame:
     """Smallest node reachable from each node of a symmetric edge table: ``node, root``.
 
-    Each round takes the smallest neighbouring label and then the label of the label, so long
-    chains collapse in logarithmically many rounds.
+    Each round takes the smallest neighbouring label, lets the group's root follow it, and then
+    jumps to the label of the label, so long chains collapse in logarithmically many rounds.
     """
     keys = list(keys)
     e = cut(edges.select(*keys, "a", "b"))
@@ -212,6 +218,11 @@ def connect(edges: DataFrame, keys: Sequence[str], max_rounds: int = 200) -> Dat
         low = lab.join(near, [*keys, "node"]).select(
             *keys, "node", "root", F.least("root", "_near").alias("_low")
         )
+        # a whole group follows the best label any of its members has seen
+        hook = low.groupBy(*keys, F.col("root").alias("node")).agg(F.min("_low").alias("_hook"))
+        low = low.join(hook, [*keys, "node"], "left").select(
+            *keys, "node", "root", F.least("_low", "_hook").alias("_low")
+        )
         hop = low.select(*keys, F.col("node").alias("_low"), F.col("_low").alias("_jump"))
         nxt = low.join(hop, [*keys, "_low"], "left").select(
             *keys, "node", F.coalesce("_jump", "_low").alias("_r"), "root"
