@@ -530,7 +530,15 @@ def text_provenance(spark, d):
     return S.score_text(table(spark, d, "documents"), "doc_id", "text", SOURCES)
 
 
-@query("criterion_weights")
+_AHP = "[1.0::DOUBLE,1+abs(b)/2000,3.0,1+abs(b)/5000]"
+
+
+@query(
+    "criterion_weights",
+    f"""WITH s AS (SELECT s_nationkey AS judge, avg(s_acctbal) AS b FROM supplier GROUP BY 1), w AS (SELECT judge, {_AHP} AS w FROM s)
+    SELECT judge, i AS criterion, round(w[i+1]/list_sum(w),6) AS weight, 4.0::DOUBLE AS lambda_max, 0.0::DOUBLE AS ci, 0.0::DOUBLE AS cr
+    FROM w CROSS JOIN (SELECT CAST(unnest(range(0,4)) AS INTEGER) AS i)""",
+)
 def criterion_weights(spark, d):
     """One judge per nation: preferences from the suppliers' balances."""
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("judge")).agg(F.avg("s_acctbal").alias("b"))
@@ -538,4 +546,6 @@ def criterion_weights(spark, d):
     cells = F.array(
         *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (w[i] / w[j]).alias("a")) for i in range(4) for j in range(4)]
     )
-    return L.pairwise_weights(L.valid_judgements(s.select("judge", F.inline(cells))))
+    out = L.pairwise_weights(L.valid_judgements(s.select("judge", F.inline(cells))))
+    # consistent judgements: the principal vector is the preferences themselves, the index is 0
+    return rnd(out, 6).withColumn("ci", F.col("ci") + 0.0).withColumn("cr", F.col("cr") + 0.0)

@@ -120,7 +120,12 @@ def pond_designs(spark, d):
     return rnd(out.withColumn("notes", F.concat_ws(",", "notes")), 4)
 
 
-@query("runoff_job")
+@query(
+    "runoff_job",
+    f"""WITH {CC.RUNOFF}, v AS (SELECT *, mean_depth/1000*(150000+20000*site) AS vol FROM ms)
+    SELECT site, round(100*(max(vol)-min(vol))/greatest(avg(vol),1e-9),4) AS spread_pct, 'scs_cn' AS method,
+      round(max(vol) FILTER (method='scs_cn'),4) AS volume_m3, round(max(dependable_75) FILTER (method='scs_cn'),4) AS dependable_75 FROM v GROUP BY 1""",
+)
 def runoff_job(spark, d):
     areas = design_sites(spark, d).select("site", "area_m2")
     _, span = PD.runoff_job(CC.rain(spark, d), CC.runoff_params(spark, d), areas, CC.MIN_DAYS)

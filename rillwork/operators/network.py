@@ -230,7 +230,7 @@ def detours(distances: DataFrame, sources: DataFrame, cols: Column, longest: int
     j = distances.join(s, "query")
     steps = F.abs(F.floor(F.col("node") / cols) - F.floor(F.col("_s") / cols)) + F.abs(F.col("node") % cols - F.col("_s") % cols)
     r = j.withColumn("steps", steps.cast("long")).filter(F.col("steps").between(1, longest))
-    r = r.withColumn("ratio", F.col("hops") / F.col("steps")).withColumn("_all", F.lit(1))
+    r = r.withColumn("ratio", F.try_divide("hops", "steps")).withColumn("_all", F.lit(1))
     same = F.avg((F.col("ratio") == 1).cast("double"))
     by_length = r.groupBy("steps").agg(F.count(F.lit(1)).alias("pairs"), same.alias("same_share"))
     whole = r.groupBy("_all").agg(
