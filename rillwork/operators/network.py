@@ -115,7 +115,8 @@ def hop_distances(
                 fresh = fresh.unionByName(nxt.select(*spot))
             continue
         if not both_ways:
-            visited = cut(visited)
+            # rehash, or the unions would pile up ever more small partitions
+            visited = cut(visited.repartition(*spot))
         if wanted is not None:
             found = fresh.unionByName(nxt.select(*spot)).join(hits, spot, "left_semi")
             found = found.groupBy("query").agg(F.count(F.lit(1)).alias("have"))
@@ -129,7 +130,7 @@ def hop_distances(
     out = levels[0]
     for part in levels[1:]:
         out = out.unionByName(part)
-    return out
+    return cut(out.repartition(*spot))
 
 
 def reachable_places(places: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def detours(distances: DataFrame, sources: DataFrame, cols: Column, longest: int
     j = distances.join(s, "query")
     steps = F.abs(F.floor(F.col("node") / cols) - F.floor(F.col("_s") / cols)) + F.abs(F.col("node") % cols - F.col("_s") % cols)
     r = j.withColumn("steps", steps.cast("long")).filter(F.col("steps").between(1, longest))
-    r = r.withColumn("ratio", F.try_divide("hops", "steps")).withColumn("_all", F.lit(1))
+    r = cut(r.select(F.lit(1).alias("_all"), "steps", F.try_divide("hops", "steps").alias("ratio")))
     same = F.avg((F.col("ratio") == 1).cast("double"))
     by_length = r.groupBy("steps").agg(F.count(F.lit(1)).alias("pairs"), same.alias("same_share"))
     whole = r.groupBy("_all").agg(
