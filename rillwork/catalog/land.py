@@ -176,6 +176,26 @@ def water_summary(spark, d):
     return facts.select("components_before", "components_after", F.round("water_fraction", 6).alias("water_fraction"))
 
 
+_SC = ",".join(f"({i})" for i in range(5))
+
+
+@query(
+    "season_composite",
+    f"""WITH {G}, b AS (SELECT row, col, i, size*20.0::DOUBLE+i*3 AS green, (50-size)*20.0::DOUBLE+i AS nir, (size+i)%12 AS scl FROM g CROSS JOIN (VALUES {_SC}) v(i) WHERE i*6<=20 AND i IN (1,2,3)),
+    ok AS (SELECT *, scl NOT IN (0,1,3,8,9,10,11) AND green>0 AND nir>0 AS ok FROM b)
+    SELECT row, col, median(green) FILTER (ok) AS green, median(nir) FILTER (ok) AS nir FROM ok GROUP BY 1,2""",
+)
+def season_composite(spark, d):
+    """Five scenes of the grid; the cloudiest is unusable and the next one not among the clearest."""
+    i = F.col("i")
+    g = grid(spark, d).withColumn("i", F.explode(F.array(*[F.lit(k) for k in range(5)])))
+    bands = g.select(
+        "raster", "row", "col", i.alias("scene"), (F.col("size") * 20.0 + i * 3).alias("green"), ((50 - F.col("size")) * 20.0 + i).alias("nir"),
+        ((F.col("size") + i) % 12).alias("scl"), F.when(i == 0, 19.0).otherwise(i * 6.0).alias("cloud"),
+    )
+    return L.season_composite(bands, K).drop("raster")
+
+
 @query(
     "seasonal_water",
     f"""WITH {G} SELECT cell, CASE WHEN size>40 THEN 'perennial' ELSE 'seasonal' END AS season FROM g WHERE size>30""",

@@ -97,6 +97,7 @@ def road_components(spark, d):
 @query(
     "network_profile",
     f"""WITH {NET} SELECT (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM lk) AS roads, (SELECT count(DISTINCT category) FROM nd) AS categories,
+    (SELECT count(*) FROM lk)-(SELECT count(*) FROM nd)+1 AS loops,
     (SELECT count(*) FROM pr JOIN nd ON nd.node=pr.dst WHERE pr.dst=pr.src+1)-(SELECT count(*) FROM lk WHERE dst=src+1) AS missing_across,
     (SELECT count(*) FROM pr JOIN nd ON nd.node=pr.dst WHERE pr.dst=pr.src+40)-(SELECT count(*) FROM lk WHERE dst=src+40) AS missing_down""",
 )
@@ -109,7 +110,8 @@ def network_profile(spark, d):
     a = n.groupBy().agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("category").alias("categories"))
     r = lk.groupBy().agg(F.count(F.lit(1)).alias("roads"))
     one = F.lit(1).alias("_k")
-    return a.select("*", one).join(r.select("*", one), "_k").join(m.select("*", one), "_k").drop("_k")
+    row = a.select("*", one).join(r.select("*", one), "_k").join(m.select("*", one), "_k").drop("_k")
+    return row.withColumn("loops", F.col("roads") - F.col("nodes") + 1)
 
 
 @query("places_in_radius", f"WITH {NET} SELECT query, node, id, round(euclid,9) AS euclid FROM ir")

@@ -359,12 +359,27 @@ _SNAP = f"""{WALK}, ac AS (SELECT dst AS cell, count(*) AS acc FROM wk GROUP BY
     f"WITH RECURSIVE {G}, {_SNAP} SELECT pp.point, pp.row, pp.col, sn.cell, snap_row, snap_col, acc, round(dist,6) AS distance_m FROM pp LEFT JOIN sn ON sn.point=pp.point",
 )
 def snap_to_channel(spark, d):
-    acc = accumulated(spark, d).withColumn("row", F.floor(F.col("cell") / WIDTH)).withColumn("col", F.col("cell") % WIDTH)
-    acc = cut(acc.withColumn("row", F.col("row").cast("int")).withColumn("col", F.col("col").cast("int")))
+    acc = accumulated(spark, d).withColumn("row", F.floor(F.col("cell") / WIDTH).cast("int"))
+    acc = cut(acc.withColumn("col", (F.col("cell") % WIDTH).cast("int")))
     got = FL.snap_to_channel(pour_points(spark, d), acc, K, 40.0, MIN_CHANNEL * 100.0, CELL)
     return rnd(got.drop("raster"), 6)
 
 
+@query(
+    "snap_anywhere",
+    f"""WITH RECURSIVE {G}, {_SNAP}, far AS (SELECT * FROM (SELECT pp.point, ac.cell, ac.acc, g.row AS snap_row, g.col AS snap_col, sqrt(pow((g.row-pp.row)*10.0::DOUBLE,2)+pow((g.col-pp.col)*10.0::DOUBLE,2)) AS dist,
+      row_number() OVER (PARTITION BY pp.point ORDER BY sqrt(pow((g.row-pp.row)*10.0::DOUBLE,2)+pow((g.col-pp.col)*10.0::DOUBLE,2))-1e-6*ac.acc, ac.cell) AS rn FROM pp CROSS JOIN ac JOIN g ON g.cell=ac.cell
+      WHERE ac.acc>={MIN_CHANNEL} AND pp.point NOT IN (SELECT point FROM sn)) WHERE rn=1),
+    al AS (SELECT point, cell, acc, dist FROM sn UNION ALL SELECT point, cell, acc, dist FROM far)
+    SELECT point, cell, acc, round(dist,6) AS distance_m FROM al""",
+)
+def snap_anywhere(spark, d):
+    acc = accumulated(spark, d).withColumn("row", F.floor(F.col("cell") / WIDTH).cast("int"))
+    acc = cut(acc.withColumn("col", (F.col("cell") % WIDTH).cast("int")))
+    got = FL.snap_anywhere(pour_points(spark, d), acc, K, 40.0, MIN_CHANNEL * 100.0, CELL)
+    return rnd(got.select("point", "cell", "acc", "distance_m"), 6)
+
+
 @query(
     "catchments_of_pour_points",
     f"""WITH RECURSIVE {G}, {_SNAP}, me AS (SELECT dst AS cell, count(*) AS cells, max(g.z)-min(g.z) AS relief_m, max(dist) AS longest_m, bool_or(fl.rim) AS touches_edge

@@ -274,6 +274,37 @@ def snap_to_channel(
     return points.join(best, [*keys, "point"], "left").select(points["*"], "_b.*")
 
 
+def snap_anywhere(
+    points: DataFrame, flow: DataFrame, keys: Sequence[str], radius_m: float, min_area: float, cell_size: float,
+    max_doublings: int = 40,
+) -> DataFrame:
+    """Snap within the radius, else to the best channel cell of the whole raster.
+
+    The radius doubles for points still open. A find is final once no cell further out could
+    score better, whatever its accumulation. Points of rasters without any channel keep nulls.
+    """
+    keys = list(keys)
+    first = cut(snap_to_channel(points, flow, keys, radius_m, min_area, cell_size))
+    need = max(1, round(min_area / cell_size**2))
+    channel = flow.filter(F.col("acc") >= need).select(*keys, "row", "col", "cell", "acc")
+    facts = cut(channel.groupBy(*keys).agg(F.max("acc").alias("_most")))
+    todo = cut(attach(first.filter(F.col("cell").isNull()).select(points["*"]), facts, keys))
+    out = first.filter(F.col("cell").isNotNull())
+    missing = first.filter(F.col("cell").isNull()).join(facts, keys, "left_anti")
+    radius = radius_m
+    for _ in range(max_doublings):
+        if not todo.limit(1).count():
+            return out.unionByName(missing)
+        radius *= 2
+        got = snap_to_channel(todo, channel, keys, radius, min_area, cell_size)
+        score = F.col("distance_m") - 1e-6 * F.col("acc")
+        sure = F.coalesce(score <= radius - 1e-6 * F.col("_most"), F.lit(False))
+        got = cut(got.withColumn("_sure", sure))
+        out = out.unionByName(got.filter("_sure").drop("_sure", "_most"))
+        todo = cut(got.filter("not _sure").select(*todo.columns))
+    raise RuntimeError("points are still far from every channel; raise max_doublings")
+
+
 def pool_heights(
     sites: DataFrame, surface: DataFrame, keys: Sequence[str], rise: float, max_rounds: int = 100_000
 ) -> DataFrame:
