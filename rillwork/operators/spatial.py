@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rillwork.operators.ordered import order_statistics
 from rillwork.session import attach, cut
 
 
@@ -303,28 +302,26 @@ def _hull(points: np.ndarray) -> np.ndarray:
 
 
 def hull_area(points: DataFrame, keys: Sequence[str], pieces: int = 64) -> DataFrame:
-    """Area of the convex hull of each key's points.
+    """Area of the convex hull of each key's points, in three narrowing steps.
 
-    Points are cut into strips along x by exact ranks; a strip's hull has few vertices, and only
-    those meet in the final hull.
+    Every Arrow batch first shrinks to its own hulls where it lies, then ``pieces`` hashed parts
+    per key shrink again, and only their few vertices meet in the final hull.
     """
     keys = list(keys)
-    picks = {f"_q{i}": (lambda n, i=i: F.floor(n * i / pieces)) for i in range(1, pieces)}
-    cuts = order_statistics(points, keys, "x", picks)
-    edges = F.array(*[F.col(c) for c in picks])
-    strips = attach(points, cuts.select(*keys, edges.alias("_e")), keys).withColumn(
-        "_s", F.aggregate("_e", F.lit(0), lambda acc, e: acc + (F.col("x") >= e).cast("int"))
-    )
-    # equal x values share a strip: keep only their lowest and highest point first
-    ends = strips.groupBy(*keys, "_s", "x").agg(F.min("y").alias("_lo"), F.max("y").alias("_hi"))
-    pts = ends.select(*keys, "_s", "x", F.explode(F.array("_lo", "_hi")).alias("y"))
+    pts = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     types = {f.name: f.dataType.simpleString() for f in pts.schema.fields}
     head = ", ".join(f"{k} {types[k]}" for k in keys)
+    schema = f"{head}, x double, y double"
 
-    def strip(pdf: pd.DataFrame) -> pd.DataFrame:
+    def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
         h = _hull(pdf[["x", "y"]].to_numpy(dtype=float))
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(h) for k in keys}, "x": h[:, 0], "y": h[:, 1]})
 
+    def batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for _, part in pdf.groupby(keys, sort=False):
+                yield shrink(part)
+
     def area(pdf: pd.DataFrame) -> pd.DataFrame:
         h = _hull(pdf[["x", "y"]].to_numpy(dtype=float))
         a = 0.0
@@ -333,7 +330,8 @@ def hull_area(points: DataFrame, keys: Sequence[str], pieces: int = 64) -> DataF
             a = 0.5 * abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "hull_area": [float(a)]})
 
-    few = pts.groupBy(*keys, "_s").applyInPandas(strip, f"{head}, x double, y double")
+    few = pts.mapInPandas(batches, schema).withColumn("_part", F.pmod(F.hash("x", "y"), F.lit(pieces)))
+    few = few.groupBy(*keys, "_part").applyInPandas(shrink, schema)
     return few.groupBy(*keys).applyInPandas(area, f"{head}, hull_area double")
 
 
