@@ -19,14 +19,14 @@ from rillwork.session import cut
 CODES = (30, 40, 60, 90)
 
 
-def context(spark, d):
-    """Slope, accumulation, water, built-up and class of every cell."""
-    s = CT.surfaces(grid(spark, d)).select("raster", "row", "col", "cell", "size", "slope")
-    acc = CT.accumulated(spark, d).select("raster", "cell", "acc")
-    c = s.join(acc, ["raster", "cell"])
+def context(spark, d, with_flow):
+    """Slope, water, built-up and class of every cell, and its accumulation where a rule needs it."""
+    c = CT.surfaces(grid(spark, d)).select("raster", "row", "col", "cell", "size", "slope")
+    if with_flow:
+        c = c.join(CT.accumulated(spark, d).select("raster", "cell", "acc"), ["raster", "cell"])
     code = (F.col("size") % 11) * 10
     return c.select(
-        "raster", "row", "col", "cell", "acc",
+        "raster", "row", "col", "cell", *(["acc"] if with_flow else []),
         (T.slope_pct(F.col("slope")) / 20).alias("slope_pct"),
         code.alias("code"),
         (F.col("size") == 50).alias("water"), (F.col("size") == 49).alias("built"),
@@ -44,8 +44,8 @@ def rule():
     )
 
 
-def _near(spark, d):
-    return L.near_masks(context(spark, d), K, {"water": 15.0, "built": 80.0}, CELL)
+def _near(spark, d, with_flow=False):
+    return L.near_masks(context(spark, d, with_flow), K, {"water": 15.0, "built": 80.0}, CELL)
 
 
 
@@ -76,7 +76,7 @@ def land_eligibility(spark, d):
     SELECT count(*) FILTER (ok AND acc>=3) AS both, count(*) FILTER (ok OR acc>=3) AS either, count(*) FILTER (NOT ok) AS neither FROM el JOIN ac USING (cell)""",
 )
 def land_rule_counts(spark, d):
-    c, a, b = _near(spark, d), rule(), L.min_upstream(300.0, CELL)
+    c, a, b = _near(spark, d, with_flow=True), rule(), L.min_upstream(300.0, CELL)
     return c.groupBy("raster").agg(
         F.count(F.when((a & b).column, 1)).alias("both"),
         F.count(F.when((a | b).column, 1)).alias("either"),
@@ -112,7 +112,7 @@ def suitability_surface(spark, d):
     import math
 
     s = CT.surfaces(grid(spark, d)).select("raster", "cell", "dx", "dy")
-    c = _near(spark, d).join(s, ["raster", "cell"])
+    c = _near(spark, d, with_flow=True).join(s, ["raster", "cell"])
     c = c.withColumn("twi", T.wetness(F.col("dx"), F.col("dy"), F.col("acc"), F.lit(CELL)))
     c = normalise(c, K, {"wet": "twi"})
     la = F.log10(F.greatest(F.col("acc").cast("double") * CELL**2 / 1e4, F.lit(1e-3)))
