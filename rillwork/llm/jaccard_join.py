@@ -1,20 +1,24 @@
 """N-gram Jaccard self-join with several global token orders, and the groups its links make.
 
 Two texts are linked when the Jaccard similarity of their word-shingle sets is at least ``near``.
-Candidates have to pass a prefix filter under two global orders, one inside the other:
+Candidates have to pass prefix filters under several global orders:
 
 1. *Hash order.* Of each set only the ``KEEP`` share with the smallest hashes is indexed. If two sets
    are similar enough, those two samples share at least ``(KEEP - (1 - near)) * n`` tokens, ``n`` being
    the size of either set (whichever sample ends first lies wholly inside the other's range).
 2. *Rare first.* Inside the samples tokens are ordered by the number of sets that hold them, so the
    needed overlap makes the first ``sample - needed + 1`` tokens a prefix that similar sets must share.
-   Tokens of one set fill the prefix of a text that is like no other, and index nothing.
+   Tokens of one set fill the prefix of a text that is like no other, and index nothing. For two given
+   sizes more overlap is needed than for a size alone, so a pair also has to meet at a place early
+   enough for both sizes.
 
-A pair is verified only if both filters hold; in the exhaustive step a third condition counts the common
-prefix tokens against what the sizes of the pair require. Verification is exact on the whole sets.
+3. *Rare first on whole sets*, among the sets that are still open after the pivots (below): the same
+   filter without the loss that sampling brings.
+
+A pair is verified only if the filters hold together. Verification is exact on the whole sets.
 
 Equal sets become one class first, and large groups of near copies are not expanded into pairs: every
-token's sets are compared with one pivot of the token, and only sets that this leaves in different
+token's sets are compared with a few pivots of the token, and only sets that this leaves in different
 components are compared with each other. No link between two components is lost, since each pair that
 the filters let through is either verified or already joined.
 """
@@ -36,6 +40,8 @@ from rillwork.session import cut
 KEEP_20 = 8
 #: Counts of a token are exact up to here; commoner tokens all rank last, in the order of their hashes.
 COUNT_TOP = 4096
+#: Sets of a token that all its sets are compared with first.
+PIVOTS = 4
 
 _POSTING = pa.schema([("tok", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("doc", pa.int64()), ("own", pa.bool_())])
 _SHARED = pa.schema([("tok", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("doc", pa.int64()), ("own", pa.bool_())])
@@ -194,23 +200,31 @@ def link_groups(docs: DataFrame, width: int = WIDTH, near: float = NEAR) -> Data
     # rare-first prefixes inside the samples: tokens of one class come first and index nothing
     per = W.partitionBy("cls")
     need = F.greatest(F.lit(1), F.ceil(F.expr(f"({5 * KEEP_20} - {100 - near_100}) * n / 100D")))
+    sample = F.floor((KEEP_20 * F.col("n") + 19) / 20).cast("int")
     ranked = (
         index.where("not own")
-        .withColumn("need", need.cast("int"))
-        .withColumn("alone", F.floor((KEEP_20 * F.col("n") + 19) / 20) - F.count("*").over(per))
-        .withColumn("room", F.floor((KEEP_20 * F.col("n") + 19) / 20) - F.col("need") + 1 - F.col("alone"))
-        .where("room > 0")
-        .withColumn("rank", F.row_number().over(per.orderBy("c", "tok")))
-        .where("rank <= room")
+        .withColumn("alone", sample - F.count("*").over(per))
+        .withColumn("usual", F.sum(F.log2("c")).over(per) / F.col("n"))
+        .where(F.col("alone") <= sample - need)
+        .withColumn("place", F.col("alone") + F.row_number().over(per.orderBy("c", "tok")))
+        .where(F.col("place") <= sample - need + 1)
     )
-    lists = stow(ranked.select("tok", "cls", "n", "need", (F.col("alone") / F.col("n")).alias("odd")), "prefixes")
-
-    # each token's classes against its pivot, the one with the least that is its own
-    pivots = lists.groupBy("tok").agg(F.min(F.struct("odd", "cls", "n")).alias("pivot"), F.count("*").alias("held")).where("held > 1")
-    sizes = lambda x, y: (100 * F.least(x, y) >= near_100 * F.greatest(x, y))
+    lists = stow(ranked.select("tok", "cls", "n", "c", F.col("place").cast("int").alias("place"), "usual"), "prefixes")
+
+    def meets(x: str, y: str, keep: int) -> F.Column:
+        """Whether two sets that share a token at their places may still be similar enough."""
+        overlap = f"(({near_100} * ({x}n + {y}n) + {99 + near_100}) div {100 + near_100})"
+        outside = f"greatest({x}n * {20 - keep} div 20, {y}n * {20 - keep} div 20)"
+        late = " and ".join(f"{k}place <= ({keep} * {k}n + 19) div 20 - ({overlap} - {outside}) + 1" for k in (x, y))
+        return F.expr(f"100 * least({x}n, {y}n) >= {near_100} * greatest({x}n, {y}n) and {late}")
+
+    # each token's classes against its pivots: the one with the commonest tokens, and some at random
+    who = F.struct("cls", "n", "place")
+    picks = [F.max_by(who, F.struct("usual", "cls")), *[F.min_by(who, F.xxhash64("cls", F.lit(k))) for k in range(PIVOTS - 1)]]
+    pivots = lists.groupBy("tok").agg(F.array_distinct(F.array(*picks)).alias("pivots"), F.count("*").alias("held")).where("held > 1")
     stars = cut(
-        lists.join(pivots.drop("held"), "tok")
-        .where((F.col("cls") != F.col("pivot.cls")) & sizes(F.col("n"), F.col("pivot.n")))
+        lists.join(pivots.select("tok", F.explode("pivots").alias("pivot")), "tok")
+        .where((F.col("cls") != F.col("pivot.cls")) & meets("", "pivot.", KEEP_20))
         .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b"))
         .distinct()
     )
@@ -223,25 +237,29 @@ def link_groups(docs: DataFrame, width: int = WIDTH, near: float = NEAR) -> Data
     links = cut(_verified(stars, sets, near_100))
     roots = components(links)
 
-    # what is left: pairs of a token whose classes are still in different components
+    # what is left: pairs of a token whose classes are still in different components. Their whole sets
+    # are ordered by how many of these classes hold a token, so one more prefix must be shared
     placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     torn = placed.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1 and held > 2")
-    prefix = lists.groupBy("cls").agg(F.sort_array(F.collect_list("tok")).alias("pre"))
-    open_ = cut(placed.join(torn.select("tok"), "tok", "left_semi").join(prefix, "cls"))
-    x, y = open_.alias("x"), open_.alias("y")
-    common = F.array_intersect("x.pre", "y.pre")
-    outside = F.greatest(*[F.expr(f"{k}.n * {20 - KEEP_20} div 20") for k in "xy"])
-    overlap = F.expr(f"({near_100} * (x.n + y.n) + {99 + near_100}) div {100 + near_100}")
-    needed = overlap - outside - F.greatest("x.need", "y.need") + 1
+    open_ = stow(placed.join(torn.select("tok"), "tok", "left_semi").groupBy("cls", "n", "root").agg(F.collect_list("tok").alias("pre")), "open")
+    tokens = open_.join(sets, "cls").select("cls", "n", "root", F.explode("toks").alias("tok"))
+    several = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("c > 1")
+    ordered = (
+        tokens.join(several, "tok")
+        .withColumn("alone", F.col("n") - F.count("*").over(per))
+        .withColumn("place", F.col("alone") + F.row_number().over(per.orderBy("c", "tok")))
+        .where((F.col("r0") != F.col("r1")) & (100 * (F.col("n") - F.col("place") + 1) >= near_100 * F.col("n")))
+    )
+    late = stow(ordered.select("tok", "cls", "n", "root", F.col("place").cast("int").alias("place")).join(open_.select("cls", "pre"), "cls"), "late")
+    x, y = late.alias("x"), late.alias("y")
     met = (
         (F.col("x.tok") == F.col("y.tok"))
         & (F.col("x.cls") < F.col("y.cls"))
         & (F.col("x.root") != F.col("y.root"))
-        & sizes(F.col("x.n"), F.col("y.n"))
-        & (F.array_min(common) == F.col("x.tok"))
-        & (F.size(common) >= needed)
+        & meets("x.", "y.", 20)
+        & F.arrays_overlap("x.pre", "y.pre")
     )
-    more = x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    more = x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     more = _verified(cut(more.join(stars, ["a", "b"], "left_anti")), sets, near_100)
     last = components(links.union(more))
 
