@@ -136,11 +136,12 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     both = rows.join(heads, "key").select(
         "key",
         "doc_id",
+        F.monotonically_increasing_id().alias("row"),
         "text",
         F.concat(F.expr("substring(text, 1, char_length(text) - cast(char_length(text) div 4 as int))"), F.substring("head", F.lit(1), quarter)).alias("edited"),
     )
     named = both.select(
-        "key", "doc_id", F.monotonically_increasing_id().alias("row"), F.char_length("text").cast("long").alias("n_chars"),
+        "key", "doc_id", "row", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("_t"),
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rillwork.catalog.base import query, table
-from rillwork.llm import jaccard_join
+from rillwork.llm import fingerprints, jaccard_join, mixing, secrets, token_counts
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -26,3 +27,46 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Shingle-set size and group of every document."""
     return jaccard_join.link_groups(table(spark, folder, "documents")).drop("is_first")
+
+
+_SIZE = rf"len({_WORDS.format("coalesce(text, '')")})"
+
+
+@query(
+    "op7_mixing_sources",
+    f"""WITH d AS (SELECT doc_id, source, {_SIZE} AS size,
+      CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+    f AS (SELECT *, 3 * source_size AS f, row_number() OVER o AS pos,
+        sum(source_size) OVER () - sum(3 * source_size) OVER (o ROWS UNBOUNDED PRECEDING) + 3 * source_size AS l,
+        sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws
+      FROM s WINDOW o AS (ORDER BY 3 * source_size / w, source NULLS LAST)),
+    v AS (SELECT pos AS a0, l AS l0, ws AS w0 FROM f WHERE l * w <= f * ws ORDER BY pos LIMIT 1),
+    t AS (SELECT source, source_size, CASE WHEN pos < a0 THEN CAST(f AS DOUBLE) ELSE CAST(l0 * w AS DOUBLE) / w0 END AS target FROM f, v),
+    p AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, source, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
+      + greatest(0, least(size, budget % source_size - first)) END AS BIGINT) AS taken FROM p""",
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_sources(table(spark, folder, "documents"))
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.scan_secrets(table(spark, folder, "documents"))
+
+
+@query("op5_fingerprints")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
