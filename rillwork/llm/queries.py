@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rillwork.catalog.base import query, table
-from rillwork.llm import fingerprints, jaccard_join, mixing, secrets, token_counts
+from rillwork.llm import decontaminate, fingerprints, jaccard_join, line_templates, mixing, secrets, token_counts
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -70,3 +70,15 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_line_templates")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents after recurring template lines are dropped."""
+    return line_templates.dedupe_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op2_benchmark_leaks")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in documents."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
