@@ -250,16 +250,17 @@ def link_groups(docs: DataFrame, width: int = WIDTH, near: float = NEAR) -> Data
         .withColumn("place", F.col("alone") + F.row_number().over(per.orderBy("c", "tok")))
         .where((F.col("r0") != F.col("r1")) & (100 * (F.col("n") - F.col("place") + 1) >= near_100 * F.col("n")))
     )
-    late = stow(ordered.select("tok", "cls", "n", "root", F.col("place").cast("int").alias("place")).join(open_.select("cls", "pre"), "cls"), "late")
+    late = stow(ordered.select("tok", "cls", "n", "root", F.col("place").cast("int").alias("place")), "late")
     x, y = late.alias("x"), late.alias("y")
     met = (
         (F.col("x.tok") == F.col("y.tok"))
         & (F.col("x.cls") < F.col("y.cls"))
         & (F.col("x.root") != F.col("y.root"))
         & meets("x.", "y.", 20)
-        & F.arrays_overlap("x.pre", "y.pre")
     )
     more = x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    pre = open_.select("cls", "pre")
+    more = more.join(pre.toDF("a", "pa"), "a").join(pre.toDF("b", "pb"), "b").where(F.arrays_overlap("pa", "pb")).select("a", "b")
     more = _verified(cut(more.join(stars, ["a", "b"], "left_anti")), sets, near_100)
     last = components(links.union(more))
 
