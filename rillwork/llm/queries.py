@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rillwork.catalog.base import query, table
-from rillwork.llm import decontaminate, fingerprints, jaccard_join, line_templates, mixing, secrets, token_counts
+from rillwork.llm import decontaminate, fingerprints, jaccard_join, line_templates, mixing, secrets, token_counts, toxicity
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -82,3 +82,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in documents."""
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
