@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from rillwork.llm.common import stow, words
 
 #: Rows of a source that one window task orders at the cut.
-CUT_ROWS = 1 << 16
+CUT_ROWS = 1 << 11
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
