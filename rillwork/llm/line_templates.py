@@ -50,7 +50,7 @@ def dedupe_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED
     ids come last. Lines of fewer than ``MIN_WORDS`` words always stay. A null text stays null with no
     lines; an empty one has one, empty line. Other columns pass through, whatever their names.
     """
-    for name in ("n_lines", "n_dropped"):
+    for name in ("n_lines", "n_dropped"):  # of an earlier pass
         if name in docs.columns:
             docs = docs.drop(name)
     slim = docs.select("doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rillwork.catalog.base import query, table
-from rillwork.llm import decontaminate, fingerprints, jaccard_join, line_templates, mixing, secrets, token_counts, toxicity
+from rillwork.llm import decontaminate, fingerprints, jaccard_join, line_templates, mixing, secrets, surrogates, token_counts, toxicity, url_filters
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -88,3 +88,36 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _hex7(text: str, at: int, mod: int) -> str:
+    return f"CAST('0x' || substr(md5({text}), {at}, 7) AS BIGINT) % {mod}"
+
+
+@query(
+    "op6_url_filters",
+    rf"""WITH h AS (SELECT page_id, url,
+        nullif(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\[\]]+)', 1)), '\.+$', ''), '') AS host,
+        CAST(DATE '2023-01-01' + CAST({_hex7("coalesce(CAST(page_id AS VARCHAR), '')", 1, 731)} AS INTEGER) AS DATE) AS fetched FROM pages),
+    p AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM h WHERE host IS NOT NULL),
+    d AS (SELECT DISTINCT host, array_to_string(l[i:], '.') AS domain FROM (SELECT host, l, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i FROM p)),
+    n AS (SELECT DISTINCT domain FROM d),
+    k AS (SELECT domain, CASE WHEN {_hex7("domain", 1, 6)} < 2 THEN 'block' WHEN {_hex7("domain", 1, 6)} = 2 THEN 'allow' END AS list,
+        {_hex7("domain", 8, 500)} AS a, 1 + {_hex7("domain", 15, 400)} AS b FROM n),
+    v AS (SELECT list, domain, DATE '2023-01-01' + CAST(a AS INTEGER) AS f, DATE '2023-01-01' + CAST(a + b AS INTEGER) AS t FROM k WHERE list IS NOT NULL
+      UNION ALL SELECT list, domain, DATE '2023-01-01' + CAST(a + 2 * b AS INTEGER), DATE '9999-12-31' FROM k WHERE list IS NOT NULL),
+    m AS (SELECT h.host, h.fetched, v.*, row_number() OVER (PARTITION BY h.host, h.fetched ORDER BY length(v.domain) DESC, v.list) AS r
+      FROM (SELECT DISTINCT host, fetched FROM h) h JOIN d ON d.host = h.host JOIN v ON v.domain = d.domain AND v.f <= h.fetched AND h.fetched < v.t)
+    SELECT h.page_id, h.url, h.fetched, h.host, CASE WHEN m.list = 'block' THEN 'drop' ELSE 'keep' END AS verdict, m.list, m.domain, CAST(m.f AS DATE) AS since
+    FROM h LEFT JOIN m ON m.host = h.host AND m.fetched = h.fetched AND m.r = 1""",
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict of the lists on every page at its fetch date."""
+    pages = table(spark, folder, "pages")
+    return url_filters.judge(url_filters.captures_of(pages), url_filters.lists_of(pages))
+
+
+@query("op8_private_surrogates")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with personal data replaced."""
+    return surrogates.replace_private(table(spark, folder, "documents")).select("doc_id", "text", "n_replaced")
