@@ -121,8 +121,8 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     fingerprint, edited_fingerprint, near_edited, near_next`` and ``n_near``: for ids divisible by 50, the
     number of other rows whose fingerprint is within ``radius`` bits, found through permuted block
     tables (null for other rows). Null texts are empty. A null id comes before all others; where an id is
-    repeated its next document is still that of the next larger id, and the least text of an id stands
-    for it as somebody's next. Other columns are ignored.
+    repeated its next document is still that of the next larger id, and the text with the least hash stands
+    for an id as somebody's next. Other columns are ignored.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
@@ -130,7 +130,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     quarter = F.expr("char_length(text) div 4").cast("int")
     takes = stow(docs.select(key.alias("key"), F.expr("char_length(coalesce(text, '')) div 4").alias("take")).groupBy("key").agg(F.max("take").alias("take")), "takes")
     nexts = stow(next_keys(takes).join(takes, "key"), "nexts")
-    firsts = rows.groupBy("key").agg(F.min("text").alias("text"))
+    firsts = rows.groupBy("key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     back = nexts.select(F.col("next").alias("key"), F.col("key").alias("prev"), "take")
     heads = firsts.join(back, "key").select(F.col("prev").alias("key"), F.expr("substring(text, 1, cast(take as int))").alias("head"))
     both = rows.join(heads, "key").select(
@@ -141,19 +141,15 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
         F.concat(F.expr("substring(text, 1, char_length(text) - cast(char_length(text) div 4 as int))"), F.substring("head", F.lit(1), quarter)).alias("edited"),
     )
     named = both.select(
-        "key", "doc_id", "row", F.char_length("text").cast("long").alias("n_chars"),
+        "key", "doc_id", "row", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("_t"),
     )
-    by = ["key", "doc_id", "row", "n_chars", "edited_sha256"]
+    by = ["key", "doc_id", "row", "h", "n_chars", "edited_sha256"]
     fps = fingerprint(named.select(*by, F.col("_t.v").alias("v"), F.col("_t.t").alias("t")), [*by, "v"], "t")
     pair = fps.groupBy(*by).agg(F.max(F.when(F.col("v") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("v") == 1, F.col("fp"))).alias("edited_fp"), F.lit(0).alias("_"))
     pair = stow(pair.drop("_"), "fingerprints")
-    # an id's next document is the least text of that id: its fingerprint is the own one of that row
-    least = rows.groupBy("key").agg(F.min("text").alias("t"), F.count("*").alias("held")).where("held > 1").select("key", "t")
-    once = pair.groupBy("key").agg(F.count("*").alias("held"), F.first("fp").alias("fp"))
-    again = fingerprint(least, ["key"], "t").withColumnRenamed("fp", "least_fp")
-    heads_fp = once.join(again, "key", "left").select(F.col("key").alias("next"), F.coalesce("least_fp", "fp").alias("next_fp"))
+    heads_fp = pair.groupBy("key").agg(F.min_by("fp", "h").alias("next_fp")).withColumnRenamed("key", "next")
     asks = pair.where("doc_id % 50 = 0").select("fp")
     counts = pair.groupBy("fp").agg(F.count("*").alias("held"))
     near = within_radius(asks, pair, radius).join(counts, "fp").groupBy("q").agg(F.sum("held").alias("n")).select(F.col("q").alias("fp"), (F.col("n") - 1).alias("n_near"))
