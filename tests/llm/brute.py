@@ -76,7 +76,7 @@ def dedupe(docs, least=3, fixed=0.5):
         for line in (d[1] or "").split("\n"):
             w = words(general(line))
             if len(w) >= 5:
-                leaf[len(w), *w[:3]][tuple(w)].add(d)
+                leaf[len(w), *w[:4]][tuple(w)].add(d)
     template = {}
     for key, forms in leaf.items():
         if len(forms) == 1 or sum(map(len, forms.values())) < least:

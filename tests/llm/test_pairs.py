@@ -80,7 +80,7 @@ def test_lines_match_plain_templates(spark):
         lines = [prose(rng, rng.choice([2, 6, 15]), 9000) for _ in range(4)]
         lines.append(f"page {d} of {d + 7} printed on 2024-01-{d:02d}")
         if d % 2:
-            lines.append(f"posted by user name{'abc'[d % 3]} in the news forum today")
+            lines.append(f"posted here by user name{'abc'[d % 3]} in the news forum today")
         if d % 5 == 0:
             lines += ["all rights reserved by the owner", "short line"]
         if d % 10 < 2:
