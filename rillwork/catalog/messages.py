@@ -12,7 +12,7 @@ from rillwork.session import cut
 
 
 def incoming(spark, d):
-    """Every turn is sent once; the assistant's turns are sent again half a second later."""
+    """Every turn is sent once, the assistant's again half a second later, some twice more and alike."""
     c = table(spark, d, "conversations")
     at = F.col("conv_id") * 60_000 + F.col("turn") * 1000
 
@@ -24,11 +24,14 @@ def incoming(spark, d):
             F.lit(via).alias("via"), (at + late).alias("stored_at"),
         )
 
-    return send(c, 0, "sys2").unionByName(send(c.filter("role = 'assistant'"), 500, "sys3"))
+    late = send(c.filter("role = 'assistant'"), 500, "sys3")
+    alike = send(c.filter("turn % 4 = 2"), 700, "sys3")
+    return send(c, 0, "sys2").unionByName(late).unionByName(alike).unionByName(alike)
 
 
 INC = """c AS (SELECT 'msg-'||conv_id||'-'||turn AS id, 'room'||(conv_id%9) AS room, role AS sender, conv_id*60000+turn*1000 AS ts, 'plain' AS kind, text FROM conversations),
-    inc AS (SELECT *, 'sys2' AS via, ts AS stored_at FROM c UNION ALL SELECT *, 'sys3', ts+500 FROM c WHERE sender='assistant'),
+    inc AS (SELECT *, 'sys2' AS via, ts AS stored_at FROM c UNION ALL SELECT *, 'sys3', ts+500 FROM c WHERE sender='assistant'
+      UNION ALL SELECT c.*, 'sys3', ts+700 FROM c, (VALUES (1),(2)) v(k) WHERE split_part(id,'-',3)::INTEGER%4=2),
     rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stored_at, via) AS k FROM inc),
     st AS (SELECT id, room, sender, ts, kind, text, via, stored_at, row_number() OVER (PARTITION BY room ORDER BY stored_at, id) AS seq FROM rk WHERE k=1)"""
 
@@ -47,14 +50,14 @@ def rejected_copies(spark, d):
     return M.append(None, incoming(spark, d))[1]
 
 
-@query("append_onto_store", f"WITH {INC} SELECT * FROM st WHERE sender<>'user'")
+@query("append_onto_store", f"WITH {INC} SELECT * FROM st")
 def append_onto_store(spark, d):
     """A second batch after the first: the same sequence as one append of everything."""
     every = incoming(spark, d)
     mid = table(spark, d, "conversations").agg(F.max("conv_id")).first()[0] // 2
     one = cut(M.append(None, every.filter(F.col("ts") < mid * 60_000))[0])
     two, _ = M.append(one, every)
-    return one.unionByName(two).filter("sender <> 'user'")
+    return one.unionByName(two)
 
 
 def _cursors(messages, limit=5):
@@ -103,6 +106,11 @@ def bounded_room_read(spark, d):
     return M.bounded_read(store(spark, d), 60)[1]
 
 
+@query("bounded_room_pages", f"WITH {INC} SELECT room, id, seq, CAST((max(seq) OVER (PARTITION BY room)-seq)//60 AS INTEGER) AS page FROM st")
+def bounded_room_pages(spark, d):
+    return M.bounded_read(store(spark, d), 60)[0].select("room", "id", "seq", "page")
+
+
 @query("room_counts", f"WITH {INC} SELECT room, count(*) AS n, max(seq) AS last FROM st GROUP BY 1")
 def room_counts(spark, d):
     return M.room_counts(store(spark, d))
@@ -113,9 +121,10 @@ def duplicate_audit(spark, d):
     return M.stored_twice(incoming(spark, d))
 
 
-@query("sequence_gaps", f"WITH {INC} SELECT room, count(*) AS n, min(seq) AS lo, max(seq) AS hi, CAST(sum(seq) AS BIGINT) AS s FROM st GROUP BY 1 HAVING min(seq)<>1 OR max(seq)<>count(*)")
+@query("sequence_gaps", f"WITH {INC} SELECT room, count(*) AS n, min(seq) AS lo, max(seq) AS hi, CAST(sum(seq) AS BIGINT) AS s FROM st WHERE seq%7<>3 GROUP BY 1 HAVING min(seq)<>1 OR max(seq)<>count(*)")
 def sequence_gaps(spark, d):
-    return M.sequence_gaps(store(spark, d))
+    """A broken store: every seventh message of a room is gone."""
+    return M.sequence_gaps(store(spark, d).filter("seq % 7 <> 3"))
 
 
 @query(
@@ -188,12 +197,7 @@ def idempotent_jobs(spark, d):
     "SELECT DISTINCT user_id, event_type FROM events WHERE event_type<>'error'",
 )
 def accepted_ids(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_type")
-    out = None
-    for kind in ("click", "view", "signup", "purchase"):
-        part = e.filter(F.col("event_type") == kind)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return table(spark, d, "events").filter("event_type <> 'error'").select("user_id", "event_type").distinct()
 
 
 @query(

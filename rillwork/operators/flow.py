@@ -436,7 +436,8 @@ def site_flags(
     ok = F.col("stream") & (F.col("slope_pct") <= max_slope) & ~F.col("river")
     c = c.withColumn("_ok", ok).withColumn("_base", F.col("_ok") & ~F.col("belt") & ~edge & inside)
     whole = c.groupBy(*keys).agg(
-        F.coalesce(F.max(F.col("_base") & ~F.col("fed")), F.lit(False)).alias("complete")
+        # without any candidate no catchment is cut off
+        (F.max(F.col("_base") & ~F.col("fed")) | ~F.max("_base")).alias("complete")
     )
     c = attach(c, whole, list(keys))
     return c.withColumn("eligible", F.col("_base") & (~F.col("complete") | ~F.col("fed")))

@@ -113,7 +113,7 @@ def parcels(eligible: DataFrame, keys: Sequence[str], cell_area: float) -> DataF
     return p.withColumn("area_ha", F.col("cells") * F.lit(cell_area / 1e4))
 
 
-#: Mean random consistency index by matrix size.
+#: Mean random consistency index by matrix size; larger matrices take the last.
 RANDOM_INDEX = {1: 0.0, 2: 0.0, 3: 0.58, 4: 0.90, 5: 1.12, 6: 1.24, 7: 1.32, 8: 1.41, 9: 1.45, 10: 1.49}
 ACCEPTABLE_CR = 0.10
 
@@ -143,9 +143,10 @@ def pairwise_weights(judgements: DataFrame, rounds: int = 100) -> DataFrame:
     out = m.withColumn("v", vec)
     # after normalising, the sum of M v is the eigenvalue
     lam = F.aggregate(F.transform("m", lambda r: dot(r["a"], F.col("v"))), F.lit(0.0), lambda acc, x: acc + x)
-    ri = F.create_map(*[x for k, v in RANDOM_INDEX.items() for x in (F.lit(k), F.lit(v))])
+    table = F.array(*[F.lit(RANDOM_INDEX[k]) for k in sorted(RANDOM_INDEX)])
+    ri = F.element_at(table, F.least(n, F.lit(len(RANDOM_INDEX))))
     ci = F.when(n > 1, (F.col("lambda_max") - n) / (n - 1)).otherwise(0.0)
-    cr = F.when(F.try_element_at(ri, n) > 0, F.col("ci") / F.try_element_at(ri, n)).otherwise(0.0)
+    cr = F.when(ri > 0, F.col("ci") / ri).otherwise(0.0)
     out = out.withColumn("lambda_max", lam).withColumn("ci", ci).withColumn("cr", cr)
     return out.select("judge", "lambda_max", "ci", "cr", F.posexplode("v").alias("_k", "weight"), "m").select(
         "judge", F.col("m")[F.col("_k")]["i"].alias("criterion"), "weight", "lambda_max", "ci", "cr"

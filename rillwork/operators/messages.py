@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ def append(store: DataFrame | None, incoming: DataFrame, bucket_ms: int = BUCKET
     """``(accepted, rejected)`` of a batch: an id is stored once, by its first arrival.
 
     Accepted rows get the next gap-free ``seq`` of their room; every other copy is rejected.
-    A retried id may have any number of copies: copies are told apart by arrival, not by id.
+    A retried id may have any number of copies, alike or not: as many are rejected as were sent, less the
+    one that is accepted.
     """
     first = first_arrivals(incoming)
     known = None
@@ -42,50 +45,56 @@ def append(store: DataFrame | None, incoming: DataFrame, bucket_ms: int = BUCKET
         numbered = attach(numbered, last, ["room"], "left").withColumn(
             "seq", F.col("seq") + F.coalesce("_last", F.lit(0))
         ).drop("_last")
-    copy = ["id", "stored_at", "via"]
-    rejected = incoming.join(first.select(*copy), copy, "left_anti").select(
-        "id", "room", "via", F.col("stored_at").alias("at")
-    )
+    # every copy but the accepted one is audited, also where several are alike
+    copy = ["id", "room", "via", "stored_at"]
+    sent = incoming.groupBy(*copy).agg(F.count(F.lit(1)).alias("_n"))
+    taken = first.select(*[F.col(c).alias(f"_{c}") for c in copy], F.lit(1).alias("_one"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in copy])
+    extra = sent.join(taken, same, "left").withColumn("_n", F.col("_n") - F.coalesce("_one", F.lit(0))).filter("_n > 0")
+    rejected = extra.select("id", "room", "via", F.col("stored_at").alias("at"), F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("col")
     return numbered, rejected
 
 
-#: Most rows one read returns, whatever limit is asked for.
-LIST_MAX, PAGE_MAX = 500, 5000
+def newest(messages: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Per cursor ``(room, since, limit)``: the newest ``limit`` messages after ``since``, ascending ``pos``.
 
+    Sequences have no gaps, so the answer is a range of them: no window, whatever the limit.
+    """
+    last = messages.groupBy("room").agg(F.max("seq").alias("_last"))
+    low = F.greatest(F.col("since"), F.col("_last") - F.col("limit"))
+    spans = cursors.join(last, "room").select("cursor", "room", low.alias("_low"))
+    rows = messages.join(spans, "room").filter(F.col("seq") > F.col("_low"))
+    return rows.withColumn("pos", (F.col("seq") - F.col("_low")).cast("int")).drop("_low")
 
-def newest(messages: DataFrame, cursors: DataFrame, most: int = LIST_MAX) -> DataFrame:
-    """Per cursor ``(room, since, limit)``: the newest ``limit`` messages after ``since``, ascending ``pos``."""
-    m = messages.join(cursors, "room").filter(F.col("seq") > F.col("since"))
-    back = W.partitionBy("cursor").orderBy(F.col("seq").desc())
-    # the constant bound lets Spark drop rows before the shuffle, so a busy room stays cheap
-    top = m.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= most)
-    top = top.filter(F.col("_r") <= F.col("limit"))
-    return top.withColumn("pos", F.row_number().over(W.partitionBy("cursor").orderBy("seq"))).drop("_r", "limit", "since")
 
+def page(messages: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forward pages after ``since`` and, per cursor, ``next_since`` (null once a page is short).
 
-def page(messages: DataFrame, cursors: DataFrame, most: int = PAGE_MAX) -> tuple[DataFrame, DataFrame]:
-    """Forward pages after ``since`` and, per cursor, ``next_since`` (null once a page is short)."""
-    m = messages.join(cursors, "room").filter(F.col("seq") > F.col("since"))
-    w = W.partitionBy("cursor").orderBy("seq")
-    rows = m.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most)
-    rows = rows.filter(F.col("pos") <= F.col("limit"))
-    full = rows.groupBy("cursor").agg(F.count(F.lit(1)).alias("count"), F.max("seq").alias("_last"))
-    heads = cursors.join(full, "cursor", "left").select(
-        "cursor", "room", F.coalesce("count", F.lit(0)).alias("count"),
-        F.when(F.col("count") == F.least(F.col("limit"), F.lit(most)), F.col("_last")).alias("next_since"),
-    )
-    return rows.drop("limit", "since"), heads
+    As in :func:`newest`, a page is the range ``since < seq <= since + limit``.
+    """
+    spans = cursors.select("cursor", "room", F.col("since").alias("_low"), (F.col("since") + F.col("limit")).alias("_high"))
+    rows = messages.join(spans, "room").filter((F.col("seq") > F.col("_low")) & (F.col("seq") <= F.col("_high")))
+    rows = rows.withColumn("pos", (F.col("seq") - F.col("_low")).cast("int")).drop("_low", "_high")
+    last = messages.groupBy("room").agg(F.max("seq").alias("_last"))
+    count = F.greatest(F.lit(0), F.least(F.col("limit"), F.coalesce("_last", F.lit(0)) - F.col("since"))).cast("long")
+    heads = cursors.join(last, "room", "left").withColumn("count", count)
+    full = F.when((F.col("count") == F.col("limit")) & (F.col("count") > 0), F.col("since") + F.col("limit"))
+    return rows, heads.select("cursor", "room", "count", full.alias("next_since"))
 
 
 def bounded_read(messages: DataFrame, page_max: int) -> tuple[DataFrame, DataFrame]:
-    """Whole rooms; over ``page_max`` only the newest page, with ``truncated`` and the cursor."""
+    """Whole rooms in pages: every row with its ``page`` (0 is the newest), and a head per room.
+
+    Over ``page_max`` rows the head is ``truncated``: page 0 is what one read gives, and ``since`` is the
+    sequence before it. No row is left out of the pages.
+    """
     sizes = messages.groupBy("room").agg(F.count(F.lit(1)).alias("total"), F.max("seq").alias("_last"))
-    back = W.partitionBy("room").orderBy(F.col("seq").desc())
-    rows = messages.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= page_max).drop("_r")
-    low = rows.groupBy("room").agg(F.min("seq").alias("_low"), F.count(F.lit(1)).alias("count"))
-    heads = sizes.join(low, "room").select(
-        "room", "total", "count", (F.col("total") > page_max).alias("truncated"),
-        F.when(F.col("total") > page_max, F.col("_low") - 1).alias("since"),
+    rows = messages.join(sizes.select("room", "_last"), "room")
+    rows = rows.withColumn("page", F.floor((F.col("_last") - F.col("seq")) / page_max).cast("int")).drop("_last")
+    over = F.col("total") > page_max
+    heads = sizes.select(
+        "room", "total", F.least(F.col("total"), F.lit(page_max)).alias("count"), over.alias("truncated"),
+        F.when(over, F.col("_last") - page_max).alias("since"),
     )
     return rows, heads
 

@@ -216,13 +216,23 @@ def mask_perimeter(mask: DataFrame, keys: Sequence[str], cell_size: float) -> Da
     return g.withColumn("perimeter_m", F.col("edges") * F.lit(float(cell_size)))
 
 
-def boundary_key(ring: Column, digits: int = 6) -> Column:
-    """Hash that is equal for rings equal after rounding, whatever vertex they start at.
+def boundary_key(ring: Column, digits: int = 5) -> Column:
+    """Hash that is equal for rings equal after rounding, whatever vertex they start at, either way round.
 
-    ``ring`` is an array of ``struct<x,y>``; a repeated closing vertex is ignored.
+    ``ring`` is an array of ``struct<x,y>``; a repeated closing vertex is ignored. The order of the
+    vertices counts: of all rotations in both directions the least one is hashed.
     """
-    pts = F.transform(ring, lambda p: F.concat_ws(" ", F.format_number(p["x"], digits), F.format_number(p["y"], digits)))
-    return F.sha2(F.concat_ws(";", F.array_sort(F.array_distinct(pts))), 256)
+    point = lambda p: F.concat_ws(" ", F.format_string(f"%.{digits}f", F.round(p["x"], digits) + 0.0), F.format_string(f"%.{digits}f", F.round(p["y"], digits) + 0.0))
+    pts = F.transform(ring, point)
+    closed = (F.size(pts) > 1) & (F.element_at(pts, 1) == F.element_at(pts, -1))
+    open_ = F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts)
+
+    def rotations(p: Column) -> Column:
+        turn = lambda i: F.concat(F.slice(p, i, F.size(p)), F.slice(p, 1, i - 1))
+        least = F.transform(F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: F.element_at(p, i) == F.array_min(p)), turn)
+        return F.array_min(F.transform(least, lambda q: F.concat_ws(";", q)))
+
+    return F.sha2(F.least(rotations(open_), rotations(F.reverse(open_))), 256)
 
 
 def segments(lines: DataFrame, id: str, vertices: str) -> DataFrame:

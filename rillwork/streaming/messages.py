@@ -17,11 +17,16 @@ MESSAGE = "id string, room string, sender string, ts bigint, kind string, text s
 
 
 def _read(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The store as it was before batch ``before``; None while it is empty."""
+    """The store as it was before batch ``before``. Only at batch 0 may its folder be missing: then None.
+
+    Anything else that keeps a store from being read is an error, never an empty store.
+    """
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as gone:
+        if before == 0 and gone.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     return df if before is None else df.filter(F.col("batch") < before)
 
 
@@ -34,11 +39,12 @@ def ingest(
 ):
     """Start the ingest; returns the streaming query.
 
-    Within the watermark the engine's own state drops repeats; the store check in each batch
-    catches any later one. The watermark needs an event-time column ``at``.
+    Every batch is checked against the store, so a copy is found however late it comes, and goes to the
+    audit; nothing is dropped before that. ``watermark`` only sets the event-time progress of column
+    ``at`` for whatever follows in the same query.
     """
     if watermark:
-        stream = stream.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["id"])
+        stream = stream.withWatermark("at", watermark)
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
