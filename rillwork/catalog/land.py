@@ -117,7 +117,7 @@ def suitability_surface(spark, d):
     c = normalise(c, K, {"wet": "twi"})
     la = F.log10(F.greatest(F.col("acc").cast("double") * CELL**2 / 1e4, F.lit(1e-3)))
     parts = {
-        "upstream_area": T.trapezoid(la, *[math.log10(b) for b in AREA_HA]),
+        "upstream_area": T.through(la, T.hill([math.log10(b) for b in AREA_HA])),
         "flatness": T.plateau(F.col("slope_pct")),
         "wetness": F.col("wet"),
     }
@@ -570,3 +570,27 @@ def criterion_weights(spark, d):
     out = L.pairwise_weights(L.valid_judgements(s.select("judge", F.inline(cells))))
     # consistent judgements: the principal vector is the preferences themselves, the index is 0
     return rnd(out, 6).withColumn("ci", F.col("ci") + 0.0).withColumn("cr", F.col("cr") + 0.0)
+
+
+_JUDGED = "(1+i%4+abs(b)/(2000*(1+i)))/(1+j%4+abs(b)/(2000*(1+j)))"
+
+
+@query(
+    "judgement_consistency",
+    f"""WITH RECURSIVE s AS (SELECT s_nationkey AS judge, avg(s_acctbal) AS b FROM supplier GROUP BY 1),
+    m AS (SELECT judge, list_transform(range(0,11), lambda i: list_transform(range(0,11), lambda j: CASE WHEN i=j THEN 1.0::DOUBLE
+      WHEN i<j THEN {_JUDGED}*(1+(7*i+3*j+judge)%5) ELSE {_JUDGED}/(1+(7*j+3*i+judge)%5) END)) AS m FROM s),
+    it AS (SELECT judge, m, list_transform(m, lambda r: 1.0::DOUBLE/11) AS v, 0 AS k FROM m UNION ALL
+      SELECT judge, m, list_transform(u, lambda x: x/list_sum(u)), k+1 FROM (SELECT judge, m, k, list_transform(m, lambda r: list_inner_product(r, v)) AS u FROM it WHERE k<100)),
+    l AS (SELECT judge, list_sum(list_transform(m, lambda r: list_inner_product(r, v))) AS lam FROM it WHERE k=100)
+    SELECT judge, round(lam,6) AS lambda_max, round((lam-11)/10,6) AS ci, round((lam-11)/10/1.49,6) AS cr FROM l""",
+)
+def judgement_consistency(spark, d):
+    """Eleven criteria judged inconsistently: more than the table of random indices has."""
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("judge")).agg(F.avg("s_acctbal").alias("b"))
+    n = F.sequence(F.lit(0), F.lit(10))
+    pairs = s.withColumn("i", F.explode(n)).withColumn("j", F.explode(n))
+    slip = F.expr("1 + (7 * least(i, j) + 3 * greatest(i, j) + judge) % 5")
+    a = F.when(F.col("i") == F.col("j"), 1.0).when(F.col("i") < F.col("j"), F.expr(_JUDGED) * slip).otherwise(F.expr(_JUDGED) / slip)
+    out = L.pairwise_weights(pairs.select("judge", "i", "j", a.alias("a")))
+    return rnd(out.select("judge", "lambda_max", "ci", "cr").distinct(), 6)

@@ -357,7 +357,7 @@ def normalised_ids(spark, d):
     r"""SELECT doc_id, coalesce(nullif(substr(regexp_replace(text,'[\x00-\x1f\x7f]','','g'),1,64),''),'anonymous') AS sender FROM documents""",
 )
 def cleaned_senders(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.clean_name(F.col("text")).alias("sender"))
+    return table(spark, d, "documents").select("doc_id", X.clean_name(F.col("text"), 64).alias("sender"))
 
 
 @query(

@@ -346,11 +346,11 @@ def busy_window_utilisation(spark, d):
 @query(
     "counter_rate",
     f"""WITH {_SMP}, l AS (SELECT *, lag(t) OVER w AS t0, lag(usage) OVER w AS u0 FROM smp WINDOW w AS (PARTITION BY run_id,system ORDER BY t))
-    SELECT run_id, system, t, round(greatest(0.0, least(800.0, (usage-u0)/(t-t0)/2*100)),6) AS cpu_pct FROM l WHERE t0 IS NOT NULL AND t>t0""",
+    SELECT run_id, system, t, round(greatest(0.0, least(800.0, (usage-u0)/(t-t0)/2*100)),6) AS cpu_pct, (usage-u0)/(t-t0)/2*100 NOT BETWEEN 0 AND 800 AS clipped FROM l WHERE t0 IS NOT NULL AND t>t0""",
 )
 def counter_rate(spark, d):
     s = samples(spark, d).select("run_id", "system", "t", "usage")
-    return R.counter_rate(s, F.lit(2)).select("run_id", "system", "t", F.round("cpu_pct", 6).alias("cpu_pct"))
+    return R.counter_rate(s, F.lit(2), 800.0).select("run_id", "system", "t", F.round("cpu_pct", 6).alias("cpu_pct"), "clipped")
 
 
 @query(

@@ -94,7 +94,7 @@ def stream_request_buckets(spark, d):
 )
 def stream_counter_rate(spark, d):
     s = CR.samples(spark, d).select("run_id", "system", "t", "usage")
-    got = run(spark, SR.counter_rates(replay(spark, s, "samples", "t"), 2.0), "rates")
+    got = run(spark, SR.counter_rates(replay(spark, s, "samples", "t"), 2.0, 800.0), "rates").filter("not late")
     return got.select("run_id", "system", "t", F.round("cpu_pct", 6).alias("cpu_pct"))
 
 

@@ -26,9 +26,10 @@ def normalise_id(raw: Column) -> Column:
     return F.when(F.nullif(raw, F.lit("")).isNotNull(), F.when(raw.rlike(ID_PATTERN), raw).otherwise(hashed))
 
 
-def clean_name(raw: Column) -> Column:
-    """Sender without control characters, at most 64 characters, never empty."""
-    s = F.substring(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\x00-\x1f\x7f]", ""), 1, 64)
+def clean_name(raw: Column, most: int | None = None) -> Column:
+    """Sender without control characters, never empty; cut to ``most`` characters where that is given."""
+    s = F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\x00-\x1f\x7f]", "")
+    s = s if most is None else F.substring(s, 1, most)
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("anonymous"))
 
 

@@ -180,7 +180,7 @@ def curve_numbers(
     )
     return g.select(
         *keys, "hsg", "cells",
-        H.adjust_moisture(F.coalesce("_w", base), moisture).alias("cn"),
+        H.moist_curve_number(F.coalesce("_w", base), F.lit(moisture)).alias("cn"),
         F.coalesce("_wc", F.lit(H.COEFFICIENTS[H.DEFAULT_CLASS])).alias("coefficient"),
     )
 

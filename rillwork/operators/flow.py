@@ -464,7 +464,7 @@ def site_scores(eligible: DataFrame, keys: Sequence[str], cell_area: float, weig
     eff = F.when(F.col("area_m2") > 0, F.col("volume_m3") / F.greatest(F.col("area_m2"), F.lit(1e-9))).otherwise(0.0)
     e = eligible.withColumn("efficiency", eff).withColumns(
         {
-            "s_upstream_area": T.trapezoid(F.log10(F.greatest(ha, F.lit(1e-3))), *bounds),
+            "s_upstream_area": T.through(F.log10(F.greatest(ha, F.lit(1e-3))), T.hill(bounds)),
             "s_flatness": T.plateau(F.col("slope_pct")),
         }
     )

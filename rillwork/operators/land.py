@@ -147,6 +147,9 @@ def pairwise_weights(judgements: DataFrame, rounds: int = 100) -> DataFrame:
     ri = F.element_at(table, F.least(n, F.lit(len(RANDOM_INDEX))))
     ci = F.when(n > 1, (F.col("lambda_max") - n) / (n - 1)).otherwise(0.0)
     cr = F.when(ri > 0, F.col("ci") / ri).otherwise(0.0)
+    # a vector that still moves is an error, not an answer
+    off = F.aggregate(F.zip_with(F.transform("m", lambda r: dot(r["a"], F.col("v"))), "v", lambda x, y: F.abs(x - lam * y)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    lam = F.when(off <= 1e-6 * lam, lam).otherwise(F.raise_error(F.lit("the weights did not converge")).cast("double"))
     out = out.withColumn("lambda_max", lam).withColumn("ci", ci).withColumn("cr", cr)
     return out.select("judge", "lambda_max", "ci", "cr", F.posexplode("v").alias("_k", "weight"), "m").select(
         "judge", F.col("m")[F.col("_k")]["i"].alias("criterion"), "weight", "lambda_max", "ci", "cr"

@@ -225,12 +225,13 @@ def describe(answers: DataFrame, queries: DataFrame, nodes: DataFrame, spacing:
     )
 
 
-def detours(distances: DataFrame, sources: DataFrame, cols: Column, longest: int = 15) -> tuple[DataFrame, DataFrame]:
-    """Road over Manhattan steps for all pairs up to ``longest`` steps: by length, and overall."""
+def detours(distances: DataFrame, sources: DataFrame, cols: Column, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Road over Manhattan steps for all pairs (up to ``longest`` steps, if given): by length, and overall."""
     s = sources.select("query", F.col("node").alias("_s"))
     j = distances.join(s, "query")
     steps = F.abs(F.floor(F.col("node") / cols) - F.floor(F.col("_s") / cols)) + F.abs(F.col("node") % cols - F.col("_s") % cols)
-    r = j.withColumn("steps", steps.cast("long")).filter(F.col("steps").between(1, longest))
+    r = j.withColumn("steps", steps.cast("long")).filter("steps >= 1")
+    r = r if longest is None else r.filter(F.col("steps") <= longest)
     r = cut(r.select(F.lit(1).alias("_all"), "steps", F.try_divide("hops", "steps").alias("ratio")))
     same = F.avg((F.col("ratio") == 1).cast("double"))
     by_length = r.groupBy("steps").agg(F.count(F.lit(1)).alias("pairs"), same.alias("same_share"))

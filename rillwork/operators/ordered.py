@@ -14,13 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rillwork.session import broadcastable, cut
+from rillwork.session import cut
 
 #: Buckets per factor of two used to narrow an order statistic: coarse, then fine.
 BUCKET_LEVELS = (64, 1 << 20)
 _SHIFT = 1100
-#: Rows below which a whole table may be ranked without narrowing.
-SMALL = 50_000
 
 
 def value_bucket(value: Column, steps: int) -> Column:
@@ -217,19 +215,17 @@ def percentiles_linear(
 def medians(df: DataFrame, part: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Null-skipping median of several columns per key, in one pass over a long table.
 
-    The input is mostly a table of summaries. It is materialised once; while it stays under
-    ``SMALL`` rows no key can be larger than that, and keys are ranked directly.
+    The input is materialised once, then narrowed bucket by bucket like every order statistic here.
     """
     part = list(part)
     df = cut(df.select(*part, *values))
-    levels = () if broadcastable(df, SMALL) else BUCKET_LEVELS
     pairs = F.explode(
         F.array(
             *[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("x")) for v in values]
         )
     )
     long = df.select(*part, pairs.alias("_p")).select(*part, F.col("_p.m").alias("_m"), F.col("_p.x").alias("_v"))
-    got = percentiles_linear(long, [*part, "_m"], "_v", {"_med": 0.5}, levels)
+    got = percentiles_linear(long, [*part, "_m"], "_v", {"_med": 0.5})
     return got.groupBy(*part).agg(
         *[F.max(F.when(F.col("_m") == v, F.col("_med"))).alias(v) for v in values]
     )

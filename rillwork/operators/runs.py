@@ -329,14 +329,19 @@ def busy_window(samples: DataFrame, over: float = 20.0, pad: float = 5.0) -> Dat
     )
 
 
-def counter_rate(samples: DataFrame, cores: Column, cap: float = 800.0) -> DataFrame:
-    """CPU % between consecutive counter readings, clipped to ``[0, cap]``."""
+def counter_rate(samples: DataFrame, cores: Column, cap: float | None = None) -> DataFrame:
+    """CPU % between consecutive counter readings, clipped to ``[0, cap]`` where ``cap`` is given.
+
+    ``clipped`` marks rates that lay outside, so that counter errors stay visible.
+    """
+    top = F.lit(float("inf") if cap is None else float(cap))
     keys = ["run_id", "system"]
     lagged = O.split_lag(samples, keys, F.floor(F.col("t") / 3600), ["t"], {"_t0": "t", "_u0": "usage"})
     rate = (F.col("usage") - F.col("_u0")) / (F.col("t") - F.col("_t0")) / cores * 100
     return (
         lagged.filter(F.col("_t0").isNotNull() & (F.col("t") > F.col("_t0")))
-        .withColumn("cpu_pct", F.greatest(F.lit(0.0), F.least(F.lit(cap), rate)))
+        .withColumn("clipped", (rate < 0) | (rate > top))
+        .withColumn("cpu_pct", F.greatest(F.lit(0.0), F.least(top, rate)))
         .drop("_t0", "_u0")
     )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(app: str = "rillwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,11 +27,13 @@ def get_session(app: str = "rillwork", master: str | None = None, **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names; a scratch folder only where none is set."""
+    """The shared checkpoint folder the session names; on a local master without one, a scratch folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -48,11 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcastable(df: DataFrame, limit: int = 100_000) -> bool:
-    """Whether ``df`` holds at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join one row per key onto ``df``: broadcast when the facts are few, else a skew-split join."""
-    return df.join(F.broadcast(facts) if broadcastable(facts) else facts, list(keys), how)
+    """Join one row per key onto ``df``.
+
+    How to join is left to adaptive execution: it knows the size of ``facts`` once they are computed,
+    broadcasts them below ``spark.sql.autoBroadcastJoinThreshold``, and splits skewed keys otherwise.
+    """
+    return df.join(facts, list(keys), how)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,40 +75,57 @@ def backend_metrics(stream: DataFrame, alpha: float = 0.2, keep: int = 500) -> D
 
 
 UP, DEGRADED, DOWN = "UP", "DEGRADED", "DOWN"
-
-
-def health_step(pool: dict, probe: dict, fail: int, rise: int, slow_ms: float, hot_pct: float) -> str | None:
-    """Apply one probe to the pool's states in place; the name of the transition, if any.
-
-    A timeout degrades but never ejects; the last routable backend is kept.
+#: What a state makes of an observation: next state and event; whatever is not listed changes nothing.
+TRANSITIONS = {
+    (UP, "slow"): (DEGRADED, "degraded"),
+    (UP, "timeout"): (DEGRADED, "degraded"),
+    (DEGRADED, "good"): (UP, "recovered"),
+    (UP, "failed"): (DOWN, "ejected"),
+    (DEGRADED, "failed"): (DOWN, "ejected"),
+    (DOWN, "good again"): (UP, "readmitted"),
+    (DOWN, "slow again"): (DEGRADED, "readmitted"),
+}
+
+
+def observe(probes: pd.DataFrame, before: dict[str, tuple[int, int]], fail: int, rise: int, slow_ms: float, hot_pct: float) -> pd.DataFrame:
+    """Probes with their run lengths and what each says: good, slow, timeout, failing, failed.
+
+    ``fine`` counts answers in a row, ``bad`` refusals since the last answer, both going on from
+    ``before``; ``again`` marks an answer that completes ``rise``.
+    """
+    p = probes.reset_index(drop=True)
+    ok, refused = p["outcome"].eq("ok"), ~p["outcome"].isin(["ok", "timeout"])
+    who = p["backend"]
+    start_fine, start_bad = (who.map(lambda b, i=i: before.get(b, (0, 0))[i]) for i in (0, 1))
+    by = lambda mask: (~mask).groupby(who).cumsum()  # noqa: E731 - blocks that end where the mask fails
+    block = by(ok)
+    p["fine"] = ok.astype(int).groupby([who, block]).cumsum() + start_fine.where(block.eq(0), 0)
+    p.loc[~ok, "fine"] = 0
+    answers = ok.groupby(who).cumsum()
+    p["bad"] = refused.astype(int).groupby([who, answers]).cumsum() + start_bad.where(answers.eq(0), 0)
+    slow = (p["ms"] > slow_ms) | (p["cpu_pct"] >= hot_pct)
+    said = pd.Series("failing", index=p.index)
+    said[refused & (p["bad"] >= fail)] = "failed"
+    said[p["outcome"].eq("timeout")] = "timeout"
+    said[ok & slow], said[ok & ~slow] = "slow", "good"
+    return p.assign(said=said, again=ok & (p["fine"] >= rise))
+
+
+def apply_transitions(seen: pd.DataFrame, states: dict[str, str]) -> list[tuple[float, str, str, str]]:
+    """Walk observed probes through ``TRANSITIONS``, keeping ``states`` up to date: (t, backend, event, state).
+
+    An ejection needs another backend that still takes requests.
     """
-    b = pool.setdefault(probe["backend"], {"state": UP, "ok": 0, "bad": 0})
-    if probe["outcome"] == "ok":
-        b["ok"], b["bad"] = b["ok"] + 1, 0
-        slow = probe["ms"] > slow_ms or probe["cpu_pct"] >= hot_pct
-        if b["state"] == DOWN:
-            if b["ok"] >= rise:
-                b["state"] = DEGRADED if slow else UP
-                return "readmitted"
-        elif b["state"] == UP and slow:
-            b["state"] = DEGRADED
-            return "degraded"
-        elif b["state"] == DEGRADED and not slow:
-            b["state"] = UP
-            return "recovered"
-        return None
-    b["ok"] = 0
-    if probe["outcome"] == "timeout":
-        if b["state"] == UP:
-            b["state"] = DEGRADED
-            return "degraded"
-        return None
-    b["bad"] += 1
-    others = any(o["state"] != DOWN for n, o in pool.items() if n != probe["backend"])
-    if b["state"] != DOWN and b["bad"] >= fail and others:
-        b["state"] = DOWN
-        return "ejected"
-    return None
+    events = []
+    for t, backend, said, again in zip(seen["t"], seen["backend"], seen["said"], seen["again"]):
+        state = states.setdefault(backend, UP)
+        if state == DOWN and again:
+            said = f"{said} again"
+        move = TRANSITIONS.get((state, said))
+        if move and (move[0] != DOWN or any(s != DOWN for b, s in states.items() if b != backend)):
+            states[backend] = move[0]
+            events.append((t, backend, move[1], move[0]))
+    return events
 
 
 def health_events(
@@ -115,52 +133,54 @@ def health_events(
 ) -> DataFrame:
     """Transition events from ``probes(pool, t, backend, outcome, ms, cpu_pct)``.
 
-    Keyed by pool, since keeping the last routable backend needs the pool's other members.
+    Keyed by pool, since keeping the last routable backend needs the pool's other members. Run lengths
+    are counted on whole columns; only the transitions themselves are walked.
     """
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pool = {}
-        if state.exists:
-            names, states, oks, bads = state.get
-            pool = {n: {"state": s, "ok": o, "bad": b} for n, s, o, b in zip(names, states, oks, bads)}
-        out = []
-        for probe in _rows(pdfs, ["t", "backend"]).to_dict("records"):
-            event = health_step(pool, probe, fail, rise, slow_ms, hot_pct)
-            if event:
-                out.append((key[0], probe["t"], probe["backend"], event, pool[probe["backend"]]["state"]))
-        names = list(pool)
-        state.update((names, [pool[n]["state"] for n in names], [pool[n]["ok"] for n in names], [pool[n]["bad"] for n in names]))
+        names, states, fine, bad = state.get if state.exists else ([], [], [], [])
+        held = dict(zip(names, states))
+        seen = observe(_rows(pdfs, ["t", "backend"]), dict(zip(names, zip(fine, bad))), fail, rise, slow_ms, hot_pct)
+        out = [(key[0], *e) for e in apply_transitions(seen, held)]
+        runs = dict(zip(names, zip(fine, bad))) | {r.backend: (int(r.fine), int(r.bad)) for r in seen.groupby("backend").tail(1).itertuples()}
+        state.update((list(held), list(held.values()), [runs[b][0] for b in held], [runs[b][1] for b in held]))
         yield pd.DataFrame(out, columns=["pool", "t", "backend", "event", "state"])
 
     return stream.groupBy("pool").applyInPandasWithState(
         step,
         "pool string, t double, backend string, event string, state string",
-        "names array<string>, states array<string>, oks array<int>, bads array<int>",
+        "names array<string>, states array<string>, fine array<int>, bad array<int>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
 
 
-def counter_rates(stream: DataFrame, cores: float, cap: float = 800.0) -> DataFrame:
-    """CPU % between consecutive readings of ``samples(run_id, system, t, usage)``."""
+def counter_rates(stream: DataFrame, cores: float, cap: float | None = None) -> DataFrame:
+    """CPU % between consecutive readings of ``samples(run_id, system, t, usage)``.
+
+    The state is the latest reading, so a late one never moves it back: it comes out with ``late`` and no
+    rate. Rates are clipped to ``[0, cap]`` where ``cap`` is given, and then marked ``clipped``.
+    """
+    top = float("inf") if cap is None else cap
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _rows(pdfs, ["t"])
-        t, u = rows["t"].to_list(), rows["usage"].to_list()
-        if state.exists:
-            t0, u0 = state.get
-            t, u = [t0, *t], [u0, *u]
-        state.update((float(t[-1]), float(u[-1])))
-        out = [
-            (key[0], key[1], t[i], max(0.0, min(cap, (u[i] - u[i - 1]) / (t[i] - t[i - 1]) / cores * 100)))
-            for i in range(1, len(t))
-            if t[i] > t[i - 1]
-        ]
-        yield pd.DataFrame(out, columns=["run_id", "system", "t", "cpu_pct"])
+        t0, u0 = state.get if state.exists else (None, None)
+        late = rows["t"] <= t0 if state.exists else rows["t"].isna()
+        new = rows[~late].drop_duplicates("t")
+        if len(new):
+            was_t, was_u = (new[c].shift(fill_value=np.nan if x is None else x) for c, x in (("t", t0), ("usage", u0)))
+            rate = (new["usage"] - was_u) / (new["t"] - was_t) / cores * 100
+            made = pd.DataFrame({"t": new["t"], "cpu_pct": rate.clip(0.0, top), "late": False, "clipped": (rate < 0) | (rate > top)})[rate.notna()]
+            state.update((float(new["t"].iloc[-1]), float(new["usage"].iloc[-1])))
+            if len(made):
+                yield made.assign(run_id=key[0], system=key[1])[["run_id", "system", "t", "cpu_pct", "late", "clipped"]]
+        if late.any():
+            yield pd.DataFrame({"run_id": key[0], "system": key[1], "t": rows.loc[late, "t"], "cpu_pct": np.nan, "late": True, "clipped": False})
 
     return stream.groupBy("run_id", "system").applyInPandasWithState(
         step,
-        "run_id string, system string, t double, cpu_pct double",
+        "run_id string, system string, t double, cpu_pct double, late boolean, clipped boolean",
         "t double, usage double",
         "append",
         GroupStateTimeout.NoTimeout,

@@ -33,7 +33,24 @@ def test_pages(spark):
     new = M.newest(store, cur.filter("cursor = 'c'")).orderBy("pos").collect()
     assert [r["seq"] for r in new] == [8, 9, 10, 11, 12]
     cut_, head = M.bounded_read(store, 10)
-    assert cut_.count() == 10 and head.first()["since"] == 2 and head.first()["truncated"]
+    assert cut_.filter("page = 0").count() == 10 and cut_.count() == 12 and head.first()["since"] == 2 and head.first()["truncated"]
+
+
+def test_reads_have_no_cap_but_the_limit(spark):
+    store = spark.range(1, 9001).selectExpr("'a' AS room", "id AS seq", "concat('m', id) AS id")
+    cur = spark.createDataFrame([("c", "a", 0, 8000), ("d", "a", 8500, 1000)], "cursor string, room string, since long, limit int")
+    body, heads = M.page(store, cur)
+    assert body.filter("cursor = 'c'").count() == 8000
+    assert {r["cursor"]: (r["count"], r["next_since"]) for r in heads.collect()} == {"c": (8000, 8000), "d": (500, None)}
+    assert M.newest(store, cur.filter("cursor = 'c'")).count() == 8000
+
+
+def test_every_copy_is_audited(spark):
+    sent = rows(spark, [("m1", "a", 1, "x")] * 3 + [("m1", "a", 5, "x"), ("m2", "a", 2, "x")])
+    ok, dup = M.append(None, sent)
+    assert ok.count() == 2 and sorted(r["at"] for r in dup.collect()) == sorted(sent.filter("id = 'm1'").collect()[i]["stored_at"] for i in (1, 2, 3))
+    again, dup = M.append(ok, sent)
+    assert again.count() == 0 and dup.count() == 5
 
 
 def test_transitions(spark):

@@ -6,33 +6,32 @@ from pyspark.sql import functions as F
 from rillwork.operators import network as N
 
 
-def town(spark, roads):
-    """3×3 town, ids 1-9, one category."""
-    nodes = [(v, v + 1, v // 3 / 2, v % 3 / 2, "shop") for v in range(9)]
+def hamlet(spark, roads, side=4):
+    """A square of ``side`` x ``side`` nodes with ids from 100; even ones are inns, odd ones wells."""
+    nodes = [(v, v + 100, v // side / (side - 1), v % side / (side - 1), "well" if v % 2 else "inn") for v in range(side * side)]
     n = spark.createDataFrame(nodes, "node long, id long, lat double, lon double, category string")
-    e = spark.createDataFrame(roads, "src long, dst long")
-    return n, N.undirected(e)
+    return n, N.undirected(spark.createDataFrame(roads, "src long, dst long"))
 
 
-def ask(spark, rad=2.0, k=10, at=(0.0, 0.0), cat="shop"):
-    q = spark.createDataFrame([(1, *at, cat, rad, k)], "query long, lat double, lon double, category string, rad double, k int")
-    return N.snapped(q, F.lit(3))
+def near_inns(spark, rad, k, at=(0.0, 0.0)):
+    q = spark.createDataFrame([(5, *at, "inn", rad, k)], "query long, lat double, lon double, category string, rad double, k int")
+    return N.snapped(q, F.lit(4))
 
 
-def test_one_road_reaches_one_place(spark):
-    n, e = town(spark, [(0, 3)])
-    a, _, _ = N.search(ask(spark), n, e, F.lit(3))
-    assert [(r["id"], r["hops"]) for r in a.orderBy("rank").collect()] == [(1, 0), (4, 1)]
+def test_only_connected_inns_are_found(spark):
+    n, e = hamlet(spark, [(0, 1), (1, 2), (10, 14), (14, 15)])
+    a, _, _ = N.search(near_inns(spark, 5.0, 10), n, e, F.lit(4))
+    assert [(r["id"], r["hops"]) for r in a.orderBy("rank").collect()] == [(100, 0), (102, 2)]
 
 
-def test_detour_through_the_town(spark):
-    roads = [(0, 3), (3, 6), (6, 7), (7, 4), (7, 8), (8, 5), (5, 2), (2, 1)]
-    n, e = town(spark, roads)
-    a, dist, _ = N.search(ask(spark), n, e, F.lit(3), parents=True)
-    got = [(r["id"], r["hops"]) for r in a.orderBy("rank").collect()]
-    assert got == [(1, 0), (4, 1), (7, 2), (8, 3), (5, 4), (9, 4), (6, 5), (3, 6), (2, 7)]
-    far = N.routes(a.filter("id = 2"), dist).orderBy("pos").collect()
-    assert [r["node"] for r in far] == [0, 3, 6, 7, 8, 5, 2, 1]
+def test_a_spiral_road_is_walked_to_its_end(spark):
+    spiral = [0, 1, 2, 3, 7, 11, 15, 14, 13, 12, 8, 4, 5, 6, 10, 9]
+    n, e = hamlet(spark, list(zip(spiral, spiral[1:])))
+    a, dist, _ = N.search(near_inns(spark, 5.0, 20), n, e, F.lit(4), parents=True)
+    got = {r["id"]: r["hops"] for r in a.collect()}
+    assert got == {v + 100: i for i, v in enumerate(spiral) if v % 2 == 0}
+    far = N.routes(a.filter("id = 110"), dist).orderBy("pos").collect()
+    assert [r["node"] for r in far] == spiral[:15]
 
 
 def test_full_grid_distance_is_manhattan(spark):
@@ -80,10 +79,10 @@ def test_random_cities_match_plain_breadth_first(spark):
 
 
 def test_missing_roads_and_bad_queries(spark):
-    n, e = town(spark, [(0, 1), (1, 2)])
-    assert N.missing_roads(n, e, F.lit(3)).count() == 10
+    n, e = hamlet(spark, [(0, 1), (1, 2)])
+    assert N.missing_roads(n, e, F.lit(4)).count() == 22
     q = spark.createDataFrame(
-        [(1, "0.5", "0.5", "1", "shop"), (2, "x", "0.5", "1", "shop"), (3, "0.5", "NaN", "1", "shop"), (4, "0.5", "0.5", "-1", "shop"), (5, "0", "0", "1", "bar")],
+        [(1, "0.25", "0.75", "2", "well"), (2, "north", "0.1", "1", "inn"), (3, "0.1", "NaN", "1", "inn"), (4, "0.1", "0.1", "-3", "inn"), (5, "0.2", "0.2", "1", "mill")],
         "query long, lat string, lon string, rad string, category string",
     )
     assert [r["query"] for r in N.valid_queries(q, n).collect()] == [1]
