@@ -511,12 +511,20 @@ def deduped_vertices(spark, d):
     return S.dedupe_vertices(v, ["map_id"], ["ord"], 1)
 
 
-@query("convex_hull_area")
+@query(
+    "convex_hull_area",
+    """WITH p AS (SELECT l_suppkey%7 AS map_id, l_extendedprice AS x, l_quantity::DOUBLE AS y FROM lineitem),
+    e AS (SELECT map_id, y, min(x) AS x FROM p GROUP BY 1,2 UNION SELECT map_id, y, max(x) FROM p GROUP BY 1,2),
+    sides AS (SELECT a.map_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM e a JOIN e b ON a.map_id=b.map_id AND (a.x<>b.x OR a.y<>b.y)
+      WHERE NOT EXISTS (SELECT 1 FROM e c WHERE c.map_id=a.map_id AND ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)<0
+        OR ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)=0 AND (c.x-a.x)*(c.x-b.x)+(c.y-a.y)*(c.y-b.y)>0))))
+    SELECT map_id, round(abs(sum(x0*y1-x1*y0))/2,3) AS hull_area FROM sides GROUP BY 1""",
+)
 def convex_hull_area(spark, d):
     p = table(spark, d, "lineitem").select(
         (F.col("l_suppkey") % 7).alias("map_id"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y")
     )
-    return S.hull_area(p, ["map_id"], pieces=16)
+    return S.hull_area(p, ["map_id"], pieces=16).withColumn("hull_area", F.round("hull_area", 3))
 
 
 @query(

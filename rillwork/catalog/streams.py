@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rillwork.catalog import climate as CC
 from rillwork.catalog import messages as CM
 from rillwork.catalog import runs as CR
-from rillwork.catalog.base import micros, query, records, table
+from rillwork.catalog.base import micros, query, records, records_sql, table
 from rillwork.catalog.climate import rnd
 from rillwork.functions import hydro as H
 from rillwork.session import ensure_checkpoint_dir
@@ -98,7 +98,13 @@ def stream_counter_rate(spark, d):
     return got.select("run_id", "system", "t", F.round("cpu_pct", 6).alias("cpu_pct"))
 
 
-@query("stream_backend_metrics")
+@query(
+    "stream_backend_metrics",
+    f"""WITH {records_sql()}, o AS (SELECT backend, ms, row_number() OVER (PARTITION BY backend ORDER BY CAST(regexp_extract(run_id,'rep(\\d+)$',1) AS INTEGER)*86400+t) AS i,
+      count(*) OVER (PARTITION BY backend) AS n FROM rec),
+    a AS (SELECT backend, max(n) AS n, sum(ms*pow(0.8::DOUBLE,n-i)*CASE WHEN i=1 THEN 1 ELSE 0.2::DOUBLE END) AS ewma, list_sort(list(ms) FILTER (i>n-500)) AS l FROM o GROUP BY 1)
+    SELECT backend, n, round(ewma,4) AS ewma, {", ".join(f"round(l[1+least(len(l)-1, CAST(floor({p / 100!r}::DOUBLE*len(l)) AS BIGINT))],4) AS p{p}" for p in (50, 95, 99))} FROM a""",
+)
 def stream_backend_metrics(spark, d):
     r = records(spark, d).select("backend", "ms", (F.regexp_extract("run_id", r"rep(\d+)$", 1).cast("int") * 86400 + F.col("t")).alias("t"))
     got = run(spark, SR.backend_metrics(replay(spark, r, "metrics", "t")), "metrics-out", "update")
@@ -106,7 +112,21 @@ def stream_backend_metrics(spark, d):
     return rnd(last.select("backend", "l.*"), 4)
 
 
-@query("stream_health_events")
+@query(
+    "stream_health_events",
+    f"""WITH RECURSIVE {records_sql()}, pr AS (SELECT run_id AS pool, t, backend, CAST(substr(backend,4) AS INTEGER)-1 AS k, ms*10>1500 OR ms/4>=95 AS slow,
+      CASE WHEN status=200 THEN 'ok' WHEN err='timeout' THEN 'timeout' ELSE 'refused' END AS o, row_number() OVER (PARTITION BY run_id ORDER BY t, backend) AS i FROM rec),
+    w AS (SELECT pool, 0::BIGINT AS i, [NULL,NULL,NULL]::VARCHAR[] AS st, [0,0,0]::BIGINT[] AS f, [0,0,0]::BIGINT[] AS b, NULL::DOUBLE AS t, NULL::VARCHAR AS backend, NULL::VARCHAR AS event, NULL::VARCHAR AS state
+        FROM (SELECT DISTINCT pool FROM pr) UNION ALL
+      SELECT pool, i, list_transform([1,2,3], lambda j: CASE WHEN j=k THEN state ELSE st[j] END), list_transform([1,2,3], lambda j: CASE WHEN j=k THEN nf ELSE f[j] END),
+        list_transform([1,2,3], lambda j: CASE WHEN j=k THEN nb ELSE b[j] END), t, backend, event, state
+      FROM (SELECT *, CASE event WHEN 'ejected' THEN 'DOWN' WHEN 'degraded' THEN 'DEGRADED' WHEN 'recovered' THEN 'UP' WHEN 'readmitted' THEN CASE WHEN slow THEN 'DEGRADED' ELSE 'UP' END ELSE s END AS state
+      FROM (SELECT *, CASE WHEN o='ok' AND s='DOWN' AND nf>=2 THEN 'readmitted' WHEN o='ok' AND s='UP' AND slow THEN 'degraded' WHEN o='ok' AND s='DEGRADED' AND NOT slow THEN 'recovered'
+        WHEN o='timeout' AND s='UP' THEN 'degraded' WHEN o='refused' AND s<>'DOWN' AND nb>=2 AND others THEN 'ejected' END AS event
+      FROM (SELECT pr.*, st, f, b, coalesce(st[k],'UP') AS s, CASE WHEN o='ok' THEN f[k]+1 ELSE 0 END AS nf, CASE o WHEN 'ok' THEN 0 WHEN 'refused' THEN b[k]+1 ELSE b[k] END AS nb,
+        len(list_filter([1,2,3], lambda j: j<>k AND st[j]<>'DOWN'))>0 AS others FROM w JOIN pr ON pr.pool=w.pool AND pr.i=w.i+1))))
+    SELECT pool, t, backend, event, state FROM w WHERE event IS NOT NULL""",
+)
 def stream_health_events(spark, d):
     e = records(spark, d)
     outcome = F.when(F.col("status") == 200, "ok").when(F.col("err") == "timeout", "timeout").otherwise("refused")
