@@ -465,7 +465,9 @@ _CV = """li AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice)/1000 AS x,
     "contour_facts",
     f"""WITH {_CV}, lv AS (SELECT DISTINCT map_id, elevation FROM ln), gp AS (SELECT map_id, elevation-lag(elevation) OVER (PARTITION BY map_id ORDER BY elevation) AS gap FROM lv),
     p AS (SELECT map_id, count(*) AS levels, median(gap) AS interval FROM gp GROUP BY 1)
-    SELECT ln.map_id, count(*) AS lines, CAST(sum(nv) AS BIGINT) AS vertices, min(elevation) AS z_min, max(elevation) AS z_max, any_value(levels) AS levels, any_value(p.interval) AS interval FROM ln JOIN p USING (map_id) GROUP BY 1""",
+    SELECT ln.map_id, count(*) AS lines, CAST(sum(nv) AS BIGINT) AS vertices, min(elevation) AS z_min, max(elevation) AS z_max, any_value(levels) AS levels, any_value(p.interval) AS interval,
+      any_value(x_min) AS x_min, any_value(x_max) AS x_max, any_value(y_min) AS y_min, any_value(y_max) AS y_max FROM ln JOIN p USING (map_id)
+      JOIN (SELECT l_orderkey%5 AS map_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM li GROUP BY 1) b USING (map_id) GROUP BY 1""",
 )
 def contour_facts(spark, d):
     return S.contour_facts(contours(spark, d))
@@ -511,14 +513,16 @@ def deduped_vertices(spark, d):
     return S.dedupe_vertices(v, ["map_id"], ["ord"], 1)
 
 
-@query(
-    "convex_hull_area",
-    """WITH p AS (SELECT l_suppkey%7 AS map_id, l_extendedprice AS x, l_quantity::DOUBLE AS y FROM lineitem),
-    e AS (SELECT map_id, y, min(x) AS x FROM p GROUP BY 1,2 UNION SELECT map_id, y, max(x) FROM p GROUP BY 1,2),
+_HULL = """e AS (SELECT map_id, y, min(x) AS x FROM p GROUP BY 1,2 UNION SELECT map_id, y, max(x) FROM p GROUP BY 1,2),
     sides AS (SELECT a.map_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM e a JOIN e b ON a.map_id=b.map_id AND (a.x<>b.x OR a.y<>b.y)
       WHERE NOT EXISTS (SELECT 1 FROM e c WHERE c.map_id=a.map_id AND ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)<0
-        OR ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)=0 AND (c.x-a.x)*(c.x-b.x)+(c.y-a.y)*(c.y-b.y)>0))))
-    SELECT map_id, round(abs(sum(x0*y1-x1*y0))/2,3) AS hull_area FROM sides GROUP BY 1""",
+        OR ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)=0 AND (c.x-a.x)*(c.x-b.x)+(c.y-a.y)*(c.y-b.y)>0)))),
+    hu AS (SELECT map_id, abs(sum(x0*y1-x1*y0))/2 AS hull_area FROM sides GROUP BY 1)"""
+
+
+@query(
+    "convex_hull_area",
+    f"""WITH p AS (SELECT l_suppkey%7 AS map_id, l_extendedprice AS x, l_quantity::DOUBLE AS y FROM lineitem), {_HULL} SELECT map_id, round(hull_area,3) AS hull_area FROM hu""",
 )
 def convex_hull_area(spark, d):
     p = table(spark, d, "lineitem").select(
@@ -527,6 +531,16 @@ def convex_hull_area(spark, d):
     return S.hull_area(p, ["map_id"], pieces=16).withColumn("hull_area", F.round("hull_area", 3))
 
 
+@query(
+    "contour_spacing",
+    f"""WITH {_CV}, p AS (SELECT l_orderkey%5 AS map_id, x, y::DOUBLE AS y FROM li), {_HULL}, t AS (SELECT line_id%5 AS map_id, sum(sqrt(pow(x-px,2)+pow(y-py,2))) AS length FROM sg GROUP BY 1)
+    SELECT map_id, round(length,3) AS length, round(hull_area,3) AS hull_area, round(hull_area/length,8) AS spacing FROM t JOIN hu USING (map_id)""",
+)
+def contour_spacing(spark, d):
+    s = S.contour_spacing(contours(spark, d), pieces=16)
+    return s.select("map_id", F.round("length", 3).alias("length"), F.round("hull_area", 3).alias("hull_area"), F.round("spacing", 8).alias("spacing"))
+
+
 @query(
     "equal_boundaries",
     """WITH b AS (SELECT p_size*1.0 AS x, length(p_type)*1.0 AS y, p_partkey%5=4 AS bow FROM part) SELECT count(*) AS polygons, count(DISTINCT (x,y,bow)) AS distinct_boundaries FROM b""",

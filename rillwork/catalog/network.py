@@ -114,6 +114,11 @@ def network_profile(spark, d):
     return row.withColumn("loops", F.col("roads") - F.col("nodes") + 1)
 
 
+@query("road_categories", f"WITH {NET} SELECT category, count(*) AS nodes FROM nd GROUP BY 1")
+def road_categories(spark, d):
+    return nodes(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query("places_in_radius", f"WITH {NET} SELECT query, node, id, round(euclid,9) AS euclid FROM ir")
 def places_in_radius(spark, d):
     return rnd(N.in_radius(requests(spark, d), nodes(spark, d)), 9)

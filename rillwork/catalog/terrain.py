@@ -51,9 +51,9 @@ def nb_sql(src: str = "g", out: str = "nb", value: str = "z") -> str:
 
 _EF = """ef AS (SELECT row, col, cell, z, coalesce(nw,w,n,z) AS nw, coalesce(n,z) AS n, coalesce(ne,e,n,z) AS ne, coalesce(w,z) AS w,
       coalesce(e,z) AS e, coalesce(sw,w,s,z) AS sw, coalesce(s,z) AS s, coalesce(se,e,s,z) AS se FROM nb)"""
-SURF = f"""{G}, {nb_sql()}, {_EF},
-    gr AS (SELECT *, ((ne+2*e+se)-(nw+2*w+sw))/80.0::DOUBLE AS dx, ((nw+2*n+ne)-(sw+2*s+se))/80.0::DOUBLE AS dy FROM ef),
+_SLOPE = """gr AS (SELECT *, ((ne+2*e+se)-(nw+2*w+sw))/80.0::DOUBLE AS dx, ((nw+2*n+ne)-(sw+2*s+se))/80.0::DOUBLE AS dy FROM ef),
     sf AS (SELECT *, sqrt(dx*dx+dy*dy) AS hyp, degrees(atan(sqrt(dx*dx+dy*dy))) AS slope FROM gr)"""
+SURF = f"{G}, {nb_sql()}, {_EF}, {_SLOPE}"
 
 
 def surfaces(cells, cell=CELL):
@@ -327,14 +327,12 @@ def strahler_order(spark, d):
 
 @query(
     "stream_totals",
-    f"WITH RECURSIVE {G}, {_STR} SELECT count(*) AS links, round(sum(length_m),4) AS length_m, {MIN_CHANNEL} AS threshold_cells FROM ln",
+    f"WITH RECURSIVE {G}, {_ORD} SELECT count(*) AS links, round(sum(length_m),4) AS length_m, max(ord) AS max_order, {MIN_CHANNEL} AS threshold_cells FROM ln JOIN so USING (link)",
 )
 def stream_totals(spark, d):
-    cells = cut(FL.stream_links(channel(spark, d), K))
-    ln = FL.link_table(cells, K, cols(), CELL)
-    return ln.groupBy("raster").agg(
-        F.count(F.lit(1)).alias("links"), F.round(F.sum("length_m"), 4).alias("length_m"), F.lit(MIN_CHANNEL).alias("threshold_cells")
-    ).drop("raster")
+    return FL.stream_totals(links(spark, d), K).select(
+        "links", F.round("length_m", 4).alias("length_m"), "max_order", F.lit(MIN_CHANNEL).alias("threshold_cells")
+    )
 
 
 def pour_points(spark, d):
@@ -365,14 +363,13 @@ def snap_to_channel(spark, d):
     return rnd(got.drop("raster"), 6)
 
 
-@query(
-    "snap_anywhere",
-    f"""WITH RECURSIVE {G}, {_SNAP}, far AS (SELECT * FROM (SELECT pp.point, ac.cell, ac.acc, g.row AS snap_row, g.col AS snap_col, sqrt(pow((g.row-pp.row)*10.0::DOUBLE,2)+pow((g.col-pp.col)*10.0::DOUBLE,2)) AS dist,
+_FAR = f"""{_SNAP}, far AS (SELECT * FROM (SELECT pp.point, ac.cell, ac.acc, g.row AS snap_row, g.col AS snap_col, sqrt(pow((g.row-pp.row)*10.0::DOUBLE,2)+pow((g.col-pp.col)*10.0::DOUBLE,2)) AS dist,
       row_number() OVER (PARTITION BY pp.point ORDER BY sqrt(pow((g.row-pp.row)*10.0::DOUBLE,2)+pow((g.col-pp.col)*10.0::DOUBLE,2))-1e-6*ac.acc, ac.cell) AS rn FROM pp CROSS JOIN ac JOIN g ON g.cell=ac.cell
       WHERE ac.acc>={MIN_CHANNEL} AND pp.point NOT IN (SELECT point FROM sn)) WHERE rn=1),
-    al AS (SELECT point, cell, acc, dist FROM sn UNION ALL SELECT point, cell, acc, dist FROM far)
-    SELECT point, cell, acc, round(dist,6) AS distance_m FROM al""",
-)
+    al AS (SELECT point, cell, acc, dist FROM sn UNION ALL SELECT point, cell, acc, dist FROM far)"""
+
+
+@query("snap_anywhere", f"WITH RECURSIVE {G}, {_FAR} SELECT point, cell, acc, round(dist,6) AS distance_m FROM al")
 def snap_anywhere(spark, d):
     acc = accumulated(spark, d).withColumn("row", F.floor(F.col("cell") / WIDTH).cast("int"))
     acc = cut(acc.withColumn("col", (F.col("cell") % WIDTH).cast("int")))
@@ -382,9 +379,10 @@ def snap_anywhere(spark, d):
 
 @query(
     "catchments_of_pour_points",
-    f"""WITH RECURSIVE {G}, {_SNAP}, me AS (SELECT dst AS cell, count(*) AS cells, max(g.z)-min(g.z) AS relief_m, max(dist) AS longest_m, bool_or(fl.rim) AS touches_edge
-      FROM wk JOIN g ON g.cell=wk.src JOIN fl ON fl.cell=wk.src GROUP BY 1)
-    SELECT point, sn.cell AS outlet, me.cells, me.cells*100.0::DOUBLE AS area_m2, round(relief_m,6) AS relief_m, round(longest_m,6) AS longest_m, touches_edge FROM sn JOIN me USING (cell)""",
+    f"""WITH RECURSIVE {G}, {_FAR}, {_EF}, {_SLOPE}, me AS (SELECT dst AS cell, count(*) AS cells, max(g.z)-min(g.z) AS relief_m, max(dist) AS longest_m, bool_or(fl.rim) AS touches_edge, avg(sf.slope) AS mean_slope
+      FROM wk JOIN g ON g.cell=wk.src JOIN fl ON fl.cell=wk.src JOIN sf ON sf.cell=wk.src GROUP BY 1)
+    SELECT point, al.cell AS outlet, round(al.dist,6) AS distance_m, al.dist>40+1e-9 AS widened, me.cells, me.cells*100.0::DOUBLE AS area_m2, round(relief_m,6) AS relief_m, round(longest_m,6) AS longest_m, round(mean_slope,6) AS mean_slope,
+      touches_edge, NULL::VARCHAR AS reject FROM al JOIN me USING (cell)""",
 )
 def catchments_of_pour_points(spark, d):
     from rillwork.plans.terrain import catchments

@@ -274,6 +274,13 @@ def snap_to_channel(
     return points.join(best, [*keys, "point"], "left").select(points["*"], "_b.*")
 
 
+def stream_totals(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Links, total length and highest order per raster."""
+    return links.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("links"), F.sum("length_m").alias("length_m"), F.max("ord").alias("max_order")
+    )
+
+
 def snap_anywhere(
     points: DataFrame, flow: DataFrame, keys: Sequence[str], radius_m: float, min_area: float, cell_size: float,
     max_doublings: int = 40,

@@ -345,13 +345,23 @@ def hull_area(points: DataFrame, keys: Sequence[str], pieces: int = 64) -> DataF
     return few.groupBy(*keys).applyInPandas(area, f"{head}, hull_area double")
 
 
+def contour_spacing(contours: DataFrame, pieces: int = 64) -> DataFrame:
+    """Per map: total contour length, hull of the vertices, and spacing = hull area / length."""
+    total = contours.groupBy("map_id").agg(F.sum(polyline_length(F.col("vertices"))).alias("length"))
+    points = contours.select("map_id", F.explode("vertices").alias("v")).select("map_id", "v.x", "v.y")
+    out = total.join(hull_area(points, ["map_id"], pieces), "map_id")
+    return out.withColumn("spacing", F.try_divide("hull_area", "length"))
+
+
 def contour_facts(contours: DataFrame) -> DataFrame:
-    """Per map: lines, vertices, levels, interval (median gap between levels), elevation range."""
+    """Per map: lines, vertices, levels, interval (median gap between levels), elevation range, bounds."""
+    bounds = {f"{c}_{n}": (fn, end, c) for c in "xy" for n, fn, end in (("min", F.min, F.array_min), ("max", F.max, F.array_max))}
     base = contours.groupBy("map_id").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.size("vertices")).alias("vertices"),
         F.min("elevation").alias("z_min"),
         F.max("elevation").alias("z_max"),
+        *[fn(end(F.col(f"vertices.{c}"))).alias(name) for name, (fn, end, c) in bounds.items()],
     )
     levels = contours.select("map_id", "elevation").distinct()  # one row per level, not per line
     w = W.partitionBy("map_id").orderBy("elevation")

@@ -58,19 +58,27 @@ def catchments(
     surface: DataFrame, keys: Sequence[str], points: DataFrame, cols: Column, cell_size: float,
     snap_m: float, min_area: float,
 ) -> DataFrame:
-    """Snap every point to a channel and report its catchment; points off any channel drop out."""
+    """Snap every point to a channel and report its catchment.
+
+    A point with no channel within ``snap_m`` is ``widened`` to the best one of its raster. One on a raster
+    without any keeps its row, with nulls and the ``reject`` reason.
+    """
     keys = list(keys)
     model = cut(flow_model(surface, keys, cols, cell_size))
-    snapped = FL.snap_to_channel(points, model, keys, snap_m, min_area, cell_size).filter(F.col("cell").isNotNull())
-    m = model.select(*keys, "cell", F.col("acc").alias("cells"), "z_max", "z_min", "longest", "fed")
-    return snapped.select(*keys, "point", "cell").join(m, [*keys, "cell"]).select(
+    snapped = FL.snap_anywhere(points, model, keys, snap_m, min_area, cell_size)
+    m = model.select(*keys, "cell", F.col("acc").alias("cells"), "z_max", "z_min", "longest", "fed", "slope_sum")
+    return snapped.select(*keys, "point", "cell", "distance_m").join(m, [*keys, "cell"], "left").select(
         *keys, "point",
         F.col("cell").alias("outlet"),
+        "distance_m",
+        (F.col("distance_m") > snap_m + 1e-9).alias("widened"),
         "cells",
         (F.col("cells") * F.lit(cell_size**2)).alias("area_m2"),
         (F.col("z_max") - F.col("z_min")).alias("relief_m"),
         F.col("longest").alias("longest_m"),
+        (F.col("slope_sum") / F.col("cells")).alias("mean_slope"),
         F.col("fed").alias("touches_edge"),
+        F.when(F.col("cell").isNull(), "no_channel").alias("reject"),
     )
 
 
