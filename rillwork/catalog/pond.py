@@ -155,7 +155,31 @@ def site_exclusions(spark, d):
     return rnd(counts.drop("raster"), 5)
 
 
-@query("terrain_products")
+_PRODUCTS = f"""WITH RECURSIVE {CT._FILL}, gf AS (SELECT cell, row, col, filled AS z, 0 AS size FROM fd),
+    pr AS (WITH RECURSIVE g AS (SELECT * FROM gf), {CT.WALK}, ac AS (SELECT dst AS cell, count(*) AS acc FROM wk GROUP BY 1), {CT._EF}, {CT._SLOPE}, {CT._CURV}
+      SELECT cv.cell, cv.z, slope, CASE WHEN hyp>=1e-9 THEN CASE WHEN degrees(atan2(dx,dy))<0 THEN degrees(atan2(dx,dy))+360 ELSE degrees(atan2(dx,dy)) END END AS aspect,
+      round_even(1+254*least(greatest(cos(radians(45))*cos(atan(hyp))+sin(radians(45))*sin(atan(hyp))*cos(radians(315)-atan2(dx,dy)),0),1),0) AS shade,
+      ln(greatest(acc*10.0::DOUBLE,10)/greatest(hyp,0.001)) AS twi, log10(acc::DOUBLE) AS log_acc,
+      CASE WHEN cg*cg+ch*ch<1e-12 THEN 0 ELSE -2*(cd*cg*cg+ce*ch*ch+cf*cg*ch)/(cg*cg+ch*ch)*100 END AS profile,
+      CASE WHEN cg*cg+ch*ch<1e-12 THEN 0 ELSE -2*(cd*ch*ch+ce*cg*cg-cf*cg*ch)/(cg*cg+ch*ch)*100 END AS plan FROM cv JOIN ac USING (cell))"""
+
+
+@query(
+    "terrain_product_cells",
+    f"{_PRODUCTS} SELECT cell, {', '.join(f'round({c},5)+0 AS {c}' for c in ('z', 'slope', 'aspect', 'shade', 'twi', 'log_acc', 'profile', 'plan'))} FROM pr",
+)
+def terrain_product_cells(spark, d):
+    cells, _ = PT.terrain_products(CT.grid(spark, d).drop("cell"), CT.K, CT.cols(), CT.CELL)
+    layers = ("z", "slope", "aspect", "shade", "twi", "log_acc", "profile", "plan")
+    return cells.select("cell", *[(F.round(c, 5) + 0.0).alias(c) for c in layers])
+
+
+@query(
+    "terrain_products",
+    f"""{_PRODUCTS}, v AS (UNPIVOT (SELECT z, slope, shade, twi, log_acc FROM pr) ON z, slope, shade, twi, log_acc INTO NAME layer VALUE v),
+    q AS (SELECT layer, count(*) AS n, quantile_cont(v,0.02) AS lo, quantile_cont(v,0.98) AS hi FROM v GROUP BY 1)
+    SELECT layer, n, round(lo,5) AS lo, round(CASE WHEN hi<=lo THEN lo+1 ELSE hi END,5) AS hi FROM q""",
+)
 def terrain_products(spark, d):
     _, limits = PT.terrain_products(CT.grid(spark, d).drop("cell"), CT.K, CT.cols(), CT.CELL)
     return rnd(limits.drop("raster"), 5)

@@ -19,11 +19,12 @@ from rillwork.session import cut
 def flow_model(
     surface: DataFrame, keys: Sequence[str], cols: Column, cell_size: float, extra: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Cells with slope, wetness, receiver and the measures of the catchment above each."""
+    """Cells with slope, curvature, wetness, receiver and the measures of the catchment above each."""
     keys = list(keys)
     nb = FO.neighbours(surface, keys)
     dx, dy = T.gradients(T.edge_filled(), F.lit(float(cell_size)))
-    nb = nb.withColumns({"dx": dx, "dy": dy}).drop("_tr", "_tc", *T.SIDES)
+    profile, plan = T.curvatures(T.edge_filled(), F.col("z"), F.lit(float(cell_size)))
+    nb = nb.withColumns({"dx": dx, "dy": dy, "profile": profile, "plan": plan}).drop("_tr", "_tc", *T.SIDES)
     f = cut(FO.flow_direction(nb, keys, cols).withColumn("slope", T.slope_deg(F.col("dx"), F.col("dy"))))
     acc = FL.accumulate(
         f, keys,
