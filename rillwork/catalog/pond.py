@@ -137,7 +137,33 @@ def _rows(spark, d):
     return F.lit(n)
 
 
-@query("ranked_sites")
+_SITES = f"""WITH RECURSIVE {CT._FILL}, gf AS (SELECT cell, row, col, filled AS z, 0 AS size FROM fd),
+    sc AS (WITH RECURSIVE g AS (SELECT * FROM gf), {CT.WALK}, me AS (SELECT dst AS cell, count(*) AS acc, bool_or(fl.rim) AS fed FROM wk JOIN fl ON fl.cell=wk.src GROUP BY 1), {CT._EF}, {CT._SLOPE}
+      SELECT sf.cell, sf.row, sf.col, sf.z, acc, fed, tan(radians(slope))*100 AS slope_pct, ln(greatest(acc*10.0::DOUBLE,10)/greatest(hyp,0.001)) AS twi FROM sf JOIN me USING (cell)),
+    fg AS (SELECT *, acc>=200 AS river, EXISTS (SELECT 1 FROM sc m WHERE m.acc>=50 AND pow(m.row-sc.row,2)+pow(m.col-sc.col,2)<4) AS belt,
+      row<3 OR col<3 OR col>=37 OR row>=(SELECT count(*)//40 FROM part)-3 AS edge FROM sc WHERE acc>=10),
+    ok AS (SELECT *, slope_pct<=15 AND NOT river AS ok, slope_pct<=15 AND NOT river AND NOT belt AND NOT edge AS base FROM fg),
+    al AS (SELECT *, bool_or(base AND NOT fed) OVER () OR NOT bool_or(base) OVER () AS complete FROM ok),
+    el AS (SELECT * FROM al WHERE base AND (NOT complete OR NOT fed)),
+    pl AS (SELECT cell AS site, z AS z0, cell FROM el UNION SELECT p.site, p.z0, b.cell FROM pl p JOIN sc a ON a.cell=p.cell JOIN sc b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1
+      WHERE b.z>=p.z0 AND b.z<p.z0+2),
+    vo AS (SELECT site, sum((z0+2-z)*100) AS volume_m3, count(*)*100.0::DOUBLE AS area_m2 FROM pl JOIN sc USING (cell) GROUP BY 1),
+    cr AS (SELECT *, volume_m3/area_m2 AS efficiency, log10(greatest(acc*0.01::DOUBLE,0.001)) AS la, greatest(least((15-slope_pct)/12,1.0::DOUBLE),0) AS s_flatness FROM el JOIN vo ON vo.site=el.cell),
+    cs AS (SELECT *, greatest(least((la-log10(0.02::DOUBLE))/(log10(0.1::DOUBLE)-log10(0.02::DOUBLE)), 1, (log10(2.0::DOUBLE)-la)/(log10(2.0::DOUBLE)-log10(0.5::DOUBLE))),0) AS s_upstream_area,
+      CASE WHEN max(twi) OVER ()-min(twi) OVER ()<1e-12 THEN 0 ELSE (twi-min(twi) OVER ())/(max(twi) OVER ()-min(twi) OVER ()) END AS s_wetness,
+      CASE WHEN max(efficiency) OVER ()-min(efficiency) OVER ()<1e-12 THEN 0 ELSE (efficiency-min(efficiency) OVER ())/(max(efficiency) OVER ()-min(efficiency) OVER ()) END AS s_impoundment FROM cr),
+    so AS (SELECT *, 0.35*s_upstream_area+0.2*s_flatness+0.15*s_wetness+0.3*s_impoundment AS score FROM cs),
+    od AS (SELECT *, row_number() OVER (ORDER BY score DESC, cell) AS o FROM so),
+    rk AS (SELECT 1 AS rank, o, [o] AS os FROM od WHERE o=1 UNION ALL
+      SELECT rank+1, o, list_append(os, o) FROM (SELECT rk.rank, rk.os, c.o, row_number() OVER (ORDER BY c.o) AS b FROM rk JOIN od c
+        ON NOT EXISTS (SELECT 1 FROM od k WHERE list_contains(rk.os, k.o) AND sqrt(pow(k.row-c.row,2)+pow(k.col-c.col,2))<5) WHERE rk.rank<5) WHERE b=1)"""
+
+
+@query(
+    "ranked_sites",
+    f"""{_SITES} SELECT cell AS id, row, col, rank, acc*100.0::DOUBLE AS upstream_m2, {", ".join(f"round({c},5) AS {c}" for c in
+      ("score", "slope_pct", "twi", "volume_m3", "area_m2", "efficiency", "s_upstream_area", "s_flatness", "s_wetness", "s_impoundment"))} FROM rk JOIN od USING (o)""",
+)
 def ranked_sites(spark, d):
     best, _ = PT.rank_sites(
         CT.grid(spark, d).drop("cell"), CT.K, _rows(spark, d), CT.cols(), CT.CELL, stream_area=1000.0, belt_m=20.0, apart_m=50.0,
@@ -146,7 +172,11 @@ def ranked_sites(spark, d):
     return rnd(best.drop("raster"), 5)
 
 
-@query("site_exclusions")
+@query(
+    "site_exclusions",
+    f"""{_SITES} SELECT count(*) FILTER (base AND (NOT complete OR NOT fed)) AS considered, count(*) FILTER (ok AND belt)+count(*) FILTER (river) AS river_cells,
+      count(*) FILTER (base AND fed AND complete) AS edge_fed_cells, round(max(acc*0.01::DOUBLE),5) AS max_area_ha, bool_or(complete) AS catchments_complete FROM al""",
+)
 def site_exclusions(spark, d):
     _, counts = PT.rank_sites(
         CT.grid(spark, d).drop("cell"), CT.K, _rows(spark, d), CT.cols(), CT.CELL, stream_area=1000.0, belt_m=20.0, apart_m=50.0,
