@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,63 +75,76 @@ def in_radius(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return hit.select("query", "node", "id", e.alias("euclid"))
 
 
+#: Levels that one round of a hop search covers.
+STRIDE = 4
+
+
+def near_nodes(edges: DataFrame, stride: int) -> DataFrame:
+    """``_from, node, step``: every node within ``stride`` hops of every node, with its distance.
+
+    Roads have few neighbours, so this is a small multiple of the nodes; it is computed once per graph.
+    """
+    one = cut(edges.select(F.col("src").alias("_from"), F.col("dst").alias("node")).distinct())
+    grown, every = one.withColumn("step", F.lit(1)), one.withColumn("step", F.lit(1))
+    for k in range(2, stride + 1):
+        onward = one.toDF("node", "_next")
+        grown = grown.join(onward, "node").select("_from", F.col("_next").alias("node")).distinct().withColumn("step", F.lit(k))
+        every = every.unionByName(grown)
+    near = every.filter(F.col("_from") != F.col("node")).groupBy("_from", "node").agg(F.min("step").alias("step"))
+    return cut(near.repartition("_from"))
+
+
 def hop_distances(
     sources: DataFrame, edges: DataFrame, max_hops: int | None = None, both_ways: bool = True,
-    wanted: DataFrame | None = None, check_every: int = 4, parents: bool = False,
+    wanted: DataFrame | None = None, parents: bool = False, stride: int = STRIDE,
 ) -> DataFrame:
     """Hops from every query's source to the nodes it reaches: ``query, node, hops[, parent]``.
 
-    One frontier for all queries, one materialised level per round. On two-way roads a new level
-    can only touch the last two, so what was visited before need not be looked at.
-    ``wanted(query, node, need)`` stops a query once ``need`` of its nodes are reached; looking
-    every few levels only means a level too many, never one too few. The smallest node id
-    becomes the parent.
+    One frontier for all queries, and ``stride`` levels per round: a node ``j`` levels on is ``j`` hops from
+    some node of the frontier. On two-way roads such nodes lie at most ``stride`` levels back, so only
+    the last two rounds have to be looked at. ``wanted(query, node, need)`` stops a query once ``need`` of
+    its nodes are reached; looking once a round only means some levels too many, never one too few.
+    The smallest node id a level nearer becomes the parent.
     """
-    cols = ["query", "node", *(["parent"] if parents else [])]
     spot = ["query", "node"]
-    e = cut(edges.select(F.col("src").alias("_from"), F.col("dst").alias("node")).repartition("_from"))
-    none = F.lit(None).cast("long").alias("parent")
-    first = sources.select("query", F.col("node").cast("long").alias("node")).distinct()
-    levels = [cut(first.select(*spot, *([none] if parents else []), F.lit(0).alias("hops")))]
-    front, last = levels[0].select(*cols), levels[0].filter("false").select(*spot)
-    visited = levels[0].select(*spot)
-    have = need = hits = fresh = None
+    e = near_nodes(edges, stride)
+    start = cut(sources.select("query", F.col("node").cast("long").alias("node")).distinct().withColumn("hops", F.lit(0)))
+    rounds, visited, front, hop = [start], start.select(*spot), start, 0
+    hits = need = have = None
     if wanted is not None:
         hits = wanted.select(*spot)
         need = wanted.groupBy("query").agg(F.first("need").alias("need"))
-        fresh = levels[0].select(*spot)
-    hop = 0
+        have = start.join(hits, spot, "left_semi").groupBy("query").agg(F.count(F.lit(1)).alias("have"))
     while max_hops is None or hop < max_hops:
-        hop += 1
-        step = front.select("query", F.col("node").alias("_from")).join(e, "_from")
-        step = step.groupBy(*spot).agg(*([F.min("_from").alias("parent")] if parents else [F.lit(1).alias("_one")]))
-        here = front.select(*spot)
-        seen = last.unionByName(here) if both_ways else visited
-        nxt = cut(step.join(seen, spot, "left_anti").select(*cols, F.lit(hop).alias("hops")))
-        levels.append(nxt)
-        last, front = here, nxt.select(*cols)
-        visited = visited.unionByName(nxt.select(*spot))
-        if hop % check_every:
-            if wanted is not None:
-                fresh = fresh.unionByName(nxt.select(*spot))
-            continue
+        step = front.select("query", F.col("node").alias("_from")).join(e, "_from").groupBy(*spot).agg(F.min("step").alias("step"))
+        seen = visited
+        if both_ways:
+            seen = rounds[-1].select(*spot) if len(rounds) == 1 else rounds[-1].select(*spot).unionByName(rounds[-2].select(*spot))
+        new = step.join(seen, spot, "left_anti").select(*spot, (F.lit(hop) + F.col("step")).cast("int").alias("hops"))
+        if max_hops is not None:
+            new = new.filter(F.col("hops") <= max_hops)
+        new = cut(new)
+        rounds.append(new)
+        hop += stride
+        front = new.filter(F.col("hops") == hop)
         if not both_ways:
             # rehash, or the unions would pile up ever more small partitions
-            visited = cut(visited.repartition(*spot))
+            visited = cut(visited.unionByName(new.select(*spot)).repartition(*spot))
         if wanted is not None:
-            found = fresh.unionByName(nxt.select(*spot)).join(hits, spot, "left_semi")
-            found = found.groupBy("query").agg(F.count(F.lit(1)).alias("have"))
-            have = found if have is None else have.unionByName(found)
-            have = cut(have.groupBy("query").agg(F.sum("have").alias("have")))
-            fresh = nxt.filter("false").select(*spot)
+            found = new.join(hits, spot, "left_semi").groupBy("query").agg(F.count(F.lit(1)).alias("have"))
+            have = cut(have.unionByName(found).groupBy("query").agg(F.sum("have").alias("have")))
             done = have.join(need, "query").filter(F.col("have") >= F.col("need")).select("query")
-            front = front.join(done, "query", "left_anti")
-        if not front.limit(1).count():
+            front = cut(front.join(done, "query", "left_anti"))
+        if front.isEmpty():
             break
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    return cut(out.repartition(*spot))
+    out = cut(reduce(DataFrame.unionByName, rounds).repartition(*spot))
+    if not parents:
+        return out
+    roads = edges.select(F.col("src").alias("_from"), F.col("dst").alias("node"))
+    back = out.join(roads, "node").withColumn("_level", F.col("hops") - 1)
+    nearer = out.select("query", F.col("node").alias("_from"), F.col("hops").alias("_level"))
+    chosen = back.join(nearer, ["query", "_from", "_level"]).groupBy(*spot).agg(F.min("_from").alias("parent"))
+    return cut(out.join(chosen, spot, "left").select(*spot, "parent", "hops"))
 
 
 def reachable_places(places: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:
