@@ -125,8 +125,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     for an id as somebody's next. Other columns are ignored.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    rows = rows.repartition("key")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), key.alias("key")).repartition("key")
     quarter = F.expr("char_length(text) div 4").cast("int")
     takes = stow(docs.select(key.alias("key"), F.expr("char_length(coalesce(text, '')) div 4").alias("take")).groupBy("key").agg(F.max("take").alias("take")), "takes")
     nexts = stow(next_keys(takes).join(takes, "key"), "nexts")
@@ -135,20 +134,20 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     heads = firsts.join(back, "key").select(F.col("prev").alias("key"), F.expr("substring(text, 1, cast(take as int))").alias("head"))
     both = rows.join(heads, "key").select(
         "key",
-        "doc_id",
         F.monotonically_increasing_id().alias("row"),
         "text",
         F.concat(F.expr("substring(text, 1, char_length(text) - cast(char_length(text) div 4 as int))"), F.substring("head", F.lit(1), quarter)).alias("edited"),
     )
     named = both.select(
-        "key", "doc_id", "row", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n_chars"),
+        "key", "row", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("_t"),
     )
-    by = ["key", "doc_id", "row", "h", "n_chars", "edited_sha256"]
+    by = ["key", "row", "h", "n_chars", "edited_sha256"]
     fps = fingerprint(named.select(*by, F.col("_t.v").alias("v"), F.col("_t.t").alias("t")), [*by, "v"], "t")
     pair = fps.groupBy(*by).agg(F.max(F.when(F.col("v") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("v") == 1, F.col("fp"))).alias("edited_fp"), F.lit(0).alias("_"))
-    pair = stow(pair.drop("_"), "fingerprints")
+    own_id = F.when(F.col("key") != F.lit(-(1 << 63)), F.col("key"))
+    pair = stow(pair.drop("_").withColumn("doc_id", own_id), "fingerprints")
     heads_fp = pair.groupBy("key").agg(F.min_by("fp", "h").alias("next_fp")).withColumnRenamed("key", "next")
     asks = pair.where("doc_id % 50 = 0").select("fp")
     counts = pair.groupBy("fp").agg(F.count("*").alias("held"))
