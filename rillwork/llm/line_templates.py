@@ -79,7 +79,7 @@ def dedupe_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED
     assigned = live.where("n_forms = 1").select("leaf", "form", F.col("form").alias("template"))
     assigned = assigned.unionByName(marks.select("leaf", "form", template.alias("template")))
 
-    lines = narrow.join(assigned, ["leaf", "form"])
+    lines = stow(narrow.join(assigned, ["leaf", "form"]), "templates")
     owners = lines.select("leaf", "template", "doc_id", "key").distinct()
     recurring = owners.groupBy("leaf", "template").agg(F.count("*").alias("held"), first.alias("first")).where(F.col("held") >= min_docs)
     gone = lines.join(recurring, ["leaf", "template"]).where(~(F.col("first.key").eqNullSafe(F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))))
