@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.session import cut, ensure_checkpoint_dir
+from rillwork.session import ensure_checkpoint_dir
 
 #: What separates words: space and the ASCII controls from tab to carriage return.
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -141,22 +141,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round points each node at its smallest neighbour, follows the pointers twice and contracts
     the edges; finished components leave the edges. Nothing but one emptiness flag reaches the driver.
-    Self-loops, nulls and repeated edges are ignored; without edges the result is empty.
+    Self-loops, nulls and repeated edges are ignored; without edges the result is empty. Rounds are kept as
+    stored tables: a checkpointed plan would carry the inferred constraints of all rounds before it.
     """
-    live = cut(edges.select("a", "b").where("a <> b").distinct())
+    live = stow(edges.select("a", "b").where("a <> b").distinct(), "edges")
     steps = []
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
         up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("p"))
-        up = cut(up)
+        up = stow(up, "pointers")
         for _ in range(2):
             over = up.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             up = up.join(over, "p").select("u", F.col("pp").alias("p"))
-        up = cut(up)
+        up = stow(up, "pointers")
         steps.append(up)
         pa_, pb = up.toDF("a", "pa"), up.toDF("b", "pb")
         live = live.join(pa_, "a").join(pb, "b").where("pa <> pb")
-        live = cut(live.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        live = stow(live.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
     if not steps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[0].toDF("node", "root")

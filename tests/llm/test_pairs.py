@@ -48,6 +48,19 @@ def test_components(spark):
     assert len({got[i] for i in (1, 2, 3, 7, 8, 9)}) == 1 and got[20] == got[21] != got[1] and 5 not in got
 
 
+def test_components_of_long_chains(spark):
+    """Many rounds: shuffled paths of up to 300 nodes."""
+    rng = random.Random(12)
+    edges, part, at = [], {}, 0
+    for n in (300, 120, 40, 2):
+        ids = rng.sample(range(at, at + n), n)
+        edges += list(zip(ids, ids[1:]))
+        part |= {i: at for i in ids}
+        at += n
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got.keys() == part.keys() and len({(got[i], part[i]) for i in part}) == 4 == len(set(got.values()))
+
+
 def test_leaks_match_every_window(spark):
     rng = random.Random(5)
     items = [(i, prose(rng, rng.choice([6, 18, 40]), 5000)) for i in range(12)] + [(90, "too short"), (91, None), (92, "")]
