@@ -46,7 +46,7 @@ def dedupe_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED
 
     A template recurs if lines of at least ``min_docs`` different documents have it. The document with
     the smallest id keeps its lines; all others lose theirs, so that no content leaves the corpus for
-    good. A document is an id and a text: rows that repeat both count once and are treated alike; null
+    good. A document is an id and a text, keyed by 64 bits of both: rows that repeat both count once and are treated alike; null
     ids come last. Lines of fewer than ``MIN_WORDS`` words always stay. A null text stays null with no
     lines; an empty one has one, empty line. Other columns pass through, whatever their names.
     """
@@ -63,10 +63,9 @@ def dedupe_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED
     # leaves with several forms: read the words of one line of each form, find the fixed places
     mixed = live.where("n_forms > 1")
     wanted = mixed.select("first.doc_id", "first.key", "leaf", "form", "m")
-    asked = wanted.groupBy("doc_id", "key").agg(F.collect_list("form").alias("asked"))
-    texts = slim.repartition("key")
-    same = lambda a, b: F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
-    read = texts.alias("t").join(asked.alias("a"), same("t", "a")).select("t.text", "a.asked")
+    asked = wanted.groupBy("key").agg(F.collect_list("form").alias("asked"))
+    # dealt by key on purpose: the join and nothing else then moves the texts, at any size
+    read = slim.repartition("key").join(asked, "key").select("text", "asked")
     told = _lines(read, "asked").where(F.array_contains("asked", F.col("form"))).select("leaf", "form", "w").dropDuplicates(["leaf", "form"])
     placed = told.join(mixed.select("leaf", "form", "m"), ["leaf", "form"]).select("leaf", "form", "m", F.posexplode("w").alias("at", "word"))
     placed = stow(placed.select("leaf", "form", "m", "at", F.xxhash64("word").alias("word")), "words")
@@ -83,10 +82,9 @@ def dedupe_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED
     owners = lines.select("leaf", "template", "doc_id", "key").distinct()
     recurring = owners.groupBy("leaf", "template").agg(F.count("*").alias("held"), first.alias("first")).where(F.col("held") >= min_docs)
     gone = lines.join(recurring, ["leaf", "template"]).where(~(F.col("first.key").eqNullSafe(F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))))
-    drops = gone.groupBy("doc_id", "key").agg(F.collect_set("form").alias("_drops")).withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
+    drops = gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set("form").alias("_drops"))
 
-    keyed = docs.withColumn("_key0", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(drops, F.col("_key0").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).repartition("_key").join(drops, "_key", "left")
     lines_of = F.split("text", "\n")
     stay = F.filter(lines_of, lambda line: ~F.array_contains("_drops", form(line)))
     joined = joined.withColumn("_stay", F.when(F.isnotnull("_drops"), stay))
