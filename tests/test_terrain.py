@@ -158,3 +158,11 @@ def test_flat_ground_has_no_sites(spark):
         cells(spark, z).drop("cell"), K, F.lit(12), F.lit(12).cast("long"), 30.0, stream_area=1e6
     )
     assert best.count() == 0
+
+
+def test_a_raster_without_candidates_cuts_no_catchment_off(spark):
+    rows = [("steep", 10, 10, 1, True, 40.0, 9, True, None), ("good", 10, 10, 1, True, 2.0, 9, False, None), ("cut", 10, 10, 1, True, 2.0, 9, True, None)]
+    df = spark.createDataFrame(rows, "raster string, row int, col int, cell long, stream boolean, slope_pct double, acc long, fed boolean, dist_major double")
+    flagged = FL.site_flags(df, K, F.lit(20), F.lit(20), 100.0)
+    got = {r["raster"]: (r["considered"], r["catchments_complete"]) for r in FL.site_counts(flagged, K, 100.0).collect()}
+    assert got == {"steep": (0, True), "good": (1, True), "cut": (1, False)}
