@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rillwork.llm.common import stow, words
 
 #: Leading words that choose a leaf below the word count.
-LEAD = 4
+LEAD = 3
 #: Least number of documents that make a template recurring, and of words that make a line a candidate.
 MIN_DOCS, MIN_WORDS = 3, 5
 #: Least share of fixed words in a template that generalises several forms.

@@ -93,7 +93,7 @@ def test_lines_match_plain_templates(spark):
         lines = [prose(rng, rng.choice([2, 6, 15]), 9000) for _ in range(4)]
         lines.append(f"page {d} of {d + 7} printed on 2024-01-{d:02d}")
         if d % 2:
-            lines.append(f"posted here by user name{'abc'[d % 3]} in the news forum today")
+            lines.append(f"posted by user name{'abc'[d % 3]} in the news forum today")
         if d % 5 == 0:
             lines += ["all rights reserved by the owner", "short line"]
         if d % 10 < 2:
@@ -107,6 +107,13 @@ def test_lines_match_plain_templates(spark):
     assert sum(r.n_dropped for r in got) > 30 and {r.key for r in got} == {"k"}
 
 
+def test_fourth_word_may_vary(spark):
+    """A field without digits as the fourth word, each value in one document."""
+    docs = [(d, f"posted by user {chr(97 + d)}name in the news forum today\nline of {'xyzuvw'[d]} alone here") for d in range(6)]
+    got = {r.doc_id: r.text for r in line_templates.dedupe_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: t if d == 0 else t.split("\n")[1] for d, t in docs} == {d: t for (d, _), t in dedupe(docs).items()}
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None), (None, None), (1, ""), (1, "")]])
 def test_empty_and_null(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
