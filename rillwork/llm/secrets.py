@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -24,17 +25,23 @@ _HINT = re.compile("|".join(_either(w) for w in ("passw", "secret", "token", "ke
 _ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 _HEX = re.compile("(?<![0-9a-f])[0-9a-f]{16,}")
 
-#: Character class of a candidate, window length, least bits a symbol in a window, least digits in it.
+#: Character class of a candidate, window length, least bits a symbol in a window.
 CLASSES = {
-    "entropy_hex": ("0123456789abcdefABCDEF", 20, 3.0, 4),
-    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 3.9, 2),
+    "entropy_hex": ("0123456789abcdefABCDEF", 20, 3.0),
+    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 3.9),
 }
-#: Strings that look random and are public: identifiers, digests named as such, placeholders, alphabets.
+#: Least length of a candidate; one shorter than a window is judged as one window of its own length.
+SHORT = 16
+#: What a part of a URL may consist of: quotes, brackets, commas and other marks around a URL end it.
+_PART = r"""[^\s"'`<>(){}\[\],;|\\^=&?#/@]"""
+#: Strings that look random and are public: identifiers, digests named as such, host and plain path of a URL,
+#: placeholders, alphabets. A group ``quiet`` is the part of the match that is silenced.
 ALLOWED = (
     r"(?i:sha(?:1|256|384|512)[-:])[A-Za-z0-9+/=]+",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?i:https?://)\S+",
-    r"(?i:[A-Z0-9+/_=-]*(?:example|placeholder|0123456789|abcdefghij)[A-Z0-9+/_=-]*)",
+    # no user and password, nothing from a web hook's name on, no query and no fragment
+    rf"""(?i:https?://)(?:[^\s"'`<>/?#@]*@)?(?P<quiet>(?!hooks?\.){_PART}+(?:/(?!(?i:(?:web)?hooks?|services)/){_PART}*)*)""",
+    r"(?<![A-Za-z0-9+/_=-])(?i:[A-Z0-9+/_=-]*(?:example|placeholder|0123456789|abcdefghij)[A-Z0-9+/_=-]*)",
 )
 
 
@@ -52,7 +59,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TERM = [0.0, 0.0] + [c * math.log2(c) for c in range(2, 65)]
 
 
-def hot_windows(s: str, width: int, bits: float, digits: int) -> list[tuple[int, int]]:
+def hot_windows(s: str, width: int, bits: float, digits: int = 0) -> list[tuple[int, int]]:
     """Merged windows of ``width`` characters with at least ``bits`` of Shannon entropy and ``digits`` digits.
 
     One character enters and one leaves per step; ``load`` keeps the sum of c log2 c over the counts.
@@ -79,9 +86,28 @@ def hot_windows(s: str, width: int, bits: float, digits: int) -> list[tuple[int,
     return out
 
 
-def _candidates(alphabet: str, width: int) -> re.Pattern:
+def _hot(s: str, width: int, bits: float) -> list[tuple[int, int]]:
+    """Hot windows of a candidate; a short one is a window of its own, with ``bits`` in proportion to the most it can have."""
+    if len(s) < width:
+        width, bits = len(s), bits * math.log2(len(s)) / math.log2(width)
+    return hot_windows(s, width, bits)
+
+
+def _candidates(alphabet: str) -> re.Pattern:
     one = "[" + re.escape(alphabet) + "]"
-    return re.compile(f"(?<!{one}){one}{{{width},}}")
+    return re.compile(f"(?<!{one}){one}{{{SHORT},}}")
+
+
+def _outside(b: int, e: int, quiet: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of ``b`` to ``e`` that no sorted span of ``quiet`` covers, if long enough for a candidate."""
+    for x, y in quiet[max(0, bisect_right(quiet, (b,)) - 1) :]:
+        if x >= e:
+            break
+        if x - b >= SHORT:
+            yield b, x
+        b = max(b, y)
+    if e - b >= SHORT:
+        yield b, e
 
 
 def _clear(span: tuple[int, int], others: Sequence[tuple]) -> bool:
@@ -89,26 +115,34 @@ def _clear(span: tuple[int, int], others: Sequence[tuple]) -> bool:
 
 
 class Scanner:
-    """Spans of one text at a time; ``allow`` are patterns whose matches silence entropy spans they touch."""
+    """Spans of one text at a time; ``allow`` are patterns whose matches are cut out of the candidates."""
 
     def __init__(self, allow: Sequence[str] = ALLOWED, classes: dict = CLASSES):
         self.allow = [re.compile(p) for p in allow]
-        self.classes = [(kind, _candidates(a, w), w, bits, digits) for kind, (a, w, bits, digits) in classes.items()]
+        self.classes = [(kind, _candidates(a), w, bits) for kind, (a, w, bits) in classes.items()]
+
+    def _quiet(self, text: str) -> list[tuple[int, int]]:
+        spans = sorted(m.span("quiet" if "quiet" in p.groupindex else 0) for p in self.allow for m in p.finditer(text))
+        out: list[tuple[int, int]] = []
+        for b, e in spans:
+            if out and b <= out[-1][1]:
+                out[-1] = (out[-1][0], max(e, out[-1][1]))
+            else:
+                out.append((b, e))
+        return out
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         out: list[tuple[str, int, int]] = []
         quiet = None
-        for kind, runs, width, bits, digits in self.classes:
+        for kind, runs, width, bits in self.classes:
             for m in runs.finditer(text):
-                s = m.group()
-                if not re.search("[0-9]", s):
-                    continue
-                for b, e in hot_windows(s, width, bits, digits):
-                    span = (m.start() + b, m.start() + e)
-                    if quiet is None:
-                        quiet = [x.span() for p in self.allow for x in p.finditer(text)]
-                    if _clear(span, base) and _clear(span, out) and _clear(span, quiet):
-                        out.append((kind, *span))
+                if quiet is None:
+                    quiet = self._quiet(text)
+                for x, y in _outside(*m.span(), quiet):
+                    for b, e in _hot(text[x:y], width, bits):
+                        span = (x + b, x + e)
+                        if _clear(span, base) and _clear(span, out):
+                            out.append((kind, *span))
         return out
 
 
@@ -122,7 +156,7 @@ def scan_secrets(docs: DataFrame, allow: Sequence[str] = ALLOWED) -> DataFrame:
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then by kind. ``base_sha256``
     digests those of the fixed patterns; ``spans`` also has the entropy spans: windows of candidate
     strings of one character class whose entropy is high, merged where they overlap, unless they touch
-    a fixed span or a match of the allow-list. Null and empty texts have no spans; every row, repeated
+    a fixed span. Matches of the allow-list are cut out of the candidates first. Null and empty texts have no spans; every row, repeated
     or with a null id, gives one row. A text is scanned whole by one task, in memory of its own length;
     one entropy window costs one step per character.
     """

@@ -90,6 +90,32 @@ def test_entropy_counts_are_incremental():
         assert secrets.hot_windows(s, 20, 3.2, 4) == naive_windows(s, 20, 3.2, 4)
 
 
+KEY = "qL8vT2zR9xW4mN7pK3sB6yH1"
+
+
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ('{"u":"https://a.b/c","k":"' + KEY + '"}', KEY),
+        (f"https://a.b/c,{KEY},x", KEY),
+        (f"see https://user:{KEY}@a.b/c", KEY),
+        (f"https://a.b/c?sig={KEY}&x=1", KEY),
+        (f"https://hooks.a.b/x/{KEY}", KEY),
+        (f"550e8400-e29b-41d4-a716-446655440000{KEY}", KEY),
+        ("x qLvTzRxWmNpKsByHcFgJdUaE y", "qLvTzRxWmNpKsByHcFgJdUaE"),
+        ("x qL8vT2zR9xW4mN7p y", "qL8vT2zR9xW4mN7p"),
+    ],
+)
+def test_secrets_beside_and_in_addresses(text, secret):
+    found = [text[b:e] for _, b, e in secrets.Scanner().added(text, secrets.base_spans(text))]
+    assert any(secret[:16] in f or secret in f for f in found)
+
+
+def test_plain_addresses_are_no_secrets():
+    for text in (f"https://a.b/c/{KEY}", f'<a href="https://user@a.b/{KEY}">', "550e8400-e29b-41d4-a716-446655440000", "a" * 40):
+        assert not secrets.Scanner().added(text, secrets.base_spans(text))
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
