@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def row_key() -> Column:
+    """64 bits of id and text, never null: rows that repeat both share it, rows with a null id are told apart by their texts."""
+    return F.xxhash64("doc_id", "text")
+
+
 def stow(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 

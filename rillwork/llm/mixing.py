@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rillwork.llm.common import stow, words
+from rillwork.llm.common import row_key, stow, words
 
 #: Rows of a source that one window task orders at the cut.
 CUT_ROWS = 1 << 11
@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
     return rows.withColumn("level", level).select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "", keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of every row of ``docs``.
 
     ``size`` counts the words of the text (null or empty: 0). The documents of a source stand in the
@@ -47,14 +47,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     rest is cut from the front of that order, inside the document where the sum meets it. ``taken``
     counts words with repeats. A null source is a source of its own, the last. Null ids share one place
     in the order; rows that repeat an id follow each other by size, so equal rows may be cut unequally
-    but the result is the same each time. Other columns are ignored; an empty table gives an empty
+    but the result is the same each time. Columns of ``keep`` are passed on and order such rows after
+    their size; others are ignored; an empty table gives an empty
     result. Sources are one row each in the sharing step; documents never meet in one task: only those
     of the bucket that holds a source's cut, about ``CUT_ROWS``, are ordered.
     """
     if most < 1 or min(weights) < 1:
         raise ValueError("weights and most must be at least 1")
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    slim = stow(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key")), "sizes")
+    slim = stow(docs.select("doc_id", "source", *keep, F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key")), "sizes")
     bits = max(0, (slim.count() // CUT_ROWS).bit_length())
     slim = slim.withColumn("bucket", F.shiftright("key", 60 - bits))
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
@@ -72,12 +73,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
         F.col("t.source").alias("of"), "source_size", "target", "epochs", "rest", F.col("c.bucket").alias("cut_at"), "before"
     )
     rows = slim.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    order = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("source").orderBy("key", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, -1)
     at = rows.where("bucket = cut_at").withColumn("first", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     at = at.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("first")))).drop("first")
     off = rows.where("cut_at is null or bucket <> cut_at").withColumn("extra", F.when(F.col("bucket") < F.col("cut_at"), F.col("size")).otherwise(F.lit(0)))
     return at.unionByName(off).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken")
+        "doc_id", "source", *keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken")
     )
 
 
@@ -86,13 +87,15 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3,
 
     ``epoch_words`` is the words to take from the front of the text in that epoch: all of them except in
     the document that a source's budget cuts. Documents without words, and those that the mix leaves
-    out, are not in it. Needs ids that are not null and not repeated.
+    out, are not in it. Every row counts for itself, also with a null or repeated id: rows get stored
+    numbers of their own, by which they meet what is taken of them.
     """
-    taken = mix_sources(docs, weights, most, seed).where("taken > 0").select("doc_id", "size", "taken")
+    rows = stow(docs.withColumn("_tie", row_key()).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    taken = mix_sources(rows, weights, most, seed, ["_tie", "_row"]).where("taken > 0").select("_row", "size", "taken")
     epoch = F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))"))
     return (
-        docs.join(taken, "doc_id")
+        rows.join(taken, "_row")
         .withColumn("epoch", epoch)
         .withColumn("epoch_words", F.least("size", F.col("taken") - (F.col("epoch") - 1) * F.col("size")))
-        .drop("size", "taken")
+        .drop("size", "taken", "_tie", "_row")
     )

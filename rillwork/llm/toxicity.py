@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillwork.llm.common import row_key
+
 #: Bound of the labelled rows that the index is fitted on, and of its vocabulary.
 TRAIN_ROWS, TERMS = 8192, 512
 #: Least chi-square of a term: below, a difference between the labels may be chance among so many terms.
@@ -192,14 +194,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: int =
     return index
 
 
-def score(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC, asked: DataFrame | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted, near_ids, near_cosines`` of every row of ``docs``.
 
     ``near_ids`` are the nearest labelled examples, the evidence. A text that shares no term with the
     vocabulary (empty and null ones too) gets the rate of toxic labels among such examples. Without
     labels, or with labels of one kind, every score is the rate of toxic labels (0 without any). Each row
     is scored for itself, so repeated rows agree; other columns are ignored. The score depends on the text
-    alone.
+    alone. With ``asked``, its rows are scored in place of ``docs``, which then only has the labelled texts.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels))
@@ -215,12 +217,19 @@ def score(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC) -> Data
                 names=["doc_id", "held_out", "score", "near_ids", "near_cosines"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
+    rows = (docs if asked is None else asked).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, near_ids array<long>, near_cosines array<double>")
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= toxic_from, 1).otherwise(0).cast("int").alias("predicted"), "near_ids", "near_cosines")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC) -> DataFrame:
-    """``docs`` without the documents called toxic; rows with a null id stay."""
+def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC, by_row: bool = False) -> DataFrame:
+    """``docs`` without the documents called toxic; rows with a null id stay.
+
+    With ``by_row`` every row is judged by its own text, whether its id is null or repeated or not.
+    """
+    if by_row:
+        bad = score(docs, labels, toxic_from, docs.select(row_key().alias("doc_id"), "text"))
+        bad = bad.where("predicted = 1").select(F.col("doc_id").alias("_key")).distinct()
+        return docs.withColumn("_key", row_key()).join(bad, "_key", "left_anti").select(*docs.columns)
     bad = score(docs, labels, toxic_from).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")

@@ -11,6 +11,7 @@ import pytest
 from brute import corpus, dedupe, groups, leaks, prose, words
 
 from rillwork.llm import mixing, toxicity, url_filters
+from rillwork.llm.common import stow
 
 # ---------------------------------------------------------------- mixing
 
@@ -72,6 +73,16 @@ def test_mixture_repeats_epochs(spark):
         assert sum(n for _, n in mine) == taken[d] and [e for e, _ in mine] == list(range(1, len(mine) + 1))
 
 
+def test_mixture_of_null_and_repeated_ids(spark):
+    rows = [(None if d < 6 else d // 4, "ab"[d % 2], f"w{d // 2} " * (1 + d % 5)) for d in range(40)] + [(3, "a", "same row")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken = mixing.mix_sources(df).collect()
+    got = mixing.mixture(df).collect()
+    for s in "ab":
+        assert sum(r.epoch_words for r in got if r.source == s) == sum(r.taken for r in taken if r.source == s) == int(taken[[r.source for r in taken].index(s)].target)
+    assert sum(r.epoch == 1 for r in got) == sum(r.taken > 0 for r in taken) and any(r.doc_id is None for r in got)
+
+
 # ---------------------------------------------------------------- URL filters
 
 ENTRIES = [
@@ -200,3 +211,33 @@ def test_pipeline_is_its_stages(spark, tmp_path):
         sums[r.doc_id] = sums.get(r.doc_id, 0) + r.epoch_words
         assert r.text == dict(left)[r.doc_id]
     assert sums == want
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(13)
+    docs, labels = labelled(120)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    marked = toxicity.score(spark.createDataFrame([(d, t) for d, t in docs], "doc_id long, text string"), lab).collect()
+    toxic = dict(docs)[next(r.doc_id for r in marked if r.predicted)]
+    item = prose(rng, 20, 5000)
+    lone, two = prose(rng, 60, 9000), prose(rng, 60, 9000)
+    mine = [(None, toxic), (None, f"{prose(rng, 30)} {item} x"), (None, lone), (None, lone), (None, two), (800, two), (800, two), (800, prose(rng, 50, 9000)), (801, lone + " end")]
+    mine += [(None, f"{prose(rng, 30, 9000)}\nthis very line is in many documents here") for _ in range(4)]
+    at = str(tmp_path)
+    lab.write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    df = spark.createDataFrame([(d, t, "en", f"s{i % 2}", len(t)) for i, (d, t) in enumerate(docs + mine)], shape).repartition(3)
+    for name, stage in pipeline.STAGES[:-1]:
+        df = stow(stage(spark, df, at), name)
+        texts = [r.text for r in df.collect()]
+        assert (toxic in texts) is False
+        assert name == "toxicity" or sum("this very line" in t for t in texts) == 1
+        assert name in ("toxicity", "line_dedup") or (texts.count(two), texts.count(lone), texts.count(lone + " end")) == (1, 0, 1)
+        assert any(item in t for t in texts) == (name != "decontamination")
+    left = df.collect()
+    assert sum(r.doc_id == 800 for r in left) == 2 and sum(r.doc_id is None for r in left) == 4
+    got = pipeline.STAGES[-1][1](spark, df, at).collect()
+    taken = mixing.mix_sources(df).collect()
+    assert sum(r.epoch_words for r in got) == sum(r.taken for r in taken) and len({(r.doc_id, r.text, r.epoch) for r in got}) == len(got)
