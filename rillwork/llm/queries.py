@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rillwork.catalog.base import query, table
-from rillwork.llm import decontaminate, fingerprints, jaccard_join, line_templates, mixing, secrets, surrogates, token_counts, toxicity, url_filters
+from rillwork.llm import decontaminate, fingerprints, jaccard_join, line_templates, mixing, role_repair, secrets, surrogates, token_counts, top_search, toxicity, url_filters, whitening
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -121,3 +121,29 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with personal data replaced."""
     return surrogates.replace_private(table(spark, folder, "documents")).select("doc_id", "text", "n_replaced")
+
+
+@query(
+    "op13_top_search",
+    """WITH u AS (SELECT vec_id, list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+      FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(q.x) = len(c.x)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector."""
+    return top_search.top_scores(table(spark, folder, "embeddings"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector along the four leading components."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_role_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Damage and cheapest repair of every conversation."""
+    return role_repair.repair_conversations(table(spark, folder, "conversations"))
