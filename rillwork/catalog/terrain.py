@@ -12,6 +12,7 @@ from rillwork.functions import terrain as T
 from rillwork.operators import flow as FL
 from rillwork.operators import focal as FO
 from rillwork.operators import ordered as O
+from rillwork.operators import pools as PL
 from rillwork.operators import spatial as S
 from rillwork.operators import tiles as TI
 from rillwork.session import cut
@@ -465,8 +466,7 @@ _POOL = f"""{G}, {_PP}, s0 AS (SELECT point AS site, g.cell, g.row, g.col, g.z F
     FROM s0 CROSS JOIN (SELECT unnest(range(0,{_EAVN + 1})) AS k) k LEFT JOIN w ON w.site=s0.site AND w.k=k.k""",
 )
 def elevation_area_volume(spark, d):
-    h = FL.pool_heights(_sites(spark, d), grid(spark, d), K, rise=4.0)
-    c = FL.pool_curve(h, K, 4.0, 0.5, CELL**2).drop("raster")
+    c = PL.pool_levels(_sites(spark, d), grid(spark, d), K, [0.5 * k for k in range(_EAVN + 1)], CELL**2).drop("raster", "z0")
     return rnd(c, 6).withColumn("volume_m3", F.round("volume_m3", 4))
 
 
@@ -475,8 +475,8 @@ def elevation_area_volume(spark, d):
     f"""WITH RECURSIVE {_POOL} SELECT site, round(sum((lvl-g.z)*100),4) AS volume_m3, count(*)*100.0::DOUBLE AS area_m2 FROM pl JOIN g USING (cell) WHERE k=4 GROUP BY 1""",
 )
 def impoundment(spark, d):
-    h = FL.pool_heights(_sites(spark, d), grid(spark, d), K, rise=2.0)
-    return rnd(FL.impoundment(h, K, 2.0, CELL**2).drop("raster"), 4)
+    pools = PL.pool_levels(_sites(spark, d), grid(spark, d), K, [2.0], CELL**2)
+    return rnd(pools.select("site", "volume_m3", "area_m2"), 4)
 
 
 @query(

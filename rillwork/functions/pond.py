@@ -66,14 +66,10 @@ def volume_at(length: Column, width: Column, depth: Column, slope: float, level:
     return _prism(h, area_at(length, width, depth, slope, h), bottom_area(length, width, depth, slope))
 
 
-#: Widest pond that is designed; the search gives none beyond it.
-WIDEST_M = 2000.0
-
-
 def solve_width(target: Column, depth: Column, aspect: Column, slope: float, steps: int = 12) -> Column:
     """Top width whose frustum (length = aspect × width) holds ``target``.
 
-    Null when even the narrowest holds more, or the width would exceed ``WIDEST_M``.
+    Null when even the narrowest holds more.
 
     The volume grows and bends upward with the width, so Newton steps from a width that is
     certainly too large close in on the root from above; a dozen reach machine precision.
@@ -96,10 +92,12 @@ def solve_width(target: Column, depth: Column, aspect: Column, slope: float, ste
 
     start = F.greatest(F.sqrt(target / (third * aspect)), lo)
     got = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, closer)
-    held = storage(aspect * got, got, depth, slope)
-    exact = F.abs(held - target) <= F.lit(1e-6) * F.greatest(F.abs(target), F.lit(1.0))
-    sure = F.when(exact, got).otherwise(F.raise_error(F.lit("the width did not converge")).cast("double"))
-    return F.when((storage(aspect * lo, lo, depth, slope) <= target) & (got <= WIDEST_M), sure)
+
+    def checked(w: Column) -> Column:
+        exact = F.abs(storage(aspect * w, w, depth, slope) - target) <= F.lit(1e-6) * F.greatest(F.abs(target), F.lit(1.0))
+        return F.when(exact, w).otherwise(F.raise_error(F.lit("the width did not converge")).cast("double"))
+
+    return F.when(storage(aspect * lo, lo, depth, slope) <= target, let(got, checked))
 
 
 def spillway(

@@ -24,7 +24,9 @@ def candidates(
         *[F.struct(F.lit(d).alias("depth"), F.lit(a).alias("aspect")) for d in depths for a in ASPECTS]
     )
     c = sites.withColumn("_g", F.explode(grid)).select("*", "_g.*").drop("_g")
-    c = c.withColumn("width", P.solve_width(F.col(target), F.col("depth"), F.col("aspect"), slope))
+    # exploded, so that the columns below read the solved width and do not solve it again
+    width = F.array(P.solve_width(F.col(target), F.col("depth"), F.col("aspect"), slope))
+    c = c.withColumn("width", F.explode(width))
     c = c.filter(F.col("width").isNotNull()).withColumn("length", F.col("aspect") * F.col("width"))
     length, width, depth = F.col("length"), F.col("width"), F.col("depth")
     c = c.filter(P.feasible(length, width, depth, slope)).withColumns(

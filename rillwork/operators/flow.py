@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rillwork.functions import terrain as T
-from rillwork.operators.focal import neighbour_pairs
 from rillwork.operators.spatial import radius_join
 from rillwork.session import attach, cut
 
@@ -312,76 +311,6 @@ def snap_anywhere(
     raise RuntimeError("points are still far from every channel; raise max_doublings")
 
 
-def pool_heights(
-    sites: DataFrame, surface: DataFrame, keys: Sequence[str], rise: float, max_rounds: int = 100_000
-) -> DataFrame:
-    """Lowest level at which water behind each site reaches each cell, up to ``rise`` above it.
-
-    ``sites(<keys>, site, row, col)``, ``surface(<keys>, row, col, z)`` (filled). A pool may use
-    cells not below the outlet; upstream cells of a filled surface always qualify. A cell is
-    flooded at a level when its height is below it. ``reach`` is the smallest possible highest
-    point on a way from the outlet.
-    """
-    keys = list(keys)
-    spot = [*keys, "site", "row", "col"]
-    grid = surface.select(*keys, "row", "col", "z")
-    first = sites.select(*keys, "site", "row", "col").join(grid, [*keys, "row", "col"])
-    best = cut(first.select(*spot, "z", F.col("z").alias("reach"), F.col("z").alias("z0")))
-    front = best
-    for _ in range(max_rounds):
-        near = neighbour_pairs(front.select(*spot, "reach", "z0")).drop("row", "col")
-        near = near.withColumnsRenamed({"row2": "row", "col2": "col"})
-        step = near.join(grid, [*keys, "row", "col"]).filter(
-            (F.col("z") >= F.col("z0")) & (F.col("z") < F.col("z0") + rise)
-        )
-        cand = step.groupBy(*spot).agg(
-            F.min(F.greatest("reach", "z")).alias("_new"), F.first("z").alias("_z"), F.first("z0").alias("_z0")
-        )
-        both = best.join(cand, spot, "full_outer")
-        better = F.col("_new").isNotNull() & (F.col("reach").isNull() | (F.col("_new") < F.col("reach")))
-        both = both.select(
-            *spot, F.coalesce("z", "_z").alias("z"), F.when(better, F.col("_new")).otherwise(F.col("reach")).alias("reach"),
-            F.coalesce("z0", "_z0").alias("z0"), better.alias("_moved"),
-        )
-        both = cut(both)
-        best = both.drop("_moved")
-        front = both.filter("_moved").drop("_moved")
-        if not front.limit(1).count():
-            return best
-    raise RuntimeError("pool did not settle; raise max_rounds")
-
-
-def pool_curve(heights: DataFrame, keys: Sequence[str], rise: float, step: float, cell_area: float) -> DataFrame:
-    """Elevation-area-volume curve per site: flooded area and volume at each level."""
-    keys = list(keys)
-    n = round(rise / step)
-    # a cell takes part in every level above its reach: expand from its first level on
-    ks = F.sequence(F.lit(0), F.lit(n))
-    at = heights.withColumn("_k", F.explode(F.filter(ks, lambda k: F.col("z0") + k * F.lit(step) > F.col("reach"))))
-    level = F.col("z0") + F.col("_k") * F.lit(step)
-    wet = at.groupBy(*keys, "site", "_k").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum((level - F.col("z")) * cell_area).alias("volume_m3")
-    )
-    spine = heights.groupBy(*keys, "site").agg(F.min("z0").alias("z0")).select(*keys, "site", "z0", F.explode(ks).alias("_k"))
-    return spine.join(wet, [*keys, "site", "_k"], "left").select(
-        *keys, "site",
-        (F.col("_k") * F.lit(step)).alias("level_m"),
-        (F.col("z0") + F.col("_k") * F.lit(step)).alias("elevation_m"),
-        (F.coalesce("_n", F.lit(0)) * F.lit(float(cell_area))).alias("area_m2"),
-        F.coalesce("volume_m3", F.lit(0.0)).alias("volume_m3"),
-    )
-
-
-def impoundment(heights: DataFrame, keys: Sequence[str], rise: float, cell_area: float) -> DataFrame:
-    """Volume and area behind each site with the water ``rise`` above it."""
-    level = F.col("z0") + F.lit(rise)
-    wet = F.col("reach") < level
-    return heights.groupBy(*keys, "site").agg(
-        F.sum(F.when(wet, (level - F.col("z")) * cell_area).otherwise(0.0)).alias("volume_m3"),
-        (F.count(F.when(wet, 1)) * F.lit(float(cell_area))).alias("area_m2"),
-    )
-
-
 def suppress_near(scored: DataFrame, keys: Sequence[str], radius: float, top_n: int) -> DataFrame:
     """Best first, then drop everything strictly closer than ``radius``; at most ``top_n`` per key.
 

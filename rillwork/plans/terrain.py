@@ -12,6 +12,7 @@ from rillwork.functions import terrain as T
 from rillwork.operators import flow as FL
 from rillwork.operators import focal as FO
 from rillwork.operators import ordered as O
+from rillwork.operators import pools as PL
 from rillwork.operators import tiles as TI
 from rillwork.session import cut
 
@@ -111,8 +112,8 @@ def rank_sites(
     )
     counts = FL.site_counts(flagged, keys, area)
     eligible = flagged.filter("eligible").withColumn("site", F.col("cell"))
-    pools = FL.pool_heights(eligible.select(*keys, "site", "row", "col"), surface, keys, rise)
-    vol = FL.impoundment(pools, keys, rise, area)
+    pools = PL.pool_levels(eligible.select(*keys, "site", "row", "col"), surface, keys, [rise], area)
+    vol = pools.select(*keys, "site", "volume_m3", "area_m2")
     scored = cut(FL.site_scores(eligible.join(vol, [*keys, "site"]), keys, area, area_ha=area_ha))
     best = FL.suppress_near(
         scored.select(*keys, F.col("cell").alias("id"), "row", "col", "score"), keys, apart_m / cell_size, top_n

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rillwork.operators import flow as FL
 from rillwork.operators import focal as FO
+from rillwork.operators import pools as PL
 from rillwork.operators import tiles as TI
 from rillwork.plans import terrain as PT
 
@@ -133,12 +134,36 @@ def test_pool_behind_a_bund(spark):
     # a bowl with a sill: the far hollow fills only once the sill is under water
     z = [[9, 9, 9, 9, 9, 9], [9, 1, 1, 3, 1, 9], [9, 9, 9, 9, 9, 9]]
     sites = spark.createDataFrame([("r", 1, 1, 1)], "raster string, site long, row int, col int")
-    h = FL.pool_heights(sites, cells(spark, z), K, rise=4.0)
-    curve = {r["level_m"]: r for r in FL.pool_curve(h, K, 4.0, 1.0, 100.0).collect()}
+    curve = {r["level_m"]: r for r in PL.pool_levels(sites, cells(spark, z), K, range(5), 100.0).collect()}
     assert [curve[float(k)]["area_m2"] for k in range(5)] == [0.0, 200.0, 200.0, 400.0, 400.0]
     assert curve[3.0]["volume_m3"] == (3 + 3 + 1 + 3) * 100
 
 
+def test_pools_of_all_window_sizes(spark):
+    """Windows that are outgrown, and water beyond the largest one, give what a flood of the whole raster gives."""
+    rng = np.random.default_rng(4)
+    z = (rng.random((40, 55)) * 2 + np.abs(np.arange(55) - 25)[None, :] * 0.15 + np.arange(40)[::-1, None] * 0.02).round(3)
+    z[10:13, :] = np.nan
+    spots = [(k, int(r), int(c)) for k, (r, c) in enumerate(zip(rng.integers(0, 40, 25), rng.integers(0, 55, 25)))] + [(99, 39, 25), (100, 80, 3)]
+    want = {}
+    for k, r, c in spots:
+        if r < 40 and not np.isnan(z[r, c]):
+            for level in (0.5, 2.0):
+                todo, pool = [(r, c)], {(r, c)}
+                while todo:
+                    a, b = todo.pop()
+                    for n in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                        if n not in pool and 0 <= n[0] < 40 and 0 <= n[1] < 55 and z[r, c] <= z[n] < z[r, c] + level:
+                            pool.add(n)
+                            todo.append(n)
+                want[k, level] = (len(pool) * 4.0, round(sum(z[r, c] + level - z[n] for n in pool) * 4, 6))
+    grid = cells(spark, [[None if np.isnan(v) else v for v in line] for line in z])
+    sites = spark.createDataFrame([("r", *s) for s in spots], "raster string, site long, row int, col int")
+    for tile, largest in ((64, 256), (8, 256), (8, 32)):
+        got = PL.pool_levels(sites, grid, K, [0.5, 2.0], 4.0, tile=tile, largest=largest).collect()
+        assert {(r["site"], r["level_m"]): (r["area_m2"], round(r["volume_m3"], 6)) for r in got} == want
+
+
 def test_rank_sites_on_a_valley(spark):
     rows, cols = 40, 31
     z = [[abs(c - 15) * 1.0 + (rows - r) * 0.2 for c in range(cols)] for r in range(rows)]
