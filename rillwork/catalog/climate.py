@@ -11,12 +11,12 @@ from rillwork.operators import climate as C
 MIN_DAYS = 150  # the tables hold few orders per day, so a year counts as complete sooner
 
 
-def rain(spark, d):
-    """Eight sites; a day's rain is that day's order value over 1e5."""
+def rain(spark, d, unit=1e5):
+    """Eight sites; a day's rain is that day's order value over ``unit``."""
     o = table(spark, d, "orders")
     return o.groupBy(
         (F.col("o_custkey") % 8).alias("site"), F.to_date(F.col("o_orderdate").cast("timestamp_ntz")).alias("day")
-    ).agg(F.round(F.sum("o_totalprice") / 1e5, 4).alias("mm"))
+    ).agg(F.round(F.sum("o_totalprice") / unit, 4).alias("mm"))
 
 
 RAIN = """rain AS (SELECT o_custkey%8 AS site, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice)/1e5,4) AS mm

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rillwork.catalog import climate as CC
@@ -114,10 +116,66 @@ def design_sites(spark, d):
     )
 
 
-@query("pond_designs")
+_SOLVE = re.sub(r"\b(gr|cd)\b", r"d\1", DES.split("FROM supplier),", 1)[1])
+_GAUGED = CC.RUNOFF.replace("/1e5", "/1e4")  # wetter gauges, so that the targets differ
+_PONDS = f"""{CT.G}, {CT._FAR}, {CT._EF}, {CT._SLOPE}, {CT._ME}, {_GAUGED},
+    ann AS (SELECT site, year(day) AS year, max(mm) AS peak FROM rain GROUP BY 1,2 HAVING count(mm)>={CC.MIN_DAYS}),
+    st AS (SELECT site AS gauge, count(*) AS years, CASE WHEN count(*)<3 THEN max(peak) ELSE avg(peak)+stddev_samp(peak)*sqrt(6.0)/pi()*(-0.5772156649-ln(-ln(1-1/25.0::DOUBLE))) END AS rain_25y FROM ann GROUP BY 1),
+    hs AS (SELECT ca.*, point%8 AS gauge, dependable_75/1000*area_m2*0.6 AS harvest FROM ca JOIN ms ON ms.site=point%8 AND method='scs_cn'),
+    s AS (SELECT point AS site, least(greatest(harvest,2000.0::DOUBLE),50000.0::DOUBLE) AS target FROM hs), {_SOLVE},
+    bp AS (SELECT bb.*, gauge, area_m2, {vol("bb.l", "bb.w", "bb.depth")} AS cap FROM bb JOIN hs ON hs.point=bb.site),
+    pq AS (SELECT site AS gauge, day, row_number() OVER (PARTITION BY site ORDER BY day) AS i, [3.2,4.5,6.8,9.5,11.0,8.0,4.6,4.0,4.4,4.8,3.6,3.0][month(day)]::DOUBLE AS pan,
+      CASE WHEN mm-0.2::DOUBLE*{CC._S}>0 THEN pow(mm-0.2::DOUBLE*{CC._S},2)/(mm-0.2::DOUBLE*{CC._S}+{CC._S}) ELSE 0.0 END AS q FROM rain),
+    bal AS (SELECT site, CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS day, 0.0::DOUBLE AS s, 0.0::DOUBLE AS over, 0.0::DOUBLE AS evap, 0.0::DOUBLE AS seep FROM bp
+      UNION ALL SELECT site, i, day, raw-greatest(raw-cap,0), greatest(raw-cap,0), evap, seep FROM (
+        SELECT b.site, pq.i, pq.day, cap, 0.7::DOUBLE*pan/1000*surf AS evap, 2.0::DOUBLE/1000*surf AS seep,
+          greatest(s+q/1000*area_m2*0.6::DOUBLE-0.7::DOUBLE*pan/1000*surf-2.0::DOUBLE/1000*surf,0) AS raw FROM (
+          SELECT bal.i, bal.s, bp.*, CASE WHEN s>0 THEN (l-4*depth+4*least(depth*sqrt(s/cap),depth))*(w-4*depth+4*least(depth*sqrt(s/cap),depth)) ELSE 0 END AS surf FROM bal JOIN bp USING (site)) b
+        JOIN pq ON pq.gauge=b.gauge AND pq.i=b.i+1)),
+    py AS (SELECT bal.site, bool_or(s>=0.9*cap) AS filled, count(DISTINCT month(day)) FILTER (s>0.15*cap) AS months, sum(over) AS spill, sum(evap) AS evap, sum(seep) AS seep
+      FROM bal JOIN bp USING (site) WHERE bal.i>0 GROUP BY bal.site, year(day)),
+    ps AS (SELECT site, count(*) FILTER (filled)::DOUBLE/count(*) AS rel, avg(months) AS months, avg(spill) AS spill, avg(evap) AS evap, avg(seep) AS seep FROM py GROUP BY 1),
+    nv AS (SELECT DISTINCT ca.cell AS outlet, ca.cell, z AS z0, k, z+k AS lvl FROM ca JOIN g USING (cell) CROSS JOIN (SELECT unnest(range(1,5)) AS k)),
+    np AS (SELECT * FROM nv UNION SELECT p.outlet, b.cell, p.z0, p.k, p.lvl FROM np p JOIN g a ON a.cell=p.cell JOIN g b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 WHERE b.z>=p.z0 AND b.z<p.lvl),
+    nt AS (SELECT outlet, string_agg(v::BIGINT::VARCHAR, ',' ORDER BY k) AS natural_m3 FROM (SELECT outlet, k, round(sum((lvl-g.z)*100),0) AS v FROM np JOIN g USING (cell) GROUP BY 1,2) GROUP BY 1),
+    sw AS (SELECT hs.point AS site, greatest(0.0195::DOUBLE*pow(greatest(longest_m,30),0.77)*pow(greatest(tan(radians(mean_slope)),0.001),-0.385)/60,0.1) AS h, rain_25y, years FROM hs JOIN st USING (gauge)),
+    sp AS (SELECT sw.*, (0.25::DOUBLE+0.05*(site%8))*(rain_25y*pow(h/24,1/3.0::DOUBLE)/h/1000/3600)*hs.area_m2 AS peak FROM sw JOIN hs ON hs.point=site)"""
+
+
+def pond_points(spark, d):
+    """The pour points, each with a rain gauge."""
+    return CT.pour_points(spark, d).withColumn("gauge", (F.col("point") % 8).cast("long"))
+
+
+def pond_ground(spark, d):
+    """Curve number, coefficient and assumptions of each pour point."""
+    gauge, point = (F.col("point") % 8).cast("long"), F.col("point")
+    codes = F.array_compact(F.array(F.when(point % 5 == 0, F.lit("soil_assumed")), F.when(point % 7 == 0, F.lit("stale_data"))))
+    return CT.pour_points(spark, d).select("raster", "point", (70.0 + 2 * gauge).alias("cn"), (0.25 + 0.05 * gauge).alias("coefficient"), codes.alias("codes"))
+
+
+@query(
+    "pond_designs",
+    f"""WITH RECURSIVE {_PONDS} SELECT hs.point, hs.cell AS outlet, hs.area_m2, round(band_pct,4) AS band_pct, natural_m3, round(harvest,2) AS harvestable_m3, round(s.target,2) AS target, depth, aspect,
+      round(l,3) AS length, round(w,3) AS width, round(cap,2) AS storage_m3, round(cap-0.15*cap,2) AS live_m3, round(0.15*cap,2) AS dead_m3, round(exc,2) AS excavation_m3, round(emb,2) AS embankment_m3,
+      round(cost,0) AS cost, round(rel,4) AS fill_reliability, round(ps.months,4) AS months_with_water, round(ps.spill,2) AS spill_m3, round(ps.evap,2) AS evaporation_m3, round(ps.seep,2) AS seepage_m3,
+      round(peak,5) AS peak_m3_s, round(greatest(peak/(1.7::DOUBLE*pow(0.3::DOUBLE,1.5)),1),5) AS weir_m, CASE WHEN hs.point%5=0 OR band_pct>25 THEN 'low' ELSE 'moderate' END AS confidence,
+      array_to_string(list_filter([CASE WHEN harvest>50000 THEN 'storage_capped' END, CASE WHEN rel<0.75 THEN 'reliability_below_target' END, CASE WHEN years<20 THEN 'short_record' END,
+        CASE WHEN touches_edge THEN 'catchment_truncated' END, CASE WHEN dist>0 THEN 'pour_point_snapped' END, CASE WHEN hs.point%5=0 THEN 'soil_assumed' END, CASE WHEN hs.point%7=0 THEN 'stale_data' END],
+        lambda x: x IS NOT NULL), ',') AS notes, NULL::VARCHAR AS reject
+    FROM hs JOIN s ON s.site=hs.point JOIN bp ON bp.site=hs.point JOIN ps ON ps.site=hs.point JOIN nt ON nt.outlet=hs.cell JOIN sp ON sp.site=hs.point""",
+)
 def pond_designs(spark, d):
-    out = PD.pond_designs(CC.rain(spark, d), design_sites(spark, d), CC.MIN_DAYS)
-    return rnd(out.withColumn("notes", F.concat_ws(",", "notes")), 4)
+    rain = CC.rain(spark, d, 1e4).withColumnRenamed("site", "gauge")
+    out = PD.pond_designs(
+        CT.grid(spark, d).drop("cell"), CT.K, pond_points(spark, d), CT.cols(), CT.CELL, rain, pond_ground(spark, d),
+        snap_m=40.0, min_area=CT.MIN_CHANNEL * CT.CELL**2, min_days=CC.MIN_DAYS,
+    )
+    two = ("harvestable_m3", "target", "storage_m3", "live_m3", "dead_m3", "excavation_m3", "embankment_m3", "spill_m3", "evaporation_m3", "seepage_m3")
+    digits = {**dict.fromkeys(two, 2), "band_pct": 4, "length": 3, "width": 3, "cost": 0, "fill_reliability": 4, "months_with_water": 4, "peak_m3_s": 5, "weir_m": 5}
+    out = out.withColumns({c: F.round(c, n) for c, n in digits.items()})
+    whole = F.transform("natural_m3", lambda v: F.round(v, 0).cast("long").cast("string"))
+    return out.withColumns({"natural_m3": F.concat_ws(",", whole), "notes": F.concat_ws(",", "notes")}).drop("raster")
 
 
 @query(

@@ -378,12 +378,19 @@ def snap_anywhere(spark, d):
     return rnd(got.select("point", "cell", "acc", "distance_m"), 6)
 
 
+_ME = f"""me AS (SELECT dst AS cell, count(*) AS cells, max(g.z)-min(g.z) AS relief_m, max(dist) AS longest_m, bool_or(fl.rim) AS touches_edge, avg(sf.slope) AS mean_slope
+      FROM wk JOIN g ON g.cell=wk.src JOIN fl ON fl.cell=wk.src JOIN sf ON sf.cell=wk.src GROUP BY 1),
+    up AS (SELECT dst, src FROM wk WHERE dst IN (SELECT cell FROM al)),
+    ie AS (SELECT a.dst AS cell, count(*) AS inside FROM up a JOIN up b ON b.dst=a.dst AND (b.src=a.src+{WIDTH} OR (b.src=a.src+1 AND b.src%{WIDTH}>0)) GROUP BY 1),
+    ca AS (SELECT al.point, al.cell, al.dist, al.dist>40+1e-9 AS widened, me.* EXCLUDE (cell), cells*100.0::DOUBLE AS area_m2, (4*cells-2*coalesce(inside,0))*10.0::DOUBLE AS perimeter_m,
+      least(greatest(100*(4*cells-2*coalesce(inside,0))/cells::DOUBLE,15),50) AS band_pct FROM al JOIN me USING (cell) LEFT JOIN ie USING (cell))"""
+
+
 @query(
     "catchments_of_pour_points",
-    f"""WITH RECURSIVE {G}, {_FAR}, {_EF}, {_SLOPE}, me AS (SELECT dst AS cell, count(*) AS cells, max(g.z)-min(g.z) AS relief_m, max(dist) AS longest_m, bool_or(fl.rim) AS touches_edge, avg(sf.slope) AS mean_slope
-      FROM wk JOIN g ON g.cell=wk.src JOIN fl ON fl.cell=wk.src JOIN sf ON sf.cell=wk.src GROUP BY 1)
-    SELECT point, al.cell AS outlet, round(al.dist,6) AS distance_m, al.dist>40+1e-9 AS widened, me.cells, me.cells*100.0::DOUBLE AS area_m2, round(relief_m,6) AS relief_m, round(longest_m,6) AS longest_m, round(mean_slope,6) AS mean_slope,
-      touches_edge, NULL::VARCHAR AS reject FROM al JOIN me USING (cell)""",
+    f"""WITH RECURSIVE {G}, {_FAR}, {_EF}, {_SLOPE}, {_ME}
+    SELECT point, cell AS outlet, round(dist,6) AS distance_m, widened, cells, area_m2, perimeter_m, round(band_pct,6) AS band_pct, round(relief_m,6) AS relief_m, round(longest_m,6) AS longest_m,
+      round(mean_slope,6) AS mean_slope, touches_edge, NULL::VARCHAR AS reject FROM ca""",
 )
 def catchments_of_pour_points(spark, d):
     from rillwork.plans.terrain import catchments

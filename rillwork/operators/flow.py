@@ -109,6 +109,61 @@ def roots(flow: DataFrame, keys: Sequence[str], outlets: DataFrame, max_rounds:
     raise RuntimeError("pointers did not settle: the flow table has a cycle")
 
 
+def catchment_edges(flow: DataFrame, keys: Sequence[str], outlets: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``(<keys>, cell, edges)``: cell sides on the outline of every outlet's catchment, holes included.
+
+    ``flow`` needs ``row, col, cell, recv``. Nested catchments are not listed cell by cell. Each cell belongs to
+    its first outlet downstream, and two neighbouring cells lie in the same catchments from the outlet on where
+    their outlets' ways meet. So side pairs are counted by outlet pair, the few different pairs find their
+    meeting point by doubled jumps along the outlets, and the counts are summed downstream.
+    """
+    keys = list(keys)
+    cells = flow.select(*keys, "row", "col", "cell")
+    zone = cut(roots(flow, keys, outlets).join(cells, [*keys, "cell"]).select(*keys, "row", "col", "cell", F.col("outlet").alias("zone")))
+    shifted = zone.select(
+        *keys, F.inline(F.array(F.struct(F.col("row"), (F.col("col") + 1).alias("col")), F.struct((F.col("row") + 1).alias("row"), F.col("col")))), F.col("zone").alias("b")
+    )
+    beside = zone.select(*keys, "row", "col", F.col("zone").alias("a")).join(shifted, [*keys, "row", "col"])
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = cut(beside.groupBy(*keys, *pair).agg(F.count("*").alias("n")))
+    below = zone.select(*keys, F.col("cell").alias("recv"), F.col("zone").alias("next"))
+    tops = outlets.select(*keys, "cell").distinct().join(flow.select(*keys, "cell", "recv"), [*keys, "cell"])
+    tree = cut(tops.join(below, [*keys, "recv"], "left").select(*keys, F.col("cell").alias("x"), "next"))
+    jumps, depth = [], tree.select(*keys, "x", F.col("next").alias("p"), F.col("next").isNotNull().cast("long").alias("d"))
+    for _ in range(max_rounds):
+        depth = cut(depth)
+        if depth.where("p is not null").isEmpty():
+            break
+        jumps.append(depth.select(*keys, "x", "p"))
+        far = depth.select(*keys, F.col("x").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"))
+        depth = depth.join(far, [*keys, "p"], "left").select(*keys, "x", F.col("pp").alias("p"), (F.col("d") + F.coalesce("dd", F.lit(0))).alias("d"))
+    else:
+        raise RuntimeError("pointers did not settle: the flow table has a cycle")
+    met = pairs.where("a <> b")
+    for side in ("a", "b"):
+        met = met.join(depth.select(*keys, F.col("x").alias(side), F.col("d").alias(f"d{side}")), [*keys, side])
+    # the deeper one climbs to the depth of the other, then both climb while they differ
+    deep, high = (F.when(F.col("da") >= F.col("db"), F.col(c)).otherwise(F.col(o)) for c, o in (("a", "b"), ("b", "a")))
+    met = cut(met.select(*keys, deep.alias("a"), high.alias("b"), F.abs(F.col("da") - F.col("db")).alias("gap"), "n"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        met = met.join(jump.select(*keys, F.col("x").alias("a"), "p"), [*keys, "a"], "left")
+        goes = F.col("gap") >= (1 << k)
+        met = cut(met.select(*keys, F.when(goes, F.col("p")).otherwise(F.col("a")).alias("a"), "b", F.when(goes, F.col("gap") - (1 << k)).otherwise(F.col("gap")).alias("gap"), "n"))
+    for jump in reversed(jumps):
+        for side in ("a", "b"):
+            met = met.join(jump.select(*keys, F.col("x").alias(side), F.col("p").alias(f"p{side}")), [*keys, side], "left")
+        goes = ~F.col("pa").eqNullSafe(F.col("pb"))
+        met = cut(met.select(*keys, *[F.when(goes, F.col(f"p{c}")).otherwise(F.col(c)).alias(c) for c in ("a", "b")], "n"))
+    up = tree.select(*keys, F.col("x").alias("a"), "next")
+    met = met.join(up, [*keys, "a"], "left").select(*keys, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("next")).alias("x"), "n")
+    inner = pairs.where("a = b").select(*keys, F.col("a").alias("x"), "n").unionByName(met.where("x is not null"))
+    inner = inner.groupBy(*keys, "x").agg(F.sum("n").alias("inner"))
+    size = zone.groupBy(*keys, F.col("zone").alias("x")).agg(F.count("*").alias("cells"))
+    own = tree.join(size, [*keys, "x"], "left").join(inner, [*keys, "x"], "left")
+    total = accumulate(own, keys, {"cells": F.coalesce("cells", F.lit(0)), "inner": F.coalesce("inner", F.lit(0))}, node="x", parent="next")
+    return total.select(*keys, F.col("x").alias("cell"), (4 * F.col("cells") - 2 * F.col("inner")).alias("edges"))
+
+
 def upstream_cells(flow: DataFrame, keys: Sequence[str], outlets: DataFrame) -> DataFrame:
     """``(outlet, cell)`` for every cell upstream of each outlet, nested outlets included.
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions import hydro as H
 from rillwork.functions import pond as P
+from rillwork.functions import units as U
 from rillwork.operators import climate as C
 from rillwork.operators import design as D
+from rillwork.operators import pools as PL
+from rillwork.plans import terrain as PT
 from rillwork.session import cut
 
 
@@ -19,25 +24,31 @@ def runoff_job(rain: DataFrame, params: DataFrame, areas: DataFrame, min_days: i
     return methods, C.runoff_range(methods, areas)
 
 
-def pond_designs(rain: DataFrame, sites: DataFrame, min_days: int = 350, target_reliability: float = 0.75) -> DataFrame:
-    """One design per site: target storage, cheapest pond, reliability, spillway, confidence.
+def size_ponds(rain: DataFrame, sites: DataFrame, min_days: int = 350, target_reliability: float = 0.75) -> DataFrame:
+    """One design per site: target storage, cheapest pond, reliability, spillway and notes.
 
-    ``sites(site, cn, coefficient, area_m2, longest_m, slope_ratio)``.
+    ``rain(gauge, day, mm)``, ``sites(site, gauge, cn, coefficient, area_m2, longest_m, slope_ratio)``. Sites whose
+    gauge has no complete year are left out.
     """
-    rain = cut(rain)
-    methods = C.runoff_methods(C.annual_runoff(rain, sites, min_days)).filter("method = 'scs_cn'")
-    stats = C.rainfall_statistics(rain, min_days).select("site", F.col("level_25y").alias("rain_25y"), "years")
-    s = sites.join(methods.select("site", "dependable_75"), "site").join(stats, "site")
+    gauged = cut(rain)
+    stats = C.rainfall_statistics(gauged.withColumnRenamed("gauge", "site"), min_days)
+    stats = stats.select(F.col("site").alias("gauge"), F.col("level_25y").alias("rain_25y"), "years")
+    # a site's yearly runoff depends on its gauge and curve number alone
+    kinds = sites.select("gauge", "cn", "coefficient").distinct().withColumn("site", F.struct("gauge", "cn", "coefficient"))
+    series = gauged.join(kinds.select("gauge", "site"), "gauge").drop("gauge")
+    methods = C.runoff_methods(C.annual_runoff(series, kinds.drop("gauge"), min_days)).filter("method = 'scs_cn'")
+    methods = methods.select("site.gauge", "site.cn", "site.coefficient", "dependable_75")
+    s = sites.join(methods, ["gauge", "cn", "coefficient"]).join(stats, "gauge")
     harvest = F.col("dependable_75") / 1000.0 * F.col("area_m2") * P.HARVEST_EFFICIENCY
     s = s.withColumn("harvestable_m3", harvest).withColumn("_t", P.target_storage(F.col("harvestable_m3")))
     s = cut(s.select("*", F.col("_t.target").alias("target"), F.col("_t.capped").alias("capped")).drop("_t"))
     best = cut(D.cheapest_design(D.candidates(s, "target"), ["site"]))
     q = H.curve_number_runoff(F.col("mm"), F.col("cn"))
-    days = rain.join(sites.select("site", "cn", "area_m2"), "site").select(
+    days = gauged.join(sites.select("site", "gauge", "cn", "area_m2"), "gauge").select(
         "site", "day", (q / 1000.0 * F.col("area_m2") * P.HARVEST_EFFICIENCY).alias("inflow")
     )
     balance = C.balance_summary(C.balance_years(days, best.select("site", "length", "width", "depth")))
-    out = best.join(balance.select("site", "fill_reliability", "months_with_water", "spill_m3"), "site")
+    out = best.join(balance.select("site", "fill_reliability", "months_with_water", "spill_m3", "evaporation_m3", "seepage_m3"), "site")
     out = out.withColumn("_s", D.spillway_of(out))
     notes = F.array_compact(
         F.array(
@@ -46,8 +57,46 @@ def pond_designs(rain: DataFrame, sites: DataFrame, min_days: int = 350, target_
             F.when(F.col("years") < 20, F.lit("short_record")),
         )
     )
+    dead = P.DEAD_STORAGE * F.col("storage_m3")
     return out.select(
-        "site", "harvestable_m3", "target", "depth", "aspect", "length", "width", "storage_m3", "excavation_m3", "embankment_m3",
-        "cost", "fill_reliability", "months_with_water", "spill_m3",
+        "site", "harvestable_m3", "target", "depth", "aspect", "length", "width", "storage_m3", (F.col("storage_m3") - dead).alias("live_m3"), dead.alias("dead_m3"),
+        "excavation_m3", "embankment_m3", "cost", "fill_reliability", "months_with_water", "spill_m3", "evaporation_m3", "seepage_m3",
         F.col("_s.peak").alias("peak_m3_s"), F.col("_s.weir").alias("weir_m"), notes.alias("notes"),
     )
+
+
+def pond_designs(
+    surface: DataFrame, keys: Sequence[str], points: DataFrame, cols: Column, cell_size: float, rain: DataFrame, ground: DataFrame,
+    snap_m: float, min_area: float, min_days: int = 350, target_reliability: float = 0.75, rises: Sequence[float] = (1.0, 2.0, 3.0, 4.0),
+) -> DataFrame:
+    """The pond at every asked point, from the terrain to the bill: one row per point.
+
+    Each point gets its catchment, the runoff of its gauge on its ground, what a bund alone would hold there
+    (``natural_m3`` at each of ``rises`` above the outlet), the pond of ``size_ponds``, and the confidence that the worst
+    input allows. ``surface(<keys>, row, col, z)`` is filled, ``points(<keys>, point, row, col, gauge)``,
+    ``rain(gauge, day, mm)``, ``ground(<keys>, point, cn, coefficient, codes)`` with the codes of what had to be
+    assumed. A point without a channel, ground or a complete year of rain keeps its row and its ``reject`` reason.
+    """
+    keys = list(keys)
+    at = [*keys, "point"]
+    found = PT.catchments(surface, keys, points, cols, cell_size, snap_m, min_area).join(points.select(*at, "gauge"), at)
+    found = cut(found.join(ground.select(*at, "cn", "coefficient", "codes"), at, "left"))
+    ready = found.filter("reject is null and cn is not null").withColumn("site", F.struct(*at))
+    ready = ready.withColumn("slope_ratio", F.tan(F.radians("mean_slope")))
+    sized = size_ponds(rain, ready.select("site", "gauge", "cn", "coefficient", "area_m2", "longest_m", "slope_ratio"), min_days, target_reliability)
+    outlets = ready.select(*keys, F.col("outlet").alias("site")).distinct()
+    spots = outlets.withColumns({"row": F.floor(F.col("site") / cols).cast("int"), "col": (F.col("site") % cols).cast("int")})
+    pools = PL.pool_levels(spots, surface, keys, rises, cell_size**2)
+    natural = pools.groupBy(*keys, F.col("site").alias("outlet")).agg(F.sort_array(F.collect_list(F.struct("level_m", "volume_m3"))).alias("_n"))
+    natural = natural.select(*keys, "outlet", F.transform("_n", lambda p: p["volume_m3"]).alias("natural_m3"))  # one entry per rise
+    met = found.join(sized.select("site.*", *[c for c in sized.columns if c != "site"]), at, "left").join(natural, [*keys, "outlet"], "left")
+    seen = F.array(F.when(F.col("touches_edge"), F.lit("catchment_truncated")), F.when(F.col("distance_m") > 0, F.lit("pour_point_snapped")))
+    none = F.array().cast("array<string>")
+    codes = F.coalesce("codes", none)
+    gone = F.when(F.col("cn").isNull(), "no_ground").when(F.col("cost").isNull(), "no_rainfall")
+    return met.select(
+        *at, "outlet", "area_m2", "band_pct", "natural_m3", *[c for c in sized.columns if c not in ("site", "notes")],
+        U.confidence(codes, F.col("band_pct")).alias("confidence"),
+        F.concat(F.coalesce("notes", none), F.array_compact(seen), codes).alias("notes"),
+        F.coalesce("reject", gone).alias("reject"),
+    )

@@ -56,11 +56,16 @@ def terrain_products(
     return cells, p.withColumn("hi", hi)
 
 
+def area_uncertainty(ring_pct: Column) -> Column:
+    """Area band in per cent: the share of one ring of cells, kept between 15 and 50."""
+    return F.when(ring_pct.isNotNull(), F.least(F.greatest(ring_pct, F.lit(15.0)), F.lit(50.0)))
+
+
 def catchments(
     surface: DataFrame, keys: Sequence[str], points: DataFrame, cols: Column, cell_size: float,
     snap_m: float, min_area: float,
 ) -> DataFrame:
-    """Snap every point to a channel and report its catchment.
+    """Snap every point to a channel and report its catchment, with outline and area band.
 
     A point with no channel within ``snap_m`` is ``widened`` to the best one of its raster. One on a raster
     without any keeps its row, with nulls and the ``reject`` reason.
@@ -69,13 +74,18 @@ def catchments(
     model = cut(flow_model(surface, keys, cols, cell_size))
     snapped = FL.snap_anywhere(points, model, keys, snap_m, min_area, cell_size)
     m = model.select(*keys, "cell", F.col("acc").alias("cells"), "z_max", "z_min", "longest", "fed", "slope_sum")
-    return snapped.select(*keys, "point", "cell", "distance_m").join(m, [*keys, "cell"], "left").select(
+    snapped = cut(snapped.select(*keys, "point", "cell", "distance_m"))
+    edges = FL.catchment_edges(model, keys, snapped.filter(F.col("cell").isNotNull()).select(*keys, "cell"))
+    perimeter, area = F.col("edges") * F.lit(float(cell_size)), F.col("cells") * F.lit(cell_size**2)
+    return snapped.join(m, [*keys, "cell"], "left").join(edges, [*keys, "cell"], "left").select(
         *keys, "point",
         F.col("cell").alias("outlet"),
         "distance_m",
         (F.col("distance_m") > snap_m + 1e-9).alias("widened"),
         "cells",
-        (F.col("cells") * F.lit(cell_size**2)).alias("area_m2"),
+        area.alias("area_m2"),
+        perimeter.alias("perimeter_m"),
+        area_uncertainty(100.0 * perimeter * cell_size / F.greatest(area, F.lit(1.0))).alias("band_pct"),
         (F.col("z_max") - F.col("z_min")).alias("relief_m"),
         F.col("longest").alias("longest_m"),
         (F.col("slope_sum") / F.col("cells")).alias("mean_slope"),
@@ -84,11 +94,6 @@ def catchments(
     )
 
 
-def area_uncertainty(ring_pct: Column) -> Column:
-    """Area band in per cent, kept between 15 and 50."""
-    return F.least(F.greatest(ring_pct, F.lit(15.0)), F.lit(50.0))
-
-
 def rank_sites(
     heights: DataFrame, keys: Sequence[str], rows: Column, cols: Column, cell_size: float,
     stream_area: float, top_n: int = 5, rise: float = 2.0, belt_m: float = 200.0, apart_m: float = 200.0,

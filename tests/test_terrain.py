@@ -8,6 +8,7 @@ from rillwork.operators import flow as FL
 from rillwork.operators import focal as FO
 from rillwork.operators import pools as PL
 from rillwork.operators import tiles as TI
+from rillwork.plans import design as PD
 from rillwork.plans import terrain as PT
 
 K = ["raster"]
@@ -164,6 +165,46 @@ def test_pools_of_all_window_sizes(spark):
         assert {(r["site"], r["level_m"]): (r["area_m2"], round(r["volume_m3"], 6)) for r in got} == want
 
 
+def test_catchment_outlines_of_nested_outlets(spark):
+    rng = np.random.default_rng(9)
+    n, m = 18, 22
+    # a random forest on a grid: every cell drains to a neighbour of smaller number, or out of the raster
+    recv = {}
+    for c in range(n * m):
+        r, k = divmod(c, m)
+        near = [(r + a) * m + k + b for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= r + a and 0 <= k + b < m and (r + a) * m + k + b < c]
+        recv[c] = int(rng.choice(near)) if near and rng.random() > 0.03 else None
+    rows = [("r", c // m, c % m, c, d) for c, d in recv.items()]
+    flow = spark.createDataFrame(rows, "raster string, row int, col int, cell long, recv long")
+    outlets = sorted({int(c) for c in rng.integers(0, n * m, 70)} | {0, 1, 2, 23, 24})
+
+    def way(c):
+        while c is not None:
+            yield c
+            c = recv[c]
+
+    up = {o: {c for c in recv if o in set(way(c))} for o in outlets}
+    want = {o: sum((c // m + a, c % m + b) not in {(x // m, x % m) for x in s} for c in s for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))) for o, s in up.items()}
+    got = FL.catchment_edges(flow, K, spark.createDataFrame([("r", o) for o in outlets + outlets[:3]], "raster string, cell long"))
+    assert {r["cell"]: r["edges"] for r in got.collect()} == want
+
+
+def test_points_without_a_pond_keep_their_row(spark):
+    rows, cols = 24, 21
+    z = [[abs(c - 10) * 1.0 + (rows - r) * 0.2 for c in range(cols)] for r in range(rows)]
+    flat = spark.createDataFrame([("flat", r, c, float(r)) for r in range(3) for c in range(3)], "raster string, row int, col int, z double")
+    surface = cells(spark, z).drop("cell").unionByName(flat)
+    points = spark.createDataFrame([("r", 1, 18, 12, "g"), ("r", 2, 15, 10, "g"), ("r", 3, 15, 10, "dry"), ("flat", 4, 1, 1, "g")], "raster string, point long, row int, col int, gauge string")
+    ground = spark.createDataFrame([("r", 1, 80.0, 0.4, ["soil_assumed"]), ("r", 3, 80.0, 0.4, []), ("flat", 4, 80.0, 0.4, [])], "raster string, point long, cn double, coefficient double, codes array<string>")
+    rain = spark.sql("select 'g' as gauge, day, if(month(day) in (6, 7, 8), 25.0D, 0.0D) as mm from (select explode(sequence(date'2001-01-01', date'2006-12-31')) as day)")
+    got = {r["point"]: r for r in PD.pond_designs(surface, K, points, F.lit(cols).cast("long"), 30.0, rain, ground, snap_m=100.0, min_area=20_000.0).collect()}
+    assert {p: r["reject"] for p, r in got.items()} == {1: None, 2: "no_ground", 3: "no_rainfall", 4: "no_channel"}
+    one = got[1]
+    assert one["confidence"] == "low" and "soil_assumed" in one["notes"] and "pour_point_snapped" in one["notes"]
+    assert one["storage_m3"] >= one["target"] * (1 - 1e-6) and math.isclose(one["live_m3"] + one["dead_m3"], one["storage_m3"])
+    assert len(one["natural_m3"]) == 4 and sorted(one["natural_m3"]) == one["natural_m3"] and one["natural_m3"][0] > 0
+
+
 def test_rank_sites_on_a_valley(spark):
     rows, cols = 40, 31
     z = [[abs(c - 15) * 1.0 + (rows - r) * 0.2 for c in range(cols)] for r in range(rows)]
