@@ -9,6 +9,7 @@ from rillwork.catalog.base import DAY, micros, query, records, records_sql, tabl
 from rillwork.functions import load as L
 from rillwork.operators import ordered as O
 from rillwork.operators import runs as R
+from rillwork.plans import report as RP
 from rillwork.session import cut
 
 DURATION, WARMUP = 86_400.0, 3_600.0
@@ -678,3 +679,70 @@ def load_schedule(spark, d):
     r = records(spark, d).select("run_id", F.regexp_extract("run_id", r"_c(\d+)_", 1).cast("int").alias("c")).distinct()
     spec = F.concat_ws(",", *[F.concat((F.col("c") * k).cast("string"), F.lit(":600")) for k in (1, 2, 3)])
     return r.select("run_id", F.inline(L.ramp_steps(spec)))
+
+
+UNIT = 100  # the report's runs last 864 seconds: a hundred seconds of the day count as one
+SPAN, COLD, STEP = DURATION / UNIT, WARMUP / UNIT, 36
+
+_REC = records_sql("load")
+_BOTH = f"""{_REC.replace("rec AS", "ra AS", 1)}, {records_sql("sweep").replace("rec AS", "rb AS", 1)}, rec AS (SELECT * REPLACE (t/{UNIT} AS t) FROM (SELECT * FROM ra UNION ALL SELECT * FROM rb))"""
+_SAMPLED = f"""{_BOTH}, sm AS (SELECT run_id, 'sys'||(1+k%4) AS system, ms AS cpu FROM (SELECT *, CAST(substr(backend,4) AS INTEGER)+CAST(floor(t) AS BIGINT) AS k FROM rec)),
+    sy AS (SELECT run_id, system, round(avg(cpu),1) AS cpu FROM sm GROUP BY 1,2),
+    mc AS (SELECT run_id, max(cpu) FILTER (system='sys1') AS sys1_cpu, avg(cpu) FILTER (system<>'sys1') AS backend_cpu, max(cpu) FILTER (system<>'sys1')-min(cpu) FILTER (system<>'sys1') AS cpu_spread FROM sy GROUP BY 1)"""
+_BZ = """bz AS (SELECT run_id, round(100.0::DOUBLE*max(n)/sum(n),1) AS busiest FROM (SELECT run_id,backend,count(*) AS n FROM rec GROUP BY 1,2) GROUP BY 1)"""
+_RSUM = f"""{summary_sql("load", COLD, SPAN).replace(_REC, _SAMPLED)}, {_BZ}, dp AS (SELECT run_id, count(*) AS dropped FROM rec WHERE ms>150 GROUP BY 1),
+    sx AS (SELECT s.*, coalesce(dropped,0) AS dropped, round((total+coalesce(dropped,0))/{SPAN - COLD}::DOUBLE,4) AS offered, busiest, sys1_cpu, backend_cpu, cpu_spread
+      FROM summ s LEFT JOIN dp USING (run_id) LEFT JOIN bz USING (run_id) LEFT JOIN mc USING (run_id)), {_cfg_sql("sx")}"""
+_RMED = f"""{_RSUM}, med AS (SELECT config, param, count(*) AS reps, {", ".join(f"CAST(round(CAST(CAST(quantile_cont({c}::DOUBLE,0.5) AS VARCHAR) AS DECIMAL(38,18)),2) AS DOUBLE) AS {c}" for c in RP.MEDIANS)},
+    sum(retried) AS retried, sum(dups) AS dups, sum(dropped) AS dropped FROM cfg GROUP BY 1,2)"""
+_RSWEEP = f"""{_RSUM}, sw AS (SELECT config, param, {", ".join(f"quantile_cont({c},0.5) AS {c}" for c in (*R.SWEPT, "sys1_cpu", "backend_cpu"))}, count(*) AS reps,
+      min(p95) AS p95_lo, max(p95) AS p95_hi, min(rps) AS rps_lo, max(rps) AS rps_hi FROM cfg WHERE config LIKE 'THR%' GROUP BY 1,2),
+    bst AS (SELECT config, max(rps) AS tp, min(p95) AS lat FROM sw GROUP BY 1),
+    cost AS (SELECT sw.*, round(p95/lat + 0.6::DOUBLE*(tp-rps)/tp + error_pct, 4) AS cost FROM sw JOIN bst USING (config)),
+    comb AS (SELECT a.* REPLACE (CASE WHEN b.cost IS NOT NULL THEN round((a.cost+b.cost)/2,6) ELSE a.cost END AS cost)
+      FROM cost a LEFT JOIN cost b ON b.config='THRLOW' AND b.param=a.param WHERE a.config='THR')"""
+_RSER = _dense_sql(STEP).replace(_REC, _BOTH).replace(f"range(0, {86400 // STEP} + 1)", f"range(0, {int(SPAN) // STEP} + 1)")
+_RPH = "ph(phase,t0,t1) AS (VALUES ('night',0.0,288.0),('day',288.0,648.0),('evening',648.0,864.0))"
+
+
+def _section(name: str, item: str, metrics: str, source: str) -> str:
+    names = metrics.split()
+    return f"""SELECT '{name}' AS section, {item} AS item, unnest([{",".join(f"'{m}'" for m in names)}]) AS metric, unnest([{",".join(f"round(CAST({m} AS DOUBLE),6)" for m in names)}]) AS value FROM ({source})"""
+
+
+_SUMMED = "total success errors error_pct rps offered retried dups dropped mean stddev min max p50 p90 p95 p99 active_min active_max busiest sys1_cpu backend_cpu cpu_spread"
+_BEST = f"""WITH {_RSUM} SELECT config, param, count(*) AS reps, max_by(run_id,{{'a':rps,'b':run_id}}) AS run_id, max(rps) AS rps, {", ".join(f"max_by({c},{{'a':rps,'b':run_id}}) AS {c}" for c in ("p50", "p95", "p99", "error_pct"))},
+    min(rps) AS rps_lo, max(rps) AS rps_hi, min(p95) AS p95_lo, max(p95) AS p95_hi FROM cfg GROUP BY 1,2"""
+_PHASED = f"""WITH {_RSER}, {_RPH}, sg AS (SELECT ser.*, phase, row_number() OVER (PARTITION BY run_id,phase ORDER BY t) AS rn, count(*) OVER (PARTITION BY run_id,phase) AS secs FROM ser JOIN ph ON t>=t0 AND t<t1)
+    SELECT run_id, phase, round(sum(ok)::DOUBLE/count(*),4) AS rps, coalesce(quantile_cont(p50,0.5) FILTER (ok>0),0.0) AS p50, coalesce(quantile_cont(p95,0.5) FILTER (ok>0),0.0) AS p95, sum(errors) AS errors,
+      coalesce(quantile_cont(active::DOUBLE,0.5) FILTER (active>0),0.0) AS active, max(CASE WHEN rn-1=secs//2 THEN t END) AS mid_t FROM sg GROUP BY 1,2"""
+_SHARED = f"""WITH {_BOTH}, {_RPH}, s AS (SELECT run_id,phase,backend,count(*) AS n FROM rec JOIN ph ON t>=t0 AND t<t1 GROUP BY 1,2,3)
+    SELECT *, round(n::DOUBLE/sum(n) OVER (PARTITION BY run_id,phase)*100,1) AS share_pct FROM s"""
+
+
+@query(
+    "run_report",
+    " UNION ALL ".join(
+        (
+            _section("counters", "input", "records unusable trial", f"WITH {_BOTH} SELECT 'records' AS input, count(*) AS records, 0 AS unusable, 0 AS trial FROM rec"),
+            _section("summary", "run_id", _SUMMED, f"WITH {_RSUM} SELECT * FROM cfg"),
+            _section("errors", "run_id||'|'||error_class", "n", f"WITH {_BOTH} SELECT run_id, coalesce(nullif(err,''),'HTTP'||status) AS error_class, count(*) AS n FROM rec WHERE status<>200 GROUP BY 1,2"),
+            _section("distribution", "run_id||'|'||backend", "n share_pct", f"WITH {_BOTH}, s AS (SELECT run_id, backend, count(*) AS n FROM rec GROUP BY 1,2) SELECT *, round(n::DOUBLE/sum(n) OVER (PARTITION BY run_id)*100,1) AS share_pct FROM s"),
+            _section("medians", "config||'|'||param", "reps " + " ".join(RP.MEDIANS) + " retried dups dropped", f"WITH {_RMED} SELECT * FROM med"),
+            _section("best", "config||'|'||param||'|'||run_id", "reps rps p50 p95 p99 error_pct rps_lo rps_hi p95_lo p95_hi", _BEST),
+            _section("speed_up", "config||'|'||param", "rps speed_up", f"WITH {_RMED} SELECT m.config, m.param, m.rps, CASE WHEN m.config<>'L1' AND b.rps<>0 THEN round(m.rps/b.rps,2) END AS speed_up FROM med m LEFT JOIN med b ON b.config='L1' AND b.param=m.param WHERE m.config LIKE 'L%'"),
+            _section("sweep", "config||'|'||param", " ".join(R.SWEPT) + " sys1_cpu backend_cpu reps p95_lo p95_hi rps_lo rps_hi cost", f"WITH {_RSWEEP} SELECT * FROM comb"),
+            _section("choice", "param", "cost", f"WITH {_RSWEEP} SELECT param, cost FROM comb ORDER BY cost, param::DOUBLE LIMIT 1"),
+            _section("buckets", "run_id||'|'||t", "requests ok errors dups active mean p50 p95", f"WITH {_RSER} SELECT * FROM ser"),
+            _section("phases", "run_id||'|'||phase", "rps p50 p95 errors active mid_t", _PHASED),
+            _section("phase_share", "run_id||'|'||phase||'|'||backend", "n share_pct", _SHARED),
+        )
+    ),
+)
+def run_report(spark, d):
+    rec = records(spark, d).unionByName(records(spark, d, "sweep")).withColumn("t", F.col("t") / UNIT)
+    turn = F.substring("backend", 4, 9).cast("int") + F.floor("t")
+    cpu = rec.select("run_id", F.concat(F.lit("sys"), (1 + turn % 4).cast("string")).alias("system"), F.col("ms").alias("cpu_pct"))
+    dropped = rec.filter("ms > 150").groupBy("run_id").agg(F.count(F.lit(1)).alias("dropped"))
+    phases = _phases(rec).withColumns({"t0": F.col("t0") / UNIT, "t1": F.col("t1") / UNIT})
+    return RP.long_form(RP.run_report(rec, cpu, SPAN, COLD, float(STEP), phases, dropped))

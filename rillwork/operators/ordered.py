@@ -107,6 +107,7 @@ def order_statistics(
     value: str,
     picks: Mapping[str, Callable[[Column], Column]],
     levels: Sequence[int] = BUCKET_LEVELS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact order statistics per key.
 
@@ -114,13 +115,13 @@ def order_statistics(
     the ascending values. One row per key with ``n`` and the picked values; nulls are skipped.
     Equal values are counted before the shuffle, and each narrowing level keeps only the
     buckets that hold a wanted index. Pass ``levels=()`` only for an input known to be small: it
-    ranks each key directly.
+    ranks each key directly. ``weight`` names a column with the number of times a row counts.
     """
     part = list(part)
     rows = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*part, F.col(value).alias("_os_x"))
-        .agg(F.count(F.lit(1)).alias("_os_c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_os_c"))
     )
     if not levels:
         w = W.partitionBy(*part)
@@ -178,14 +179,14 @@ def order_statistics(
 
 
 def percentiles_floor_n(
-    df: DataFrame, part: Sequence[str], value: str, points: Mapping[str, float]
+    df: DataFrame, part: Sequence[str], value: str, points: Mapping[str, float], weight: str | None = None
 ) -> DataFrame:
     """Percentile as ``sorted[min(n-1, int(p/100*n))]``."""
     picks = {
         name: (lambda n, p=p: F.least(n - 1, F.floor(F.lit(p) / F.lit(100) * n)))
         for name, p in points.items()
     }
-    return order_statistics(df, part, value, picks)
+    return order_statistics(df, part, value, picks, weight=weight)
 
 
 def percentiles_floor_n1(

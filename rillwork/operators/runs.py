@@ -124,7 +124,12 @@ def dense_buckets(
         .groupBy("run_id", "b")
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("backend", "n")))).alias("by_backend"))
     )
-    spine = r.groupBy("run_id").agg(F.lit(1).alias("_one")).select(
+    return fill_buckets(facts, points, share, duration, width, digits)
+
+
+def fill_buckets(facts: DataFrame, points: DataFrame, share: DataFrame, duration: float, width: float, digits: int) -> DataFrame:
+    """Every bucket ``b`` of every run of ``facts`` with its counts, percentiles and backends; zeros where nothing came."""
+    spine = facts.select("run_id").distinct().select(
         "run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(duration // width)).cast("long"))).alias("b")
     )
     zero = ("requests", "ok", "errors", "dups", "active")
@@ -192,7 +197,7 @@ def phase_table(series: DataFrame, phases: DataFrame) -> DataFrame:
     )
     mid = O.order_statistics(seg, keys, "t", {"_mid": lambda n: F.floor(n / 2)}).drop("n")
     return (
-        sums.join(med, keys)
+        sums.join(med, keys, "left")  # a phase without any success has no medians
         .join(mid, keys)
         .select(
             *keys,
@@ -391,10 +396,13 @@ def latency_histogram(records: DataFrame, keys: Sequence[str], bounds: Sequence[
     return sums.select(*keys, F.inline(F.array(*pairs)))
 
 
-def sweep_table(runs: DataFrame, keys=("config", "param")) -> DataFrame:
-    """Threshold sweep: medians over repetitions with ranges."""
+SWEPT = ("p50", "p95", "p99", "rps", "error_pct", "busiest")
+
+
+def sweep_table(runs: DataFrame, keys=("config", "param"), values: Sequence[str] = SWEPT) -> DataFrame:
+    """Threshold sweep: medians of ``values`` over repetitions with ranges; CPU columns can be among them."""
     keys = list(keys)
-    med = O.medians(runs, keys, ["p50", "p95", "p99", "rps", "error_pct", "busiest"])
+    med = O.medians(runs, keys, values)
     rng = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("reps"),
         F.min("p95").alias("p95_lo"), F.max("p95").alias("p95_hi"),
