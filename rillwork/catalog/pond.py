@@ -243,6 +243,69 @@ def site_exclusions(spark, d):
     return rnd(counts.drop("raster"), 5)
 
 
+_WATERED = _SITES.replace("acc>=200 AS river", "(acc>=200 OR fw.size%9=0) AS river").replace("fg AS (SELECT *,", "fw AS (SELECT p_partkey AS cell, p_size AS size FROM part), fg AS (SELECT sc.*,").replace(
+    "FROM sc WHERE acc>=10)", "FROM sc JOIN fw USING (cell) WHERE acc>=10)"
+).replace("NOT belt AND NOT edge AS base", "NOT belt AND NOT edge AND col<30 AS base")
+_RANKING = {"belt_m": 20.0, "apart_m": 50.0, "area_ha": (0.02, 0.1, 0.5, 2.0)}
+
+
+@query(
+    "ranked_sites_inside",
+    f"""{_WATERED} SELECT cell AS id, row, col, rank, round(score,5) AS score, round(volume_m3,5) AS volume_m3 FROM rk JOIN od USING (o)""",
+)
+def ranked_sites_inside(spark, d):
+    """Sites inside an area of interest and off mapped water."""
+    g = CT.grid(spark, d).select("raster", "row", "col", "z", (F.col("size") % 9 == 0).alias("water"), (F.col("col") < 30).alias("inside"))
+    best, _ = PT.rank_sites(g, CT.K, _rows(spark, d), CT.cols(), CT.CELL, stream_area=1000.0, **_RANKING)
+    return rnd(best.select("id", "row", "col", "rank", "score", "volume_m3"), 5)
+
+
+def _source(lift: str) -> str:
+    """Cells with accumulation and rank, and the way of every cell, of one height source."""
+    sites = _SITES.replace(CT.G, CT.G.replace("p_retailprice+p_size*0.5", f"p_retailprice+p_size*0.5{lift}"))
+    return f"""({sites}, wz AS (WITH RECURSIVE g AS (SELECT * FROM gf), {CT.WALK} SELECT src, dst FROM wk),
+      rd AS (SELECT rank, cell FROM rk JOIN od USING (o))
+      SELECT sc.cell, sc.row, sc.col, sc.acc, rd.rank, NULL::BIGINT AS dst FROM sc LEFT JOIN rd USING (cell) UNION ALL SELECT src, NULL, NULL, NULL, NULL, dst FROM wz)"""
+
+
+_LIFT = "+(p_partkey%7)*0.3"
+_CROSS = f"""WITH aa AS MATERIALIZED {_source("")}, ab AS MATERIALIZED {_source(_LIFT)},
+    ca AS (SELECT * FROM aa WHERE dst IS NULL), cb AS (SELECT * FROM ab WHERE dst IS NULL)"""
+_LONGCROSS = f"""{_CROSS}, st AS (SELECT 'a' AS side, rank, cell AS id, row, col FROM ca WHERE rank IS NOT NULL UNION ALL SELECT 'b', rank, cell, row, col FROM cb WHERE rank IS NOT NULL),
+    al AS (SELECT 'a' AS source, cell, row, col, acc FROM ca WHERE acc>=10 UNION ALL SELECT 'b', cell, row, col, acc FROM cb WHERE acc>=10),
+    sn AS (SELECT * FROM (SELECT side, rank, id, source, al.cell, acc, row_number() OVER (PARTITION BY side, rank, source ORDER BY sqrt(pow((al.row-st.row)*10.0::DOUBLE,2)+pow((al.col-st.col)*10.0::DOUBLE,2))-1e-6*acc, al.cell) AS k FROM st CROSS JOIN al) WHERE k=1),
+    wy AS (SELECT 'a' AS source, cell AS src, dst FROM aa WHERE dst IS NOT NULL UNION ALL SELECT 'b', cell, dst FROM ab WHERE dst IS NOT NULL),
+    cc AS (SELECT side, rank, sn.source, src FROM sn JOIN wy ON wy.source=sn.source AND wy.dst=sn.cell),
+    ov AS (SELECT side, rank, count(*) FILTER (n=2)::DOUBLE/count(*) AS overlap FROM (SELECT side, rank, src, count(*) AS n FROM cc GROUP BY 1,2,3) GROUP BY 1,2),
+    pt AS (SELECT x.side, x.rank, y.rank AS partner, count(*) AS n FROM cc x JOIN cc y ON y.src=x.src AND x.side<>y.side AND x.side=x.source AND y.side=y.source GROUP BY 1,2,3),
+    pb AS (SELECT side, rank, max_by(partner, {{'n':n,'p':-partner}}) AS partner FROM pt GROUP BY 1,2)"""
+
+
+def _sources(spark, d):
+    g = CT.grid(spark, d).select("raster", "row", "col", "z", "cell")
+    return g.drop("cell"), g.withColumn("z", F.col("z") + (F.col("cell") % 7) * 0.3).drop("cell")
+
+
+@query(
+    "source_cross_check",
+    f"""{_LONGCROSS}, h AS (SELECT p_retailprice+p_size*0.5 AS z, p_retailprice+p_size*0.5{_LIFT} AS y FROM part),
+    f AS (SELECT count(*) AS n, round(avg(y-z),6) AS bias, round(sqrt(avg(pow(y-z,2))),6) AS rmse, round(stddev_pop(y-z),6) AS rmse_unbiased, round(corr(z,y),6) AS r FROM h),
+    ff AS (SELECT f.*, {", ".join(f"(SELECT round(avg(CASE WHEN y.cell IS NULL THEN 0.0::DOUBLE ELSE 1 END),6) FROM (SELECT x.cell, min(y.cell) AS cell_1 FROM {x} x LEFT JOIN {y} y ON y.acc>={m} AND abs(y.row-x.row)<={k} AND abs(y.col-x.col)<={k} WHERE x.acc>={m} GROUP BY 1) y(x_cell, cell)) AS {n}" for n, x, y, m, k in (("hit_a", "ca", "cb", 10, 1), ("hit_b", "cb", "ca", 10, 1), ("major_hit", "ca", "cb", 40, 2)))},
+      (SELECT round(max(acc)*0.01::DOUBLE,6) FROM ca) AS outlet_a_ha, (SELECT round(max(acc)*0.01::DOUBLE,6) FROM cb) AS outlet_b_ha,
+      (SELECT round(sqrt(pow(x.row-y.row,2)+pow(x.col-y.col,2))*10.0::DOUBLE,6) FROM ca x, cb y WHERE x.rank=1 AND y.rank=1) AS top_distance_m FROM f)
+    SELECT st.side, st.rank, st.id, round(sa.acc*0.01::DOUBLE,6) AS area_a_ha, round(sb.acc*0.01::DOUBLE,6) AS area_b_ha, round(overlap,6) AS overlap, partner, ff.*
+    FROM ff CROSS JOIN st JOIN sn sa ON sa.side=st.side AND sa.rank=st.rank AND sa.source='a' JOIN sn sb ON sb.side=st.side AND sb.rank=st.rank AND sb.source='b'
+    JOIN ov ON ov.side=st.side AND ov.rank=st.rank LEFT JOIN pb ON pb.side=st.side AND pb.rank=st.rank""",
+)
+def source_cross_check(spark, d):
+    """How far two height sources agree, beside the ranked sites of both, their catchments and partners."""
+    a, b = _sources(spark, d)
+    facts, sites = PT.source_cross_check(
+        a, b, CT.K, _rows(spark, d), CT.cols(), CT.CELL, stream_area=1000.0, major_area=4000.0, snap_m=40.0, min_area=1000.0, **_RANKING
+    )
+    return rnd(sites.join(facts, CT.K).drop("raster"), 6)
+
+
 _PRODUCTS = f"""WITH RECURSIVE {CT._FILL}, gf AS (SELECT cell, row, col, filled AS z, 0 AS size FROM fd),
     pr AS (WITH RECURSIVE g AS (SELECT * FROM gf), {CT.WALK}, ac AS (SELECT dst AS cell, count(*) AS acc FROM wk GROUP BY 1), {CT._EF}, {CT._SLOPE}, {CT._CURV}
       SELECT cv.cell, cv.z, slope, CASE WHEN hyp>=1e-9 THEN CASE WHEN degrees(atan2(dx,dy))<0 THEN degrees(atan2(dx,dy))+360 ELSE degrees(atan2(dx,dy)) END END AS aspect,

@@ -139,7 +139,7 @@ def run_report(
         "best": R.best_repetition(runs, ["config", "param"]),
         "speed_up": R.speed_up(medians, family).select("config", "param", "rps", "speed_up"),
         "sweep": costed,
-        "choice": R.cheapest(costed),
+        "choice": R.cheapest(costed).filter("param is not null"),
         "buckets": series.drop("by_backend"),
     }
     if phases is not None:

@@ -14,6 +14,7 @@ from rillwork.operators import focal as FO
 from rillwork.operators import ordered as O
 from rillwork.operators import pools as PL
 from rillwork.operators import tiles as TI
+from rillwork.plans import land as LP
 from rillwork.session import cut
 
 
@@ -70,8 +71,12 @@ def catchments(
     A point with no channel within ``snap_m`` is ``widened`` to the best one of its raster. One on a raster
     without any keeps its row, with nulls and the ``reject`` reason.
     """
+    return catchments_of(cut(flow_model(surface, keys, cols, cell_size)), keys, points, cell_size, snap_m, min_area)
+
+
+def catchments_of(model: DataFrame, keys: Sequence[str], points: DataFrame, cell_size: float, snap_m: float, min_area: float) -> DataFrame:
+    """``catchments`` on a flow model that is there already."""
     keys = list(keys)
-    model = cut(flow_model(surface, keys, cols, cell_size))
     snapped = FL.snap_anywhere(points, model, keys, snap_m, min_area, cell_size)
     m = model.select(*keys, "cell", F.col("acc").alias("cells"), "z_max", "z_min", "longest", "fed", "slope_sum")
     snapped = cut(snapped.select(*keys, "point", "cell", "distance_m"))
@@ -99,11 +104,34 @@ def rank_sites(
     stream_area: float, top_n: int = 5, rise: float = 2.0, belt_m: float = 200.0, apart_m: float = 200.0,
     margin: int = 3, area_ha=FL.AREA_HA,
 ) -> tuple[DataFrame, DataFrame]:
-    """Ranked pond sites per raster and the counts of cells each rule removed."""
+    """Ranked pond sites per raster and the counts of cells each rule removed.
+
+    ``heights(<keys>, row, col, z)`` may have ``water`` (mapped water, no site) and ``inside`` (the area of interest).
+    """
+    surface, model = filled_model(heights, keys, cols, cell_size)
+    return rank_sites_of(surface, model, keys, rows, cols, cell_size, stream_area, top_n, rise, belt_m, apart_m, margin, area_ha)
+
+
+def filled_model(heights: DataFrame, keys: Sequence[str], cols: Column, cell_size: float) -> tuple[DataFrame, DataFrame]:
+    """The filled surface and its flow model, with the columns ``water`` and ``inside`` where ``heights`` has them."""
     keys = list(keys)
-    fixed = TI.fill_depressions(heights, keys)
-    surface = cut(fixed.withColumn("z", F.col("filled")).select(*keys, "row", "col", "z"))
+    spot = [*keys, "row", "col"]
+    marks = [c for c in ("water", "inside") if c in heights.columns]
+    fixed = TI.fill_depressions(heights.select(*spot, "z"), keys)
+    surface = cut(fixed.withColumn("z", F.col("filled")).select(*spot, "z"))
     model = flow_model(surface, keys, cols, cell_size)
+    if marks:
+        model = model.join(heights.select(*spot, *[F.coalesce(c, F.lit(False)).alias(c) for c in marks]), spot)
+    return surface, cut(model)
+
+
+def rank_sites_of(
+    surface: DataFrame, model: DataFrame, keys: Sequence[str], rows: Column, cols: Column, cell_size: float,
+    stream_area: float, top_n: int = 5, rise: float = 2.0, belt_m: float = 200.0, apart_m: float = 200.0,
+    margin: int = 3, area_ha=FL.AREA_HA,
+) -> tuple[DataFrame, DataFrame]:
+    """``rank_sites`` on a filled surface and flow model that are there already."""
+    keys = list(keys)
     area = cell_size**2
     need = max(10, round(stream_area / area))
     ha = F.col("acc") * area / 1e4
@@ -128,3 +156,56 @@ def rank_sites(
         "s_upstream_area", "s_flatness", "s_wetness", "s_impoundment",
     )
     return best.join(detail, [*keys, "id"]), counts
+
+
+def source_cross_check(
+    first: DataFrame, second: DataFrame, keys: Sequence[str], rows: Column, cols: Column, cell_size: float, stream_area: float,
+    major_area: float, snap_m: float, min_area: float, **ranking,
+) -> tuple[DataFrame, DataFrame]:
+    """How far two height sources of the same rasters agree: facts per raster, and one row per ranked site of either.
+
+    Facts: bias, RMSE, RMSE without the bias and correlation in one pass over the joined cells; the share of each
+    source's channels that the other has within one cell, and of the first's major channels (``major_area`` upstream)
+    within two; the greatest upstream areas; the distance of the best sites. A site's row has its catchment in both
+    sources, each snapped to its own channels, and the share of cells the two have in common; ``partner`` is the
+    site of the other source whose catchment overlaps its own most, by the overlap table of all catchments.
+    """
+    keys = list(keys)
+    area, need = cell_size**2, max(10, round(stream_area / cell_size**2))
+    sides, tops = {}, {}
+    for name, heights in (("a", first), ("b", second)):
+        surface, model = filled_model(heights, keys, cols, cell_size)
+        best, _ = rank_sites_of(surface, model, keys, rows, cols, cell_size, stream_area, **ranking)
+        sides[name], tops[name] = model, cut(best.select(*keys, "rank", "id", "row", "col"))
+    channels = {n: m.filter(F.col("acc") >= need).select(*keys, "row", "col") for n, m in sides.items()}
+    major = {n: m.filter(F.col("acc") * area >= major_area).select(*keys, "row", "col") for n, m in sides.items()}
+    facts = LP.surface_agreement(first, second, keys)
+    for name, x, y, reach in (("hit_a", channels["a"], channels["b"], 1), ("hit_b", channels["b"], channels["a"], 1), ("major_hit", major["a"], major["b"], 2)):
+        facts = facts.join(LP.channel_agreement(x, y, keys, reach).withColumnRenamed("share", name), keys, "left")
+    for n, m in sides.items():
+        facts = facts.join(m.groupBy(*keys).agg((F.max("acc") * area / 1e4).alias(f"outlet_{n}_ha")), keys, "left")
+    lead = [tops[n].filter("rank = 1").select(*keys, F.col("row").alias(f"_r{n}"), F.col("col").alias(f"_c{n}")) for n in ("a", "b")]
+    apart = F.hypot(F.col("_ra") - F.col("_rb"), F.col("_ca") - F.col("_cb")) * cell_size
+    facts = facts.join(lead[0].join(lead[1], keys).select(*keys, apart.alias("top_distance_m")), keys, "left")
+
+    sites = cut(tops["a"].withColumn("side", F.lit("a")).unionByName(tops["b"].withColumn("side", F.lit("b"))))
+    points = sites.withColumn("point", F.struct("side", "rank"))
+    cells = None  # catchment cells of every site in both sources: at most top_n sites of a raster and side
+    found = sites
+    for n, m in sides.items():
+        own = FL.snap_anywhere(points.select(*keys, "point", "row", "col"), m, keys, snap_m, min_area, cell_size)
+        own = cut(own.select(*keys, "point.side", "point.rank", F.col("cell").alias("outlet"), (F.col("acc") * area / 1e4).alias(f"area_{n}_ha")))
+        up = FL.upstream_cells(m, keys, own.filter("outlet is not null").select(*keys, F.col("outlet").alias("cell")))
+        up = own.join(up, [*keys, "outlet"]).select(*keys, "side", "rank", F.lit(n).alias("source"), "cell")
+        cells = up if cells is None else cells.unionByName(up)
+        found = found.join(own.drop("outlet"), [*keys, "side", "rank"], "left")
+    cells = cut(cells)
+    both = cells.groupBy(*keys, "side", "rank", "cell").agg(F.count(F.lit(1)).alias("n"))
+    shared = both.groupBy(*keys, "side", "rank").agg((F.count(F.when(F.col("n") == 2, 1)) / F.count(F.lit(1))).alias("overlap"))
+    # each site in its own source against the sites of the other in theirs
+    home = cells.filter("side = source").select(*keys, "side", "rank", "cell")
+    other = home.select(*keys, F.col("side").alias("_s"), F.col("rank").alias("partner"), "cell")
+    pairs = home.join(other, [*keys, "cell"]).filter("side <> _s").groupBy(*keys, "side", "rank", "partner").agg(F.count(F.lit(1)).alias("n"))
+    partner = pairs.groupBy(*keys, "side", "rank").agg(F.max_by("partner", F.struct("n", -F.col("partner"))).alias("partner"))
+    out = found.join(shared, [*keys, "side", "rank"], "left").join(partner, [*keys, "side", "rank"], "left")
+    return facts, out.select(*keys, "side", "rank", "id", "area_a_ha", "area_b_ha", "overlap", "partner")
