@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from rillwork.catalog.base import DAY, micros, query, records, records_sql, table
 from rillwork.functions import load as L
@@ -627,7 +626,7 @@ def backend_ewma(spark, d):
     r = records(spark, d)
     # Runs are ordered by name here, so one bucket per run keeps buckets in order.
     runs = r.select("run_id").distinct()
-    pos = runs.withColumn("_run", F.row_number().over(W.orderBy("run_id")))
+    pos = O.range_row_number(runs, ["run_id"], "_run")
     got = O.ewma(
         r.join(pos, "run_id"), ["backend"], F.col("_run") * 100 + F.floor(F.col("t") / 3600), ["run_id", "t"], "ms", 0.2
     )

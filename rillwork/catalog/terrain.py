@@ -498,3 +498,52 @@ def impoundment(spark, d):
 def suppress_neighbours(spark, d):
     s = grid(spark, d).select("raster", F.col("cell").alias("id"), "row", "col", F.col("z").alias("score"))
     return FL.suppress_near(s, K, 12.0, 6).drop("raster")
+
+
+_RINGS = f"""{G}, {comp_sql("size>30")}, cl AS (SELECT label, row, col FROM cp JOIN g USING (cell)),
+    sd(dir,nr,nc,sr,sc,er,ec) AS (VALUES (0,-1,0,0,0,0,1),(1,0,1,0,1,1,1),(2,1,0,1,1,1,0),(3,0,-1,1,0,0,0)),
+    eg AS (SELECT label, dir, (c.row+sr)::BIGINT AS r, (c.col+sc)::BIGINT AS c, c.row+er AS er, c.col+ec AS ec, (((c.row+sr)::BIGINT*2147483648+(c.col+sc))*4+dir)::BIGINT AS edge FROM cl c CROSS JOIN sd
+      WHERE NOT EXISTS (SELECT 1 FROM cl o WHERE o.label=c.label AND o.row=c.row+nr AND o.col=c.col+nc)),
+    nx AS (SELECT a.label, a.edge, a.dir, a.r, a.c, arg_min(b.edge, CASE (b.dir-a.dir+4)%4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS next,
+        arg_min(b.dir, CASE (b.dir-a.dir+4)%4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS turned
+      FROM eg a JOIN eg b ON b.label=a.label AND b.r=a.er AND b.c=a.ec AND (b.dir-a.dir+4)%4<>2 GROUP BY ALL),
+    wa AS (SELECT label, edge AS start, edge, next FROM nx UNION SELECT w.label, w.start, n.edge, n.next FROM wa w JOIN nx n ON n.label=w.label AND n.edge=w.next),
+    ri AS (SELECT label, start AS edge, min(edge) AS ring FROM wa GROUP BY 1,2)"""
+
+
+def label_rings(spark, d):
+    """Rings around the groups of large parts."""
+    from rillwork.operators import outline as OL
+
+    lab = cut(TI.label_components(masked(spark, d), K))
+    cells = lab.select("raster", "label", F.floor(F.col("cell") / WIDTH).cast("int").alias("row"), (F.col("cell") % WIDTH).cast("int").alias("col"))
+    return cut(OL.outline_rings(cells, ["raster", "label"]))
+
+
+@query(
+    "outline_rings",
+    f"""WITH RECURSIVE {_RINGS} SELECT label, ring, count(*) AS edges, count(*) FILTER (turned<>dir) AS corners, count(*)*10.0::DOUBLE AS length_m,
+      sum(CASE dir WHEN 1 THEN c WHEN 3 THEN -c ELSE 0 END)*100.0::DOUBLE AS area_m2, sum(CASE dir WHEN 1 THEN c WHEN 3 THEN -c ELSE 0 END)<0 AS hole FROM nx JOIN ri USING (label, edge) GROUP BY 1,2""",
+)
+def outline_rings(spark, d):
+    from rillwork.operators import outline as OL
+
+    return OL.ring_facts(label_rings(spark, d), ["raster", "label"], CELL).drop("raster")
+
+
+@query(
+    "outline_features",
+    f"""WITH RECURSIVE {_RINGS}, tu AS (SELECT a.label, a.next AS edge FROM nx a WHERE a.turned<>a.dir),
+    sq AS (SELECT label, edge AS ring, edge, next, 0 AS pos FROM nx WHERE (label, edge) IN (SELECT label, ring FROM ri) UNION ALL SELECT s.label, s.ring, n.edge, n.next, s.pos+1 FROM sq s JOIN nx n ON n.label=s.label AND n.edge=s.next WHERE n.edge<>s.ring)
+    SELECT sq.label, sq.ring, md5(string_agg(c||' '||r, ',' ORDER BY pos)) AS corners FROM sq JOIN tu USING (label, edge) JOIN nx USING (label, edge) GROUP BY 1,2""",
+)
+def outline_features(spark, d):
+    """Hash of the corners of every ring as the features of the writer hold them, in order."""
+    from rillwork.operators import outline as OL
+    from rillwork.sources import sinks
+
+    rings, keys = label_rings(spark, d), ["raster", "label"]
+    made = sinks.ring_features(OL.ring_vertices(rings, keys), OL.ring_facts(rings, keys, CELL), keys, F.col("col"), F.col("row"))
+    xy = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<array<long>>>")[0]
+    told = F.transform(F.slice(xy, 1, F.size(xy) - 1), lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string")))
+    return made.select("label", "ring", F.md5(F.concat_ws(",", told)).alias("corners"))

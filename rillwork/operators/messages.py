@@ -30,12 +30,12 @@ def first_arrivals(incoming: DataFrame, key: str = "id", order: Sequence[str] =
 def append(store: DataFrame | None, incoming: DataFrame, bucket_ms: int = BUCKET_MS) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)`` of a batch: an id is stored once, by its first arrival.
 
-    Accepted rows get the next gap-free ``seq`` of their room; every other copy is rejected.
+    Accepted rows get the next gap-free ``seq`` of their room; every other copy is rejected, and so is every
+    message without an id, which no later batch could tell from a new one.
     A retried id may have any number of copies, alike or not: as many are rejected as were sent, less the
     one that is accepted.
     """
-    first = first_arrivals(incoming)
-    known = None
+    first = first_arrivals(incoming.filter(F.col("id").isNotNull()))
     if store is not None:
         known = store.select("id")
         first = first.join(known, "id", "left_anti")

@@ -55,6 +55,12 @@ def split_row_number(
     )
 
 
+def range_row_number(df: DataFrame, order: Sequence[str], out: str = "rn") -> DataFrame:
+    """Exact ``row_number() over (order by order)``: rows are dealt in ranges of ``order`` and counted by range."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return split_row_number(dealt, [], F.col("_range"), order, out).drop("_range")
+
+
 def split_running_sum(
     df: DataFrame, part: Sequence[str], bucket: Column, order: Sequence, value: Column, out: str
 ) -> DataFrame:

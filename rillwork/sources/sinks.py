@@ -41,6 +41,19 @@ def polygon(ring: Column) -> Column:
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(xy).alias("coordinates")))
 
 
+def ring_features(vertices: DataFrame, facts: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
+    """One GeoJSON feature per ring from the corners and facts of ``operators.outline``.
+
+    ``x`` and ``y`` turn a corner's ``row`` and ``col`` into coordinates. A ring's corners gather in its own row, as the
+    format asks for; the first is repeated at the end. The properties are the keys and facts.
+    """
+    corners = F.sort_array(F.collect_list(F.struct("pos", x.alias("lon"), y.alias("lat"))))
+    open_ = vertices.groupBy(*keys, "ring").agg(corners.alias("_v"))
+    closed = open_.join(facts, [*keys, "ring"]).withColumn("_v", F.concat("_v", F.slice("_v", 1, 1)))
+    props = {c: F.col(c) for c in facts.columns}
+    return closed.select(*facts.columns, feature(polygon(F.col("_v")), props).alias("feature"))
+
+
 def feature(geometry: Column, properties: Mapping[str, Column]) -> Column:
     """GeoJSON feature text around a geometry text."""
     props = F.to_json(F.struct(*[c.alias(n) for n, c in properties.items()]))

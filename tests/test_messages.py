@@ -53,6 +53,14 @@ def test_every_copy_is_audited(spark):
     assert again.count() == 0 and dup.count() == 5
 
 
+def test_messages_without_id_are_rejected(spark):
+    sent = rows(spark, [("m1", "a", 1, "x"), (None, "a", 2, "x"), (None, "a", 3, "y")])
+    ok, dup = M.append(None, sent)
+    assert [r["id"] for r in ok.collect()] == ["m1"] and sorted(r["at"] for r in dup.collect()) == sorted(r["stored_at"] for r in sent.filter("id is null").collect())
+    again, dup = M.append(ok, sent)
+    assert again.count() == 0 and dup.count() == 3
+
+
 def test_transitions(spark):
     m = spark.createDataFrame(
         [("draft", "submitted", "planner"), ("draft", "approved", "officer"), ("submitted", "approved", "planner"), ("submitted", "rejected", "officer")],

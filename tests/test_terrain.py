@@ -218,6 +218,22 @@ def test_rank_sites_on_a_valley(spark):
     assert all(a["score"] >= b["score"] for a, b in zip(got, got[1:]))
 
 
+def test_equal_sources_agree(spark):
+    rows, cols = 30, 31
+    z = [[abs(c - 15) * 1.0 + (rows - r) * 0.2 for c in range(cols)] for r in range(rows)]
+    one = cells(spark, z).drop("cell")
+    marked = one.withColumns({"water": F.col("row") == 20, "inside": F.col("row") > 8})
+    facts, sites = PT.source_cross_check(
+        one, marked, K, F.lit(rows), F.lit(cols).cast("long"), 30.0, stream_area=30_000.0, major_area=60_000.0, snap_m=60.0, min_area=30_000.0,
+        apart_m=120.0, belt_m=60.0, top_n=2,
+    )
+    f = facts.first()
+    assert (f["n"], f["bias"], f["rmse"], f["hit_a"], f["hit_b"], f["major_hit"]) == (rows * cols, 0.0, 0.0, 1.0, 1.0, 1.0)
+    got = sites.collect()
+    assert {r["side"] for r in got} == {"a", "b"} and all(r["overlap"] == 1.0 and r["area_a_ha"] == r["area_b_ha"] and r["partner"] for r in got)
+    assert all(r["id"] // cols > 8 and r["id"] // cols != 20 for r in got if r["side"] == "b")
+
+
 def test_flat_ground_has_no_sites(spark):
     z = [[5.0] * 12 for _ in range(12)]
     best, counts = PT.rank_sites(
