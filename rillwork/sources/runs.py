@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions import load as L
+from rillwork.sources import rejects
+
 RECORD = "struct<t:double,ms:double,status:int,backend:string,err:string,active:int,dup:boolean,attempts:int,kind:string>"
 SECOND = (
     "struct<t:int,requests:bigint,ok:bigint,errors:bigint,dups:bigint,p50:double,p95:double,mean:double,"
@@ -29,18 +32,24 @@ def run_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def run_summaries(docs: DataFrame) -> DataFrame:
     """Summary rows, without trial runs; latency fields flat."""
-    s = docs.select("summary.*").filter(~F.col("run_id").rlike("^(local_|smoke_|calibration)"))
+    s = checked_documents(docs).filter("reason is null").select("summary.*")
     return s.select("*", "latency_ms.*").drop("latency_ms")
 
 
+def checked_documents(docs: DataFrame) -> DataFrame:
+    """Documents with the ``reason`` why a report leaves them out: no run id (broken ones too), or a trial run."""
+    run = F.col("summary.run_id")
+    return rejects.tag(docs, {"no_run": run.isNull(), "trial": L.ignored_run(run)})
+
+
 def run_records(docs: DataFrame) -> DataFrame:
-    """Request records."""
-    return docs.select("summary.run_id", F.inline("records"))
+    """Request records, without trial runs."""
+    return checked_documents(docs).filter("reason is null").select("summary.run_id", F.inline("records"))
 
 
 def run_seconds(docs: DataFrame) -> DataFrame:
-    """Per-second rows with their maps."""
-    return docs.select("summary.run_id", F.inline("timeseries_1s"))
+    """Per-second rows with their maps, without trial runs."""
+    return checked_documents(docs).filter("reason is null").select("summary.run_id", F.inline("timeseries_1s"))
 
 
 def utilisation_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -113,31 +122,55 @@ def access_log(spark: SparkSession, path: str, stream: bool = False) -> DataFram
 COMBINED = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "(\S+) (\S+) ([^"]*)" (\d{3}) (\d+|-) "([^"]*)" "([^"]*)"'
 
 
-def combined_log(spark: SparkSession, path: str) -> DataFrame:
-    """Combined-format web log; lines of another shape are left out."""
+def checked_combined_log(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a combined-format web log: its fields, or the ``reason`` (``shape``, ``time``) that it has none."""
     v = F.col("value")
     names = ("client", "user", "time", "method", "path", "protocol", "status", "bytes", "referer", "agent")
     cols = {n: F.regexp_extract(v, COMBINED, i) for i, n in enumerate(names, 1)}
-    t = spark.read.text(path).filter(v.rlike(COMBINED)).select(*[c.alias(n) for n, c in cols.items()])
-    return t.withColumns(
+    t = spark.read.text(path).select("value", *[F.when(v.rlike(COMBINED), c).alias(n) for n, c in cols.items()])
+    t = t.withColumns(
         {
-            "status": F.col("status").cast("int"),
-            "bytes": F.expr("try_cast(bytes AS bigint)"),
+            "status": F.col("status").try_cast("int"),
+            "bytes": F.col("bytes").try_cast("bigint"),
             "time": F.try_to_timestamp("time", F.lit("dd/MMM/yyyy:HH:mm:ss Z")),
         }
     )
+    return rejects.tag(t, {"shape": F.col("client").isNull(), "time": F.col("time").isNull()})
+
+
+def checked_access_log(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the balancer's log: its fields, or the ``reason``: ``malformed`` or ``status``."""
+    t = spark.read.schema(f"{ACCESS}, line string").option("columnNameOfCorruptRecord", "line").csv(path)
+    return rejects.tag(t, {"malformed": F.col("line").isNotNull(), "status": ~F.col("status").between(100, 599) | F.col("status").isNull()})
+
+
+def combined_log(spark: SparkSession, path: str) -> DataFrame:
+    """Combined-format web log; lines of another shape are left out (see ``checked_combined_log``)."""
+    return checked_combined_log(spark, path).filter("client is not null").drop("value", "reason")
 
 
 MESSAGE = "id string, room string, sender string, ts bigint, kind string, text string, env string, via string, extra string"
 
 
+def checked_messages(spark: SparkSession, path: str, stored: DataFrame | None = None) -> DataFrame:
+    """Every line of a JSON-lines export: its fields, or the ``reason``: ``malformed``, ``no_id`` or ``known``."""
+    m = spark.read.text(path).withColumn("m", F.from_json("value", MESSAGE)).select("value", "m.*")
+    # a broken line gives nulls only; so does an empty object, which has no id either
+    whole = F.get_json_object("value", "$").isNotNull()
+    if stored is None:
+        m = m.withColumn("_known", F.lit(False))
+    else:
+        known = stored.select(F.col("id").alias("_id")).distinct()
+        m = m.join(known, F.col("id") == F.col("_id"), "left").withColumn("_known", F.col("_id").isNotNull()).drop("_id")
+    tagged = rejects.tag(m, {"malformed": ~whole, "no_id": F.col("id").isNull(), "known": F.col("_known")})
+    return tagged.drop("_known")
+
+
 def legacy_messages(spark: SparkSession, path: str, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(new, skipped)`` of a JSON-lines export: broken lines drop out, known ids are counted."""
-    m = spark.read.schema(MESSAGE).option("mode", "DROPMALFORMED").json(path).filter(F.col("id").isNotNull())
-    if stored is None:
-        return m, m.filter("false").groupBy().agg(F.count(F.lit(1)).alias("skipped"))
-    known = stored.select("id")
-    return m.join(known, "id", "left_anti"), m.join(known, "id", "left_semi").groupBy().agg(F.count(F.lit(1)).alias("skipped"))
+    checked = checked_messages(spark, path, stored)
+    new, _ = rejects.split(checked, "value")
+    return new, checked.filter("reason = 'known'").groupBy().agg(F.count(F.lit(1)).alias("skipped"))
 
 
 #: Fixed value: how far a coordinate may lie from its grid node.

@@ -45,7 +45,8 @@ def test_run_documents(spark, tmp_path):
     d = SR.run_documents(spark, str(tmp_path))
     s = SR.run_summaries(d).collect()
     assert len(s) == 1 and s[0]["p50"] == 3.0
-    assert SR.run_records(d).count() == 2
+    assert SR.run_records(d).count() == 1  # trial runs are left out everywhere
+    assert [r["reason"] for r in SR.checked_documents(d).orderBy("summary.run_id").collect()] == [None, "trial"]
     assert SR.run_seconds(d).filter("run_id = 'L1_c25_rep1'").first()["by_backend"] == {"sys2": 1}
 
 
