@@ -363,14 +363,17 @@ def _cxy(n: str) -> str:
     return f"{x} AS x{n}, {y}+CASE WHEN epsg>=32700 THEN 10000000 ELSE 0 END AS y{n}"
 
 
-@query(
-    "box_grid_and_area",
-    f"""WITH {_BOX}, z AS (SELECT *, CAST(floor(((west+east)/2+180)/6)%60+1 AS INTEGER)+CASE WHEN (south+north)/2>=0 THEN 32600 ELSE 32700 END AS epsg FROM bx),
+BOX_FACTS_SQL = f"""WITH {_BOX}, z AS (SELECT *, CAST(floor(((west+east)/2+180)/6)%60+1 AS INTEGER)+CASE WHEN (south+north)/2>=0 THEN 32600 ELSE 32700 END AS epsg FROM bx),
     a AS (SELECT id, epsg, {_corner("1", "west", "south")}, {_corner("2", "east", "south")}, {_corner("3", "east", "north")}, {_corner("4", "west", "north")} FROM z),
     c AS (SELECT id, epsg, {", ".join(_cxy(n) for n in "1234")} FROM a),
     f AS (SELECT id, epsg, CAST(ceil((greatest(y1,y2,y3,y4)-least(y1,y2,y3,y4))/100) AS BIGINT) AS rows, CAST(ceil((greatest(x1,x2,x3,x4)-least(x1,x2,x3,x4))/100) AS BIGINT) AS cols,
       abs(x1*y2-x2*y1+x2*y3-x3*y2+x3*y4-x4*y3+x4*y1-x1*y4)/2/1e6 AS area_km2 FROM c)
-    SELECT id, epsg, rows, cols, round(area_km2,3) AS area_km2 FROM f WHERE area_km2 BETWEEN 2000 AND 30000""",
+    SELECT * FROM f"""
+
+
+@query(
+    "box_grid_and_area",
+    f"SELECT id, epsg, rows, cols, round(area_km2,3) AS area_km2 FROM ({BOX_FACTS_SQL}) WHERE area_km2 BETWEEN 2000 AND 30000",
 )
 def box_grid_and_area(spark, d):
     c = (F.col(x) for x in ("west", "south", "east", "north"))

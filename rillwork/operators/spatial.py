@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rillwork.session import attach, cut
+from rillwork.sources import rejects
 
 
 def radius_join(
@@ -375,9 +376,15 @@ def source_counts(contours: DataFrame) -> DataFrame:
     return contours.groupBy("map_id", "source").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def checked_area(boxes: DataFrame, lo_km2: float, hi_km2: float) -> DataFrame:
+    """Boxes with the ``reason`` why they are refused: ``too_small``, ``too_large`` or ``no_area``."""
+    area = F.col("area_km2")
+    return rejects.tag(boxes, {"no_area": area.isNull() | F.isnan(area), "too_small": area < lo_km2, "too_large": area > hi_km2})
+
+
 def within_area(boxes: DataFrame, lo_km2: float, hi_km2: float) -> DataFrame:
     """Boxes whose area lies inside the limits."""
-    return boxes.filter(F.col("area_km2").between(lo_km2, hi_km2))
+    return checked_area(boxes, lo_km2, hi_km2).filter("reason is null").drop("reason")
 
 
 def score_text(texts: DataFrame, id: str, text: str, datasets: Sequence[tuple[str, str, float]]) -> DataFrame:
