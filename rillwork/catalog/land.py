@@ -93,10 +93,10 @@ def land_rule_counts(spark, d):
     FROM j JOIN dm USING (label) GROUP BY label""",
 )
 def available_parcels(spark, d):
-    c = cut(_near(spark, d))
-    big = L.contiguous(c, K, rule(), 300.0, CELL)
-    cells = c.join(big.select("raster", "cell", "label"), ["raster", "cell"])
-    return rnd(L.parcels(cells, K, CELL**2).drop("raster"), 6)
+    from rillwork.plans.land import available_land
+
+    _, parcels = available_land(_near(spark, d), K, rule(), 300.0, CELL)
+    return rnd(parcels.drop("raster"), 6)
 
 
 @query(
@@ -207,6 +207,35 @@ def seasonal_water(spark, d):
     return combine_seasons(g.filter("size > 40"), g.filter("size > 30"), K).select("cell", "season")
 
 
+def _season_sql(wetter: int) -> str:
+    """Water cells of one season's scenes."""
+    band = f"""sb AS (SELECT row, col, cell, (size+{wetter})*20.0::DOUBLE+i*3 AS green, (50-size)*20.0::DOUBLE+i AS nir, (size+i)%12 NOT IN (0,1,3,8,9,10,11) AS ok FROM g CROSS JOIN (VALUES (1),(2),(3)) v(i)),
+      bd AS (SELECT row, col, cell, median(green) FILTER (ok AND green>0 AND nir>0) AS green, median(nir) FILTER (ok AND green>0 AND nir>0) AS nir FROM sb GROUP BY 1,2,3), nd AS (SELECT *, CASE WHEN green+nir>0 THEN (green-nir)/(green+nir) END AS ix FROM bd)"""
+    return f"""(WITH RECURSIVE {G}, {_OTSU.replace(_BAND, band)}, bi AS (SELECT row, col, cell, CASE WHEN (SELECT threshold FROM ot)/127.5-1<0 THEN CAST(ix>0 AS INTEGER) ELSE CAST(b>(SELECT threshold FROM ot) AS INTEGER) END AS m FROM by_),
+      {CT._morph_sql("bi", "-++-")}, gg AS (SELECT * FROM mo3), {comp_sql("m=1").replace("FROM g WHERE", "FROM gg WHERE")}, sz AS (SELECT label FROM cp GROUP BY 1 HAVING count(*)>=2) SELECT cell FROM cp JOIN sz USING (label))"""
+
+
+@query(
+    "seasonal_water_of_scenes",
+    f"SELECT w.cell, CASE WHEN d.cell IS NULL THEN 'seasonal' ELSE 'perennial' END AS season FROM {_season_sql(8)} w LEFT JOIN {_season_sql(0)} d ON d.cell=w.cell",
+)
+def seasonal_water_of_scenes(spark, d):
+    """Perennial and seasonal water from the scenes of a dry and a wet season."""
+    from rillwork.plans.land import seasonal_water as job
+
+    i = F.col("i")
+
+    def bands(wetter):
+        g = grid(spark, d).withColumn("i", F.explode(F.array(*[F.lit(k) for k in range(5)])))
+        return g.select(
+            "raster", "row", "col", i.alias("scene"), ((F.col("size") + wetter) * 20.0 + i * 3).alias("green"), ((50 - F.col("size")) * 20.0 + i).alias("nir"),
+            ((F.col("size") + i) % 12).alias("scl"), F.when(i == 0, 19.0).otherwise(i * 6.0).alias("cloud"),
+        )
+
+    water, _ = job(bands(0), bands(8), K, CT.cols(), CELL, 200.0)
+    return water.select("cell", "season")
+
+
 @query(
     "mask_agreement",
     f"""WITH {G} SELECT count(*) FILTER (size>30 AND z>950)::DOUBLE/count(*) FILTER (size>30 OR z>950) AS jaccard,

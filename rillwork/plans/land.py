@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions import terrain as T
@@ -60,6 +60,24 @@ def combine_seasons(dry: DataFrame, wet: DataFrame, keys: Sequence[str]) -> Data
     return wet.join(seen, spot, "left").withColumn("season", label).drop("_d")
 
 
+def seasonal_water(
+    dry: DataFrame, wet: DataFrame, keys: Sequence[str], cols: Column, cell_size: float, min_area: float
+) -> tuple[DataFrame, DataFrame]:
+    """Water of the wet season, perennial or seasonal, from the scenes of both; and facts per raster and season.
+
+    ``dry`` and ``wet`` are bands as ``operators.land.season_composite`` takes them. Each season's clearest scenes make
+    a composite, its index a mask with its own threshold, and the masks are laid over each other.
+    """
+    keys = list(keys)
+    masks, told = {}, []
+    for name, bands in (("dry", dry), ("wet", wet)):
+        shot = L.season_composite(bands, keys).withColumn("ix", T.ndwi(F.col("green"), F.col("nir")))
+        shot = shot.withColumn("cell", (F.col("row") * cols + F.col("col")).cast("long"))
+        masks[name], facts = water_mask(shot.select(*keys, "row", "col", "cell", "ix"), keys, cell_size, min_area)
+        told.append(facts.withColumn("season", F.lit(name)))
+    return combine_seasons(masks["dry"], masks["wet"], keys), told[0].unionByName(told[1])
+
+
 def mask_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Shared over joint cells of two masks, and their difference in size."""
     spot = [*keys, "row", "col"]
