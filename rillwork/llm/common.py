@@ -29,6 +29,22 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores behind them until no column of ``df``, and no earlier one of them, is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of ``df`` but those named, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in but]
+
+
 def stow(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 

@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import NEAR, WIDTH, row_key, stow, words
+from rillwork.llm.common import NEAR, WIDTH, fresh, own, row_key, stow, words
 from rillwork.llm.fingerprints import BITS, signed, votes
 
 RADIUS, BLOCKS = 23, 8
@@ -113,7 +113,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, by_
     With ``by_row`` every row is judged by its own text, whether its id is null or repeated or not.
     """
     if by_row:
-        found = leaks(docs.select(row_key().alias("doc_id"), "text"), benchmark, near).select(F.col("doc_id").alias("_key")).distinct()
-        return docs.withColumn("_key", row_key()).join(found, "_key", "left_anti").select(*docs.columns)
+        (key,) = fresh(docs, "_key")
+        found = leaks(docs.select(row_key().alias("doc_id"), "text"), benchmark, near).select(F.col("doc_id").alias(key)).distinct()
+        return docs.withColumn(key, row_key()).join(found, key, "left_anti").select(*own(docs))
     found = leaks(docs, benchmark, near).select("doc_id").where("doc_id is not null").distinct()
     return docs.join(found, "doc_id", "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rillwork.llm.common import NEAR, WIDTH, components, row_key, set_key, shingle_sets, stow
+from rillwork.llm.common import NEAR, WIDTH, components, fresh, own, row_key, set_key, shingle_sets, stow
 from rillwork.session import cut
 
 #: Share of each set that is indexed, in twentieths; must exceed the share a similar set may lack.
@@ -284,13 +284,15 @@ def keep_first(docs: DataFrame, width: int = WIDTH, near: float = NEAR, by_row:
     ids come last), and one of those that repeat both.
     """
     if by_row:
-        keyed = docs.withColumn("_key", row_key())
-        placed = link_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), width, near).select(F.col("doc_id").alias("_key"), "component_id")
-        placed = placed.distinct().join(keyed.select("_key", "doc_id").distinct(), "_key")
-        first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_key")).alias("first")
-        kept = placed.groupBy("component_id").agg(first).select("first._key").distinct()
-        alike = W.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-        return keyed.join(kept, "_key", "left_semi").withColumn("_at", F.row_number().over(alike)).where("_at = 1").select(*docs.columns)
+        key, at = fresh(docs, "_key", "_at")
+        keyed = docs.withColumn(key, row_key())
+        rows = keyed.select(F.col(key).alias("row"), "doc_id", "text")
+        placed = link_groups(rows.select(F.col("row").alias("doc_id"), "text"), width, near).select(F.col("doc_id").alias("row"), "component_id")
+        placed = placed.distinct().join(rows.select("row", "doc_id").distinct(), "row")
+        first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")
+        kept = placed.groupBy("component_id").agg(first).select(F.col("first.row").alias(key)).distinct()
+        alike = W.partitionBy(key).orderBy(F.xxhash64(*own(docs)))
+        return keyed.join(kept, key, "left_semi").withColumn(at, F.row_number().over(alike)).where(F.col(at) == 1).select(*own(docs))
     groups = link_groups(docs, width, near)
     gone = groups.where("doc_id is not null and not is_first").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import stow, words
+from rillwork.llm.common import fresh, own, stow, words
 
 #: Leading words that choose a leaf below the word count.
 LEAD = 3
@@ -48,11 +48,11 @@ def dedupe_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED
     the smallest id keeps its lines; all others lose theirs, so that no content leaves the corpus for
     good. A document is an id and a text, keyed by 64 bits of both: rows that repeat both count once and are treated alike; null
     ids come last. Lines of fewer than ``MIN_WORDS`` words always stay. A null text stays null with no
-    lines; an empty one has one, empty line. Other columns pass through, whatever their names.
+    lines; an empty one has one, empty line. Other columns pass through, whatever their names, but for
+    ``n_lines`` and ``n_dropped``, which are replaced.
     """
-    for name in ("n_lines", "n_dropped"):  # of an earlier pass
-        if name in docs.columns:
-            docs = docs.drop(name)
+    docs = docs.drop("n_lines", "n_dropped")  # of an earlier pass
+    key, dropped, stay = fresh(docs, "_key", "_drops", "_stay")
     slim = docs.select("doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     narrow = stow(_lines(slim, "doc_id", "key").select("doc_id", "key", "leaf", "form").distinct(), "lines")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key"))
@@ -82,14 +82,14 @@ def dedupe_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED
     owners = lines.select("leaf", "template", "doc_id", "key").distinct()
     recurring = owners.groupBy("leaf", "template").agg(F.count("*").alias("held"), first.alias("first")).where(F.col("held") >= min_docs)
     gone = lines.join(recurring, ["leaf", "template"]).where(~(F.col("first.key").eqNullSafe(F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))))
-    drops = gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set("form").alias("_drops"))
+    drops = gone.groupBy(F.col("key").alias(key)).agg(F.collect_set("form").alias(dropped))
 
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).repartition("_key").join(drops, "_key", "left")
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).repartition(key).join(drops, key, "left")
     lines_of = F.split("text", "\n")
-    stay = F.filter(lines_of, lambda line: ~F.array_contains("_drops", form(line)))
-    joined = joined.withColumn("_stay", F.when(F.isnotnull("_drops"), stay))
+    left = F.filter(lines_of, lambda line: ~F.array_contains(dropped, form(line)))
+    joined = joined.withColumn(stay, F.when(F.isnotnull(dropped), left))
     out = joined.withColumn("n_lines", F.coalesce(F.size(lines_of), F.lit(0)).cast("long"))
     out = out.withColumn("n_lines", F.when(F.isnull("text"), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.isnotnull("_stay"), F.col("n_lines") - F.size("_stay")).otherwise(0).cast("long"))
-    out = out.withColumn("text", F.when(F.isnotnull("_stay"), F.array_join("_stay", "\n")).otherwise(F.col("text")))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    out = out.withColumn("n_dropped", F.when(F.isnotnull(stay), F.col("n_lines") - F.size(stay)).otherwise(0).cast("long"))
+    out = out.withColumn("text", F.when(F.isnotnull(stay), F.array_join(stay, "\n")).otherwise(F.col("text")))
+    return out.select(*own(docs), "n_lines", "n_dropped")

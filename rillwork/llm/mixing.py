@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rillwork.llm.common import row_key, stow, words
+from rillwork.llm.common import fresh, own, row_key, stow, words
 
 #: Rows of a source that one window task orders at the cut.
 CUT_ROWS = 1 << 11
@@ -88,14 +88,18 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3,
     ``epoch_words`` is the words to take from the front of the text in that epoch: all of them except in
     the document that a source's budget cuts. Documents without words, and those that the mix leaves
     out, are not in it. Every row counts for itself, also with a null or repeated id: rows get stored
-    numbers of their own, by which they meet what is taken of them.
+    numbers of their own, by which they meet what is taken of them. Other columns pass through, whatever
+    their names, but for ``epoch`` and ``epoch_words``, which are replaced.
     """
-    rows = stow(docs.withColumn("_tie", row_key()).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    taken = mix_sources(rows, weights, most, seed, ["_tie", "_row"]).where("taken > 0").select("_row", "size", "taken")
-    epoch = F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))"))
+    docs = docs.drop("epoch", "epoch_words")
+    tie, row, size, take = fresh(docs, "_tie", "_row", "_size", "_take")
+    rows = stow(docs.withColumn(tie, row_key()).withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = mix_sources(rows, weights, most, seed, [tie, row]).where("taken > 0")
+    taken = taken.select(row, F.col("size").alias(size), F.col("taken").alias(take))
+    epoch = F.explode(F.sequence(F.lit(1), F.ceil(F.col(take) / F.col(size)).cast("int")))
     return (
-        rows.join(taken, "_row")
+        rows.join(taken, row)
         .withColumn("epoch", epoch)
-        .withColumn("epoch_words", F.least("size", F.col("taken") - (F.col("epoch") - 1) * F.col("size")))
-        .drop("size", "taken", "_tie", "_row")
+        .withColumn("epoch_words", F.least(F.col(size), F.col(take) - (F.col("epoch") - 1) * F.col(size)))
+        .select(*own(docs), "epoch", "epoch_words")
     )

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import stow
+from rillwork.llm.common import fresh, own, stow
 
 #: What is found, in the order in which kinds are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?=[A-Fa-f:]*+[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+?[0-9]{1,3}[ -]?)?\([0-9]{2,4}\)[ -]?[0-9]{3,4}[- ][0-9]{3,4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z.-])[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])",
+    r"|(?<![0-9A-Za-z.-])[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])"
+    r"|(?<![0-9A-Za-z+])\+[1-9][0-9]{7,14}(?![0-9A-Za-z])",
+    "dialled": r"(?<=(?:[Tt]el|[Tt]elefon|[Pp]hone|[Mm]obile|[Cc]ell|[Cc]all|[Ff]ax)[.:]{0,2} {0,1})(?:[0-9]{7,12}|[0-9]{3}[-. ][0-9]{4})(?![0-9A-Za-z-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|Господин|Госпожа)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "name": r"(?<!\p{L})(?:Mrs?|Ms|Miss|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|Dra?|Prof|Professora?|Доктор|Профессор|Господин|Госпожа)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Cheap necessary condition: an at sign, four digits with at most a separator between, or a title.
-_HINT = r"@|(?:[0-9][ ().-]{0,2}){4}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Se.or|Sr|Monsieur|Madame|Mme|Господин|Госпожа)"
+#: Cheap necessary condition: an at sign, two colons or a row of groups, four digits with at most a separator between, or a title.
+_HINT = r"@|::|(?:[0-9A-Fa-f]{1,4}:){7}|(?:[0-9][ ().-]{0,2}){4}|(?:Mr|Ms|Miss|Herr|Frau|Se.or|Sr|Monsieur|Madame|Mme|Dr|Prof|Доктор|Профессор|Господин|Госпожа)"
 
-_WOMEN = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа)\b"
+#: Titles of women; after a title of either, a first name that ends in an a is a woman's.
+_WOMEN = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Dra|Professora|Госпожа)\b|^(?:Dr|Prof|Professor|Доктор|Профессор)\.? \p{L}+[aа] \p{Lu}"
 _FIRST = {
     ("latin", "f"): "Ada Bella Carla Dora Elena Flora Greta Hanna Irene Julia Klara Lena Maria Nora Olga Paula".split(),
     ("latin", "m"): "Adam Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Noah Oscar Paul".split(),
@@ -72,6 +77,13 @@ def _ip(text: Column, h: Column, wide: Column) -> Column:
     return F.concat_ws(".", *out)
 
 
+def _ipv6(text: Column, h: Column, wide: Column) -> Column:
+    """Hex for hex in the same groups; a whole address where that space is used up."""
+    hexed = lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(h, i % 64 + 1, F.lit(1))).when(c.rlike("[A-F]"), F.upper(F.substring(h, i % 64 + 1, F.lit(1)))).otherwise(c)
+    whole = F.concat_ws(":", *[F.substring(h, 4 * i + 1, 4) for i in range(8)])
+    return F.when(wide, whole).otherwise(F.array_join(F.transform(F.split(text, ""), hexed), ""))
+
+
 def _luhn(digits: Column) -> Column:
     """Sum of a card number's digits, every second from the right doubled, modulo ten."""
     back = F.split(F.reverse(digits), "")
@@ -122,6 +134,7 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     made = (
         F.when(F.col("kind") == "email", email)
         .when(F.col("kind") == "ip", _ip(F.col("entity"), F.col("_h"), wide))
+        .when(F.col("kind") == "ipv6", _ipv6(F.col("entity"), F.col("_h"), wide))
         .when(F.col("kind") == "card", card)
         .when(F.col("kind") == "iban", F.concat(F.substring("entity", 1, 2), F.expr("substring(_like, 3)"), F.when(wide, F.upper(F.substring("_h", 40, 4))).otherwise("")))
         .when(F.col("kind") == "name", _name(F.col("entity"), key, F.col("draw")))
@@ -163,27 +176,28 @@ def replace_private(docs: DataFrame, key: str = "rillwork") -> DataFrame:
 
     One entity has one surrogate in the whole corpus, so mentions still refer to each other, and no two
     entities share one. Digits stand for digits and letters for letters; card numbers that pass their
-    check digit still do, octets stay octets, a country code stays, a title keeps its gender and a name its script. Overlaps
-    go to the leftmost match. A null text stays null, an empty one empty, both with 0 replaced; rows without
+    check digit still do, octets stay octets and groups groups, a country code stays, a title keeps its gender
+    and a name its script. Bare digits are a phone number after a word that says so. Overlaps go to the leftmost match. A null text stays null, an empty one empty, both with 0 replaced; rows without
     personal data pass through unchanged. Rows are told apart by a number of their own, so repeated rows
     and null ids keep theirs; other columns pass through, but for one named ``n_replaced``, which is replaced.
     """
-    names = [c for c in docs.columns if c != "n_replaced"]
-    docs = docs.select(*names)
+    docs = docs.drop("n_replaced")
+    names = own(docs)
+    spans, gaps, row, drawn = fresh(docs, "_m", "_gaps", "_row", "_s")
     found = F.coalesce(F.col("text").rlike(_HINT), F.lit(False))
     matches = F.when(found, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(0)))
-    listed = docs.withColumn("_m", matches)
-    clean = listed.where("_m is null or size(_m) = 0").drop("_m").withColumn("n_replaced", F.lit(0).cast("long"))
-    hits = listed.where("size(_m) > 0").withColumn("_row", F.monotonically_increasing_id())
-    hits = stow(hits.select(*names, "_m", "_row", F.split("text", f"(?:{ANY})", -1).alias("_gaps")), "hits")
+    listed = docs.withColumn(spans, matches)
+    clean = listed.where(F.isnull(spans) | (F.size(spans) == 0)).withColumn("n_replaced", F.lit(0).cast("long"))
+    hits = listed.where(F.size(spans) > 0).withColumn(row, F.monotonically_increasing_id())
+    hits = stow(hits.select(*names, spans, row, F.split("text", f"(?:{ANY})", -1).alias(gaps)), "hits")
     kind = None
     for name, pattern in PATTERNS.items():
         test = F.col("entity").rlike(f"^(?:{pattern})$")
         kind = F.when(test, name) if kind is None else kind.when(test, name)
-    spots = hits.select("_row", F.posexplode("_m").alias("_at", "entity"))
+    spots = hits.select(F.col(row).alias("row"), F.posexplode(spans).alias("at", "entity"))
     named = spots.select("entity").distinct().withColumn("kind", kind.otherwise("digits"))
     made = surrogates(named, key)
-    subs = spots.join(made.select("entity", "surrogate"), "entity").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "surrogate"))).alias("_s"))
-    text = F.expr("array_join(transform(_gaps, (g, i) -> concat(g, coalesce(get(_s, i).surrogate, ''))), '')")
-    fixed = hits.join(subs, "_row").withColumn("text", text).withColumn("n_replaced", F.size("_m").cast("long"))
+    subs = spots.join(made.select("entity", "surrogate"), "entity").groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias(drawn))
+    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(drawn), i)["surrogate"], F.lit("")))), "")
+    fixed = hits.join(subs, row).withColumn("text", text).withColumn("n_replaced", F.size(spans).cast("long"))
     return clean.select(*names, "n_replaced").unionByName(fixed.select(*names, "n_replaced"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import row_key
+from rillwork.llm.common import fresh, own, row_key
 
 #: Bound of the labelled rows that the index is fitted on, and of its vocabulary.
 TRAIN_ROWS, TERMS = 8192, 512
@@ -229,7 +229,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC,
     """
     if by_row:
         bad = score(docs, labels, toxic_from, docs.select(row_key().alias("doc_id"), "text"))
-        bad = bad.where("predicted = 1").select(F.col("doc_id").alias("_key")).distinct()
-        return docs.withColumn("_key", row_key()).join(bad, "_key", "left_anti").select(*docs.columns)
+        (key,) = fresh(docs, "_key")
+        bad = bad.where("predicted = 1").select(F.col("doc_id").alias(key)).distinct()
+        return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*own(docs))
     bad = score(docs, labels, toxic_from).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")

@@ -220,6 +220,29 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert by[3].n_replaced == 4 and not re.search("[A-Za-z]", by[8].text.split()[1])
 
 
+@pytest.mark.parametrize(
+    ("text", "like"),
+    [
+        ("ring +14155550132 now", r"ring \+\d{11} now"),
+        ("call 4155550132 now", r"call \d{10} now"),
+        ("Tel.: 555-1234", r"Tel\.: \d{3}-\d{4}"),
+        ("host 2001:db8:85a3::8a2e:370:7334 up", r"host [0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} up"),
+        ("1:2:3:4:5:6:7:8", r"([0-9a-f]:){7}[0-9a-f]"),
+        ("from ::1, FE80::1 too", r"from ::[0-9a-f], [0-9A-F]{4}::[0-9a-f] too"),
+        ("Dr. Adam West and Prof Anna West", r"Dr\. (?:Adam|Bruno|Carlos|David|Emil|Felix|Georg|Hugo|Ivan|Jonas|Karl|Leo|Martin|Noah|Oscar|Paul) (\w+) and Prof \w+[ae] \1"),
+    ],
+)
+def test_forms_of_private_data(spark, text, like):
+    (got,) = surrogates.replace_private(frame(spark, [(1, text)])).collect()
+    assert re.fullmatch(like, got.text) and got.text != text and got.n_replaced == len(re.findall(r"and Prof|, FE80", text)) + 1
+
+
+@pytest.mark.parametrize("text", ["std::vector<int> and a :: b", "face::add", "at 12:30:15 on 1700000000", "order 4155550132", "C++ :: 7", "Drive Professional"])
+def test_what_only_looks_private(spark, text):
+    (got,) = surrogates.replace_private(frame(spark, [(1, text)])).collect()
+    assert got.text == text and got.n_replaced == 0
+
+
 def test_surrogates_stay_distinct_in_a_small_space(spark):
     text = [(i, f"{i % 10}.{i // 10 % 10}.{i // 100}.1") for i in range(300)]
     got = surrogates.replace_private(frame(spark, text)).collect()
