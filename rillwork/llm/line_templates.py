@@ -35,8 +35,9 @@ def form(line: Column) -> Column:
 
 def _lines(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per line of at least ``MIN_WORDS`` words: kept columns, words, leaf and form."""
-    raw = docs.select(*keep, F.explode(F.split("text", "\n")).alias("line"))
-    split = raw.select(*keep, words(general(F.col("line"))).alias("w")).where(F.size("w") >= MIN_WORDS)
+    listed = F.transform(F.split("text", "\n"), lambda line: words(general(line)))
+    # a filter on the words would be pushed below and split each line twice, and so would one that explode implies
+    split = docs.select(*keep, F.explode_outer(F.filter(listed, lambda w: F.size(w) >= MIN_WORDS)).alias("w")).where("w is not null")
     lead = [F.expr(f"get(w, {i})") for i in range(LEAD)]
     return split.select(*keep, "w", F.xxhash64(F.size("w"), *lead).alias("leaf"), F.xxhash64(F.array_join("w", " ")).alias("form"))
 
