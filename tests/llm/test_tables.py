@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
 import zlib
 from fractions import Fraction
@@ -155,19 +156,76 @@ def test_scores_hold_on_rows_left_out(spark):
     assert sorted(map(str, toxicity.score(df, flipped).collect())) == sorted(map(str, rows))
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(1)
-    dense = rng.random((30, 256)) * (rng.random((30, 256)) < 0.15)
-    weights = dense / np.maximum(1e-12, np.linalg.norm(dense, axis=0))
-    index = toxicity.Index({}, np.ones(30), weights, weights.reshape(30, -1, toxicity.BLOCK).max(axis=2), np.zeros(256), np.arange(256), 0, 0, (np.zeros(1), np.zeros(1)))
-    for _ in range(200):
-        counts = {int(t): int(c) for t, c in zip(rng.choice(30, 5, replace=False), rng.integers(1, 4, 5))}
-        at, w = index.vector(counts)
-        near, cosines = index.nearest(at, w)
-        all_ = w @ weights[at]
-        order = np.lexsort((np.arange(256), -all_))[: toxicity.NEIGHBOURS]
-        order = order[all_[order] > 0]
-        assert np.allclose(cosines, all_[order]) and np.allclose(all_[near], all_[order])
+def plain_scores(train, asked):
+    """Votes by dense vectors over all terms; ``train`` has (id, label, text), ``asked`` texts."""
+    count = toxicity.TermCounter({}).count
+    rows = [(y, count(t)) for _, y, t in sorted(train)]
+    n, rate = len(rows), sum(y for y, _ in rows) / len(rows)
+    weight = {}
+    for t in {t for _, c in rows for t in c}:
+        df, a = sum(t in c for _, c in rows), sum(y for y, c in rows if t in c)
+        weight[t] = (math.log((1 + n) / (1 + df)) + 1) * (1 + max(a - df * rate, 0) ** 2 / ((df + toxicity.SHRINK) * rate * (1 - rate)))
+
+    def unit(c):
+        v = {t: (1 + math.log(k)) * weight.get(t, math.log(1 + n) + 1) for t, k in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    held = [(y, unit(c)) for y, c in rows if c]
+
+    def vote(v, skip=-1):
+        near = sorted(((sum(x * u.get(t, 0) for t, x in v.items()), y) for i, (y, u) in enumerate(held) if i != skip), reverse=True)[: toxicity.NEIGHBOURS]
+        w = sum(s * s for s, _ in near)
+        return (sum(s * s * y for s, y in near) + toxicity.PRIOR_WEIGHT * rate) / (w + toxicity.PRIOR_WEIGHT), [s for s, _ in near[:3] if s > 0]
+
+    knots = toxicity.monotone(np.array([vote(u, i)[0] for i, (_, u) in enumerate(held)]), np.array([y for y, _ in held], float))
+    blank = [y for y, c in rows if not c]
+    out = []
+    for c in map(count, asked):
+        v, near = vote(unit(c)) if c else (0, [])
+        out.append((float(np.interp(v, *knots)) if c else (sum(blank) + rate) / (len(blank) + 1), near))
+    return out
+
+
+def test_scores_match_dense_vectors(spark):
+    """Random vocabularies of all sizes, through the whole operator."""
+    rng = random.Random(8)
+    for words_known in (40, 400, 4000):
+        texts = [" ".join(f"w{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}{chr(97 + x // 676)}ing" for x in (int(words_known * rng.random() ** 2) for _ in range(rng.choice([3, 30, 90])))) for _ in range(500)]
+        texts[::50] = [""] * 10
+        labels = [(d, int(rng.random() < 0.2 or "waaa" in texts[d] and rng.random() < 0.5)) for d in range(0, 500, 2)]
+        got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+        train = [(d, y, texts[d]) for d, y in labels if zlib.crc32(str(d).encode()) % 4 != 2]
+        want = plain_scores(train, texts)
+        for r in got:
+            score, near = want[r.doc_id]
+            assert np.allclose(r.near_cosines, near, atol=2e-6), (r, near)
+            assert abs(r.score - score) < 1e-6 or len(set(r.near_cosines)) < len(r.near_cosines), (r, score)
+
+
+def test_blocks_are_skipped_only_below_the_kth():
+    """Against all cosines, over many blocks; every example itself comes first unless it is skipped."""
+    rng = random.Random(4)
+    rows = []
+    for d in range(700):
+        c = toxicity.TermCounter({}).count(" ".join("abcdefgh"[d % 8] * rng.randint(1, 60) for _ in range(30)))
+        rows.append((d, int(d % 8 == 3), list(c), list(c.values())))
+    index = toxicity.Index(rows)
+    assert index.blocks > 10
+    dense = np.zeros((len(index.terms), len(index.ids)))
+    term = np.repeat(np.arange(len(index.terms)), index.begin[index.of_term[1:]] - index.begin[index.of_term[:-1]])
+    dense[term, index.example] = index.value
+    assert np.allclose(np.linalg.norm(dense, axis=0), 1)
+    for j in range(0, 700, 7):
+        d = rows[index.ids[j]]
+        at, w = index.vector({index.terms[t]: c for t, c in zip(d[2], d[3])} | {"unknown": 2})
+        for skip in (-1, j):
+            near, cosines = index.nearest(at, w, skip)
+            all_ = w @ dense[at]
+            all_[skip : skip + 1 if skip >= 0 else skip] = 0
+            order = np.argsort(-all_, kind="stable")[: toxicity.NEIGHBOURS]
+            assert np.allclose(cosines, all_[order][all_[order] > 0]) and np.allclose(all_[near], cosines)
+            assert (near[0] == j) == (skip < 0)
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1)]])
