@@ -21,8 +21,6 @@ from rillwork.llm.common import NEAR, WIDTH, fresh, own, row_key, stow, words
 from rillwork.llm.fingerprints import BITS, signed, votes
 
 RADIUS, BLOCKS = 23, 8
-#: Shingles of the benchmark up to which they are broadcast (16 bytes each); beyond, both sides shuffle.
-BROADCAST_SHINGLES = 1 << 20
 
 
 def _norm(text: Column) -> Column:
@@ -70,16 +68,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFram
     items = items.select("item_id", F.xxhash64("item_id", "w").alias("item"), F.size("w").alias("n"), "w").dropDuplicates(["item_id", "item"])
     listed = stow(_shingles(items, ["item_id", "item", "n"], "w"), "item-shingles")
     marks = listed.select("sh", "n", F.col("at").alias("off")).distinct()
-    few = listed.count() <= BROADCAST_SHINGLES
 
-    # windows: where a document shares a shingle with an item, at the place the item would begin
+    # windows: where a document shares a shingle with an item, at the place the item would begin; only keys
+    # and places are joined, whether the engine shuffles or broadcasts, and the few windows read their words afterwards
     listed_docs = docs.select("doc_id", F.xxhash64("text").alias("key"), _norm(F.col("text")).alias("w")).where(F.size("w") >= WIDTH)
-    spots = listed_docs.select("doc_id", "key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WIDTH)).alias("at"))
-    spots = spots.withColumn("sh", _shingle("w", "at"))
-    begin = F.greatest(F.lit(0), F.least(F.col("at") - F.col("off"), F.size("w") - F.col("n")))
-    found = spots.join(F.broadcast(marks) if few else marks, "sh").select("doc_id", "key", "n", begin.alias("start"), "w")
-    windows = found.select("doc_id", "key", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
-    windows = stow(windows.groupBy("doc_id", "key", "n", "start").agg(F.first("w").alias("w")), "windows")
+    spots = listed_docs.select("doc_id", "key", F.size("w").alias("len"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - WIDTH)).alias("at"))
+    spots = spots.select("doc_id", "key", "len", "at", _shingle("w", "at").alias("sh"))
+    begin = F.greatest(F.lit(0), F.least(F.col("at") - F.col("off"), F.col("len") - F.col("n")))
+    found = stow(spots.join(marks, "sh").select("doc_id", "key", "n", begin.alias("start")).distinct(), "places")
+    asked = found.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "n", "start")
+    windows = listed_docs.join(asked, F.expr("doc_id <=> id and key = k")).select("doc_id", "key", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
+    windows = stow(windows.dropDuplicates(["doc_id", "key", "n", "start"]), "windows")
     by = ["doc_id", "key", "n", "start"]
     shingles = _shingles(windows, by, "w")
     prints = stow(_simhash(shingles, by), "window-prints")

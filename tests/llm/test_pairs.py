@@ -61,7 +61,17 @@ def test_components_of_long_chains(spark):
     assert got.keys() == part.keys() and len({(got[i], part[i]) for i in part}) == 4 == len(set(got.values()))
 
 
-def test_leaks_match_every_window(spark):
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_leaks_match_every_window(spark, broadcast):
+    """Both for a benchmark that the engine broadcasts and for one that it shuffles."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        leaks_match(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def leaks_match(spark):
     rng = random.Random(5)
     items = [(i, prose(rng, rng.choice([6, 18, 40]), 5000)) for i in range(12)] + [(90, "too short"), (91, None), (92, "")]
     docs = [(d, prose(rng, rng.choice([4, 30, 120]), 5000)) for d in range(30)]
