@@ -344,15 +344,16 @@ def terrain_products(spark, d):
 def proposal_sheet(spark, d):
     from rillwork.sources.sinks import proposal_rows
 
+    price = F.col("o_totalprice").cast("decimal(28,8)")  # sums of doubles depend on their order, which decides ties
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("site")).agg(
-        F.sum("o_totalprice").alias("cost"), F.max("o_totalprice").alias("storage"), F.count(F.lit(1)).alias("depth")
+        F.sum(price).alias("cost"), F.max("o_totalprice").alias("storage"), F.count(F.lit(1)).alias("depth")
     )
     return proposal_rows(
         o, "site",
         {
             "gross_storage": F.round("storage", 2).cast("string"),
             "depth": F.col("depth").cast("string"),
-            "indicative_cost": F.round(F.col("cost") / 1000, 0).cast("long").cast("string"),
+            "indicative_cost": F.expr("cast(round(cost, -3) as long) div 1000").cast("string"),
         },
     )
 
