@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rillwork.functions.bind import let
 from rillwork.session import attach, cut
 from rillwork.sources import rejects
 
@@ -223,17 +224,23 @@ def boundary_key(ring: Column, digits: int = 5) -> Column:
     ``ring`` is an array of ``struct<x,y>``; a repeated closing vertex is ignored. The order of the
     vertices counts: of all rotations in both directions the least one is hashed.
     """
-    point = lambda p: F.concat_ws(" ", F.format_string(f"%.{digits}f", F.round(p["x"], digits) + 0.0), F.format_string(f"%.{digits}f", F.round(p["y"], digits) + 0.0))
-    pts = F.transform(ring, point)
-    closed = (F.size(pts) > 1) & (F.element_at(pts, 1) == F.element_at(pts, -1))
-    open_ = F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts)
+    number = lambda v: F.format_string(f"%.{digits}f", F.round(v, digits) + 0.0)
+    point = lambda p: F.concat_ws(" ", number(p["x"]), number(p["y"]))
+
+    def opened(pts: Column) -> Column:
+        closed = (F.size(pts) > 1) & (F.element_at(pts, 1) == F.element_at(pts, -1))
+        return F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts)
 
     def rotations(p: Column) -> Column:
-        turn = lambda i: F.concat(F.slice(p, i, F.size(p)), F.slice(p, 1, i - 1))
-        least = F.transform(F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: F.element_at(p, i) == F.array_min(p)), turn)
-        return F.array_min(F.transform(least, lambda q: F.concat_ws(";", q)))
+        def starting(low: Column) -> Column:
+            turn = lambda i: F.concat_ws(";", F.slice(p, i, F.size(p)), F.slice(p, 1, i - 1))
+            return F.transform(F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: F.element_at(p, i) == low), turn)
+
+        return F.array_min(let(F.array_min(p), starting))
 
-    return F.sha2(F.least(rotations(open_), rotations(F.reverse(open_))), 256)
+    # every step is named once: the texts of the points are long to make and used many times
+    either = lambda p: F.least(rotations(p), let(F.reverse(p), rotations))
+    return F.sha2(let(let(F.transform(ring, point), opened), either), 256)
 
 
 def segments(lines: DataFrame, id: str, vertices: str) -> DataFrame:

@@ -22,3 +22,18 @@ def test_costs_at_a_tie_round_up_whatever_the_order(spark, folder):
     assert got[1, "indicative_cost"] == "4"
     assert got[2, "indicative_cost"] == "1"
     assert got[2, "depth"] == "5000"
+
+
+def test_boundary_key_names_its_points_once(spark):
+    """The plan of a key holds one rounding of each coordinate, and rings keep their classes."""
+    from pyspark.sql import functions as F
+
+    from rillwork.operators import spatial as S
+
+    square, bow = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], [(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0)]
+    rings = [square, square[2:] + square[:2], square[::-1], [*square, square[0]], bow, [(0.0, 0.0), (1.0, 0.0), (0.0, 0.0), (0.0, 1.0)]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "i int, ring array<struct<x:double,y:double>>")
+    keyed = df.select("i", S.boundary_key(F.col("ring")).alias("k"))
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 2
+    k = [r.k for r in keyed.orderBy("i").collect()]
+    assert len(set(k[:4])) == 1 and len(set(k)) == 3
