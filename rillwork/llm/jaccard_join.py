@@ -18,9 +18,10 @@ Candidates have to pass prefix filters under several global orders:
 A pair is verified only if the filters hold together. Verification is exact on the whole sets.
 
 Equal sets become one class first, and large groups of near copies are not expanded into pairs: every
-token's sets are compared with a few pivots of the token, and only sets that this leaves in different
-components are compared with each other. No link between two components is lost, since each pair that
-the filters let through is either verified or already joined.
+set is compared with the pivot it shares most tokens with, then with the other pivots of tokens that this
+leaves in different components, and only sets that are still apart are compared with each other. No link
+between two components is lost, since each pair that the filters let through is either verified or already
+joined.
 """
 
 from __future__ import annotations
@@ -219,29 +220,48 @@ def link_groups(docs: DataFrame, width: int = WIDTH, near: float = NEAR) -> Data
         return F.expr(f"100 * least({x}n, {y}n) >= {near_100} * greatest({x}n, {y}n) and {late}")
 
     # each token's classes against its pivots: the one with the commonest tokens, and some at random
-    who = F.struct("cls", "n", "place")
-    picks = [F.max_by(who, F.struct("usual", "cls")), *[F.min_by(who, F.xxhash64("cls", F.lit(k))) for k in range(PIVOTS - 1)]]
-    pivots = lists.groupBy("tok").agg(F.array_distinct(F.array(*picks)).alias("pivots"), F.count("*").alias("held")).where("held > 1")
-    stars = cut(
-        lists.join(pivots.select("tok", F.explode("pivots").alias("pivot")), "tok")
-        .where((F.col("cls") != F.col("pivot.cls")) & meets("", "pivot.", KEEP_20))
-        .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b"))
-        .distinct()
-    )
-    shared = lists.join(pivots.select("tok"), "tok", "left_semi")
+    def picks(who: F.Column) -> list[F.Column]:
+        return [F.max_by(who, F.struct("usual", "cls")), *[F.min_by(who, F.xxhash64("cls", F.lit(k))) for k in range(PIVOTS - 1)]]
+
+    def to_pivots(rows: DataFrame) -> DataFrame:
+        """``cls, pivot, common``: the pivots that a class meets, with the tokens that say so; ``rows`` may hold roots."""
+        whose = ["cls", "n", "place"] + (["root"] if "root" in rows.columns else [])
+        top = rows.groupBy("tok").agg(F.array_distinct(F.array(*picks(F.struct(*whose)))).alias("pivots"), F.count("*").alias("held"))
+        met = rows.join(top.where("held > 1").select("tok", F.explode("pivots").alias("pivot")), "tok")
+        if "root" in rows.columns:
+            met = met.where("root <> pivot.root")
+        met = met.where((F.col("cls") != F.col("pivot.cls")) & meets("", "pivot.", KEEP_20))
+        return met.groupBy("cls", F.col("pivot.cls").alias("pivot")).agg(F.count("*").alias("common"))
+
+    either = [F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")]
+    # rare tokens of near copies have pivots of their own, so a class first meets only the one it shares most with
+    best = to_pivots(lists).groupBy("cls").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot"))
+    stars = cut(best.select(*either).distinct())
+    shared = lists.join(lists.groupBy("tok").agg(F.count("*").alias("held")).where("held > 1"), "tok", "left_semi")
     wanted = shared.select("cls").distinct().join(reps, "cls")
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     chosen = texts.withColumn("key", key).join(wanted.select(F.coalesce("rep", F.lit(-(1 << 63))).alias("key")).distinct(), "key", "left_semi")
     found = chosen.select("text").mapInArrow(_sets(width), "cls long, toks array<long>")
     sets = stow(found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     links = cut(_verified(stars, sets, near_100))
-    roots = components(links)
+
+    def split(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The shared tokens' rows with their components, and the tokens whose classes are still in different ones."""
+        found = components(links).withColumnRenamed("node", "cls")
+        placed = shared.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        torn = placed.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1")
+        return placed, torn
+
+    # the other pivots only of tokens that this leaves in different components
+    placed, torn = split(links)
+    again = to_pivots(placed.join(torn.select("tok"), "tok", "left_semi")).select(*either).distinct()
+    again = cut(again.join(stars, ["a", "b"], "left_anti"))
+    stars, links = stars.union(again), cut(links.union(_verified(again, sets, near_100)))
 
     # what is left: pairs of a token whose classes are still in different components. Their whole sets
     # are ordered by how many of these classes hold a token, so one more prefix must be shared
-    placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    torn = placed.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1 and held > 2")
-    open_ = stow(placed.join(torn.select("tok"), "tok", "left_semi").groupBy("cls", "n", "root").agg(F.collect_list("tok").alias("pre")), "open")
+    placed, torn = split(links)  # two classes of a token have met as class and pivot
+    open_ = stow(placed.join(torn.where("held > 2").select("tok"), "tok", "left_semi").groupBy("cls", "n", "root").agg(F.collect_list("tok").alias("pre")), "open")
     tokens = open_.join(sets, "cls").select("cls", "n", "root", F.explode("toks").alias("tok"))
     several = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("c > 1")
     ordered = (

@@ -37,3 +37,29 @@ def test_boundary_key_names_its_points_once(spark):
     assert keyed._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 2
     k = [r.k for r in keyed.orderBy("i").collect()]
     assert len(set(k[:4])) == 1 and len(set(k)) == 3
+
+
+def test_near_copies_meet_few_pivots(spark, monkeypatch):
+    """Rare tokens of a group's near copies do not make a pair of sets each."""
+    import random
+
+    from rillwork.llm import jaccard_join
+
+    rng, looked = random.Random(4), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(150):
+        ws = list(base)
+        for _ in range(3):
+            ws[rng.randrange(300)] = f"x{rng.randrange(8)}"
+        rows.append((i, " ".join(ws)))
+    plain = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: (looked.append(pairs.count()), plain(pairs, *a))[1])
+    got = jaccard_join.link_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [{tuple(w.split()[j : j + 5]) for j in range(len(w.split()) - 4)} for _, w in rows]
+    root = list(range(150))
+    for _ in range(8):
+        for i, a in enumerate(sets):
+            root[i] = min(root[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 75 * len(a | b))
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert sum(looked) <= 3 * 150
