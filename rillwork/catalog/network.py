@@ -193,8 +193,7 @@ def described_answers(spark, d):
 def _detours(spark, d):
     q = requests(spark, d).select("query", F.col("source").alias("node"))
     q = cut(q.join(nodes(spark, d).select("node"), "node", "left_semi"))
-    dist = N.hop_distances(q, N.undirected(links(spark, d)))
-    return N.detours(dist, q, cols())
+    return N.detours(N.detour_counts(q, N.undirected(links(spark, d)), WIDTH))
 
 
 _DET = f"""{NET}, {bfs_sql()}, r0 AS (SELECT query, abs(dm.node//40-rq.source//40)+abs(dm.node%40-rq.source%40) AS steps, hops FROM rq JOIN dm USING (source) WHERE rq.source IN (SELECT node FROM nd)),

@@ -86,3 +86,44 @@ def test_missing_roads_and_bad_queries(spark):
         "query long, lat string, lon string, rad string, category string",
     )
     assert [r["query"] for r in N.valid_queries(q, n).collect()] == [1]
+
+
+def test_pairs_of_a_long_map_are_counted_without_rounds_along_it(spark, monkeypatch):
+    rng = random.Random(3)
+    wide, long = 5, 60
+    roads = [(a, b) for a in range(wide * long) for b in (a + 1, a + wide) if b < wide * long and (b != a + 1 or b % wide) and rng.random() < 0.75]
+    adj = {}
+    for a, b in roads:
+        adj.setdefault(a, []).append(b)
+        adj.setdefault(b, []).append(a)
+    starts = [0, 7, 7, 7, 150, 299]
+    want = {}
+    for s in starts:
+        dist, todo = {s: 0}, deque([s])
+        while todo:
+            v = todo.popleft()
+            for w in adj.get(v, []):
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    todo.append(w)
+        for v, hops in dist.items():
+            steps = abs(v // wide - s // wide) + abs(v % wide - s % wide)
+            want[steps, hops] = want.get((steps, hops), 0) + 1
+    cuts = []
+    for module in (N, N.fold_distances.__globals__):
+        real = module["cut"] if isinstance(module, dict) else module.cut
+        counted = lambda df, real=real: cuts.append(1) or real(df)
+        monkeypatch.setitem(module if isinstance(module, dict) else vars(module), "cut", counted)
+    q = spark.createDataFrame(list(enumerate(starts)), "query long, node long")
+    e = N.undirected(spark.createDataFrame(roads, "src long, dst long"))
+    got = {(r["steps"], r["hops"]): r["pairs"] for r in N.detour_counts(q, e, wide, rows=2).collect()}
+    assert got == want
+    assert len(cuts) <= 16  # a search along the map took one for every four of its 60 rows, and more
+
+
+def test_detour_figures_count_every_pair(spark):
+    counts = spark.createDataFrame([(1, 1, 3), (1, 3, 1), (2, 2, 6), (0, 0, 9)], "steps long, hops long, pairs long")
+    by, whole = N.detours(counts)
+    assert {r["steps"]: (r["pairs"], r["same_share"]) for r in by.collect()} == {1: (4, 0.75), 2: (6, 1.0)}
+    r = whole.first()
+    assert (r["pairs"], r["same_share"], round(r["mean"], 9), r["max"], r["p90"]) == (10, 0.9, 1.2, 3.0, 1.0)
