@@ -68,3 +68,36 @@ def test_no_cells_have_no_rings(spark):
     none = _cells(spark, [[1]]).limit(0)
     rings = OL.outline_rings(none, KEYS)
     assert rings.count() == 0 and OL.ring_facts(rings, KEYS, 1.0).count() == 0
+
+
+def _walked(rings):
+    got = {}
+    for r in rings.collect():
+        got.setdefault((r["label"], r["ring"]), []).append((r["pos"], r["row"], r["col"], r["dir"]))
+    out = []
+    for (label, _), ring in got.items():
+        ring.sort()
+        assert [p for p, *_ in ring] == list(range(len(ring)))
+        area = sum(c if d == 1 else -c if d == 3 else 0 for _, _, c, d in ring)
+        out.append((label, len(ring), area, [(c, r) for k, (_, r, c, d) in enumerate(ring) if d != ring[k - 1][3]]))
+    return sorted(out)
+
+
+def test_rings_across_many_tiles_match_a_walk(spark):
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 4, (13, 19))
+    grid[2:11, 3:16] = 1
+    grid[4:6, 6:9] = 0
+    for tile in (1, 4):
+        assert _walked(OL.outline_rings(_cells(spark, grid), KEYS, tile=tile)) == _plain(grid)
+
+
+def test_a_long_ring_inside_a_tile_takes_no_rounds(spark, monkeypatch):
+    grid = np.zeros((40, 40), int)
+    grid[::2, :] = 1
+    grid[1::4, 39] = 1
+    grid[3::4, 0] = 1
+    cuts = []
+    monkeypatch.setattr(OL, "cut", lambda df, real=OL.cut: cuts.append(1) or real(df))
+    assert _walked(OL.outline_rings(_cells(spark, grid), KEYS)) == _plain(grid)
+    assert len(cuts) <= 6  # eleven doublings of 1 600 edges took two dozen
