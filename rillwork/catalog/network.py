@@ -136,14 +136,16 @@ _ANS = """an AS (SELECT * FROM (SELECT ir.query, ir.node, ir.id, euclid, dm.hops
 
 @query("nearest_by_road", f"WITH RECURSIVE {NET}, {bfs_sql()}, {_ANS} SELECT query, node, id, round(euclid,9) AS euclid, hops, rank FROM an")
 def nearest_by_road(spark, d):
-    a, _, _ = N.search(requests(spark, d), nodes(spark, d), N.undirected(links(spark, d)), cols())
-    return rnd(a, 9)
+    q, members = N.alike(requests(spark, d))
+    a, _, _ = N.search(q, nodes(spark, d), N.undirected(links(spark, d)), cols())
+    return N.for_all(rnd(a, 9), members)
 
 
 @query("nearest_by_one_way_road", f"WITH RECURSIVE {NET}, {bfs_sql('lk')}, {_ANS} SELECT query, node, id, round(euclid,9) AS euclid, hops, rank FROM an")
 def nearest_by_one_way_road(spark, d):
-    a, _, _ = N.search(requests(spark, d), nodes(spark, d), links(spark, d), cols(), both_ways=False)
-    return rnd(a, 9)
+    q, members = N.alike(requests(spark, d))
+    a, _, _ = N.search(q, nodes(spark, d), links(spark, d), cols(), both_ways=False)
+    return N.for_all(rnd(a, 9), members)
 
 
 def _rank_sql(key: str) -> str:
@@ -174,8 +176,9 @@ def nearest_by_manhattan(spark, d):
     SELECT query, target, node, pos FROM wk""",
 )
 def routes_of_answers(spark, d):
-    a, dist, _ = N.search(requests(spark, d), nodes(spark, d), N.undirected(links(spark, d)), cols(), parents=True)
-    return N.routes(a, dist)
+    q, members = N.alike(requests(spark, d))
+    a, dist, _ = N.search(q, nodes(spark, d), N.undirected(links(spark, d)), cols(), parents=True)
+    return N.for_all(N.routes(a, dist), members)
 
 
 @query(
@@ -185,9 +188,9 @@ def routes_of_answers(spark, d):
       round(sqrt(pow(s.lat-rq.lat,2)+pow(s.lon-rq.lon,2)),9) AS snap_offset FROM an JOIN rq USING (query) JOIN nd p ON p.node=an.node JOIN nd s ON s.node=rq.source""",
 )
 def described_answers(spark, d):
-    q = cut(requests(spark, d))
+    q, members = N.alike(requests(spark, d))
     a, _, _ = N.search(q, nodes(spark, d), N.undirected(links(spark, d)), cols())
-    return rnd(N.describe(a, q, nodes(spark, d), F.lit(STEP)), 9)
+    return N.for_all(rnd(N.describe(a, q, nodes(spark, d), F.lit(STEP)), 9), members)
 
 
 def _detours(spark, d):
@@ -223,14 +226,14 @@ def detour_distribution(spark, d):
     SELECT name, count(*) AS queries, round(avg(score::DOUBLE/want),6) AS mean_score, round(avg(CASE WHEN score=want THEN 1.0::DOUBLE ELSE 0 END),6) AS full_share FROM p GROUP BY 1""",
 )
 def ranking_quality(spark, d):
-    q, n = cut(requests(spark, d)), nodes(spark, d)
+    (q, members), n = N.alike(requests(spark, d)), nodes(spark, d)
     a, dist, _ = N.search(q, n, N.undirected(links(spark, d)), cols())
     a = cut(a)
     line = N.rank_by(q, n, lambda c: c["euclid"])
     both = a.select(F.lit("road").alias("name"), "query", "node").unionByName(
         line.select(F.lit("line").alias("name"), "query", "node")
     )
-    return rnd(N.ranking_quality(both, a, dist), 6)
+    return rnd(N.ranking_quality(both, a, dist, members), 6)
 
 
 @query(

@@ -127,3 +127,27 @@ def test_detour_figures_count_every_pair(spark):
     assert {r["steps"]: (r["pairs"], r["same_share"]) for r in by.collect()} == {1: (4, 0.75), 2: (6, 1.0)}
     r = whole.first()
     assert (r["pairs"], r["same_share"], round(r["mean"], 9), r["max"], r["p90"]) == (10, 0.9, 1.2, 3.0, 1.0)
+
+
+def test_one_way_search_ends_where_no_road_leads_back(spark, monkeypatch):
+    """A road of 200 nodes one way: the inn behind the source is ruled out before the road ends."""
+    far = 200
+    n = spark.createDataFrame([(v, v + 1, v / far, 0.0, "inn" if v in (3, 9, 11) else "well") for v in range(far)], "node long, id long, lat double, lon double, category string")
+    e = spark.createDataFrame([(v, v + 1) for v in range(far - 1)], "src long, dst long")
+    q = spark.createDataFrame([(i, 7 / far, 0.0, "inn", 0.05, 10, 7) for i in (4, 5, 6)], "query long, lat double, lon double, category string, rad double, k int, source long")
+    rounds = []
+    monkeypatch.setattr(N, "_advance", lambda *a, real=N._advance: rounds.append(1) or real(*a))
+    kinds, members = N.alike(q)
+    assert kinds.count() == 1 and {(r["query"], r["asked"]) for r in members.collect()} == {(4, 4), (5, 4), (6, 4)}
+    a = N.for_all(N.search(kinds, n, e, F.lit(1), both_ways=False)[0], members)
+    assert sorted((r["query"], r["rank"], r["node"], r["hops"]) for r in a.collect()) == sorted((i, k, v, v - 7) for i in (4, 5, 6) for k, v in ((1, 9), (2, 11)))
+    assert len(rounds) <= 4
+
+
+def test_queries_at_one_source_stop_apart(spark):
+    roads = [(v, v + 1) for v in range(11)] + [(20, 21)]
+    e = N.undirected(spark.createDataFrame(roads, "src long, dst long"))
+    src = spark.createDataFrame([(1, 0), (2, 0), (3, 20)], "query long, node long")
+    wanted = spark.createDataFrame([(1, 1, 1), (1, 20, 1), (2, 10, 2), (2, 21, 2), (3, 21, 1)], "query long, node long, need long")
+    got = {(r["query"], r["node"]): r["hops"] for r in N.hop_distances(src, e, wanted=wanted).collect()}
+    assert got[1, 1] == 1 and got[2, 10] == 10 and got[3, 21] == 1 and (2, 21) not in got and (1, 20) not in got
