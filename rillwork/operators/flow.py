@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from rillwork.functions import terrain as T
 from rillwork.operators.spatial import radius_join
-from rillwork.session import attach, cut
+from rillwork.session import attach, cut_sized
 
 
 def accumulate(
@@ -44,7 +44,7 @@ def accumulate(
         *[c.alias(n) for n, c in cols.items()],
         *([step.cast("double").alias("_d"), F.lit(0.0).alias("longest")] if step is not None else []),
     )
-    state = cut(start)
+    state = cut_sized(start)
     at = [*keys, "_v"]
     for _ in range(max_rounds):
         live = state.filter(F.col("_p").isNotNull())
@@ -68,7 +68,7 @@ def accumulate(
         new += [F.least(n, f"_g_{n}").alias(n) for n in minima]
         if step is not None:
             new += [(F.col("_d") + F.col("_dd")).alias("_d"), F.greatest("longest", "_g_longest").alias("longest")]
-        state = cut(moved.select(*at, F.col("_pp").alias("_p"), *new))
+        state = cut_sized(moved.select(*at, F.col("_pp").alias("_p"), *new))
     raise RuntimeError("pointers did not settle: the flow table has a cycle")
 
 
@@ -91,7 +91,7 @@ def roots(flow: DataFrame, keys: Sequence[str], outlets: DataFrame, max_rounds:
     s = flow.select(*at, "recv").join(stop, at, "left")
     s = s.join(stop.select(*keys, F.col("cell").alias("recv"), F.col("_out").alias("_near")), [*keys, "recv"], "left")
     is_out = F.col("_out").isNotNull()
-    state = cut(
+    state = cut_sized(
         s.select(
             *at,
             F.when(is_out, F.col("cell")).otherwise(F.col("recv")).alias("_p"),
@@ -102,10 +102,16 @@ def roots(flow: DataFrame, keys: Sequence[str], outlets: DataFrame, max_rounds:
     for _ in range(max_rounds):
         if not state.filter("not _done").limit(1).count():
             return state.select(*at, F.col("_p").alias("outlet"), "steps")
-        far = state.select(*keys, F.col("cell").alias("_p"), F.col("_p").alias("_pp"), F.col("steps").alias("_ss"), F.col("_done").alias("_dd"))
-        todo = state.filter("not _done").join(far, [*keys, "_p"])  # inner: dead ends drop out
-        todo = todo.select(*at, F.col("_pp").alias("_p"), (F.col("steps") + F.col("_ss")).alias("steps"), F.col("_dd").alias("_done"))
-        state = cut(state.filter("_done").unionByName(todo))
+        far = state.select(*keys, F.col("cell").alias("_k"), F.col("_p").alias("_pp"), F.col("steps").alias("_ss"), F.col("_done").alias("_dd"))
+        # one join for all rows, finished ones under keys of their own: a union of both kinds would add its partitions up every round
+        moved = state.withColumn("_k", F.when(F.col("_done"), -1 - F.col("cell")).otherwise(F.col("_p"))).join(far, [*keys, "_k"], "left")
+        moved = moved.filter(F.col("_done") | F.col("_pp").isNotNull())  # dead ends drop out
+        state = cut_sized(
+            moved.select(
+                *at, F.coalesce("_pp", "_p").alias("_p"), (F.col("steps") + F.coalesce("_ss", F.lit(0))).alias("steps"),
+                (F.col("_done") | F.coalesce("_dd", F.lit(False))).alias("_done"),
+            )
+        )
     raise RuntimeError("pointers did not settle: the flow table has a cycle")
 
 
@@ -119,19 +125,19 @@ def catchment_edges(flow: DataFrame, keys: Sequence[str], outlets: DataFrame, ma
     """
     keys = list(keys)
     cells = flow.select(*keys, "row", "col", "cell")
-    zone = cut(roots(flow, keys, outlets).join(cells, [*keys, "cell"]).select(*keys, "row", "col", "cell", F.col("outlet").alias("zone")))
+    zone = cut_sized(roots(flow, keys, outlets).join(cells, [*keys, "cell"]).select(*keys, "row", "col", "cell", F.col("outlet").alias("zone")))
     shifted = zone.select(
         *keys, F.inline(F.array(F.struct(F.col("row"), (F.col("col") + 1).alias("col")), F.struct((F.col("row") + 1).alias("row"), F.col("col")))), F.col("zone").alias("b")
     )
     beside = zone.select(*keys, "row", "col", F.col("zone").alias("a")).join(shifted, [*keys, "row", "col"])
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    pairs = cut(beside.groupBy(*keys, *pair).agg(F.count("*").alias("n")))
+    pairs = cut_sized(beside.groupBy(*keys, *pair).agg(F.count("*").alias("n")))
     below = zone.select(*keys, F.col("cell").alias("recv"), F.col("zone").alias("next"))
     tops = outlets.select(*keys, "cell").distinct().join(flow.select(*keys, "cell", "recv"), [*keys, "cell"])
-    tree = cut(tops.join(below, [*keys, "recv"], "left").select(*keys, F.col("cell").alias("x"), "next"))
+    tree = cut_sized(tops.join(below, [*keys, "recv"], "left").select(*keys, F.col("cell").alias("x"), "next"))
     jumps, depth = [], tree.select(*keys, "x", F.col("next").alias("p"), F.col("next").isNotNull().cast("long").alias("d"))
     for _ in range(max_rounds):
-        depth = cut(depth)
+        depth = cut_sized(depth)
         if depth.where("p is not null").isEmpty():
             break
         jumps.append(depth.select(*keys, "x", "p"))
@@ -144,16 +150,16 @@ def catchment_edges(flow: DataFrame, keys: Sequence[str], outlets: DataFrame, ma
         met = met.join(depth.select(*keys, F.col("x").alias(side), F.col("d").alias(f"d{side}")), [*keys, side])
     # the deeper one climbs to the depth of the other, then both climb while they differ
     deep, high = (F.when(F.col("da") >= F.col("db"), F.col(c)).otherwise(F.col(o)) for c, o in (("a", "b"), ("b", "a")))
-    met = cut(met.select(*keys, deep.alias("a"), high.alias("b"), F.abs(F.col("da") - F.col("db")).alias("gap"), "n"))
+    met = cut_sized(met.select(*keys, deep.alias("a"), high.alias("b"), F.abs(F.col("da") - F.col("db")).alias("gap"), "n"))
     for k, jump in reversed(list(enumerate(jumps))):
         met = met.join(jump.select(*keys, F.col("x").alias("a"), "p"), [*keys, "a"], "left")
         goes = F.col("gap") >= (1 << k)
-        met = cut(met.select(*keys, F.when(goes, F.col("p")).otherwise(F.col("a")).alias("a"), "b", F.when(goes, F.col("gap") - (1 << k)).otherwise(F.col("gap")).alias("gap"), "n"))
+        met = cut_sized(met.select(*keys, F.when(goes, F.col("p")).otherwise(F.col("a")).alias("a"), "b", F.when(goes, F.col("gap") - (1 << k)).otherwise(F.col("gap")).alias("gap"), "n"))
     for jump in reversed(jumps):
         for side in ("a", "b"):
             met = met.join(jump.select(*keys, F.col("x").alias(side), F.col("p").alias(f"p{side}")), [*keys, side], "left")
         goes = ~F.col("pa").eqNullSafe(F.col("pb"))
-        met = cut(met.select(*keys, *[F.when(goes, F.col(f"p{c}")).otherwise(F.col(c)).alias(c) for c in ("a", "b")], "n"))
+        met = cut_sized(met.select(*keys, *[F.when(goes, F.col(f"p{c}")).otherwise(F.col(c)).alias(c) for c in ("a", "b")], "n"))
     up = tree.select(*keys, F.col("x").alias("a"), "next")
     met = met.join(up, [*keys, "a"], "left").select(*keys, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("next")).alias("x"), "n")
     inner = pairs.where("a = b").select(*keys, F.col("a").alias("x"), "n").unionByName(met.where("x is not null"))
@@ -171,7 +177,7 @@ def upstream_cells(flow: DataFrame, keys: Sequence[str], outlets: DataFrame) ->
     then lifts them to the outlets further down.
     """
     keys = list(keys)
-    near = cut(roots(flow, keys, outlets))
+    near = cut_sized(roots(flow, keys, outlets))
     # the next outlet below each outlet: where its receiver drains to
     tops = outlets.select(*keys, F.col("cell")).distinct()
     below = (
@@ -179,12 +185,12 @@ def upstream_cells(flow: DataFrame, keys: Sequence[str], outlets: DataFrame) ->
         .join(near.select(*keys, F.col("cell").alias("recv"), F.col("outlet").alias("next")), [*keys, "recv"])
         .select(*keys, F.col("cell").alias("outlet"), "next")
     )
-    below = cut(below)
-    chain = cut(tops.select(*keys, F.col("cell").alias("outlet"), F.col("cell").alias("top")))
+    below = cut_sized(below)
+    chain = cut_sized(tops.select(*keys, F.col("cell").alias("outlet"), F.col("cell").alias("top")))
     front = chain
     parts = [chain]
     while True:
-        front = cut(
+        front = cut_sized(
             front.join(below.withColumnRenamed("outlet", "top"), [*keys, "top"]).select(
                 *keys, "outlet", F.col("next").alias("top")
             )
@@ -217,7 +223,7 @@ def stream_links(stream: DataFrame, keys: Sequence[str], max_rounds: int = 64) -
     donors = s.filter(F.col("recv").isNotNull()).groupBy(*keys, F.col("recv").alias("cell")).agg(
         F.count(F.lit(1)).alias("donors"), F.min("cell").alias("_only")
     )
-    s = cut(s.join(donors, [*keys, "cell"], "left").withColumn("donors", F.coalesce("donors", F.lit(0))))
+    s = cut_sized(s.join(donors, [*keys, "cell"], "left").withColumn("donors", F.coalesce("donors", F.lit(0))))
     # walk up single-donor runs: the pointer is the only donor, heads point at themselves
     head = F.col("donors") != 1
     state = s.select(
@@ -226,7 +232,7 @@ def stream_links(stream: DataFrame, keys: Sequence[str], max_rounds: int = 64) -
         F.when(head, 0).otherwise(1).cast("long").alias("pos"),
         head.alias("_done"),
     )
-    state = cut(state)
+    state = cut_sized(state)
     for _ in range(max_rounds):
         if not state.filter("not _done").limit(1).count():
             break
@@ -236,13 +242,13 @@ def stream_links(stream: DataFrame, keys: Sequence[str], max_rounds: int = 64) -
         todo = state.filter("not _done").join(far, [*keys, "_p"]).select(
             *keys, "cell", F.col("_pp").alias("_p"), (F.col("pos") + F.col("_s")).alias("pos"), F.col("_dd").alias("_done")
         )
-        state = cut(state.filter("_done").unionByName(todo))
+        state = cut_sized(state.filter("_done").unionByName(todo))
     else:
         raise RuntimeError("links did not settle")
     body = state.select(*keys, F.col("_p").alias("link"), "pos", "cell").join(
         s.select(*keys, "cell", "recv", "acc", "donors"), [*keys, "cell"]
     )
-    body = cut(body)
+    body = cut_sized(body)
     junction = s.filter("donors <> 1").select(*keys, F.col("cell").alias("recv"), F.col("acc").alias("_acc"))
     mouth = body.join(junction, [*keys, "recv"]).select(
         *keys, "link", (F.col("pos") + 1).alias("pos"), F.col("recv").alias("cell"), F.col("_acc").alias("acc")
@@ -279,11 +285,11 @@ def strahler(links: DataFrame, keys: Sequence[str], max_order: int = 40) -> Data
     so each order is one downstream closure over the links table.
     """
     keys = list(keys)
-    ln = cut(links.select(*keys, "link", "mouth"))
+    ln = cut_sized(links.select(*keys, "link", "mouth"))
     heads = ln.select(*keys, F.col("link").alias("mouth"), F.lit(True).alias("_head"))
     down = ln.join(heads, [*keys, "mouth"], "left")
     follows = F.col("_head") & (F.col("mouth") != F.col("link"))
-    down = cut(down.select(*keys, "link", F.when(follows, F.col("mouth")).alias("next")))
+    down = cut_sized(down.select(*keys, "link", F.when(follows, F.col("mouth")).alias("next")))
     orders = down.select(*keys, "link", F.lit(1).alias("ord"))
     level = down.select(*keys, "link")
     for k in range(2, max_order):
@@ -294,14 +300,14 @@ def strahler(links: DataFrame, keys: Sequence[str], max_order: int = 40) -> Data
             .agg(F.count(F.lit(1)).alias("_n"))
             .filter("_n >= 2")
         )
-        pairs = cut(pairs.select(*keys, "link"))
+        pairs = cut_sized(pairs.select(*keys, "link"))
         if not pairs.limit(1).count():
             return links.join(orders.groupBy(*keys, "link").agg(F.max("ord").alias("ord")), [*keys, "link"])
         flagged = down.join(pairs.withColumn("_j", F.lit(1)), [*keys, "link"], "left")
         closed = accumulate(
             flagged.withColumn("_j", F.coalesce("_j", F.lit(0))), keys, maxima={"hit": F.col("_j")}, node="link", parent="next"
         )
-        level = cut(closed.filter("hit = 1").select(*keys, "link"))
+        level = cut_sized(closed.filter("hit = 1").select(*keys, "link"))
         orders = orders.unionByName(level.select(*keys, "link", F.lit(k).alias("ord")))
     raise RuntimeError("more stream orders than max_order")
 
@@ -345,11 +351,11 @@ def snap_anywhere(
     score better, whatever its accumulation. Points of rasters without any channel keep nulls.
     """
     keys = list(keys)
-    first = cut(snap_to_channel(points, flow, keys, radius_m, min_area, cell_size))
+    first = cut_sized(snap_to_channel(points, flow, keys, radius_m, min_area, cell_size))
     need = max(1, round(min_area / cell_size**2))
     channel = flow.filter(F.col("acc") >= need).select(*keys, "row", "col", "cell", "acc")
-    facts = cut(channel.groupBy(*keys).agg(F.max("acc").alias("_most")))
-    todo = cut(attach(first.filter(F.col("cell").isNull()).select(points["*"]), facts, keys))
+    facts = cut_sized(channel.groupBy(*keys).agg(F.max("acc").alias("_most")))
+    todo = cut_sized(attach(first.filter(F.col("cell").isNull()).select(points["*"]), facts, keys))
     out = first.filter(F.col("cell").isNotNull())
     missing = first.filter(F.col("cell").isNull()).join(facts, keys, "left_anti")
     radius = radius_m
@@ -360,9 +366,9 @@ def snap_anywhere(
         got = snap_to_channel(todo, channel, keys, radius, min_area, cell_size)
         score = F.col("distance_m") - 1e-6 * F.col("acc")
         sure = F.coalesce(score <= radius - 1e-6 * F.col("_most"), F.lit(False))
-        got = cut(got.withColumn("_sure", sure))
+        got = cut_sized(got.withColumn("_sure", sure))
         out = out.unionByName(got.filter("_sure").drop("_sure", "_most"))
-        todo = cut(got.filter("not _sure").select(*todo.columns))
+        todo = cut_sized(got.filter("not _sure").select(*todo.columns))
     raise RuntimeError("points are still far from every channel; raise max_doublings")
 
 
@@ -374,11 +380,11 @@ def suppress_near(scored: DataFrame, keys: Sequence[str], radius: float, top_n:
     ``scored(<keys>, id, row, col, score)``; the smaller id wins equal scores.
     """
     keys = list(keys)
-    live = cut(scored.select(*keys, "id", "row", "col", "score"))
+    live = cut_sized(scored.select(*keys, "id", "row", "col", "score"))
     kept = None
     for rank in range(1, top_n + 1):
         top = F.max_by(F.struct("id", "row", "col", "score"), F.struct(F.col("score"), -F.col("id")))
-        best = cut(live.groupBy(*keys).agg(top.alias("_t")).select(*keys, "_t.*", F.lit(rank).alias("rank")))
+        best = cut_sized(live.groupBy(*keys).agg(top.alias("_t")).select(*keys, "_t.*", F.lit(rank).alias("rank")))
         if not best.limit(1).count():
             break
         kept = best if kept is None else kept.unionByName(best)

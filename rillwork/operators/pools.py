@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.operators.focal import neighbour_pairs
-from rillwork.session import attach, cut
+from rillwork.session import attach, cut_sized
 
 #: Side of the first tiles (their halo is half of it) and of the largest window.
 TILE, LARGEST = 64, 2048
@@ -77,7 +77,7 @@ def _rings(sites: DataFrame, grid: DataFrame, keys: list[str], levels: list[floa
     spot = [*keys, "site", "row", "col"]
     rise = F.lit(float(max(levels)))
     first = sites.select(*spot).join(grid, [*keys, "row", "col"])
-    best = cut(first.select(*spot, "z", F.col("z").alias("reach"), F.col("z").alias("z0")))
+    best = cut_sized(first.select(*spot, "z", F.col("z").alias("reach"), F.col("z").alias("z0")))
     front = best
     for _ in range(max_rounds):
         near = neighbour_pairs(front.select(*spot, "reach", "z0")).drop("row", "col")
@@ -86,7 +86,7 @@ def _rings(sites: DataFrame, grid: DataFrame, keys: list[str], levels: list[floa
         found = step.groupBy(*spot).agg(F.min(F.greatest("reach", "z")).alias("_new"), F.first("z").alias("_z"), F.first("z0").alias("_z0"))
         both = best.join(found, spot, "full_outer")
         better = F.col("_new").isNotNull() & (F.col("reach").isNull() | (F.col("_new") < F.col("reach")))
-        both = cut(
+        both = cut_sized(
             both.select(
                 *spot, F.coalesce("z", "_z").alias("z"), F.when(better, F.col("_new")).otherwise(F.col("reach")).alias("reach"),
                 F.coalesce("z0", "_z0").alias("z0"), better.alias("_moved"),
@@ -118,7 +118,7 @@ def pool_levels(
     # columns of their own, as sites are often cells of the same surface
     fresh = [F.col(c).alias(c) for c in (*keys, "row", "col")]
     grid = surface.select(*fresh, F.col("z").cast("double").alias("z")).where("z is not null")
-    todo = cut(sites.select(*keys, "site", "row", "col"))
+    todo = cut_sized(sites.select(*keys, "site", "row", "col"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.select(*keys, "site").schema.fields)
     schema = f"{kinds}, z0 double, n array<long>, depth array<double>"
     parts = []
@@ -133,14 +133,14 @@ def pool_levels(
         cells = attach(spread.where(inside), wanted, [*keys, "_tr", "_tc"])
         by = [*keys, "_tr", "_tc"]
         got = own.groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(partial(_window, keys, levels, tile), schema)
-        got = cut(got)
+        got = cut_sized(got)
         parts.append(got.where("n is not null"))
-        todo = cut(todo.join(got.where("n is null").select(*keys, "site"), [*keys, "site"], "left_semi"))
+        todo = cut_sized(todo.join(got.where("n is null").select(*keys, "site"), [*keys, "site"], "left_semi"))
         if todo.isEmpty():
             break
         tile *= 2
     else:
-        parts.append(cut(_rings(todo, grid, keys, levels, max_rounds)))
+        parts.append(cut_sized(_rings(todo, grid, keys, levels, max_rounds)))
     pools = parts[0]
     for part in parts[1:]:
         pools = pools.unionByName(part)

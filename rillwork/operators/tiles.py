@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rillwork.operators.focal import STEPS, TILE, neighbour_pairs, neighbours, to_tiles
 from rillwork.operators.ordered import split_row_number
-from rillwork.session import cut
+from rillwork.session import cut_sized
 
 
 def _frame(pdf: pd.DataFrame, extra: pd.DataFrame | None = None):
@@ -68,7 +68,7 @@ def fill_depressions(
     edge = F.lit(False)
     for name, *_ in STEPS:
         edge = edge | F.col(name).isNull()
-    grid = cut(nb.withColumn("_fix", edge).select(*cells.columns, "_tr", "_tc", "_fix"))
+    grid = cut_sized(nb.withColumn("_fix", edge).select(*cells.columns, "_tr", "_tc", "_fix"))
     tile_keys = [*keys, "_tr", "_tc"]
     key_types = {f.name: f.dataType.simpleString() for f in grid.schema.fields}
     head = ", ".join(f"{k} {key_types[k]}" for k in tile_keys)
@@ -104,7 +104,7 @@ def fill_depressions(
         plain = border.drop("_tr", "_tc")
         return to_tiles(plain, keys, 1, tile).filter("not _own").drop("_own")
 
-    halo = cut(grid.select(*tile_keys, "row", "col", F.lit(0.0).alias("filled")).filter("false"))
+    halo = cut_sized(grid.select(*tile_keys, "row", "col", F.lit(0.0).alias("filled")).filter("false"))
     active = None
     spot = [*tile_keys, "row", "col"]
     for _ in range(max_rounds):
@@ -117,7 +117,7 @@ def fill_depressions(
             F.coalesce("_new", "filled").alias("filled"),
             (F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("filled"))).alias("_moved"),
         )
-        merged = cut(merged)
+        merged = cut_sized(merged)
         active = merged.filter("_moved").select(*tile_keys).distinct()
         halo = merged.drop("_moved")
         if not active.limit(1).count():
@@ -186,7 +186,7 @@ def label_components(mask: DataFrame, keys: Sequence[str], diagonal: bool = True
         ids[r, c] = pdf["cell"].to_numpy()
         return pdf[out_cols].assign(_local=_local_labels(m, ids, diagonal)[r, c])
 
-    local = cut(t.groupBy(*keys, "_tr", "_tc").applyInPandas(run, schema))
+    local = cut_sized(t.groupBy(*keys, "_tr", "_tc").applyInPandas(run, schema))
     rim_r, rim_c = F.col("row") % tile, F.col("col") % tile
     rim = local.filter(rim_r.isin(0, tile - 1) | rim_c.isin(0, tile - 1))
     pairs = neighbour_pairs(rim.select(*keys, "row", "col", F.col("_local").alias("a")), diagonal)
@@ -206,9 +206,9 @@ def connect(edges: DataFrame, keys: Sequence[str], max_rounds: int = 200) -> Dat
     jumps to the label of the label, so long chains collapse in logarithmically many rounds.
     """
     keys = list(keys)
-    e = cut(edges.select(*keys, "a", "b"))
+    e = cut_sized(edges.select(*keys, "a", "b"))
     lab = e.select(*keys, F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    lab = cut(lab)
+    lab = cut_sized(lab)
     for _ in range(max_rounds):
         near = (
             e.join(lab.select(*keys, F.col("node").alias("b"), "root"), [*keys, "b"])
@@ -227,7 +227,7 @@ def connect(edges: DataFrame, keys: Sequence[str], max_rounds: int = 200) -> Dat
         nxt = low.join(hop, [*keys, "_low"], "left").select(
             *keys, "node", F.coalesce("_jump", "_low").alias("_r"), "root"
         )
-        nxt = cut(nxt.select(*keys, "node", F.col("_r").alias("root"), (F.col("_r") < F.col("root")).alias("_moved")))
+        nxt = cut_sized(nxt.select(*keys, "node", F.col("_r").alias("root"), (F.col("_r") < F.col("root")).alias("_moved")))
         lab = nxt.drop("_moved")
         if not nxt.filter("_moved").limit(1).count():
             return lab

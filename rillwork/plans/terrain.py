@@ -15,7 +15,7 @@ from rillwork.operators import ordered as O
 from rillwork.operators import pools as PL
 from rillwork.operators import tiles as TI
 from rillwork.plans import land as LP
-from rillwork.session import cut
+from rillwork.session import cut_sized
 
 
 def flow_model(
@@ -27,7 +27,7 @@ def flow_model(
     dx, dy = T.gradients(T.edge_filled(), F.lit(float(cell_size)))
     profile, plan = T.curvatures(T.edge_filled(), F.col("z"), F.lit(float(cell_size)))
     nb = nb.withColumns({"dx": dx, "dy": dy, "profile": profile, "plan": plan}).drop("_tr", "_tc", *T.SIDES)
-    f = cut(FO.flow_direction(nb, keys, cols).withColumn("slope", T.slope_deg(F.col("dx"), F.col("dy"))))
+    f = cut_sized(FO.flow_direction(nb, keys, cols).withColumn("slope", T.slope_deg(F.col("dx"), F.col("dy"))))
     acc = FL.accumulate(
         f, keys,
         sums={"acc": F.lit(1).cast("long"), "slope_sum": F.col("slope"), **(extra or {})},
@@ -46,10 +46,10 @@ def terrain_products(
     """Every surface per cell, and the display limits (2nd and 98th percentile) per surface."""
     keys = list(keys)
     fixed = TI.fill_depressions(heights, keys)
-    surface = cut(fixed.withColumn("z", F.col("filled")).drop("filled"))
+    surface = cut_sized(fixed.withColumn("z", F.col("filled")).drop("filled"))
     model = flow_model(surface, keys, cols, cell_size)
     dx, dy = F.col("dx"), F.col("dy")
-    cells = cut(model.withColumns({"aspect": T.aspect_deg(dx, dy), "shade": T.hillshade(dx, dy)}))
+    cells = cut_sized(model.withColumns({"aspect": T.aspect_deg(dx, dy), "shade": T.hillshade(dx, dy)}))
     layers = ("z", "slope", "shade", "twi", "log_acc")
     pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("layer"), F.col(n).alias("v")) for n in layers]))
     p = O.percentiles_linear(cells.select(*keys, pairs), [*keys, "layer"], "v", {"lo": 0.02, "hi": 0.98})
@@ -71,7 +71,7 @@ def catchments(
     A point with no channel within ``snap_m`` is ``widened`` to the best one of its raster. One on a raster
     without any keeps its row, with nulls and the ``reject`` reason.
     """
-    return catchments_of(cut(flow_model(surface, keys, cols, cell_size)), keys, points, cell_size, snap_m, min_area)
+    return catchments_of(cut_sized(flow_model(surface, keys, cols, cell_size)), keys, points, cell_size, snap_m, min_area)
 
 
 def catchments_of(model: DataFrame, keys: Sequence[str], points: DataFrame, cell_size: float, snap_m: float, min_area: float) -> DataFrame:
@@ -79,7 +79,7 @@ def catchments_of(model: DataFrame, keys: Sequence[str], points: DataFrame, cell
     keys = list(keys)
     snapped = FL.snap_anywhere(points, model, keys, snap_m, min_area, cell_size)
     m = model.select(*keys, "cell", F.col("acc").alias("cells"), "z_max", "z_min", "longest", "fed", "slope_sum")
-    snapped = cut(snapped.select(*keys, "point", "cell", "distance_m"))
+    snapped = cut_sized(snapped.select(*keys, "point", "cell", "distance_m"))
     edges = FL.catchment_edges(model, keys, snapped.filter(F.col("cell").isNotNull()).select(*keys, "cell"))
     perimeter, area = F.col("edges") * F.lit(float(cell_size)), F.col("cells") * F.lit(cell_size**2)
     return snapped.join(m, [*keys, "cell"], "left").join(edges, [*keys, "cell"], "left").select(
@@ -118,11 +118,11 @@ def filled_model(heights: DataFrame, keys: Sequence[str], cols: Column, cell_siz
     spot = [*keys, "row", "col"]
     marks = [c for c in ("water", "inside") if c in heights.columns]
     fixed = TI.fill_depressions(heights.select(*spot, "z"), keys)
-    surface = cut(fixed.withColumn("z", F.col("filled")).select(*spot, "z"))
+    surface = cut_sized(fixed.withColumn("z", F.col("filled")).select(*spot, "z"))
     model = flow_model(surface, keys, cols, cell_size)
     if marks:
         model = model.join(heights.select(*spot, *[F.coalesce(c, F.lit(False)).alias(c) for c in marks]), spot)
-    return surface, cut(model)
+    return surface, cut_sized(model)
 
 
 def rank_sites_of(
@@ -136,18 +136,18 @@ def rank_sites_of(
     need = max(10, round(stream_area / area))
     ha = F.col("acc") * area / 1e4
     model = model.withColumn("stream", F.col("acc") >= need)
-    model = cut(model.withColumn("major", F.col("stream") & (ha >= area_ha[2])))
+    model = cut_sized(model.withColumn("major", F.col("stream") & (ha >= area_ha[2])))
     reach = math.ceil(belt_m / cell_size)
     near = TI.mask_distance(model.select(*keys, "row", "col", "major"), keys, "major", reach).drop("major")
     model = model.join(near, [*keys, "row", "col"]).withColumn("dist_major", F.sqrt("d2") * cell_size)
-    flagged = cut(
+    flagged = cut_sized(
         FL.site_flags(model.filter("stream"), keys, rows, cols, area, margin=margin, belt_m=belt_m, area_ha=area_ha)
     )
     counts = FL.site_counts(flagged, keys, area)
     eligible = flagged.filter("eligible").withColumn("site", F.col("cell"))
     pools = PL.pool_levels(eligible.select(*keys, "site", "row", "col"), surface, keys, [rise], area)
     vol = pools.select(*keys, "site", "volume_m3", "area_m2")
-    scored = cut(FL.site_scores(eligible.join(vol, [*keys, "site"]), keys, area, area_ha=area_ha))
+    scored = cut_sized(FL.site_scores(eligible.join(vol, [*keys, "site"]), keys, area, area_ha=area_ha))
     best = FL.suppress_near(
         scored.select(*keys, F.col("cell").alias("id"), "row", "col", "score"), keys, apart_m / cell_size, top_n
     )
@@ -176,7 +176,7 @@ def source_cross_check(
     for name, heights in (("a", first), ("b", second)):
         surface, model = filled_model(heights, keys, cols, cell_size)
         best, _ = rank_sites_of(surface, model, keys, rows, cols, cell_size, stream_area, **ranking)
-        sides[name], tops[name] = model, cut(best.select(*keys, "rank", "id", "row", "col"))
+        sides[name], tops[name] = model, cut_sized(best.select(*keys, "rank", "id", "row", "col"))
     channels = {n: m.filter(F.col("acc") >= need).select(*keys, "row", "col") for n, m in sides.items()}
     major = {n: m.filter(F.col("acc") * area >= major_area).select(*keys, "row", "col") for n, m in sides.items()}
     facts = LP.surface_agreement(first, second, keys)
@@ -188,18 +188,18 @@ def source_cross_check(
     apart = F.hypot(F.col("_ra") - F.col("_rb"), F.col("_ca") - F.col("_cb")) * cell_size
     facts = facts.join(lead[0].join(lead[1], keys).select(*keys, apart.alias("top_distance_m")), keys, "left")
 
-    sites = cut(tops["a"].withColumn("side", F.lit("a")).unionByName(tops["b"].withColumn("side", F.lit("b"))))
+    sites = cut_sized(tops["a"].withColumn("side", F.lit("a")).unionByName(tops["b"].withColumn("side", F.lit("b"))))
     points = sites.withColumn("point", F.struct("side", "rank"))
     cells = None  # catchment cells of every site in both sources: at most top_n sites of a raster and side
     found = sites
     for n, m in sides.items():
         own = FL.snap_anywhere(points.select(*keys, "point", "row", "col"), m, keys, snap_m, min_area, cell_size)
-        own = cut(own.select(*keys, "point.side", "point.rank", F.col("cell").alias("outlet"), (F.col("acc") * area / 1e4).alias(f"area_{n}_ha")))
+        own = cut_sized(own.select(*keys, "point.side", "point.rank", F.col("cell").alias("outlet"), (F.col("acc") * area / 1e4).alias(f"area_{n}_ha")))
         up = FL.upstream_cells(m, keys, own.filter("outlet is not null").select(*keys, F.col("outlet").alias("cell")))
         up = own.join(up, [*keys, "outlet"]).select(*keys, "side", "rank", F.lit(n).alias("source"), "cell")
         cells = up if cells is None else cells.unionByName(up)
         found = found.join(own.drop("outlet"), [*keys, "side", "rank"], "left")
-    cells = cut(cells)
+    cells = cut_sized(cells)
     both = cells.groupBy(*keys, "side", "rank", "cell").agg(F.count(F.lit(1)).alias("n"))
     shared = both.groupBy(*keys, "side", "rank").agg((F.count(F.when(F.col("n") == 2, 1)) / F.count(F.lit(1))).alias("overlap"))
     # each site in its own source against the sites of the other in theirs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,6 +50,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_sized(df: DataFrame) -> DataFrame:
+    """``cut`` for rounds of joins: the result has the size of its rows, not an estimate.
+
+    A checkpoint keeps the estimate of the plan it came from, and a join's is the product of both sides. Over rounds
+    that join a table with itself the digits of the estimate double each time, and planning soon takes longer
+    than the job, however few rows there are. Stored rows have a measured size, which the checkpoint then keeps.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = conf.get(name)
+    conf.set(name, "true")  # else a handful of rows is stored in as many partitions as a shuffle has
+    try:
+        stored = df.persist(StorageLevel.DISK_ONLY)
+    finally:
+        conf.set(name, before)
+    try:
+        stored.count()
+        return cut(stored)
+    finally:
+        stored.unpersist()
+
+
 def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join one row per key onto ``df``.
 

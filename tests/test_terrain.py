@@ -248,3 +248,18 @@ def test_a_raster_without_candidates_cuts_no_catchment_off(spark):
     flagged = FL.site_flags(df, K, F.lit(20), F.lit(20), 100.0)
     got = {r["raster"]: (r["considered"], r["catchments_complete"]) for r in FL.site_counts(flagged, K, 100.0).collect()}
     assert got == {"steep": (0, True), "good": (1, True), "cut": (1, False)}
+
+
+def test_size_estimates_do_not_multiply_over_rounds(spark):
+    """Rounds that join a table with itself keep an estimate of the table's size, else planning outgrows the job."""
+    n = 300
+    rows = [("r", i, i + 1 if i + 1 < n else None) for i in range(n)]
+    f = spark.createDataFrame(rows, "raster string, cell long, recv long")
+    outlet = spark.createDataFrame([("r", n - 1), ("r", 99)], "raster string, cell long")
+    near = FL.roots(f, K, outlet)
+    got = {r["cell"]: (r["outlet"], r["steps"]) for r in near.collect()}
+    assert got == {i: (99, 99 - i) if i <= 99 else (n - 1, n - 1 - i) for i in range(n)}
+    acc = FL.accumulate(f, K, sums={"acc": F.lit(1).cast("long")})
+    assert {r["cell"]: r["acc"] for r in acc.collect()} == {i: i + 1 for i in range(n)}
+    for df in (near, acc):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 100_000
