@@ -275,8 +275,13 @@ def balance_years(days: DataFrame, ponds: DataFrame, seepage_mm: float = 2.0, sl
     """
     per_day = days.groupBy("site", "day").agg(F.sum("inflow").alias("inflow"))
     runs = per_day.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("day", "inflow"))).alias("days"))
+    return balance_runs(runs.join(ponds, "site"), seepage_mm, slope)
+
+
+def balance_runs(runs: DataFrame, seepage_mm: float = 2.0, slope: float = 2.0) -> DataFrame:
+    """``balance_years`` of ``runs(site, length, width, depth, days)``: ``days`` holds a site's ``(day, inflow)`` by day."""
     L, Wd, D = F.col("length"), F.col("width"), F.col("depth")
-    r = runs.join(ponds, "site").withColumn("cap", P.storage(L, Wd, D, slope))
+    r = runs.withColumn("cap", P.storage(L, Wd, D, slope))
     cap = F.col("cap")
     zero_year = F.lit(None).cast(_YEAR)
     acc0 = F.struct(F.lit(0.0).alias("s"), zero_year.alias("y"), F.expr(f"cast(array() as array<{_YEAR}>)").alias("done"))
