@@ -91,7 +91,7 @@ def test_balance_keeps_the_books(spark):
 
 
 def test_days_listed_per_gauge_balance_as_days_per_site(spark):
-    days = spark.sql("select s as site, date_add(date'2020-01-01', d) as day, (d * 37 % 11) * 9.0 * s as inflow from range(1, 4) a(s), range(800) b(d)")
+    days = spark.sql("select s as site, date_add(date'2020-01-01', cast(d as int)) as day, (d * 37 % 11) * 9.0D * s as inflow from range(1, 4) a(s), range(800) b(d)")
     ponds = spark.sql("select s as site, 40.0D as length, 30.0D + s as width, 3.0D as depth from range(1, 4) a(s)")
     lists = days.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("day", "inflow"))).alias("days"))
     want = C.balance_years(days, ponds).orderBy("site", "year").collect()
