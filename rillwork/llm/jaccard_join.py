@@ -18,10 +18,12 @@ Candidates have to pass prefix filters under several global orders:
 A pair is verified only if the filters hold together. Verification is exact on the whole sets.
 
 Equal sets become one class first, and large groups of near copies are not expanded into pairs: every
-set is compared with the pivot it shares most tokens with, then with the other pivots of tokens that this
-leaves in different components, and only sets that are still apart are compared with each other. No link
-between two components is lost, since each pair that the filters let through is either verified or already
-joined.
+set is compared with the pivot it shares most tokens with. Sets that are still apart get a *home*, the set
+whose tokens are commonest among those they may meet, and are compared with it. Two sets ``x``, ``y`` of
+one home ``h`` share at most ``min(|x & h|, |y & h|)`` tokens inside it, so a pair with too few of them must
+share the rest outside: such pairs meet at tokens that their home lacks, which few copies hold, and not at
+those it has. No link between two components is lost, since each pair that the filters let through is
+either verified, already joined or ruled out by these counts.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from rillwork.session import cut
 KEEP_20 = 8
 #: Counts of a token are exact up to here; commoner tokens all rank last, in the order of their hashes.
 COUNT_TOP = 4096
-#: Sets of a token that all its sets are compared with first.
+#: Sets of a token among which each of its sets finds the one that it is compared with first.
 PIVOTS = 4
 
 _POSTING = pa.schema([("tok", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("doc", pa.int64()), ("own", pa.bool_())])
@@ -178,6 +180,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, near_100: int) -> DataFrame:
     )
 
 
+def _overlap(x: str, y: str, near_100: int) -> str:
+    """Tokens that sets of two sizes must share to be similar enough."""
+    return f"(({near_100} * ({x} + {y}) + {99 + near_100}) div {100 + near_100})"
+
+
+def _at_home(late: DataFrame, open_: DataFrame, sets: DataFrame, near_100: int) -> DataFrame:
+    """``cls, home, n, root, within, rest, linked, label`` of the sets that share a token of ``late`` with another component.
+
+    ``within`` counts the tokens that home has too, ``rest`` lists the others; equal ``label``, same component.
+    """
+    roots = [F.min("root").alias("r0"), F.max("root").alias("r1")]
+    top = late.groupBy("tok").agg(F.max_by("cls", F.struct("usual", "cls")).alias("home"), F.count("*").alias("held"), *roots)
+    votes = late.join(top.where("r0 <> r1").select("tok", "home", "held"), "tok").groupBy("cls", "home").agg(F.sum("held").alias("votes"))
+    homes = votes.groupBy("cls").agg(F.max_by("home", F.struct("votes", "home")).alias("home"))
+    placed = open_.select("cls", "n", "root")
+    met = homes.join(placed.join(sets, "cls"), "cls").join(placed.join(sets, "cls").toDF("home", "home_n", "home_root", "theirs"), "home")
+    met = met.withColumn("within", F.size(F.array_intersect("toks", "theirs")))
+    met = met.withColumn("linked", F.expr(f"100 * within >= {near_100} * (n + home_n - within)"))
+    label = F.when(F.col("linked"), F.col("home_root")).otherwise(F.col("root")).alias("label")
+    return met.select("cls", "home", "n", "root", "within", F.array_except("toks", "theirs").alias("rest"), "linked", label)
+
+
+def _apart(late: DataFrame, known: DataFrame, near_100: int, meets: F.Column) -> DataFrame:
+    """``a, b``: the pairs from different components that may be similar enough for all that is known of their homes."""
+    either = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
+    need = _overlap("x.n", "y.n", near_100)
+    others = F.col("x.label") != F.col("y.label")
+    rows = late.select("tok", "cls", "n", "place").join(known.select("cls", "home", "label", "within", "linked"), "cls")
+
+    # of different homes: each token's sets against those that are not of its commonest home
+    per_home = rows.groupBy("tok", "home").agg(F.count("*").alias("held"))
+    mixed = per_home.groupBy("tok").agg(F.max_by("home", F.struct("held", "home")).alias("usual_home"), F.count("*").alias("homes")).where("homes > 1")
+    mixed = rows.join(mixed, "tok")
+    few, all_ = mixed.where("home <> usual_home").alias("x"), mixed.alias("y")
+    found = few.join(all_, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.home") != F.col("y.home")) & others & meets).select(*either)
+
+    # of one home, and so much alike inside it that nothing else is needed: one of the two is not linked with it,
+    # and the other is smaller than home. `reach` is the largest set that the tokens inside are enough for
+    kin = known.where("cls <> home").withColumn("reach", F.expr(f"{100 + near_100} * within div {near_100} - n"))
+    sizes = [F.min("n").alias("least"), F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most")]
+    kin = kin.join(kin.groupBy("home").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *sizes).where("l0 <> l1"), "home")
+    inside = late.select("tok", "cls", "place").join(kin.where("n <= most").drop("rest"), "cls")
+    loose, all_ = inside.where("not linked and reach >= least").alias("x"), inside.alias("y")
+    alike = F.expr("x.home = y.home and x.tok = y.tok and x.reach >= y.n and y.reach >= x.n")
+    found = found.union(loose.join(all_, alike & others & meets).select(*either))
+
+    # of one home, and alike outside it: by all tokens that home lacks, so that the shared ones can be counted
+    outside = kin.select("home", "cls", "n", "label", "within", "reach", "least", F.explode("rest").alias("tok"))
+    split = outside.groupBy("home", "tok").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("home", "tok")
+    outside = outside.join(split, ["home", "tok"])
+    enough = outside.groupBy("cls", "n", "within", "least").agg(F.count("*").alias("most"))
+    enough = enough.where(f"within + most >= {_overlap('n', 'least', near_100)}").select("cls")
+    outside = stow(outside.drop("reach", "least").join(enough, "cls"), "outside")
+    x, y = outside.alias("x"), outside.alias("y")
+    met = x.join(y, F.expr("x.home = y.home and x.tok = y.tok and x.cls < y.cls") & others)
+    met = met.groupBy(*either).agg(F.count("*").alias("both"), F.first(F.least("x.within", "y.within")).alias("most"), F.first(F.expr(need)).alias("need"))
+    return found.union(met.where("most + both >= need").select("a", "b")).distinct()
+
+
 def link_groups(docs: DataFrame, width: int = WIDTH, near: float = NEAR) -> DataFrame:
     """``doc_id, n_shingles, component_id, is_first`` of every row of ``docs`` (``doc_id``, ``text``).
 
@@ -214,29 +275,21 @@ def link_groups(docs: DataFrame, width: int = WIDTH, near: float = NEAR) -> Data
 
     def meets(x: str, y: str, keep: int) -> F.Column:
         """Whether two sets that share a token at their places may still be similar enough."""
-        overlap = f"(({near_100} * ({x}n + {y}n) + {99 + near_100}) div {100 + near_100})"
+        overlap = _overlap(f"{x}n", f"{y}n", near_100)
         outside = f"greatest({x}n * {20 - keep} div 20, {y}n * {20 - keep} div 20)"
         late = " and ".join(f"{k}place <= ({keep} * {k}n + 19) div 20 - ({overlap} - {outside}) + 1" for k in (x, y))
         return F.expr(f"100 * least({x}n, {y}n) >= {near_100} * greatest({x}n, {y}n) and {late}")
 
-    # each token's classes against its pivots: the one with the commonest tokens, and some at random
-    def picks(who: F.Column) -> list[F.Column]:
-        return [F.max_by(who, F.struct("usual", "cls")), *[F.min_by(who, F.xxhash64("cls", F.lit(k))) for k in range(PIVOTS - 1)]]
-
-    def to_pivots(rows: DataFrame) -> DataFrame:
-        """``cls, pivot, common``: the pivots that a class meets, with the tokens that say so; ``rows`` may hold roots."""
-        whose = ["cls", "n", "place"] + (["root"] if "root" in rows.columns else [])
-        top = rows.groupBy("tok").agg(F.array_distinct(F.array(*picks(F.struct(*whose)))).alias("pivots"), F.count("*").alias("held"))
-        met = rows.join(top.where("held > 1").select("tok", F.explode("pivots").alias("pivot")), "tok")
-        if "root" in rows.columns:
-            met = met.where("root <> pivot.root")
-        met = met.where((F.col("cls") != F.col("pivot.cls")) & meets("", "pivot.", KEEP_20))
-        return met.groupBy("cls", F.col("pivot.cls").alias("pivot")).agg(F.count("*").alias("common"))
-
-    either = [F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")]
-    # rare tokens of near copies have pivots of their own, so a class first meets only the one it shares most with
-    best = to_pivots(lists).groupBy("cls").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot"))
-    stars = cut(best.select(*either).distinct())
+    # each token's pivots: the class with the commonest tokens, and some at random. Rare tokens of near copies
+    # have pivots of their own, so a class meets only the one it shares most tokens with
+    who = F.struct("cls", "n", "place")
+    picks = [F.max_by(who, F.struct("usual", "cls")), *[F.min_by(who, F.xxhash64("cls", F.lit(k))) for k in range(PIVOTS - 1)]]
+    pivots = lists.groupBy("tok").agg(F.array_distinct(F.array(*picks)).alias("pivots"), F.count("*").alias("held")).where("held > 1")
+    to_pivots = lists.join(pivots.select("tok", F.explode("pivots").alias("pivot")), "tok")
+    to_pivots = to_pivots.where((F.col("cls") != F.col("pivot.cls")) & meets("", "pivot.", KEEP_20))
+    common = to_pivots.groupBy("cls", F.col("pivot.cls").alias("pivot")).agg(F.count("*").alias("common"))
+    best = common.groupBy("cls").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot"))
+    stars = cut(best.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct())
     shared = lists.join(lists.groupBy("tok").agg(F.count("*").alias("held")).where("held > 1"), "tok", "left_semi")
     wanted = shared.select("cls").distinct().join(reps, "cls")
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
@@ -245,44 +298,30 @@ def link_groups(docs: DataFrame, width: int = WIDTH, near: float = NEAR) -> Data
     sets = stow(found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     links = cut(_verified(stars, sets, near_100))
 
-    def split(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The shared tokens' rows with their components, and the tokens whose classes are still in different ones."""
-        found = components(links).withColumnRenamed("node", "cls")
-        placed = shared.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        torn = placed.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1")
-        return placed, torn
-
-    # the other pivots only of tokens that this leaves in different components
-    placed, torn = split(links)
-    again = to_pivots(placed.join(torn.select("tok"), "tok", "left_semi")).select(*either).distinct()
-    again = cut(again.join(stars, ["a", "b"], "left_anti"))
-    stars, links = stars.union(again), cut(links.union(_verified(again, sets, near_100)))
-
     # what is left: pairs of a token whose classes are still in different components. Their whole sets
     # are ordered by how many of these classes hold a token, so one more prefix must be shared
-    placed, torn = split(links)  # two classes of a token have met as class and pivot
-    open_ = stow(placed.join(torn.where("held > 2").select("tok"), "tok", "left_semi").groupBy("cls", "n", "root").agg(F.collect_list("tok").alias("pre")), "open")
+    found = components(links).withColumnRenamed("node", "cls")
+    placed = shared.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    torn = placed.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    open_ = stow(placed.join(torn.select("tok"), "tok", "left_semi").groupBy("cls", "n", "root").agg(F.collect_list("tok").alias("pre")), "open")
     tokens = open_.join(sets, "cls").select("cls", "n", "root", F.explode("toks").alias("tok"))
     several = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("c > 1")
     ordered = (
         tokens.join(several, "tok")
         .withColumn("alone", F.col("n") - F.count("*").over(per))
+        .withColumn("usual", F.sum(F.log2("c")).over(per) / F.col("n"))
         .withColumn("place", F.col("alone") + F.row_number().over(per.orderBy("c", "tok")))
         .where((F.col("r0") != F.col("r1")) & (100 * (F.col("n") - F.col("place") + 1) >= near_100 * F.col("n")))
     )
-    late = stow(ordered.select("tok", "cls", "n", "root", F.col("place").cast("int").alias("place")), "late")
-    x, y = late.alias("x"), late.alias("y")
-    met = (
-        (F.col("x.tok") == F.col("y.tok"))
-        & (F.col("x.cls") < F.col("y.cls"))
-        & (F.col("x.root") != F.col("y.root"))
-        & meets("x.", "y.", 20)
-    )
-    more = x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    late = stow(ordered.select("tok", "cls", "n", "root", F.col("place").cast("int").alias("place"), "usual"), "late")
+    known = stow(_at_home(late, open_, sets, near_100), "homes")
+    home = known.where("cls <> home").select(F.least("cls", "home").alias("a"), F.greatest("cls", "home").alias("b"), "linked")
+    more = _apart(late, known, near_100, meets("x.", "y.", 20))
     pre = open_.select("cls", "pre")
     more = more.join(pre.toDF("a", "pa"), "a").join(pre.toDF("b", "pb"), "b").where(F.arrays_overlap("pa", "pb")).select("a", "b")
-    more = _verified(cut(more.join(stars, ["a", "b"], "left_anti")), sets, near_100)
-    last = components(links.union(more))
+    met = stars.union(home.select("a", "b"))
+    more = _verified(cut(more.join(met, ["a", "b"], "left_anti")), sets, near_100)
+    last = components(links.union(home.where("linked").select("a", "b")).union(more))
 
     classed = members.join(last.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     firsts = reps.join(last.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rep").alias("first"))
