@@ -221,8 +221,8 @@ def _apart(late: DataFrame, known: DataFrame, near_100: int, meets: F.Column) ->
     kin = known.where("cls <> home").withColumn("reach", F.expr(f"{100 + near_100} * within div {near_100} - n"))
     sizes = [F.min("n").alias("least"), F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most")]
     kin = kin.join(kin.groupBy("home").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *sizes).where("l0 <> l1"), "home")
-    inside = late.select("tok", "cls", "place").join(kin.where("n <= most").drop("rest"), "cls")
-    loose, all_ = inside.where("not linked and reach >= least").alias("x"), inside.alias("y")
+    inside = late.select("tok", "cls", "place").join(kin.drop("rest"), "cls")
+    loose, all_ = inside.where("not linked and reach >= least").alias("x"), inside.where("n <= most").alias("y")
     alike = F.expr("x.home = y.home and x.tok = y.tok and x.reach >= y.n and y.reach >= x.n")
     found = found.union(loose.join(all_, alike & others & meets).select(*either))
 
@@ -309,7 +309,7 @@ def link_groups(docs: DataFrame, width: int = WIDTH, near: float = NEAR) -> Data
     ordered = (
         tokens.join(several, "tok")
         .withColumn("alone", F.col("n") - F.count("*").over(per))
-        .withColumn("usual", F.sum(F.log2("c")).over(per) / F.col("n"))
+        .withColumn("usual", F.sum(F.log2("c")).over(per))
         .withColumn("place", F.col("alone") + F.row_number().over(per.orderBy("c", "tok")))
         .where((F.col("r0") != F.col("r1")) & (100 * (F.col("n") - F.col("place") + 1) >= near_100 * F.col("n")))
     )
