@@ -34,10 +34,10 @@ def nodes(spark, d):
 def links(spark, d):
     """Roads between grid neighbours whose sizes differ by at most 30."""
     n = nodes(spark, d).select("node", "size")
-    pairs = N.missing_roads(n, n.select(F.col("node").alias("src"), F.col("node").alias("dst")), cols())
-    a = n.select(F.col("node").alias("src"), F.col("size").alias("a"))
-    b = n.select(F.col("node").alias("dst"), F.col("size").alias("b"))
-    return pairs.join(a, "src").join(b, "dst").filter(F.abs(F.col("a") - F.col("b")) <= 30).select("src", "dst")
+    # two columns of a small file are planned as a broadcast, but unpacked they fill the driver: sides are shuffled
+    a = n.select(F.col("node").alias("src"), F.col("size").alias("a")).hint("merge")
+    b = n.select(F.col("node").alias("dst"), F.col("size").alias("b")).hint("merge")
+    return N.onward_pairs(n, cols()).join(a, "src").join(b, "dst").filter(F.abs(F.col("a") - F.col("b")) <= 30).select("src", "dst")
 
 
 def requests(spark, d, k=10):

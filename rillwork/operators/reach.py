@@ -137,12 +137,15 @@ def _hand_down(rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
 
 
 def fold_distances(
-    sources: DataFrame, edges: DataFrame, piece: Callable[[Column], Column], fold: Callable, schema: str, fan: int = FAN, chunk: int = CHUNK
-) -> DataFrame:
+    sources: DataFrame, edges: DataFrame, piece: Callable[[Column], Column], fold: Callable, schema: str, fan: int = FAN, chunk: int = CHUNK,
+    pairs: DataFrame | None = None,
+) -> DataFrame:
     """What ``fold(nodes, sources, weights, hops)`` returns for every smallest piece and set of sources.
 
     ``sources(node, weight)``, distinct; ``edges(src, dst)`` as ways from ``src``; ``piece`` gives the number of a node's
-    smallest piece, from 0; few roads should join pieces. ``hops`` is nodes x sources, ``FAR`` without a way.
+    smallest piece, from 0; few roads should join pieces. ``hops`` is nodes x sources, ``FAR`` without a way. With
+    ``pairs(source, node)``, only pieces and sets of sources with such a pair are measured, sets are made of sources that
+    lie together, and ``fold`` also gets the row and column of each pair in ``hops``.
     """
 
     def at(c: str) -> Column:
@@ -152,6 +155,9 @@ def fold_distances(
     spots = cut(sources.select(F.col("node").cast("long").alias("node"), F.col("weight").cast("long").alias("weight"), at("node").alias("_p")))
     span = e.agg(F.max(F.greatest("_p", "_q"))).first()[0] or 0
     span = max(span, spots.agg(F.max("_p")).first()[0] or 0)
+    if pairs is not None:
+        pairs = cut(pairs.select(F.col("source").cast("long").alias("b"), F.col("node").cast("long").alias("a"), at("node").alias("_p")).distinct())
+        span = max(span, pairs.agg(F.max("_p")).first()[0] or 0)
     levels = 0
     while fan**levels <= span:
         levels += 1
@@ -165,6 +171,8 @@ def fold_distances(
     facts = e.filter("_p = _q").select("_p", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
     facts = facts.unionByName(gates.select("_p", F.lit(1).alias("kind"), "a", "b"))
     facts = facts.unionByName(spots.select("_p", F.lit(2).alias("kind"), F.col("node").alias("a"), F.col("weight").alias("b")))
+    if pairs is not None:
+        facts = facts.unionByName(pairs.select("_p", F.lit(3).alias("kind"), "a", "b"))
     facts = cut(facts.withColumnRenamed("_p", "leaf").repartition("leaf"))
 
     def small(rows: pd.DataFrame) -> pd.DataFrame:
@@ -189,15 +197,30 @@ def fold_distances(
         below[-1] = inside(level, below[-1])
         if level < levels:
             below.append(below[-1].groupBy("parent").applyInPandas(_join_up(level), _PIECE))
-    parts = max(1, -(-spots.count() // chunk))
-    sets = spots.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("node", "weight"))).alias("_s"))
+    if pairs is None:
+        parts = max(1, -(-spots.count() // chunk))
+        dealt = spots.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(parts)))
+    else:
+        parts = max(1, -(-(spots.groupBy("_p").count().agg(F.max("count")).first()[0] or 0) // chunk))
+        dealt = spots.withColumn("chunk", F.col("_p") * parts + F.pmod(F.xxhash64("node"), F.lit(parts)))
+    sets = dealt.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("node", "weight"))).alias("_s"))
     sets = cut(sets.select("chunk", F.col("_s.node").alias("src"), F.col("_s.weight").alias("weight")))
+    if pairs is not None:
+        asked = cut(pairs.join(dealt.select(F.col("node").alias("b"), "chunk"), "b").select("_p", "chunk").distinct())
     seen = sets.select(F.lit(0).cast("long").alias("piece"), "chunk", F.array().cast("array<long>").alias("gates"), F.lit(b"").alias("x"))
     for level in range(levels, 0, -1):
-        both = below[level - 1].crossJoin(sets.select("chunk"))
+        if pairs is None:
+            both = below[level - 1].crossJoin(sets.select("chunk"))
+        else:
+            both = below[level - 1].join(asked.select(F.floor(F.col("_p") / fan**level).alias("parent"), "chunk").distinct(), "parent")
         told = seen.withColumnRenamed("piece", "up").join(sets.select("chunk", "src"), "chunk").withColumnRenamed("chunk", "set")
         told = told.select("up", F.col("set").alias("chunk_up"), F.col("set").alias("chunk"), "gates", "x", "src")
-        seen = cut(both.groupBy("parent", "chunk").cogroup(told.groupBy("up", "chunk_up")).applyInPandas(_hand_down, _SEEN))
+        seen = both.groupBy("parent", "chunk").cogroup(told.groupBy("up", "chunk_up")).applyInPandas(_hand_down, _SEEN)
+        if pairs is not None:
+            seen = seen.join(asked.select(F.floor(F.col("_p") / fan ** (level - 1)).alias("piece"), "chunk").distinct(), ["piece", "chunk"], "left_semi")
+        seen = cut(seen)
+
+    pairs_too = pairs is not None
 
     def measure(rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
         made = []
@@ -216,8 +239,26 @@ def fold_distances(
                 at = np.minimum(np.searchsorted(every, src), len(every) - 1)
                 ok = every[at] == src
                 hops[:, at[ok]] = np.minimum(hops[:, at[ok]], own[:, ok])
-                made.append(fold(nodes, every, np.asarray(one.weight, np.int64), hops))
+                told = [nodes, every, np.asarray(one.weight, np.int64), hops]
+                if pairs_too:
+                    ask = rows[rows["kind"] == 3]
+                    col = np.minimum(np.searchsorted(every, ask["b"].to_numpy()), len(every) - 1)
+                    mine = every[col] == ask["b"].to_numpy()
+                    told += [np.searchsorted(nodes, ask["a"].to_numpy()[mine]), col[mine]]
+                made.append(fold(*told))
         return pd.concat(made) if made else pd.DataFrame([], columns=[f.strip().split(" ")[0] for f in schema.split(",")])
 
     told = seen.join(sets, "chunk").withColumnRenamed("piece", "_leaf")
     return facts.groupBy("leaf").cogroup(told.groupBy("_leaf")).applyInPandas(measure, schema)
+
+
+def pair_distances(pairs: DataFrame, edges: DataFrame, piece: Callable[[Column], Column], fan: int = FAN, chunk: int = CHUNK) -> DataFrame:
+    """Hops from ``source`` to ``node`` for each of ``pairs(source, node)`` that has a way: ``source, node, hops``."""
+
+    def fold(nodes, src, _weight, hops, i, j):
+        told = hops[i, j]
+        way = told < FAR
+        return pd.DataFrame({"source": src[j[way]], "node": nodes[i[way]], "hops": told[way]})
+
+    spots = pairs.select(F.col("source").alias("node"), F.lit(1).alias("weight")).distinct()
+    return fold_distances(spots, edges, piece, fold, "source long, node long, hops int", fan, chunk, pairs)

@@ -166,3 +166,58 @@ def test_open_pairs_keep_their_measured_size_over_many_rounds(spark, monkeypatch
     got = {(r["query"], r["node"]): r["hops"] for r in N.hop_distances(src, e, both_ways=False, wanted=wanted).collect()}
     assert got[1, far] == 2 and (1, far - 6) not in got and got[2, far - 1] == far - 2
     assert max(bits) < 4000  # squared every round, it had 4 790 digits before the end
+
+
+def test_pairs_on_one_way_roads_match_plain_breadth_first(spark):
+    """Pieces of ten nodes, three levels of them and four sources at a time give the distance of each pair asked for."""
+    rng = random.Random(11)
+    wide, long = 5, 60
+    steps = [(a, b) for a in range(wide * long) for b in (a + 1, a + wide) if b < wide * long and (b != a + 1 or b % wide)]
+    roads = [r for a, b in steps for r in ((a, b), (b, a)) if rng.random() < 0.6]
+    roads += [(2, 297), (250, 8)]  # and two that cross the map
+    adj = {}
+    for a, b in roads:
+        adj.setdefault(a, []).append(b)
+    starts = [rng.randrange(wide * long) for _ in range(30)] + [7, 7, 412]
+    pairs = {(s, min(max(s + rng.randrange(-40, 40), 0), 299)) for s in starts for _ in range(6)} | {(7, 7), (7, 299), (299, 7), (412, 3), (412, 412), (3, 412)}
+    want = {}
+    for s, v in pairs:
+        dist, todo = {s: 0}, deque([s])
+        while todo:
+            u = todo.popleft()
+            for w in adj.get(u, []):
+                if w not in dist:
+                    dist[w] = dist[u] + 1
+                    todo.append(w)
+        if v in dist:
+            want[s, v] = dist[v]
+    e = spark.createDataFrame(roads, "src long, dst long")
+    p = spark.createDataFrame(sorted(pairs), "source long, node long")
+    told = N.pair_distances(p, e, lambda v: F.floor(v / (2 * wide)), fan=4, chunk=4).collect()
+    assert {(r["source"], r["node"]): r["hops"] for r in told} == want and len(told) == len(want)
+    assert want[412, 412] == 0 and len(want) < len(pairs)
+
+
+def test_one_way_search_takes_no_rounds_along_a_long_road(spark, monkeypatch):
+    """From the middle of a one-way road of 400 nodes, an inn behind is no longer ruled out by walking to either end."""
+    far, cuts = 400, []
+    n = spark.createDataFrame([(v, v + 1, v / far, 0.0, "inn" if v in (195, 204) else "well") for v in range(far)], "node long, id long, lat double, lon double, category string")
+    e = spark.createDataFrame([(v, v + 1) for v in range(far - 1)], "src long, dst long")
+    q = spark.createDataFrame([(1, 200 / far, 0.0, "inn", 0.05, 10, 200)], "query long, lat double, lon double, category string, rad double, k int, source long")
+    for module in (vars(N), N.hop_distances.__globals__["pair_distances"].__globals__):
+        monkeypatch.setitem(module, "cut", lambda df, real=module["cut"]: cuts.append(1) or real(df))
+    a, _, _ = N.search(q, n, e, F.lit(1), both_ways=False)
+    assert [(r["node"], r["hops"]) for r in a.collect()] == [(204, 4)]
+    assert len(cuts) <= 20  # walking took nine for every four nodes
+
+
+def test_links_keep_no_column_of_the_whole_map_on_the_driver(spark, tmp_path):
+    from rillwork.catalog import network
+
+    sizes = [(v, 1 + v * 37 % 50) for v in range(400)]
+    spark.createDataFrame([(v, "LARGE", s) for v, s in sizes], "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lk = network.links(spark, str(tmp_path))
+    assert "Broadcast" not in lk._jdf.queryExecution().executedPlan().toString()
+    size = dict(sizes)
+    want = {(v, w) for v in size for w in (v + 1, v + 40) if w in size and (w != v + 1 or w % 40) and abs(size[v] - size[w]) <= 30}
+    assert sorted(tuple(r) for r in lk.collect()) == sorted(want)
